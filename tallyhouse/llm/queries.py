@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sharding
+from . import bpe, chat, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,21 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), ids=False, digests=True)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.apply_rules(_documents(spark, sf_dir))
+    return out.select("doc_id", *quality.BASE, "base_failed", "kept", "removed_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_sharding": op3_sharding,
+    "op6_bpe": op6_bpe,
+    "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
