@@ -3,10 +3,10 @@
 One pass over the texts leaves, per document, the base measures and its
 distinct lines as hashes. All else works on those.
 
-A line's documents at a host are counted apart from copies: a document counts
-by the smallest hash among its *other* lines. Copies and near copies of one
-document, which share nearly all lines, thus count about once, while a line
-that stands in unrelated documents counts for each of them.
+Copies are left to the operators that find them: exact copies of a text count
+as one document of a host, and a line of more than ``max_line_words`` words is
+a passage, not page furniture, and is never counted. So a document with many
+copies, or near copies in long paragraphs, does not deplete itself.
 """
 
 from __future__ import annotations
@@ -30,11 +30,13 @@ SYMBOL[list(b"#*$%&|<>")] = True
 class LineRules:
     """``max_docs``: a line in more distinct documents of a host is removed.
 
+    ``max_line_words``: a longer line counts as a passage and stays.
     ``min_words``, ``min_share``: a document with fewer words left, or a
     smaller share of its words left, is rejected as depleted.
     """
 
     max_docs: int = 10
+    max_line_words: int = 25
     min_words: int = 50
     min_share: float = 0.3
 
@@ -70,7 +72,7 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, ...]]:
-    """Base measures per document; (document, hash, words, signature) of its distinct lines."""
+    """Base measures per document; (document, hash, words, longest) of its distinct lines."""
     n = len(offsets) - 1
     start, end, doc = K.words(data, offsets)
     out = {
@@ -108,13 +110,9 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     norm, l_doc, in_line = norm[order], l_doc[order], in_line[order]
     new = np.flatnonzero(np.r_[True, (norm[1:] != norm[:-1]) | (l_doc[1:] != l_doc[:-1])]) if len(norm) else np.zeros(0, np.int64)
     words = np.add.reduceat(in_line, new) if len(new) else in_line
+    longest = np.maximum.reduceat(in_line, new) if len(new) else in_line
     norm, l_doc = norm[new], l_doc[new]
-    # lines are sorted within a document: the first is the smallest, the next the second
-    lead = np.searchsorted(l_doc, l_doc)
-    second = np.minimum(lead + 1, max(len(norm) - 1, 0))
-    second = np.where(l_doc[second] == l_doc, second, lead) if len(norm) else lead
-    sign = np.where(np.arange(len(norm)) == lead, norm[second], norm[lead]) if len(norm) else norm
-    return out, (l_doc, norm, words, sign)
+    return out, (l_doc, norm, words, longest)
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -132,11 +130,11 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
         for batch in batches:
             data, offsets = K.column_bytes(batch.column(4))
             for a, b, d, o in K.blocks(data, offsets):
-                out, (doc, norm, words, sign) = measure(d, o)
+                out, (doc, norm, words, longest) = measure(d, o)
                 at = np.searchsorted(doc, np.arange(b - a + 1))
                 columns = [batch.column(i).slice(a, b - a) for i in range(4)]
-                columns += [pa.array(out[x].astype(np.int64)) for x in BASE] + [_lists(at, x) for x in (norm, words, sign)]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "key", "host", *BASE, "line", "words", "sign"])
+                columns += [pa.array(out[x].astype(np.int64)) for x in BASE] + [_lists(at, x) for x in (norm, words, longest)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "key", "host", *BASE, "line", "words", "longest"])
 
     picked = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -145,14 +143,18 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
         docs[host_col].cast("string").alias("host"),
         docs[text_col].cast("string").alias("text"),
     )
-    schema = f"row long, id {id_type}, key binary, host string, {', '.join(f'{x} long' for x in BASE)}, line array<long>, words array<long>, sign array<long>"
+    schema = f"row long, id {id_type}, key binary, host string, {', '.join(f'{x} long' for x in BASE)}, line array<long>, words array<long>, longest array<long>"
     return scratch.table(picked.mapInArrow(run, schema), "quality")
 
 
 def frequent_lines(profiled: DataFrame, rules: LineRules) -> DataFrame:
-    """(host, line) found in more than ``max_docs`` distinct documents of the host."""
-    lines = profiled.select("host", F.explode(F.arrays_zip("line", "sign")).alias("x")).select("host", "x.line", "x.sign")
-    distinct = lines.groupBy("host", "line", "sign").agg(F.lit(1).alias("one"))
+    """(host, line) found in more than ``max_docs`` distinct texts of the host."""
+    lines = (
+        profiled.select("host", F.xxhash64("key").alias("text"), F.explode(F.arrays_zip("line", "longest")).alias("x"))
+        .filter(F.col("x.longest") <= rules.max_line_words)
+        .select("host", "x.line", "text")
+    )
+    distinct = lines.groupBy("host", "line", "text").agg(F.lit(1).alias("one"))
     return distinct.groupBy("host", "line").agg(F.count("one").alias("docs")).filter(F.col("docs") > rules.max_docs).drop("docs")
 
 
@@ -173,7 +175,7 @@ def verdicts(profiled: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     left = F.col("n_words") - F.coalesce(F.col("removed_words"), F.lit(0))
     depleted = (left < rules.min_words) | (left < rules.min_share * F.col("n_words"))
     return (
-        profiled.drop("line", "words", "sign")
+        profiled.drop("line", "words", "longest")
         .join(removed, "row", "left")
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~base_failed & ~depleted)

@@ -61,17 +61,18 @@ def test_frequent_lines_deplete_documents_but_copies_do_not(spark):
 
 
 def test_counts_by_brute_force(spark):
-    data = rows(3, 80)
+    data = rows(3, 80) + [(200 + i, f"Own{i} \nShared  line\nshared LINE {i // 4}", "en", f"s{i % 2}", 0) for i in range(16)]
     rules = quality.LineRules(max_docs=2)
     prof = quality.profile(table(spark, data))
     got = Counter((r.host) for r in quality.frequent_lines(prof, rules).collect())
-    # by the definition: a line's documents, told apart by the smallest hash among their other lines
-    per = defaultdict(set)
-    for r in prof.collect():
-        for h in r.line:
-            others = [x for x in r.line if x != h]
-            per[r.host, h].add(min(others) if others else h)
+    per, low = defaultdict(set), str.maketrans({c: c + 32 for c in range(65, 91)})
+    for _, t, _, host, _ in data:
+        for line in (t or "").split("\n"):
+            w = tuple(x.translate(low) for x in WORD.findall(line))
+            if 0 < len(w) <= rules.max_line_words:
+                per[host, w].add(t)
     want = Counter(k[0] for k, v in per.items() if len(v) > 2)
+    assert want
     assert got == want
 
 
