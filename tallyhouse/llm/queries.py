@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, sharding
+from . import bpe, chat, line_dedup, quality, sharding, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir), length=200)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -59,6 +63,23 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return line_dedup.drop_report(docs, line_dedup.build_index(docs, limit=10))
+
+
+OP4_SQL = r"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+lines as (select r, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from docs),
+keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines),
+frequent as (select k from keyed where k <> '' group by k having count(distinct r) >= 10)
+select doc_id, count(*)::bigint as n_lines,
+       count(*) filter (f.k is not null)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (f.k is null), '')) as kept_sha256
+from keyed left join frequent f using (k) group by r, doc_id
+"""
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,9 +92,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_sharding": op3_sharding,
+    "op4_line_dedup": op4_line_dedup,
     "op6_bpe": op6_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
+SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op4_line_dedup": OP4_SQL}
