@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, quality, sharding, suffix_dedup
+from . import bpe, chat, line_dedup, near_dedup, pii, quality, sharding, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), ids=False, digests=True)
 
 
+def op7_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.apply_rules(_documents(spark, sf_dir))
     return out.select("doc_id", *quality.BASE, "base_failed", "kept", "removed_words")
@@ -97,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
     "op6_bpe": op6_bpe,
+    "op7_prob_min_hash": op7_prob_min_hash,
+    "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op4_line_dedup": OP4_SQL}
