@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, line_dedup, near_dedup, pii, quality, sharding, suffix_dedup
+from . import bpe, chat, decontam, line_dedup, lm_score, near_dedup, pii, quality, sharding, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,10 @@ def op7_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
 
 
+def op8_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_documents(spark, sf_dir))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_documents(spark, sf_dir))
 
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
     "op7_prob_min_hash": op7_prob_min_hash,
+    "op8_ppm_scoring": op8_ppm_scoring,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
