@@ -32,7 +32,8 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 5
 #: Similarity 4/5, as whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
-HUBS = 8
+#: Hubs of a bucket in one later round.
+HUBS = 64
 _EMPTY = hashlib.blake2b(b"no words", digest_size=16).digest()
 
 
