@@ -184,7 +184,8 @@ def frequent_in_texts(docs: DataFrame, index: LineIndex, text_col: str = "text")
     lines = keyed.mapInArrow(run, "key binary, hi long, lo long")
     frequent = index.frequent().withColumnsRenamed({"hi": "f_hi", "lo": "f_lo"})
     found = lines.join(frequent, (F.col("hi") == F.col("f_hi")) & (F.col("lo") == F.col("f_lo")), "inner")
-    return found.groupBy("key").agg(F.collect_set(F.struct("hi", "lo")).alias("lines"))
+    # written, so that the join with the texts has a shuffle of its own on each side and a hot text's rows can be split
+    return scratch.table(found.groupBy("key").agg(F.collect_set(F.struct("hi", "lo")).alias("lines")), "line-drops")
 
 
 def _joined(docs: DataFrame, index: LineIndex, text_col: str) -> DataFrame:
