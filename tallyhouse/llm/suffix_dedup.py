@@ -210,7 +210,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     counted = source.select("text").mapInArrow(count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
     # an anchor's shards, as a power of two
     splits = F.least(F.ceil(F.log2(F.ceil(F.col("n") / SHARD_CONTEXTS))), F.lit(_SPLITS - 1)).cast("long")
-    repeated = counted.select(F.col("anchor").alias("r_anchor"), F.greatest(splits, F.lit(0)).alias("splits"))
+    # written, so that the join below has a shuffle of its own on each side and a hot anchor's rows can be split
+    repeated = scratch.table(counted.select(F.col("anchor").alias("r_anchor"), F.greatest(splits, F.lit(0)).alias("splits")), "suffix-anchors")
 
     # 2. contexts with such an anchor, gathered by text
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
