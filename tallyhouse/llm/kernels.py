@@ -65,7 +65,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64."""
-    return _powers(1 << max(21, int(size + 1).bit_length()))
+    return _powers(1 << max(20, int(size + 1).bit_length()))
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
