@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
 
@@ -14,30 +15,42 @@ from ..operators import anomaly, facts, health, insights, kpis, profitability, q
 from ..schemas import StoreTables
 
 
+def kept(build: Callable[[Analysis], DataFrame]) -> cached_property:
+    """A result of at most a few rows per store and period, kept once computed."""
+
+    def persisted(self: Analysis) -> DataFrame:
+        out = build(self).persist()
+        self.held.append(out)
+        return out
+
+    return cached_property(persisted)
+
+
 class Analysis:
     """Results are built lazily and share their inputs; nothing runs before an action.
 
-    ``facts`` and ``periods``, one row per store and period and one per store,
-    feed nearly every result and are kept once computed; ``release`` lets them
-    go. A lost executor only means that its part of them is computed again.
+    Aggregates by store and period feed several results and are kept once
+    computed; ``release`` lets them go. A lost executor only means that its
+    part of them is computed again.
     """
 
     def __init__(self, tables: StoreTables, cfg: AnalyticsConfig = AnalyticsConfig()):
         self.tables, self.cfg = tables, cfg
+        self.held: list[DataFrame] = []
 
-    @cached_property
+    @kept
     def facts(self) -> DataFrame:
-        return facts.period_facts(self.tables, self.cfg.grain).persist()
+        return facts.period_facts(self.tables, self.cfg.grain)
 
-    @cached_property
+    @kept
     def periods(self) -> DataFrame:
-        return series.store_periods(facts.latest_day(self.tables), self.cfg).persist()
+        return series.store_periods(facts.latest_day(self.tables), self.cfg)
 
     def release(self) -> None:
-        self.facts.unpersist()
-        self.periods.unpersist()
+        for df in self.held:
+            df.unpersist()
 
-    @cached_property
+    @kept
     def current(self) -> DataFrame:
         """Facts of each store's last complete period; a store without rows in it has zeros."""
         wide = self.periods.select("store_id", "period_start").join(self.facts, ["store_id", "period_start"], "left")
@@ -47,30 +60,30 @@ class Analysis:
     def series(self) -> DataFrame:
         return series.series(self.facts, self.periods, self.cfg)
 
-    @cached_property
+    @kept
     def comparisons(self) -> DataFrame:
         return series.comparisons(self.facts, self.periods, self.cfg)
 
-    @cached_property
+    @kept
     def anomalies(self) -> DataFrame:
         return anomaly.detect(self.series, self.cfg)
 
-    @cached_property
+    @kept
     def factors(self) -> DataFrame:
         return rootcause.factors(self.facts, self.periods, self.cfg)
 
-    @cached_property
+    @kept
     def campaigns(self) -> DataFrame:
         return rootcause.campaign_contributors(self.tables, self.periods, self.cfg)
 
-    @cached_property
+    @kept
     def products(self) -> DataFrame:
         """Product performance of the current period."""
         orders = self.tables.orders.withColumn("period_start", P.period_start(F.col("created_at"), self.cfg.grain))
         orders = orders.join(self.periods.select("store_id", "period_start"), ["store_id", "period_start"], "left_semi")
         return facts.product_performance(replace(self.tables, orders=orders), ["period_start"])
 
-    @cached_property
+    @kept
     def profit(self) -> DataFrame:
         return profitability.profitability(self.current, profitability.refund_basis(self.tables, self.cfg), self.cfg)
 
@@ -78,20 +91,20 @@ class Analysis:
     def kpis(self) -> DataFrame:
         return kpis.kpis_wide(self.current)
 
-    @cached_property
+    @kept
     def field_quality(self) -> DataFrame:
         return quality.field_quality(self.tables, self.cfg)
 
-    @cached_property
+    @kept
     def dimensions(self) -> DataFrame:
         margins = health.product_margin(self.products, self.cfg)
         return health.dimensions(self.periods, self.comparisons, self.profit, self.kpis, margins, self.field_quality, self.cfg)
 
-    @cached_property
+    @kept
     def score(self) -> DataFrame:
         return health.health_score(self.dimensions)
 
-    @cached_property
+    @kept
     def findings(self) -> DataFrame:
         primary = rootcause.primary_factor(self.factors)
         found = insights.findings(self.anomalies, self.factors, primary, self.profit, self.products, self.kpis, self.campaigns, self.cfg)

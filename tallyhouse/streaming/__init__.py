@@ -44,6 +44,16 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
     query.awaitTermination()
 
 
+def run_complete(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """An aggregate over all that is there now; each batch replaces the whole result."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(target)
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def batch_writer(root: str) -> Callable[[DataFrame, int], None]:
     """A writer for :func:`ingest`: a replayed batch replaces its own files."""
 
