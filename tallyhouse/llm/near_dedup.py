@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -33,7 +33,9 @@ BANDS, ROWS = 32, 5
 #: Similarity 4/5, as whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Hubs of a bucket in one later round.
-HUBS = 64
+HUBS = 8
+#: Up to so many pairs (32 bytes each) are sent to all tasks.
+SENT_PAIRS = 200_000
 _EMPTY = hashlib.blake2b(b"no words", digest_size=16).digest()
 
 
@@ -132,13 +134,19 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+    """Written table: the pairs (a, b) whose sets reach the similarity."""
+    pairs = scratch.table(pairs, "near-pairs")
+    if pairs.count() <= SENT_PAIRS:
+        # few pairs: only their sets cross the network
+        ends = F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        sets = sets.join(ends, "node", "left_semi")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     common = F.size(F.array_intersect("x", "y"))
     both = pairs.join(left, "a").join(right, "b").filter(small * DENOMINATOR >= large * NUMERATOR)
-    return both.filter(common * DENOMINATOR >= (F.size("x") + F.size("y") - common) * NUMERATOR).select("a", "b")
+    found = both.filter(common * DENOMINATOR >= (F.size("x") + F.size("y") - common) * NUMERATOR)
+    return scratch.table(found.select("a", "b"), "near-edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -152,38 +160,52 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
-        step = scratch.table(step, "labels-step")
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         after = scratch.table(step.join(jump, "label").select("node", F.col("next").alias("label"), "old"), "labels")
         labels = after.select("node", "label")
         if after.filter("label <> old").limit(1).count() == 0:
             return labels
 
 
-def _work_off_buckets(spark: SparkSession, buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, label) of all nodes with a link; ``buckets``: band, node, hub."""
-    pairs = buckets.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = scratch.table(verified(pairs, sets), "near-edges")
-    labels = components(edges)
-    rest = buckets.filter("node <> hub").select("band", "node")
+def _merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels after linking the ends of ``edges``: only the labels' own graph is searched."""
+    one = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    two = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    links = edges.join(one, "a").join(two, "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    moved = components(links).select(F.col("node").alias("label"), F.col("label").alias("next"))
+    return scratch.table(labels.join(moved, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+
+
+def _work_off_buckets(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, label) of all nodes in ``buckets`` (band, node, popular).
+
+    A bucket's hub is its most popular node, the one that shares most bands
+    with most others: in a group of edited copies that is the text they were
+    made from, or one close to it.
+    """
+    rank = F.struct("popular", "node")
+    hub = buckets.groupBy("band").agg(F.max(rank).alias("h")).select("band", F.col("h.node").alias("hub"))
+    rest = scratch.table(buckets.join(hub, "band").filter("node <> hub"), "near-buckets")
+    pairs = rest.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    nodes = buckets.select("node").distinct()
+    labels = _merge(nodes.select("node", F.col("node").alias("label")), verified(pairs, sets))
+    rest = rest.select("band", "node", "popular")
     while True:
         # a bucket counts while its remaining nodes are in several components
-        with_label = rest.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+        with_label = rest.join(labels, "node")
         open_bands = with_label.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
         todo = scratch.table(with_label.join(open_bands, "band", "left_semi"), "near-buckets")
-        if todo.limit(1).count() == 0:
-            return labels
         part = F.pmod(F.xxhash64("node"), F.lit(HUBS))
-        firsts = [F.min(F.when(part == i, F.struct("node", "label"))).alias(f"h{i}") for i in range(HUBS)]
+        firsts = [F.max(F.when(part == i, F.struct("popular", "node", "label"))).alias(f"h{i}") for i in range(HUBS)]
         hubs = todo.groupBy("band").agg(*firsts).select("band", F.explode(F.array_compact(F.array(*(f"h{i}" for i in range(HUBS))))).alias("h"))
         hubs = scratch.table(hubs.select("band", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label")), "near-hubs")
+        if hubs.limit(1).count() == 0:
+            return labels
         near = todo.join(hubs, "band").filter("node <> hub and label <> hub_label")
-        pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        found = scratch.table(verified(pairs, sets), "near-edges")
+        found = verified(near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), sets)
         if found.limit(1).count():
-            edges = scratch.table(edges.unionByName(found), "near-edges")
-            labels = components(edges)
-        rest = todo.join(hubs.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti").select("band", "node")
+            labels = _merge(labels, found)
+        rest = todo.join(hubs.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti").select("band", "node", "popular")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,15 +218,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     class_id. Repeated rows are in one class. Other columns are not read. An
     empty table gives an empty result.
     """
-    spark = docs.sparkSession
     signed = signatures(docs, id_col, text_col)
     nodes = signed.groupBy("node").agg(F.first("key").alias("key"), F.first("bands").alias("bands"))
     nodes = scratch.table(nodes, "near-nodes")
     members = nodes.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    buckets = scratch.table(members.join(shared.select("band", "hub"), "band").select("band", "node", "hub"), "near-buckets")
-    wanted = nodes.select("node", "key").join(buckets.select("node").distinct(), "node", "left_semi")
-    labels = _work_off_buckets(spark, buckets, _shingle_sets(docs, wanted, text_col))
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    together = scratch.table(members.join(shared, "band"), "near-members")
+    popular = together.groupBy("node").agg(F.sum("n").alias("popular"))
+    buckets = scratch.table(together.select("band", "node").join(popular, "node"), "near-buckets")
+    wanted = nodes.select("node", "key").join(popular.select("node"), "node", "left_semi")
+    labels = _work_off_buckets(buckets, _shingle_sets(docs, wanted, text_col))
     placed = signed.select("id", "key", "node").join(labels, "node", "left")
     placed = scratch.table(placed.select("id", "key", F.coalesce("label", "node").alias("class_key")), "near-placed")
     sizes = placed.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
