@@ -330,7 +330,7 @@ def l_event_filter(spark, sf_dir):
 @query("""select event_type, cast(user_id % 3 as bigint) as part, count(*) as n, cast(cast(min(ts) as date) as varchar) as oldest from events group by grouping sets ((event_type), (user_id % 3), ())""")
 def a_event_rollup(spark, sf_dir):
     """A-18, A-19."""
-    events = _read(spark, sf_dir, "events").withColumn("part", F.col("user_id") % 3)
+    events = _read(spark, sf_dir, "events").withColumn("part", F.col("user_id") % 3).withColumn("ts", F.col("ts").cast("timestamp"))
     return tidy(lineage.rollup(events, "event_type", "part", "ts").drop("level"))
 
 
