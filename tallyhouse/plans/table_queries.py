@@ -368,7 +368,7 @@ _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, val
 
 
 def _event_stream(spark, sf_dir: str) -> DataFrame:
-    return streaming.read_stream(spark, f"{sf_dir}/events.parquet", _EVENTS)
+    return streaming.read_stream(spark, sf_dir, _EVENTS, "events.parquet")
 
 
 @query("select 'web-' || cast(user_id % 3 as varchar) as store_id, cast(cast(date_trunc('week', ts) as date) as varchar) as period_start, round(cast(sum(cast(value as decimal(12,2))) as double), 6) as revenue, count(*) as orders from events where event_type = 'purchase' group by 1, 2")

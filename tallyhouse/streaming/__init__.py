@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 WEEK = ("7 days", "7 days", "4 days")
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
-    """Parquet files as they arrive, with a declared schema."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_stream(spark: SparkSession, folder: str, schema: str, names: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
+    """Parquet files as they arrive in a folder, by name, with a declared schema."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", names).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def deduplicate(payments: DataFrame, keys: list[str], at: str, delay: str = "7 days") -> DataFrame:
