@@ -195,9 +195,16 @@ def _work_off_buckets(buckets: DataFrame, sets: DataFrame) -> DataFrame:
         with_label = rest.join(labels, "node")
         open_bands = with_label.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
         todo = scratch.table(with_label.join(open_bands, "band", "left_semi"), "near-buckets")
+        # hubs come from a bucket's smallest components: once those have met all others, the bucket is done
+        own = todo.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
         part = F.pmod(F.xxhash64("node"), F.lit(HUBS))
-        firsts = [F.max(F.when(part == i, F.struct("popular", "node", "label"))).alias(f"h{i}") for i in range(HUBS)]
-        hubs = todo.groupBy("band").agg(*firsts).select("band", F.explode(F.array_compact(F.array(*(f"h{i}" for i in range(HUBS))))).alias("h"))
+        rank = F.struct((-F.col("n")).alias("rare"), "popular", "node", "label")
+        firsts = [F.max(F.when(part == i, rank)).alias(f"h{i}") for i in range(HUBS)]
+        hubs = todo.join(own, ["band", "label"]).groupBy("band").agg(*firsts).select("band", F.array_compact(F.array(*(f"h{i}" for i in range(HUBS)))).alias("h"))
+        # the largest component's nodes wait while there are others
+        rarest = F.array_max("h")["rare"]
+        most = F.array_min("h")["rare"]
+        hubs = hubs.select("band", F.explode(F.filter("h", lambda x: (x["rare"] > most) | (rarest == most))).alias("h"))
         hubs = scratch.table(hubs.select("band", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label")), "near-hubs")
         if hubs.limit(1).count() == 0:
             return labels
