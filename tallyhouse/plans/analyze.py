@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,30 +13,30 @@ from ..config import AnalyticsConfig
 from ..functions import periods as P
 from ..operators import anomaly, facts, health, insights, kpis, profitability, quality, rootcause, series
 from ..schemas import StoreTables
+from ..sources import scratch
 
 
 def kept(build: Callable[[Analysis], DataFrame]) -> cached_property:
-    """A result of at most a few rows per store and period, kept once computed."""
+    """A result of at most a few rows per store and period, written once it is asked for.
 
-    def persisted(self: Analysis) -> DataFrame:
-        out = build(self).persist()
-        self.held.append(out)
-        return out
+    Read back it is a plain scan: what builds on it is planned without its
+    whole history, and a lost executor costs no more than its own tasks.
+    """
 
-    return cached_property(persisted)
+    def written(self: Analysis) -> DataFrame:
+        out = build(self)
+        path = scratch.new_path(out.sparkSession, build.__name__)
+        out.write.parquet(path)
+        return out.sparkSession.read.schema(out.schema).parquet(path)
 
+    return cached_property(written)
 
-class Analysis:
-    """Results are built lazily and share their inputs; nothing runs before an action.
 
-    Aggregates by store and period feed several results and are kept once
-    computed; ``release`` lets them go. A lost executor only means that its
-    part of them is computed again.
-    """
+class Analysis:
+    """Each result is computed when it is first asked for, and shared by what needs it."""
 
     def __init__(self, tables: StoreTables, cfg: AnalyticsConfig = AnalyticsConfig()):
         self.tables, self.cfg = tables, cfg
-        self.held: list[DataFrame] = []
 
     @kept
     def facts(self) -> DataFrame:
@@ -46,10 +46,6 @@ class Analysis:
     def periods(self) -> DataFrame:
         return series.store_periods(facts.latest_day(self.tables), self.cfg)
 
-    def release(self) -> None:
-        for df in self.held:
-            df.unpersist()
-
     @kept
     def current(self) -> DataFrame:
         """Facts of each store's last complete period; a store without rows in it has zeros."""
@@ -121,43 +117,52 @@ class Analysis:
     def report(self) -> DataFrame:
         """X-26: one JSON document per store; X-30's summary columns beside it.
 
-        Every section is at most a few hundred rows per store by construction.
+        Every section gives its items as (store, section, place, JSON) rows.
+        They are gathered once, by store: a few hundred small rows each.
         """
         grain = self.cfg.grain
-        out = self.periods.select("store_id", P.label(F.col("period_start"), grain).alias("period"), "period_start", "latest_day")
-
-        def section(df: DataFrame, name: str, order: list[str], columns: list[str]) -> DataFrame:
-            rows = F.sort_array(F.collect_list(F.struct(*order, F.struct(*columns).alias("row"))))
-            return df.groupBy("store_id").agg(F.transform(rows, lambda r: r["row"]).alias(name))
-
-        def one(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
-            return df.select("store_id", F.struct(*columns).alias(name))
-
-        sections = [
-            one(self.kpis, "kpis", self.kpis.columns[2:]),
-            one(self.profit, "profitability", [c for c in self.profit.columns if c not in ("store_id", "period_start")]),
-            section(self.series.withColumn("period", P.label(F.col("period_start"), grain)), "series", ["metric", "period_start"], ["metric", "period", "value"]),
-            section(self.comparisons, "comparisons", ["metric", "kind"], ["metric", "kind", "available", "current", "reference", "delta", "pct"]),
-            section(self.anomalies, "anomalies", ["metric"], ["metric", "direction", "severity", "assessment", "value", "mean", "pct", "z"]),
-            section(self.factors, "root_cause", ["rank"], ["factor", "contribution", "confidence", "pct"]),
-            section(rootcause.product_contributors(self.tables, self.periods, self.cfg), "product_contributors", ["rank"], ["sku", "delta", "contribution"]),
-            section(self.campaigns.filter("rank <= 5"), "campaign_contributors", ["rank"], ["campaign_id", "name", "delta_conversions", "delta_cvr"]),
-            section(self.dimensions, "health_dimensions", ["dimension"], ["dimension", "score", "weight"]),
-            one(self.score, "health", ["health_score", "interpretation"]),
-            section(self.findings, "insights", ["rank"], ["item_id", "kind", "subject", "severity", "confidence", "statement"]),
-            section(self.recommendations, "recommendations", ["factor"], ["factor", "recommendation"]),
-            section(insights.hypotheses(self.factors), "hypotheses", ["statement"], ["statement", "supports"]),
-            section(insights.top_customers(self.tables.orders), "top_customers", ["rank"], ["customer", "revenue", "orders"]),
-            section(self.field_quality, "data_quality", ["field"], ["field", "coverage", "status"]),
-            self.limitations,
-            insights.executive_summary(self.kpis, self.score, self.findings),
-        ]
-        for part in sections:
-            out = out.join(part, "store_id", "left")
-        body = [c for c in out.columns if c != "store_id"]
-        has = self.current.select("store_id", (F.col("orders") + F.col("ad_rows") > 0).alias("has_rows"))
-        out = out.join(has, "store_id", "left").withColumn("status", F.when(F.col("has_rows"), "ok").otherwise("insufficient_data"))
-        return out.select("store_id", "status", F.col("health.health_score").alias("health_score"), "period", F.to_json(F.struct(*body)).alias("report"))
+
+        def items(df: DataFrame, name: str, order: list[str], columns: list[str]) -> DataFrame:
+            kinds = dict(df.dtypes)
+            place = [F.lpad(F.col(c).cast("string"), 9, "0") if kinds[c] in ("int", "bigint") else F.col(c).cast("string") for c in order]
+            return df.select("store_id", F.lit(name).alias("section"), F.concat_ws("|", *place).alias("place"), F.to_json(F.struct(*columns)).alias("body"))
+
+        listed = {
+            "series": items(self.series.withColumn("period", P.label(F.col("period_start"), grain)), "series", ["metric", "period_start"], ["metric", "period", "value"]),
+            "comparisons": items(self.comparisons, "comparisons", ["metric", "kind"], ["metric", "kind", "available", "current", "reference", "delta", "pct"]),
+            "anomalies": items(self.anomalies, "anomalies", ["metric"], ["metric", "direction", "severity", "assessment", "value", "mean", "pct", "z"]),
+            "root_cause": items(self.factors, "root_cause", ["rank"], ["factor", "contribution", "confidence", "pct"]),
+            "product_contributors": items(rootcause.product_contributors(self.tables, self.periods, self.cfg), "product_contributors", ["rank"], ["sku", "delta", "contribution"]),
+            "campaign_contributors": items(self.campaigns.filter("rank <= 5"), "campaign_contributors", ["rank"], ["campaign_id", "name", "delta_conversions", "delta_cvr"]),
+            "health_dimensions": items(self.dimensions, "health_dimensions", ["dimension"], ["dimension", "score", "weight"]),
+            "insights": items(self.findings, "insights", ["rank"], ["item_id", "kind", "subject", "severity", "confidence", "statement"]),
+            "recommendations": items(self.recommendations, "recommendations", ["factor"], ["factor", "recommendation"]),
+            "hypotheses": items(insights.hypotheses(self.factors), "hypotheses", ["statement"], ["statement", "supports"]),
+            "top_customers": items(insights.top_customers(self.tables.orders), "top_customers", ["rank"], ["customer", "revenue", "orders"]),
+            "data_quality": items(self.field_quality, "data_quality", ["field"], ["field", "coverage", "status"]),
+            "issues": items(quality.issue_counts(self.tables.issues), "issues", ["kind"], ["source", "kind", "severity", "message", "count"]),
+        }
+        head = self.periods.join(self.current.select("store_id", (F.col("orders") + F.col("ad_rows") > 0).alias("has_rows")), "store_id")
+        head = head.withColumns({"period": P.label(F.col("period_start"), grain), "status": F.when(F.col("has_rows"), "ok").otherwise("insufficient_data")})
+        summary = insights.executive_summary(self.kpis, self.score, self.findings)
+        single = {
+            "period": items(head, "period", [], ["status", "period", "period_start", "latest_day"]),
+            "kpis": items(self.kpis, "kpis", [], self.kpis.columns[2:]),
+            "profitability": items(self.profit, "profitability", [], [c for c in self.profit.columns if c not in ("store_id", "period_start")]),
+            "health": items(self.score, "health", [], ["health_score", "interpretation"]),
+            "limitations": items(self.limitations, "limitations", [], ["limitations"]),
+            "summary": items(summary, "summary", [], ["summary"]),
+        }
+        rows = reduce(DataFrame.unionByName, [*single.values(), *listed.values()])
+        by = rows.groupBy("store_id").agg(F.sort_array(F.collect_list(F.struct("section", "place", "body"))).alias("rows"))
+        of = lambda name: F.transform(F.filter("rows", lambda r: r["section"] == name), lambda r: r["body"])
+        parts = [F.concat(F.lit(f'"{n}":'), F.coalesce(F.get(of(n), F.lit(0)), F.lit("null"))) for n in single]
+        parts += [F.concat(F.lit(f'"{n}":['), F.array_join(of(n), ","), F.lit("]")) for n in listed]
+        document = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+        first = lambda section, field: F.get_json_object(F.get(of(section), F.lit(0)), f"$.{field}")
+        return by.select(
+            "store_id", first("period", "status").alias("status"), first("health", "health_score").cast("long").alias("health_score"), first("period", "period").alias("period"), document.alias("report")
+        )
 
 
 #: Most items of each list of an evidence pack, and the most bytes of a pack.

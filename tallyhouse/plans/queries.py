@@ -54,7 +54,8 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def analysis(spark: SparkSession, sf_dir: str, cfg: AnalyticsConfig = CFG) -> Analysis:
-    return Analysis(read_stores(spark, sf_dir), cfg)
+    """Several results share the adapter's joins, so its tables are kept; stored snapshots would not need it."""
+    return Analysis(read_stores(spark, sf_dir).persist(), cfg)
 
 
 def _kpi_sql(columns: dict[str, str], grain: str = "week", where: str = "") -> str:

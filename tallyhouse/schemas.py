@@ -39,6 +39,10 @@ class StoreTables:
         """One store; the filter reaches the scans (F-04)."""
         return StoreTables(*(getattr(self, n).filter(f"store_id = '{store_id}'") for n in self.__dataclass_fields__))
 
+    def persist(self) -> StoreTables:
+        """The same tables, each kept once computed: for several results from inputs that are not stored tables."""
+        return StoreTables(*(getattr(self, n).persist() for n in self.__dataclass_fields__))
+
 
 #: unit and definition of the KPIs.
 METRICS = {

@@ -108,7 +108,6 @@ def test_contributions_sum_to_one(spark, simple):
     a = Analysis(replace(simple, orders=orders.unionByName(last), ad_daily=ads))
     got = a.factors.filter("store_id = 's1'").collect()
     assert len(got) == 3 and math.isclose(sum(r.contribution for r in got), 1.0) and all(0.1 <= r.confidence <= 0.9 for r in got)
-    a.release()
 
 
 def test_refund_basis(spark):
@@ -138,7 +137,6 @@ def test_report_and_pack(spark, simple):
     assert all(0 <= r.health_score <= 100 for r in a.score.collect())
     for r in evidence_pack(a).collect():
         assert all(r[f"{n}_included"] <= min(limit, r[f"{n}_total"]) for n, limit in PACK_LIMITS.items()) and len(r["pack"].encode()) <= 64_000
-    a.release()
 
 
 def test_repartitioning_changes_nothing(spark, simple):
