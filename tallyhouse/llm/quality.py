@@ -37,7 +37,7 @@ class LineRules:
 
     max_docs: int = 10
     max_line_words: int = 25
-    min_words: int = 50
+    min_words: int = 20
     min_share: float = 0.3
 
 
