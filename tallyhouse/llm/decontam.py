@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are a stated query set, taken in blocks of ``ITEM_BLOCK``; a
-block's tables are sent to all tasks. A first scan counts in how many
-documents each n-gram of an item occurs. An item's rarer n-grams are its
-seeds. In a second scan a seed found in a document proposes a stretch of the
-document, and local alignment of the item's words against it gives the score:
-best alignment over a full match. Edited and paraphrased copies lose score in
-proportion to what was changed.
+block's tables are sent to all tasks. Every n-gram of an item is a seed,
+however common it is in the corpus. A seed found in a document proposes a
+stretch of the document, and local alignment of the item's words against it
+gives the score: best alignment over a full match. Edited and paraphrased
+copies lose score in proportion to what was changed. A stretch is aligned only
+if it holds enough of the item's words for the threshold, which no alignment
+that reaches it can miss; so common n-grams cost little and lose nothing.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ GRAM = 4
 ITEM_BLOCK = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.6
-#: N-grams in at most so many documents are always seeds.
-RARE_DOCS = 10
+#: Words of stretches that are counted at a time.
+COUNT_WORDS = 1 << 18
 
 #: Blanks and ASCII punctuation part words here, so edits of punctuation don't count.
 PARTS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
@@ -64,6 +65,9 @@ class Items:
     item_of: np.ndarray
     offset: np.ndarray
     lead: np.ndarray  # first entry of each gram, and the end
+    vocabulary: np.ndarray  # sorted distinct words
+    held: np.ndarray  # sorted item * len(vocabulary) + word
+    times: np.ndarray  # how often the item holds the word
 
     @staticmethod
     def of(ids: list, texts: list[str]) -> Items:
@@ -72,28 +76,37 @@ class Items:
         cut = np.searchsorted(doc, np.arange(len(ids) + 1))
         g, item, first = K.shingles(h, doc, GRAM)
         long = np.diff(cut)[item] >= GRAM
-        return Items._sorted(ids, [h[a:b] for a, b in zip(cut[:-1], cut[1:])], g[long], item[long], (first - cut[item])[long])
-
-    @staticmethod
-    def _sorted(ids: list, words: list[np.ndarray], g: np.ndarray, item: np.ndarray, offset: np.ndarray) -> Items:
+        g, item, offset = g[long], item[long], (first - cut[item])[long]
         grams, gram_of = np.unique(g, return_inverse=True)
         order = np.argsort(gram_of, kind="stable")
         gram_of = gram_of[order]
-        return Items(ids, words, grams, gram_of, item[order], offset[order], np.searchsorted(gram_of, np.arange(len(grams) + 1)))
-
-    def rare(self, docs: np.ndarray) -> Items:
-        """Only the seeds: an item's n-grams that are no more common than its middle one."""
-        count = docs[self.gram_of]
-        keep = np.zeros(len(count), bool)
-        for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item_of == i) if len(self.ids) < 64 else self._entries()[i]
-            if len(own):
-                keep[own] = count[own] <= max(RARE_DOCS, float(np.median(count[own])))
-        return Items._sorted(self.ids, self.words, self.grams[self.gram_of[keep]], self.item_of[keep], self.offset[keep])
-
-    def _entries(self) -> list[np.ndarray]:
-        order = np.argsort(self.item_of, kind="stable")
-        return np.split(order, np.searchsorted(self.item_of[order], np.arange(1, len(self.ids))))
+        lead = np.searchsorted(gram_of, np.arange(len(grams) + 1))
+        vocabulary, word = np.unique(h, return_inverse=True)
+        held, times = np.unique(doc * len(vocabulary) + word, return_counts=True)
+        words = [h[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        return Items(ids, words, grams, gram_of, item[order], offset[order], lead, vocabulary, held, times)
+
+    def shared(self, h: np.ndarray, item: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """How many words each stretch h[left:right] has in common with its item, as bags."""
+        out = np.zeros(len(item), np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        known = np.flatnonzero(self.vocabulary[at] == h)
+        at = at[known]
+        left, right = np.searchsorted(known, left), np.searchsorted(known, right)
+        total = np.r_[0, np.cumsum(right - left)]
+        a = 0
+        while a < len(item):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + COUNT_WORDS, side="right")) - 1)
+            n = right[a:b] - left[a:b]
+            of = np.repeat(np.arange(a, b), n)
+            word = at[np.repeat(left[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            key = item[of] * len(self.vocabulary) + word
+            place = np.minimum(np.searchsorted(self.held, key), len(self.held) - 1)
+            own = self.held[place] == key
+            pair, count = np.unique((of[own] - a) * len(self.held) + place[own], return_counts=True)
+            np.add.at(out, a + pair // len(self.held), np.minimum(count, self.times[pair % len(self.held)]))
+            a = b
+        return out
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """Words and their documents, then document, first word and gram of each n-gram found."""
@@ -121,13 +134,14 @@ class Items:
         new = np.r_[True, (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > size[1:])]
         start = np.flatnonzero(new)
         last = np.r_[start[1:] - 1, len(d) - 1]
-        low, high = np.searchsorted(doc, d[start]), np.searchsorted(doc, d[start], side="right")
+        low, high, m = np.searchsorted(doc, d[start]), np.searchsorted(doc, d[start], side="right"), size[start]
+        lefts = np.maximum(low, begin[start] - m // 2)
+        rights = np.minimum(high, begin[last] + m + m // 2)
+        # a score of threshold needs that share of the item's words to match
+        go = self.shared(h, item[start], lefts, rights) >= threshold * m - 1e-9
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for a, b, lo, hi in zip(start.tolist(), last.tolist(), low.tolist(), high.tolist()):
-            words, m = self.words[item[a]], int(size[a])
-            left = max(lo, int(begin[a]) - m // 2)
-            right = min(hi, int(begin[b]) + m + m // 2)
-            score, end = align(words, h[left:right])
+        for a, lo, left, right, m in zip(*(x[go].tolist() for x in (start, low, lefts, rights, m))):
+            score, end = align(self.words[item[a]], h[left:right])
             pair = (int(d[a]), int(item[a]))
             found = (score / (MATCH * m), left + end - lo)
             if found[0] >= threshold and found[0] > best.get(pair, (0.0, 0))[0]:
@@ -150,27 +164,6 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
         yield Items.of(ids, texts)
 
 
-def _seeds(docs: DataFrame, text_col: str, block: Items) -> Items:
-    sent = docs.sparkSession.sparkContext.broadcast(block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(sent.value.grams), np.int64)
-        for batch in batches:
-            data, offsets = K.column_bytes(batch.column(0))
-            for _, _, raw, o in K.blocks(data, offsets):
-                _, _, d, _, gram = sent.value.hits(raw, o)
-                pair = np.unique(d * len(total) + gram)
-                total += np.bincount(pair % max(1, len(total)), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "docs"])
-
-    found = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "gram long, docs long")
-    docs_with = np.zeros(len(block.grams), np.int64)
-    for r in found.groupBy("gram").agg(F.sum("docs").alias("docs")).collect():  # at most the block's n-grams
-        docs_with[r.gram] = r.docs
-    return block.rare(docs_with)
-
-
 def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows (id, item_id, score, end_word) of documents that hold a test item.
 
@@ -184,7 +177,7 @@ def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     schema = f"id {id_type}, item_id {item_type}, score double, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in item_blocks(items):
-        sent = docs.sparkSession.sparkContext.broadcast(_seeds(docs, text_col, block))
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -211,7 +204,7 @@ def drop_copies(docs: DataFrame, items: DataFrame, text_col: str = "text", thres
     """The documents that hold no test item, all columns; no shuffle."""
     place = docs.columns.index(text_col)
     for block in item_blocks(items):
-        sent = docs.sparkSession.sparkContext.broadcast(_seeds(docs, text_col, block))
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:

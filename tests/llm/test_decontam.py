@@ -71,6 +71,21 @@ def test_passage_that_is_everywhere(spark):
     assert sorted(r.doc_id for r in got) == list(range(1, 200, 2)) and {r.score for r in got} == {1.0}
 
 
+def test_edited_copy_in_many_documents(spark):
+    item = [f"q{i}" for i in range(40)]
+    often = [w if i % 5 else f"z{i}" for i, w in enumerate(item)]
+    seldom = [w if i % 6 else f"y{i}" for i, w in enumerate(item)]
+    for n in (11, 200):
+        data = [(i, " ".join([f"a{i}", *(seldom if i == 3 else often), f"b{i}"]), "en", "s", 0) for i in range(n)]
+        data += [(n + i, f"q1 q2 q3 q4 and other words of number {i}", "en", "s", 0) for i in range(n)]
+        docs, bench = table(spark, data), spark.createDataFrame([(1, " ".join(item))], ITEM)
+        want = {i: smith_waterman(item, words(t)) / 80 for i, t, *_ in data}
+        want = {i: round(s, 9) for i, s in want.items() if s >= decontam.THRESHOLD}
+        assert set(want) == set(range(n))
+        assert {r.doc_id: round(r.score, 9) for r in decontam.find_copies(docs, bench).collect()} == want
+        assert {r.doc_id for r in decontam.drop_copies(docs, bench).collect()} == set(range(n, 2 * n))
+
+
 def test_align():
     rng = np.random.default_rng(0)
     for _ in range(200):
