@@ -1,9 +1,12 @@
 """Language-model scores: byte PPM, and a smoothed unigram base.
 
-The PPM trie is counted over the training rows and then fixed. Its depth is
-``DEPTH``, or the largest smaller one whose trie has at most ``TRIE_GRAMS``
-entries (two bytes always do), so the table sent to the tasks is bounded while
-its counts come from all training rows.
+The PPM trie is counted over the training rows and then fixed. ``score_whole``
+has depth ``DEPTH`` at every size: the gram counts stay a Spark table, the
+probabilities are worked out by groups of two-byte contexts (all longer
+contexts lie within one, all shorter ones fit in 65,536 rows), and a chunk's
+distinct grams are joined with them bucket by bucket. ``score`` is the form for
+small corpora, with one trie sent to all tasks: its depth is ``DEPTH``, or the
+largest smaller one whose trie has at most ``TRIE_GRAMS`` entries.
 
 The unigram base needs each word's count over the corpus in each document.
 Documents are taken in chunks of about ``CHUNK_BYTES``. A chunk sends each of
@@ -33,8 +36,13 @@ CHUNK_BYTES = 3 << 20
 #: Symbols take many bytes of working memory each, so blocks are small.
 SCORE_BLOCK = 1 << 17
 BUCKET_WORDS = 200_000
+BUCKET_GRAMS = 1_000_000
+#: Distinct grams of a group of two-byte contexts.
+GROUP_GRAMS = 300_000
 #: Distinct words expected per byte of a chunk; only sizes buckets.
 WORDS_PER_BYTE = 0.045
+#: The same for grams.
+GRAMS_PER_BYTE = 0.08
 
 
 def held_out(id_col: str):
@@ -230,3 +238,207 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     left = chunks.filter("bucket = -1").drop("bucket").groupBy("chunk")
     right = counts.filter("chunk >= 0").groupBy("chunk")
     return left.cogroup(right).applyInArrow(finish, schema).withColumnRenamed("id", id_col)
+
+
+def _gram_counts(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """Written table (key, n) of all grams of (held, text), n from training rows alone; their number, and the bytes of all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        rows = size = 0
+
+        def flush() -> pa.RecordBatch:
+            key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+            keys.clear()
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+        for batch in batches:
+            out = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            rows += int((~out).sum())
+            data, offsets = K.column_bytes(batch.column(1))
+            size += offsets[-1]
+            for a, b, d, o in K.blocks(data, offsets, SCORE_BLOCK):
+                key, of = ppm.padded(d, o, DEPTH)
+                trains = ~out[a:b][of]
+                for part, one in ((key[trains], 1), (key[~trains], 0)):
+                    part, n = np.unique(part, return_counts=True)
+                    keys.append(part)
+                    counts.append(n * one)
+                if sum(map(len, keys)) > 500_000:
+                    yield flush()
+        if keys:
+            yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int64()), pa.array([rows, int(size)], pa.int64())], ["key", "n"])
+
+    grams = scratch.table(docs.select("held", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-grams")
+    totals = {r.key: r.n for r in grams.filter("key < 0").collect()}  # two rows
+    return grams.filter("key >= 0"), int(totals.get(-1, 0)), int(totals.get(-2, 0))
+
+
+def _gram_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (K.mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _gram_logs(grams: DataFrame, buckets: int) -> DataFrame:
+    """Written table (bucket, keys, logs): log10 probability of every gram at full depth."""
+    short = grams.filter("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n"))
+    rows = sorted((r.key, r.n) for r in short.collect())  # at most 65,536: one byte of context and one symbol
+    base = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
+    sent = grams.sparkSession.sparkContext.broadcast(base)
+    groups = max(1, math.ceil(grams.count() / GROUP_GRAMS))
+
+    def one_group(group: pa.Table) -> pa.Table:
+        key, n = group.column("key").to_numpy().astype(np.uint64), group.column("n").to_numpy()
+        logs = ppm.Trie(key[n > 0], n[n > 0], DEPTH, sent.value).log10(key)
+        bucket = _gram_bucket(key, buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        cut = pa.array(np.r_[head, len(order)], pa.int32())
+        lists = [pa.ListArray.from_arrays(cut, pa.array(x[order])) for x in (key.view(np.int64), logs)]
+        return pa.table([pa.array(bucket[head].astype(np.int32)), *lists], names=["bucket", "keys", "logs"])
+
+    context = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    dealt = grams.withColumn("part", F.pmod(F.xxhash64(context), F.lit(groups))).groupBy("part")
+    return scratch.table(dealt.applyInArrow(one_group, "bucket int, keys array<long>, logs array<double>"), "lm-logs")
+
+
+def _chunk_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    parts = [np.unique(ppm.padded(d, o, DEPTH)[0]) for _, _, d, o in K.blocks(data, offsets, SCORE_BLOCK)]
+    return np.unique(np.concatenate(parts))
+
+
+def _dealt(keys: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of sorted keys by bucket, the buckets that occur, and where each begins in that order."""
+    order = np.argsort(bucket, kind="stable")
+    head = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else np.zeros(0, np.int64)
+    return order, bucket[order][head], head
+
+
+def _text_chunks(docs: DataFrame, id_type: str, buckets: int, gram_buckets: int) -> DataFrame:
+    """Written table with, for each chunk, its documents (kind 0), and its words (1) and grams (2) by bucket."""
+    names = ["chunk", "kind", "bucket", "ids", "held", "texts", "places", "times"]
+    types = [pa.int64(), pa.int32(), pa.int32()]
+
+    def pack(chunk: int, ids: list, held: np.ndarray, texts: list) -> Iterator[pa.RecordBatch]:
+        id_all, text_all = pa.chunked_array(ids).combine_chunks(), pa.chunked_array(texts).combine_chunks()
+        list_types = [pa.list_(x) for x in (id_all.type, pa.bool_(), pa.binary(), pa.int64(), pa.int32())]
+        whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (id_all, pa.array(held), text_all)]
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([x], t) for x, t in zip((chunk, 0, -1), types)), *whole, *(pa.nulls(1, t) for t in list_types[3:])], names
+        )
+        data, offsets = K.column_bytes(text_all)
+        start, end, doc = K.words(data, offsets)
+        distinct, inverse = np.unique(K.word_hashes(data, start, end), return_inverse=True)
+        trains = np.bincount(inverse, weights=~held[doc], minlength=len(distinct)).astype(np.int32)
+        grams = _chunk_grams(data, offsets)
+        for kind, keys, times, bucket in (
+            (1, distinct, trains, (distinct % np.uint64(buckets)).astype(np.int64)),
+            (2, grams, None, _gram_bucket(grams, gram_buckets)),
+        ):
+            order, of, head = _dealt(keys, bucket)
+            n, cut = len(head), pa.array(np.r_[head, len(order)], pa.int32())
+            if n:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, chunk)),
+                        pa.array(np.full(n, kind), pa.int32()),
+                        pa.array(of, pa.int32()),
+                        *(pa.nulls(n, t) for t in list_types[:3]),
+                        pa.ListArray.from_arrays(cut, pa.array(keys[order].view(np.int64))),
+                        pa.nulls(n, list_types[4]) if times is None else pa.ListArray.from_arrays(cut, pa.array(times[order])),
+                    ],
+                    names,
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 24
+        ids: list = []
+        held: list = []
+        texts: list = []
+        size = 0
+        for batch in batches:
+            data, offsets = K.column_bytes(batch.column(2))
+            out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for a, b, d, o in K.blocks(data, offsets, SCORE_BLOCK):
+                ids.append(batch.column(0).slice(a, b - a))
+                held.append(out[a:b])
+                texts.append(pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(o.astype(np.int32)), pa.py_buffer(d.tobytes())]))
+                size += len(d)
+                if size >= CHUNK_BYTES:
+                    yield from pack(chunk, ids, np.concatenate(held), texts)
+                    chunk += 1
+                    ids, held, texts, size = [], [], [], 0
+        if ids:
+            yield from pack(chunk, ids, np.concatenate(held), texts)
+
+    schema = f"chunk long, kind int, bucket int, ids array<{id_type}>, held array<boolean>, texts array<binary>, places array<long>, times array<int>"
+    return scratch.table(docs.select("id", "held", "text").mapInArrow(run, schema), "lm-chunks")
+
+
+def _logs_back(chunks: pa.Table, table: pa.Table) -> pa.Table:
+    """For one bucket: the log10 probabilities of each chunk's grams."""
+    keys = table.column("keys").combine_chunks().flatten().to_numpy()
+    order = np.argsort(keys)
+    logs = table.column("logs").combine_chunks().flatten().to_numpy()[order]
+    wanted = chunks.column("places").combine_chunks()
+    at = np.searchsorted(keys[order], wanted.flatten().to_numpy())
+    cut = wanted.offsets.to_numpy()
+    back = pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.array(logs[at]))
+    return pa.table([chunks.column("chunk").combine_chunks(), chunks.column("bucket").combine_chunks(), back], names=["chunk", "bucket", "logs"])
+
+
+def score_whole(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score`` with a trie of full depth at every size of the corpus; same columns and rules."""
+    id_type = dict(docs.dtypes)[id_col]
+    picked = docs.select(docs[id_col].alias("id"), held_out(id_col).alias("held"), docs[text_col].cast("string").alias("text"))
+    grams, train_docs, size = _gram_counts(picked)
+    buckets = max(1, math.ceil(size * WORDS_PER_BYTE / BUCKET_WORDS))
+    gram_buckets = max(1, math.ceil(size * GRAMS_PER_BYTE / BUCKET_GRAMS))
+    logs = _gram_logs(grams, gram_buckets)
+    chunks = _text_chunks(picked, id_type, buckets, gram_buckets)
+    words = chunks.filter("kind = 1").select("chunk", "bucket", "places", "times")
+    counts = words.groupBy("bucket").applyInArrow(_corpus_counts, "chunk long, bucket int, counts array<long>")
+    counts = scratch.table(counts, "lm-counts")
+    total = counts.filter("chunk < 0").agg(F.sum(F.col("counts")[0]).alias("n"), F.sum(F.col("counts")[1]).alias("v")).first()
+    train_tokens = int(total.n or 0) + train_docs
+    log_all = math.log10(train_tokens + 0.1 * (int(total.v or 0) + (train_docs > 0) + 1))
+    wanted = chunks.filter("kind = 2").select("chunk", "bucket", "places").groupBy("bucket")
+    gram_back = wanted.cogroup(logs.groupBy("bucket")).applyInArrow(_logs_back, "chunk long, bucket int, logs array<double>")
+
+    def by_bucket(back: pa.Table, name: str) -> np.ndarray:
+        back = back.filter(pc.is_valid(back.column(name)))
+        if not len(back):
+            return np.zeros(0)
+        order = np.argsort(back.column("bucket").to_numpy(), kind="stable")
+        return back.column(name).take(pa.array(order)).combine_chunks().flatten().to_numpy()
+
+    def finish(own: pa.Table, back: pa.Table) -> pa.Table:
+        names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        ids, held, texts = (own.column(x).combine_chunks().flatten() for x in ("ids", "held", "texts"))
+        data, offsets = K.column_bytes(texts)
+        n_docs = len(texts)
+        start, end, doc = K.words(data, offsets)
+        distinct, inverse = np.unique(K.word_hashes(data, start, end), return_inverse=True)
+        c = np.zeros(len(distinct), np.int64)
+        c[_dealt(distinct, (distinct % np.uint64(buckets)).astype(np.int64))[0]] = by_bucket(back, "counts")
+        tokens = np.bincount(doc, minlength=n_docs) + 1
+        base = np.bincount(doc, weights=np.log10(c + 0.1)[inverse], minlength=n_docs) + math.log10(train_docs + 0.1) - tokens * log_all
+        n_known = np.bincount(doc, weights=(c > 0)[inverse], minlength=n_docs).astype(np.int64) + (train_docs > 0)
+        grams = _chunk_grams(data, offsets)
+        log = np.zeros(len(grams))
+        log[_dealt(grams, _gram_bucket(grams, gram_buckets))[0]] = by_bucket(back, "logs")
+        scores = np.zeros(n_docs)
+        for a, b, d, o in K.blocks(data, offsets, SCORE_BLOCK):
+            keys, of = ppm.padded(d, o, DEPTH)
+            scores[a:b] = np.bincount(of, weights=log[np.searchsorted(grams, keys)], minlength=b - a)
+        columns = [ids, held, pa.array(tokens), pa.array(n_known), pa.array(np.full(n_docs, train_tokens)), pa.array(base), pa.array(scores)]
+        return pa.table(columns, names=names)
+
+    schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    left = chunks.filter("kind = 0").select("chunk", "ids", "held", "texts").groupBy("chunk")
+    right = counts.filter("chunk >= 0").unionByName(gram_back, allowMissingColumns=True)
+    return left.cogroup(right.groupBy("chunk")).applyInArrow(finish, schema).withColumnRenamed("id", id_col)

@@ -57,9 +57,14 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trie:
-    """Built from the counts of keys of depth + 1 bytes; scores arrays of such keys."""
+    """Built from the counts of keys of depth + 1 bytes; scores arrays of such keys.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
+    With ``base``, the sorted keys and counts of all contexts of one byte, the
+    given keys may be those of some two-byte contexts only: what is longer
+    lies within them, and what is shorter comes from the base.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, base: tuple[np.ndarray, np.ndarray] | None = None):
         order = np.argsort(keys)
         keys, counts = keys[order].astype(np.uint64), counts[order].astype(np.int64)
         self.depth = depth
@@ -76,6 +81,8 @@ class Trie:
                 short, c = short[order], counts[order]
                 new = np.flatnonzero(np.r_[True, short[1:] != short[:-1]]) if len(short) else np.zeros(0, np.int64)
                 keys, counts = short[new], (np.add.reduceat(c, new) if len(new) else c)
+                if j == 2 and base is not None:
+                    keys, counts = base
         self.levels: list[Level] = []
         for i, (keys, counts, contexts, n, d, head) in enumerate(raw):
             j = depth - i

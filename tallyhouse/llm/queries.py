@@ -95,7 +95,7 @@ def op7_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(_documents(spark, sf_dir))
+    return lm_score.score_whole(_documents(spark, sf_dir))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import lm_score, ppm
+from tallyhouse.llm import lm_score, ppm, queries
 
 from .helpers import SCHEMA, rows, table
 
@@ -83,6 +83,29 @@ def test_scores_equal_brute_force(spark, monkeypatch, small):
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], atol=2e-6)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_whole_depth_at_every_size(spark, monkeypatch, tmp_path, small):
+    data = [(i, t if t is None else t[:3000], *r) for i, t, *r in rows(7, 40)]
+    if small:
+        monkeypatch.setattr(lm_score, "CHUNK_BYTES", 2000)
+        monkeypatch.setattr(lm_score, "BUCKET_WORDS", 20)
+        monkeypatch.setattr(lm_score, "BUCKET_GRAMS", 200)
+        monkeypatch.setattr(lm_score, "GROUP_GRAMS", 200)
+    monkeypatch.setattr(lm_score, "TRIE_GRAMS", 300)  # a limit that the registered query must not have
+    table(spark, data).write.parquet(str(tmp_path / "documents.parquet"))
+    scored = queries.op8_ppm_scoring(spark, str(tmp_path))
+    got = sorted(((r[0], r[1], r[2], r[3], r[4], round(r[5], 6), round(r[6], 6)) for r in scored.collect()), key=repr)
+    want = brute(data, lm_score.DEPTH)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], atol=2e-6)
+
+
+def test_whole_depth_of_awkward_tables(spark):
+    assert lm_score.score_whole(spark.createDataFrame([], SCHEMA)).count() == 0
+    r = lm_score.score_whole(spark.createDataFrame([(None, "ab", None, None, None)], SCHEMA)).first()  # nothing trains
+    assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and abs(r.score + 3 * math.log10(256)) < 1e-9
+
+
 def test_probabilities_sum_to_one():
     data = np.frombuffer(b"abracadabra banana", np.uint8)
     key, n = np.unique(ppm.padded(data, np.array([0, 11, len(data)]), 3)[0], return_counts=True)
