@@ -262,6 +262,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 pieces = [raw[a : a + w + length] for a, w in zip(first.tolist(), wide.tolist())]
                 sub = [int.from_bytes(hashlib.blake2b(p, digest_size=4).digest(), "big") & ((1 << s) - 1) for p, s in zip(pieces, split.tolist())]
                 home = (anchor % np.uint64(shards)).astype(np.int64)
+                digest = [hashlib.blake2b(p, digest_size=16).digest() for p in pieces]
                 # parts of a spread anchor get shards of their own
                 home = np.where(split > 0, (anchor >> np.uint64(2)).astype(np.int64) * 2 + 1, home * 2)
                 count = len(pieces)
@@ -269,53 +270,59 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                     [
                         pa.array(home),
                         pa.array(sub, pa.int64()),
+                        pa.array(digest, pa.binary()),
                         pa.array(pieces, pa.binary()),
                         pa.array([key.as_py()] * count, pa.binary()),
                         pa.array(first),
                         pa.array(np.full(count, copies.as_py())),
                     ],
-                    ["home", "sub", "context", "key", "first", "copies"],
+                    ["home", "sub", "own", "context", "key", "first", "copies"],
                 )
 
-    cut = texts.select("key", "text", "runs", "copies").mapInArrow(cut_contexts, "home long, sub long, context binary, key binary, first long, copies long")
-    result_schema = "key binary, begin long, stop long, digest binary"
+    cut = texts.select("key", "text", "runs", "copies").mapInArrow(cut_contexts, "home long, sub long, own binary, context binary, key binary, first long, copies long")
+    # equal contexts are one row with its weight, so a shard holds distinct ones only; key and first name its only place, if it has one
+    folded = cut.groupBy("home", "sub", "own").agg(
+        F.first("context").alias("context"), F.first("key").alias("key"), F.first("first").alias("first"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("places")
+    )
+    result_schema = "key binary, begin long, stop long, digest binary, own binary"
 
     def one_shard(group: pa.Table) -> pa.Table:
         spread = group.column("home")[0].as_py() % 2 == 1
-        context, key = group.column("context").to_pylist(), group.column("key").to_pylist()
-        first, copies = group.column("first").to_numpy(), group.column("copies").to_numpy()
-        number: dict[bytes, int] = {}
-        of = np.fromiter((number.setdefault(x, len(number)) for x in context), np.int64, len(context))
-        distinct = list(number)
-        weights = np.bincount(of, weights=copies, minlength=len(distinct)).astype(np.int64)
-        own, at, again, head = repeated_windows(distinct, weights, length)
-        users: list[list[int]] = [[] for _ in distinct]
-        for row, c in enumerate(of.tolist()):
-            users[c].append(row)
-        keys, begins, stops, digests = [], [], [], []
+        distinct, key, names = (group.column(x).to_pylist() for x in ("context", "key", "own"))
+        first, places = group.column("first").to_numpy(), group.column("places").to_numpy()
+        own, at, again, head = repeated_windows(distinct, group.column("copies").to_numpy(), length)
+        keys, begins, stops, digests, owners = [], [], [], [], []
         order = np.lexsort((at[again], own[again]))
         r_own, r_at = own[again][order], at[again][order]
         cut_at = np.searchsorted(r_own, np.arange(len(distinct) + 1))
         for c in np.unique(r_own).tolist():
+            lone = places[c] == 1  # else the spans are told to all places below
+            shift = int(first[c]) if lone else 0
             for a, b in _union(r_at[cut_at[c] : cut_at[c + 1]], length):
-                for row in users[c]:
-                    keys.append(key[row])
-                    begins.append(int(first[row]) + a)
-                    stops.append(int(first[row]) + b)
-                    digests.append(None)
+                keys.append(key[c] if lone else None)
+                begins.append(shift + a)
+                stops.append(shift + b)
+                digests.append(None)
+                owners.append(None if lone else names[c])
         if spread:  # windows unique here, and one of each repeated class, for the merge
             for c, a, r in zip(own[head].tolist(), at[head].tolist(), again[head].tolist()):
                 digest = hashlib.blake2b(distinct[c][a : a + length], digest_size=16).digest()
-                row = users[c][0]
-                keys.append(None if r else key[row])
-                begins.append(None if r else int(first[row]) + a)
-                stops.append(None if r else int(first[row]) + a + length)
+                keys.append(None if r else key[c])
+                begins.append(None if r else int(first[c]) + a)
+                stops.append(None if r else int(first[c]) + a + length)
                 digests.append(digest)
+                owners.append(None)
         return pa.table(
-            {"key": pa.array(keys, pa.binary()), "begin": pa.array(begins, pa.int64()), "stop": pa.array(stops, pa.int64()), "digest": pa.array(digests, pa.binary())}
+            {
+                "key": pa.array(keys, pa.binary()),
+                "begin": pa.array(begins, pa.int64()),
+                "stop": pa.array(stops, pa.int64()),
+                "digest": pa.array(digests, pa.binary()),
+                "own": pa.array(owners, pa.binary()),
+            }
         )
 
-    found = scratch.table(cut.groupBy("home", "sub").applyInArrow(one_shard, result_schema), "suffix-found")
+    found = scratch.table(folded.groupBy("home", "sub").applyInArrow(one_shard, result_schema), "suffix-found")
 
     # 5. merge of the shards of spread anchors: at most one row per shard and digest
     parts = max(scratch.shuffle_partitions(docs.sparkSession), 1)
@@ -339,7 +346,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     digests = found.filter("digest is not null").select("digest", "key", "begin", "stop").repartition(parts, "digest")
     merged = digests.mapInArrow(merge, "key binary, begin long, stop long")
-    spans = found.filter("digest is null").select("key", "begin", "stop").unionByName(merged)
+    spans = found.filter("key is not null and digest is null").select("key", "begin", "stop").unionByName(merged)
+    # both sides have a shuffle of their own, so the rows of a common context can be split
+    told = found.filter("own is not null").select(F.col("own").alias("f_own"), "begin", "stop")
+    placed = cut.select("own", "key", "first").join(told, F.col("own") == F.col("f_own"), "inner")
+    spans = spans.unionByName(placed.select("key", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("stop")).alias("stop")))
     spans = spans.groupBy("key").agg(F.collect_set(F.struct("begin", "stop")).alias("spans")).withColumnRenamed("key", "s_key")
 
     # 6. cut the texts, once per distinct text

@@ -63,6 +63,25 @@ def test_kept_bytes(spark):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in got)
 
 
+def test_common_context_is_one_row_of_its_shard(spark, monkeypatch):
+    monkeypatch.setattr(sd, "SHARD_CONTEXTS", 3)
+    plans, write = [], sd.scratch.table
+
+    def watch(df, name):
+        if name == "suffix-found":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(sd.scratch, "table", watch)
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(120))
+    data = [(i, f"{rng.random()} {passage} {rng.random()}", "en", "s", 0) for i in range(60)]
+    got = sd.remove_repeats(table(spark, data), 200).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(data, 200)
+    below = plans[0].split("FlatMapGroupsInArrow")[1]
+    assert "Aggregate [home" in below and below.index("Aggregate [home") < below.index("MapInArrow")
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(0)
     for text in (b"banana", b"a" * 300, b"abcab" * 70, bytes(rng.integers(97, 100, 2000).astype(np.uint8))):
