@@ -157,7 +157,8 @@ def q_redacted_text(spark, sf_dir):
     """Q-14, Q-15 on all conversations and documents."""
     d = _read(spark, sf_dir, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text")
     c = _read(spark, sf_dir, "conversations").select(F.lit("conversations").alias("tab"), F.col("conv_id").alias("id"), "turn", "text")
-    return d.unionByName(c).select("tab", "id", "turn", R.sanitize_text(F.col("text"), 2000).alias("text"))
+    masked = R.redact_sensitive(F.col("text")).alias("redacted")  # Q-14: the whole text
+    return d.unionByName(c).select("tab", "id", "turn", R.sanitize_text(F.col("text"), 2000).alias("text"), masked)
 
 
 @query(f"select role, count(*) as turns, count(*) filter (regexp_matches(text, '{R.INSTRUCTION}')) as flagged from conversations group by 1")
