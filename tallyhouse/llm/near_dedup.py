@@ -1,18 +1,25 @@
 """Near-duplicate classes: ProbMinHash, banding, verification, components.
 
-A text is its 5-word shingles (A-Z lower-cased); a shingle weighs the square
-root of its count. Every shingle sends exponential arrivals at a rate of its
-weight to random registers; the earliest arrival names the register's
-shingle, so two texts agree in a register with the probability Jaccard
-similarity of their weighted shingles. A shingle stops when its next arrival
-is later than every register's earliest.
-
-Equal shingle sets are one *node*. Nodes that share a band are candidates. A
-bucket is worked off by hubs: one node is compared to all others, then leaves
-the bucket; a bucket whose remaining nodes are already connected is done. So
-no pair of different components that shares a band is left out, and a bucket
-of copies costs one comparison per node. Pairs stay if the exact Jaccard
-similarity of the shingle sets reaches the threshold.
+A text is its 5-word shingles (A-Z lower-cased); a shingle weighs one plus the
+decimal logarithm of its count. Every shingle sends exponential arrivals at a
+rate of its weight to random registers; the earliest arrival names the
+register's shingle, so two texts agree in a register with the probability
+Jaccard similarity of their weighted shingles. A shingle stops when its next
+arrival is later than every register's earliest. Weights choose candidates
+only: pairs stay if the plain Jaccard similarity of their shingle sets reaches
+the threshold.
+
+Equal shingle sets are one *node*. Nodes that share a band form a bucket, and
+each bucket has a *hub*, its most popular node. Every node is compared with
+its hub once, which settles a bucket of close copies with one row per node.
+What is left are pairs of a bucket of which one node is not linked to the hub.
+Such a pair can only reach the threshold if the two differ from the hub in the
+same way: with D(x) the symmetric difference of x and the hub, the pair's own
+difference is ``|D(u)| + |D(v)| - 2 |D(u) & D(v)|``, so a lower bound on the
+common part of D(u) and D(v) follows from their sizes. Both then share one of
+the first few elements of D in any common order (prefix filter), and only
+pairs that do are verified. No pair of a bucket is left out, and texts just
+below the threshold, each with edits of its own, meet nobody.
 """
 
 from __future__ import annotations
@@ -32,10 +39,8 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 5
 #: Similarity 4/5, as whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Hubs of a bucket in one later round.
-HUBS = 8
-#: Up to so many pairs (32 bytes each) are sent to all tasks.
-SENT_PAIRS = 200_000
+#: Differences from a hub that are looked at to order its elements, common ones last.
+ORDER_SLOTS = 16
 _EMPTY = hashlib.blake2b(b"no words", digest_size=16).digest()
 
 
@@ -101,7 +106,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             data, offsets = K.column_bytes(batch.column(2))
             for a, b, raw, o in K.blocks(data, offsets):
                 doc, shingle, count = weighted_sets(raw, o)
-                held = prob_min_hash(doc, shingle, np.sqrt(count), b - a, BANDS * ROWS)
+                held = prob_min_hash(doc, shingle, 1 + np.log10(count), b - a, BANDS * ROWS)
                 some = np.bincount(doc, minlength=b - a) > 0
                 at = np.cumsum(np.r_[0, some * BANDS])
                 bands = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(band_hashes(held[some]).ravel().view(np.int64)))
@@ -133,26 +138,119 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame
     return scratch.table(sets.join(nodes, F.col("t_key") == F.col("key")).select("node", "shingles"), "near-sets")
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and flat values of a list column without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    cut = column.offsets.to_numpy()
+    return cut - cut[0], column.values.to_numpy(zero_copy_only=False)[cut[0] : cut[-1]]
+
+
+def _as_lists(cut: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Written table: the pairs (a, b) whose sets reach the similarity."""
-    pairs = scratch.table(pairs, "near-pairs")
-    if pairs.count() <= SENT_PAIRS:
-        # few pairs: only their sets cross the network
-        ends = F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        sets = sets.join(ends, "node", "left_semi")
+    """The pairs (a, b) whose sets reach the similarity."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     common = F.size(F.array_intersect("x", "y"))
     both = pairs.join(left, "a").join(right, "b").filter(small * DENOMINATOR >= large * NUMERATOR)
     found = both.filter(common * DENOMINATOR >= (F.size("x") + F.size("y") - common) * NUMERATOR)
-    return scratch.table(found.select("a", "b"), "near-edges")
+    return found.select("a", "b")
+
+
+def _compared(star: DataFrame, sets: DataFrame) -> DataFrame:
+    """Written table: each (node, hub) with both sizes, their difference, and whether they are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x_cut, x), (y_cut, y) = _lists(batch.column(2)), _lists(batch.column(3))
+            n, m = np.diff(x_cut), np.diff(y_cut)
+            diffs = [np.setxor1d(x[a:b], y[c:d], assume_unique=True) for a, b, c, d in zip(x_cut[:-1], x_cut[1:], y_cut[:-1], y_cut[1:])]
+            sizes = np.array([len(d) for d in diffs], np.int64)
+            linked = sizes * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR)
+            cut = np.r_[0, np.cumsum(sizes)]
+            flat = np.concatenate(diffs) if diffs else np.zeros(0, np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64)), pa.array(linked), _as_lists(cut, flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "hub", "n", "m", "linked", "diff"])
+
+    hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("y"))
+    joined = star.join(sets, "node").join(hubs, "hub").select("node", "hub", F.col("shingles").alias("x"), "y")
+    return scratch.table(joined.mapInArrow(run, "node binary, hub binary, n long, m long, linked boolean, diff array<long>"), "near-star")
+
+
+def _common_elements(rows: DataFrame) -> DataFrame:
+    """(hub, common, times): elements found in several of a few differences from each hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.concatenate([np.asarray(d, np.int64) for d in ds] or [np.zeros(0, np.int64)]), return_counts=True) for ds in batch.column(1).to_pylist()]
+            found = [(e[n > 1], n[n > 1]) for e, n in found]
+            cut = np.r_[0, np.cumsum([len(e) for e, _ in found])].astype(np.int64)
+            lists = [_as_lists(cut, np.concatenate([f[i] for f in found]).astype(np.int64)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["hub", "common", "times"])
+
+    slot = F.pmod(F.xxhash64("node"), F.lit(ORDER_SLOTS)).alias("slot")
+    few = rows.groupBy("hub", slot).agg(F.max_by("diff", "node").alias("diff")).groupBy("hub").agg(F.collect_list("diff").alias("diffs"))
+    return few.mapInArrow(run, "hub binary, common array<long>, times array<long>")
+
+
+def _hub_pairs(star: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with one hub, one of them not linked to it, that may reach the similarity."""
+    counts = star.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.bool_or(~F.col("linked")).alias("loose"))
+    open_hubs = counts.filter("loose and k > 1").select("hub")
+    rows = scratch.table(star.join(open_hubs, "hub", "left_semi"), "near-open")
+    p, q = DENOMINATOR - NUMERATOR, DENOMINATOR + NUMERATOR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            linked = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
+            cut, flat = _lists(batch.column(5))
+            c_cut, common = _lists(batch.column(6))
+            times = _lists(batch.column(7))[1]
+            d = np.diff(cut)
+            # least common part of D with a partner that is not linked, and, for a node not linked itself, with any partner
+            least = np.maximum(1, (q * d - p * (n - m)) // (2 * q) + 1)
+            any_ = np.maximum(1, -((p * (n + m) - q * d) // (q + p)))
+            least = np.where(linked, least, np.maximum(least, any_))
+            as_v, as_u = np.maximum(0, d - least + 1), np.where(linked, 0, np.maximum(0, d - any_ + 1))
+            take = np.maximum(as_u, as_v)
+            keys, flags = [], []
+            for i in np.flatnonzero(take):
+                own = flat[cut[i] : cut[i + 1]]
+                known, seen = common[c_cut[i] : c_cut[i + 1]], times[c_cut[i] : c_cut[i + 1]]
+                weight = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    weight = np.where(known[at] == own, seen[at], 0)
+                first = np.lexsort((own, weight))[: take[i]]
+                place = np.arange(len(first))
+                keys.append(own[first])
+                flags.append((place < as_u[i]) + 2 * (place < as_v[i]))
+            if not keys:
+                continue
+            of = pa.array(np.repeat(np.arange(len(n)), take))
+            columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(keys)), pa.array(np.concatenate(flags).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(2).take(of), pa.array(d.astype(np.int64)).take(of)], ["node", "hub", "element", "role", "n", "d"])
+
+    named = rows.join(_common_elements(rows).withColumnRenamed("hub", "c_hub"), F.col("hub") == F.col("c_hub"))
+    named = named.select("node", "hub", "n", "m", "linked", "diff", "common", "times")
+    keyed = scratch.table(named.mapInArrow(run, "node binary, hub binary, element long, role int, n long, d long"), "near-prefixes")
+    u = keyed.filter("role % 2 = 1").select("hub", "element", *(F.col(x).alias(f"u_{x}") for x in ("node", "n", "d")))
+    v = keyed.filter("role >= 2").select("hub", "element", *(F.col(x).alias(f"v_{x}") for x in ("node", "n", "d")))
+    fits = (F.abs(F.col("u_d") - F.col("v_d")) * q <= (F.col("u_n") + F.col("v_n")) * p) & (F.least("u_n", "v_n") * DENOMINATOR >= F.greatest("u_n", "v_n") * NUMERATOR)
+    met = u.join(v, ["hub", "element"]).filter((F.col("u_node") != F.col("v_node")) & fits)
+    return met.select(F.least("u_node", "v_node").alias("a"), F.greatest("u_node", "v_node").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component.
 
-    Each round takes the neighbours' smallest label, then the label's label.
+    Each round takes the neighbours' smallest label, then the label's label;
+    a round's table is deleted once the next is written.
     """
     both = scratch.table(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
@@ -162,57 +260,33 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         after = scratch.table(step.join(jump, "label").select("node", F.col("next").alias("label"), "old"), "labels")
+        scratch.remove(labels)
         labels = after.select("node", "label")
         if after.filter("label <> old").limit(1).count() == 0:
             return labels
 
 
-def _merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Labels after linking the ends of ``edges``: only the labels' own graph is searched."""
-    one = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    two = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    links = edges.join(one, "a").join(two, "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    moved = components(links).select(F.col("node").alias("label"), F.col("label").alias("next"))
-    return scratch.table(labels.join(moved, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+def links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """Written table: pairs (a, b) of linked nodes, enough to connect all that share a bucket and a link.
 
-
-def _work_off_buckets(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, label) of all nodes in ``buckets`` (band, node, popular).
-
-    A bucket's hub is its most popular node, the one that shares most bands
-    with most others: in a group of edited copies that is the text they were
-    made from, or one close to it.
+    ``buckets`` has band, node and popular. A bucket's hub is its most popular
+    node, the one that shares most bands with most others: in a group of
+    edited copies that is the text they were made from, or one close to it. A
+    hub that is linked to the most popular of its own hubs hands its buckets
+    over to that one, so that a group has few hubs.
     """
     rank = F.struct("popular", "node")
-    hub = buckets.groupBy("band").agg(F.max(rank).alias("h")).select("band", F.col("h.node").alias("hub"))
-    rest = scratch.table(buckets.join(hub, "band").filter("node <> hub"), "near-buckets")
-    pairs = rest.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    nodes = buckets.select("node").distinct()
-    labels = _merge(nodes.select("node", F.col("node").alias("label")), verified(pairs, sets))
-    rest = rest.select("band", "node", "popular")
-    while True:
-        # a bucket counts while its remaining nodes are in several components
-        with_label = rest.join(labels, "node")
-        open_bands = with_label.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-        todo = scratch.table(with_label.join(open_bands, "band", "left_semi"), "near-buckets")
-        # hubs come from a bucket's smallest components: once those have met all others, the bucket is done
-        own = todo.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        part = F.pmod(F.xxhash64("node"), F.lit(HUBS))
-        rank = F.struct((-F.col("n")).alias("rare"), "popular", "node", "label")
-        firsts = [F.max(F.when(part == i, rank)).alias(f"h{i}") for i in range(HUBS)]
-        hubs = todo.join(own, ["band", "label"]).groupBy("band").agg(*firsts).select("band", F.array_compact(F.array(*(f"h{i}" for i in range(HUBS)))).alias("h"))
-        # the largest component's nodes wait while there are others
-        rarest = F.array_max("h")["rare"]
-        most = F.array_min("h")["rare"]
-        hubs = hubs.select("band", F.explode(F.filter("h", lambda x: (x["rare"] > most) | (rarest == most))).alias("h"))
-        hubs = scratch.table(hubs.select("band", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label")), "near-hubs")
-        if hubs.limit(1).count() == 0:
-            return labels
-        near = todo.join(hubs, "band").filter("node <> hub and label <> hub_label")
-        found = verified(near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), sets)
-        if found.limit(1).count():
-            labels = _merge(labels, found)
-        rest = todo.join(hubs.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti").select("band", "node", "popular")
+    hub = buckets.groupBy("band").agg(F.max(rank).alias("h")).select("band", F.col("h.node").alias("hub"), F.col("h.popular").alias("hub_popular"))
+    placed = buckets.select("band", "node").join(hub, "band").groupBy("node", "hub").agg(F.max("hub_popular").alias("hub_popular"))
+    placed = scratch.table(placed, "near-hubs")
+    best = placed.groupBy("node").agg(F.max(F.struct("hub_popular", "hub"))["hub"].alias("top"))
+    handed = placed.select(F.col("hub").alias("node")).distinct().join(best, "node").filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
+    handed = scratch.table(verified(handed, sets), "near-handed")
+    star = placed.join(handed.select(F.col("a").alias("hub"), F.col("b").alias("top")), "hub", "left").select("node", F.coalesce("top", "hub").alias("hub"))
+    star = _compared(star.filter("node <> hub").distinct(), sets)
+    pairs = scratch.table(_hub_pairs(star), "near-pairs")
+    direct = star.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return scratch.table(direct.unionByName(verified(pairs, sets)).unionByName(handed), "near-links")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,15 +300,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     empty table gives an empty result.
     """
     signed = signatures(docs, id_col, text_col)
-    nodes = signed.groupBy("node").agg(F.first("key").alias("key"), F.first("bands").alias("bands"))
-    nodes = scratch.table(nodes, "near-nodes")
-    members = nodes.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    together = scratch.table(members.join(shared, "band"), "near-members")
-    popular = together.groupBy("node").agg(F.sum("n").alias("popular"))
+    # texts of one shingle set can differ in their counts, and so in their bands
+    variants = signed.groupBy("node", F.xxhash64("bands").alias("sig")).agg(F.first("bands").alias("bands"))
+    members = scratch.table(variants.select("node", F.explode("bands").alias("band")), "near-bands")
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").withColumnRenamed("band", "s_band")
+    together = scratch.table(members.join(shared, F.col("band") == F.col("s_band")).select("band", "node", "c"), "near-members")
+    popular = together.groupBy("node").agg(F.sum("c").alias("popular"))
     buckets = scratch.table(together.select("band", "node").join(popular, "node"), "near-buckets")
-    wanted = nodes.select("node", "key").join(popular.select("node"), "node", "left_semi")
-    labels = _work_off_buckets(buckets, _shingle_sets(docs, wanted, text_col))
+    wanted = signed.groupBy("node").agg(F.min("key").alias("key")).join(popular.select("node"), "node", "left_semi")
+    labels = components(links(buckets, _shingle_sets(docs, wanted, text_col)))
     placed = signed.select("id", "key", "node").join(labels, "node", "left")
     placed = scratch.table(placed.select("id", "key", F.coalesce("label", "node").alias("class_key")), "near-placed")
     sizes = placed.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
@@ -243,11 +317,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, all columns: the one with the smallest id (of
-    several, or where no id is known, one of those with the smallest text key)."""
+    several, or where no id is known, one of those with the smallest text key;
+    of rows with one id and text, the one with the smallest hash of all columns).
+
+    Null, empty and very long texts, repeated rows and other columns are as in
+    ``classes``; columns may have any names. An empty table stays empty.
+    """
     found = classes(docs, id_col, text_col)
     best = found.groupBy("class_key").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("i"), F.col("key").alias("k"))).alias("best"))
-    best = best.select(F.col("best.i").alias("_n_id"), F.col("best.k").alias("_n_key"))
-    keyed = docs.withColumn("_n_row_key", scratch.text_key(text_col))
-    kept = keyed.join(best, (F.col("_n_row_key") == F.col("_n_key")) & docs[id_col].eqNullSafe(F.col("_n_id")), "left_semi")
-    # fully repeated rows are what is left to tell apart
-    return kept.dropDuplicates([id_col, "_n_row_key"]).select(*docs.columns)
+    own_key, want_id, want_key, row = scratch.free_names(docs, 4)
+    best = best.select(F.col("best.i").alias(want_id), F.col("best.k").alias(want_key))
+    keyed = docs.select(F.struct("*").alias(row), docs[id_col].alias(id_col), scratch.text_key(text_col).alias(own_key))
+    kept = keyed.join(best, (F.col(own_key) == F.col(want_key)) & F.col(id_col).eqNullSafe(F.col(want_id)), "left_semi")
+    # rows with one id and text are what is left to tell apart
+    one = kept.groupBy(id_col, own_key).agg(F.min_by(row, F.xxhash64(row)).alias(row))
+    return one.select(f"{row}.*")

@@ -33,6 +33,24 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Delete the folder behind a result of ``table`` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder_of in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder_of)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` does not have, whatever their case."""
+    taken, made, i = {c.lower() for c in df.columns}, [], 0
+    while len(made) < n:
+        if f"_t{i}" not in taken:
+            made.append(f"_t{i}")
+        i += 1
+    return made
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

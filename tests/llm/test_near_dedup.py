@@ -56,10 +56,35 @@ def planted(seed=0, groups=12, size=9):
     return data + [(1000 + i, t, *r) for i, (_, t, *r) in enumerate(rows(2, 10))] + [(None, data[0][1], "en", "s", 0), data[3]]
 
 
-@pytest.mark.parametrize("hubs", [8, 1])
-def test_classes_equal_brute_force(spark, monkeypatch, hubs):
-    monkeypatch.setattr(nd, "HUBS", hubs)
-    data = planted(hubs)
+def just_below(seed, size=120):
+    """Copies of one text with edits each of its own: most reach 0.8 with the text, few with each other; some share their edits."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    data, edited = [], []
+    for n in range(size):
+        w = list(rng.choice(edited) if edited and n % 3 == 0 else base)
+        for _ in range(rng.randrange(0, 5)):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([[], [f"e{rng.randrange(10**6)}"], [w[i], f"e{rng.randrange(10**6)}"]])
+        edited.append(w)
+        data.append((n, " ".join(w[: len(w) - (n % 7) * 4]), "en", "s", 0))
+    return data
+
+
+def test_pairs_below_the_threshold_equal_brute_force(spark):
+    for seed in (5, 6):
+        data = just_below(seed)
+        by = defaultdict(list)
+        for r in nd.classes(table(spark, data)).collect():
+            by[bytes(r.class_key)].append(r.doc_id)
+        want = brute(data)
+        assert 3 < len(want) < 100
+        assert sorted((sorted(x, key=repr) for x in by.values()), key=repr) == want
+
+
+@pytest.mark.parametrize("seed", [8, 1])
+def test_classes_equal_brute_force(spark, seed):
+    data = planted(seed)
     got = nd.classes(table(spark, data).withColumn("key", F.lit("x")).withColumn("node", F.lit("x"))).collect()
     by = defaultdict(list)
     for r in got:
