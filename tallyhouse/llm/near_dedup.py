@@ -162,23 +162,27 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _compared(star: DataFrame, sets: DataFrame) -> DataFrame:
-    """Written table: each (node, hub) with both sizes, their difference, and whether they are linked."""
+    """Written table: each (node, hub) with both sizes, whether they are linked, and their difference: what the node added, then what it lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (x_cut, x), (y_cut, y) = _lists(batch.column(2)), _lists(batch.column(3))
             n, m = np.diff(x_cut), np.diff(y_cut)
-            diffs = [np.setxor1d(x[a:b], y[c:d], assume_unique=True) for a, b, c, d in zip(x_cut[:-1], x_cut[1:], y_cut[:-1], y_cut[1:])]
+            diffs, added = [], []
+            for a, b, c, d in zip(x_cut[:-1], x_cut[1:], y_cut[:-1], y_cut[1:]):
+                own = np.setdiff1d(x[a:b], y[c:d], assume_unique=True)
+                diffs.append(np.r_[own, np.setdiff1d(y[c:d], x[a:b], assume_unique=True)])
+                added.append(len(own))
             sizes = np.array([len(d) for d in diffs], np.int64)
             linked = sizes * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR)
             cut = np.r_[0, np.cumsum(sizes)]
             flat = np.concatenate(diffs) if diffs else np.zeros(0, np.int64)
-            columns = [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64)), pa.array(linked), _as_lists(cut, flat)]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "hub", "n", "m", "linked", "diff"])
+            columns = [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64)), pa.array(linked), _as_lists(cut, flat), pa.array(added, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "hub", "n", "m", "linked", "diff", "added"])
 
     hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("y"))
     joined = star.join(sets, "node").join(hubs, "hub").select("node", "hub", F.col("shingles").alias("x"), "y")
-    return scratch.table(joined.mapInArrow(run, "node binary, hub binary, n long, m long, linked boolean, diff array<long>"), "near-star")
+    return scratch.table(joined.mapInArrow(run, "node binary, hub binary, n long, m long, linked boolean, diff array<long>, added long"), "near-star")
 
 
 def _common_elements(rows: DataFrame) -> DataFrame:
@@ -210,7 +214,7 @@ def _hub_pairs(star: DataFrame) -> DataFrame:
             linked = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
             cut, flat = _lists(batch.column(5))
             c_cut, common = _lists(batch.column(6))
-            times = _lists(batch.column(7))[1]
+            times, added = _lists(batch.column(7))[1], batch.column(8).to_numpy()
             d = np.diff(cut)
             # least common part of D with a partner that is not linked, and, for a node not linked itself, with any partner
             least = np.maximum(1, (q * d - p * (n - m)) // (2 * q) + 1)
@@ -226,8 +230,10 @@ def _hub_pairs(star: DataFrame) -> DataFrame:
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     weight = np.where(known[at] == own, seen[at], 0)
-                first = np.lexsort((own, weight))[: take[i]]
-                place = np.arange(len(first))
+                place = np.arange(len(own))
+                # what most nodes differ in comes last, what a node lacks before it: what it added is likeliest its own
+                first = np.lexsort((own, weight, place >= added[i], weight > ORDER_SLOTS // 2))[: take[i]]
+                place = place[: len(first)]
                 keys.append(own[first])
                 flags.append((place < as_u[i]) + 2 * (place < as_v[i]))
             if not keys:
@@ -237,7 +243,7 @@ def _hub_pairs(star: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, batch.column(2).take(of), pa.array(d.astype(np.int64)).take(of)], ["node", "hub", "element", "role", "n", "d"])
 
     named = rows.join(_common_elements(rows).withColumnRenamed("hub", "c_hub"), F.col("hub") == F.col("c_hub"))
-    named = named.select("node", "hub", "n", "m", "linked", "diff", "common", "times")
+    named = named.select("node", "hub", "n", "m", "linked", "diff", "common", "times", "added")
     keyed = scratch.table(named.mapInArrow(run, "node binary, hub binary, element long, role int, n long, d long"), "near-prefixes")
     u = keyed.filter("role % 2 = 1").select("hub", "element", *(F.col(x).alias(f"u_{x}") for x in ("node", "n", "d")))
     v = keyed.filter("role >= 2").select("hub", "element", *(F.col(x).alias(f"v_{x}") for x in ("node", "n", "d")))
@@ -301,8 +307,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     signed = signatures(docs, id_col, text_col)
     # texts of one shingle set can differ in their counts, and so in their bands
-    variants = signed.groupBy("node", F.xxhash64("bands").alias("sig")).agg(F.first("bands").alias("bands"))
-    members = scratch.table(variants.select("node", F.explode("bands").alias("band")), "near-bands")
+    variants = scratch.table(signed.groupBy("node", F.xxhash64("bands").alias("sig")).agg(F.first("bands").alias("bands")), "near-nodes")
+    members = variants.select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").withColumnRenamed("band", "s_band")
     together = scratch.table(members.join(shared, F.col("band") == F.col("s_band")).select("band", "node", "c"), "near-members")
     popular = together.groupBy("node").agg(F.sum("c").alias("popular"))
