@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +31,13 @@ from . import kernels as K
 from . import scratch
 
 GRAM = 40
+#: Bytes of texts that are scanned at a time; small, so that temporaries stay in cache.
+SCAN_BYTES = 1 << 18
 #: Bytes of contexts that make a shard, and contexts of one anchor in a shard.
 SHARD_BYTES = 1 << 20
 SHARD_CONTEXTS = 1500
-_SPLITS = 32  # room for the base-2 logarithm of an anchor's shards
+#: Bits of a packed run: its first window, its width, and the base-2 logarithm of its anchor's shards.
+_WIDTH_BITS, _SPLIT_BITS = 24, 5
 _BREAK = 0xFF  # never a byte of UTF-8
 
 
@@ -50,8 +54,8 @@ def context_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int =
     s = K.prefix_hash(data)
     _, q = K.powers(len(s))
     h = K.mix((s[gram:] - s[:-gram]) * q[: len(s) - gram])
-    bits = np.uint64(max(20, int(len(data)).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    # a fixed width, so that equal windows choose alike in every block
+    low = np.uint64(0xFFFFFFFF)
     m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     span, width = length - gram + 1, 1
     while width * 2 <= span:
@@ -196,37 +200,34 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     each other. Other columns are not read. An empty table gives an empty
     result.
     """
+    if not 1 <= length < 1 << _WIDTH_BITS:
+        raise ValueError(f"length must be from 1 to {(1 << _WIDTH_BITS) - 1}")
+    gram = min(GRAM, length)
     source = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), scratch.text_key(text_col).alias("key"))
     id_type = dict(docs.dtypes)[id_col]
 
-    # 1. anchors that occur twice or more
-    def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = K.column_bytes(batch.column(0))
-            for _, _, d, o in K.blocks(data, offsets):
-                anchor, n = np.unique(context_runs(d, o, length)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
-
-    counted = source.select("text").mapInArrow(count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
-    # an anchor's shards, as a power of two
-    splits = F.least(F.ceil(F.log2(F.ceil(F.col("n") / SHARD_CONTEXTS))), F.lit(_SPLITS - 1)).cast("long")
-    # written, so that the join below has a shuffle of its own on each side and a hot anchor's rows can be split
-    repeated = scratch.table(counted.select(F.col("anchor").alias("r_anchor"), F.greatest(splits, F.lit(0)).alias("splits")), "suffix-anchors")
-
-    # 2. contexts with such an anchor, gathered by text
+    # 1. contexts of all texts
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.column_bytes(batch.column(0))
             refs = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, _, d, o in K.blocks(data, offsets):
-                doc, anchor, first, last = context_runs(d, o, length)
-                place = ((first - o[doc]) << 8) | (last - first)
+            for a, _, d, o in K.blocks(data, offsets, SCAN_BYTES):
+                doc, anchor, first, last = context_runs(d, o, length, gram)
+                place = (((first - o[doc]) << _WIDTH_BITS) | (last - first)) << _SPLIT_BITS
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(refs[a + doc]), pa.array(place)], ["anchor", "ref", "place"])
 
     # a 64-bit reference is enough here: a false one only adds a context to look at
     runs = source.select("text", F.xxhash64("key").alias("ref")).mapInArrow(find_runs, "anchor long, ref long, place long")
+    runs = scratch.table(runs, "suffix-runs")
+
+    # 2. those whose anchor occurs twice or more, gathered by text
+    counted = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # an anchor's shards, as a power of two
+    splits = F.least(F.ceil(F.log2(F.ceil(F.col("n") / SHARD_CONTEXTS))), F.lit((1 << _SPLIT_BITS) - 1)).cast("long")
+    # written, so that the join below has a shuffle of its own on each side and a hot anchor's rows can be split
+    repeated = scratch.table(counted.select(F.col("anchor").alias("r_anchor"), F.greatest(splits, F.lit(0)).alias("splits")), "suffix-anchors")
     runs = runs.join(repeated, F.col("anchor") == F.col("r_anchor"), "inner")
-    runs = runs.groupBy("ref").agg(F.collect_set(F.col("place") * _SPLITS + F.col("splits")).alias("runs")).withColumnRenamed("ref", "r_ref")
+    runs = runs.groupBy("ref").agg(F.collect_set(F.struct((F.col("place") + F.col("splits")).alias("run"), "anchor")).alias("runs")).withColumnRenamed("ref", "r_ref")
 
     # 3. rows without such a context are done; the others keep their text
     joined = source.withColumn("ref", F.xxhash64("key")).join(runs, F.col("ref") == F.col("r_ref"), "left")
@@ -243,33 +244,33 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     texts = marked.filter("runs is not null").groupBy("key").agg(F.first("text").alias("text"), F.first("runs").alias("runs"), F.count(F.lit(1)).alias("copies"))
     texts = scratch.table(texts, "suffix-texts")
     n_runs = texts.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("n")).first().n
-    shards = max(1, math.ceil(n_runs * (length + (length - GRAM) // 2) / SHARD_BYTES))
+    shards = max(1, math.ceil(n_runs * (length + (length - gram) // 2) / SHARD_BYTES))
 
     # 4. contexts to shards, suffix arrays there
+    def pieces_of(text: pa.Scalar, packed: pa.Scalar) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, digest, first window, anchor and split of each context of a text."""
+        raw = text.as_py().encode()
+        run, anchor = (packed.values.field(i).to_numpy() for i in (0, 1))
+        first, wide, split = run >> (_WIDTH_BITS + _SPLIT_BITS), (run >> _SPLIT_BITS) & ((1 << _WIDTH_BITS) - 1), run & ((1 << _SPLIT_BITS) - 1)
+        fits = first + wide + length <= len(raw)
+        first, wide, split, anchor = (x[fits] for x in (first, wide, split, anchor))
+        pieces = [raw[a:b] for a, b in zip(first.tolist(), (first + wide + length).tolist())]
+        return pieces, [hashlib.blake2b(p, digest_size=16).digest() for p in pieces], first, anchor.view(np.uint64), split
+
     def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text, packed, copies in zip(*(batch.column(i) for i in range(4))):
-                raw = text.as_py().encode()
-                run = np.sort(np.asarray(packed.values, np.int64))
-                first, wide, split = run >> 13, (run >> 5) & 0xFF, run & 31
-                first, wide, split = (x[first + wide + length <= len(raw)] for x in (first, wide, split))
-                data = np.frombuffer(raw, np.uint8)
-                if not len(first):
+                pieces, digest, first, anchor, split = pieces_of(text, packed)
+                if not pieces:
                     continue
-                doc, anchor, starts, _ = context_runs(data, np.array([0, len(data)]), length)
-                at = np.searchsorted(starts, first)
-                anchor = anchor[np.minimum(at, len(anchor) - 1)]
-                pieces = [raw[a : a + w + length] for a, w in zip(first.tolist(), wide.tolist())]
-                sub = [int.from_bytes(hashlib.blake2b(p, digest_size=4).digest(), "big") & ((1 << s) - 1) for p, s in zip(pieces, split.tolist())]
-                home = (anchor % np.uint64(shards)).astype(np.int64)
-                digest = [hashlib.blake2b(p, digest_size=16).digest() for p in pieces]
                 # parts of a spread anchor get shards of their own
-                home = np.where(split > 0, (anchor >> np.uint64(2)).astype(np.int64) * 2 + 1, home * 2)
+                part = np.frombuffer(b"".join(digest), np.uint32)[::4].astype(np.int64)
+                home = np.where(split > 0, (anchor >> np.uint64(2)).astype(np.int64) * 2 + 1, (anchor % np.uint64(shards)).astype(np.int64) * 2)
                 count = len(pieces)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(home),
-                        pa.array(sub, pa.int64()),
+                        pa.array(part & ((1 << split) - 1)),
                         pa.array(digest, pa.binary()),
                         pa.array(pieces, pa.binary()),
                         pa.array([key.as_py()] * count, pa.binary()),
@@ -279,6 +280,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                     ["home", "sub", "own", "context", "key", "first", "copies"],
                 )
 
+    def place_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text, packed in zip(*(batch.column(i) for i in range(3))):
+                pieces, digest, first, _, _ = pieces_of(text, packed)
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([key.as_py()] * len(pieces), pa.binary()), pa.array(first)], ["own", "key", "first"])
+
     cut = texts.select("key", "text", "runs", "copies").mapInArrow(cut_contexts, "home long, sub long, own binary, context binary, key binary, first long, copies long")
     # equal contexts are one row with its weight, so a shard holds distinct ones only; key and first name its only place, if it has one
     folded = cut.groupBy("home", "sub", "own").agg(
@@ -325,31 +332,33 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     found = scratch.table(folded.groupBy("home", "sub").applyInArrow(one_shard, result_schema), "suffix-found")
 
     # 5. merge of the shards of spread anchors: at most one row per shard and digest
-    parts = max(scratch.shuffle_partitions(docs.sparkSession), 1)
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        raw = np.frombuffer(b"".join(whole.column("digest").to_pylist()), "V16")
-        word = np.frombuffer(raw.tobytes(), ">u8").reshape(-1, 2)
-        order = np.lexsort((word[:, 1], word[:, 0]))
-        lead = word[order, 0]
-        low, high = np.searchsorted(lead, word[:, 0], "left"), np.searchsorted(lead, word[:, 0], "right")
-        shared = np.zeros(len(word), bool)
-        for i in np.flatnonzero(high - low > 1).tolist():
-            shared[i] = (word[order[low[i] : high[i]], 1] == word[i, 1]).sum() > 1
-        out = whole.filter(pa.array(shared)).select(["key", "begin", "stop"])
-        out = out.filter(out.column("key").is_valid())
-        yield from out.to_batches()
-
-    digests = found.filter("digest is not null").select("digest", "key", "begin", "stop").repartition(parts, "digest")
+        """Rows whose digest another shard holds too; batches come sorted by digest."""
+        last, waiting = None, None  # the digest before, and its row while no other has it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").reshape(-1, 2)
+            low, high = np.searchsorted(word[:, 0], word[:, 0], "left"), np.searchsorted(word[:, 0], word[:, 0], "right")
+            shared = np.zeros(len(word), bool)
+            for i in np.flatnonzero(high - low > 1).tolist():
+                own = word[low[i] : high[i], 1]
+                shared[i] = np.searchsorted(own, word[i, 1], "right") - np.searchsorted(own, word[i, 1], "left") > 1
+            if last is not None and batch.column(0)[0].as_py() == last:
+                shared |= (word == word[0]).all(axis=1)
+                if waiting is not None and waiting.column(0)[0].is_valid:
+                    yield waiting
+            rows = batch.select(["key", "begin", "stop"])
+            yield rows.filter(pc.and_(pa.array(shared), rows.column(0).is_valid()))
+            last, waiting = batch.column(0)[-1].as_py(), None if shared[-1] else rows.slice(len(rows) - 1)
+
+    digests = found.filter("digest is not null").select("digest", "key", "begin", "stop").repartition("digest").sortWithinPartitions("digest")
     merged = digests.mapInArrow(merge, "key binary, begin long, stop long")
     spans = found.filter("key is not null and digest is null").select("key", "begin", "stop").unionByName(merged)
     # both sides have a shuffle of their own, so the rows of a common context can be split
     told = found.filter("own is not null").select(F.col("own").alias("f_own"), "begin", "stop")
-    placed = cut.select("own", "key", "first").join(told, F.col("own") == F.col("f_own"), "inner")
+    again = texts.select("key", "text", "runs").mapInArrow(place_contexts, "own binary, key binary, first long")
+    placed = again.join(told, F.col("own") == F.col("f_own"), "inner")
     spans = spans.unionByName(placed.select("key", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("stop")).alias("stop")))
     spans = spans.groupBy("key").agg(F.collect_set(F.struct("begin", "stop")).alias("spans")).withColumnRenamed("key", "s_key")
 

@@ -57,6 +57,21 @@ def test_equals_brute_force(spark, monkeypatch, contexts):
     assert sorted(map(tuple, got), key=repr) == brute(data, 200)
 
 
+@pytest.mark.parametrize("length", [5, 40, 100, 300, 400])
+def test_other_lengths(spark, monkeypatch, length):
+    monkeypatch.setattr(sd, "SHARD_CONTEXTS", 5)
+    rng = random.Random(length)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    data = [(i, "".join(rng.choice("ijklmn") for _ in range(300)) + passage[i * 20 :] + str(i), "en", "s", 0) for i in range(6)]
+    got = sd.remove_repeats(table(spark, data), length).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(data, length)
+
+
+def test_refused_length(spark):
+    with pytest.raises(ValueError):
+        sd.remove_repeats(table(spark), 0)
+
+
 def test_kept_bytes(spark):
     data = planted(1)
     got = sd.remove_repeats(table(spark, data), 200, keep_text=True).collect()
