@@ -39,6 +39,8 @@ BUCKET_WORDS = 200_000
 BUCKET_GRAMS = 1_000_000
 #: Distinct grams of a group of two-byte contexts.
 GROUP_GRAMS = 300_000
+#: Bytes of a packed value; grams of DEPTH + 1 bytes and logarithms in whole units fit.
+PLANES, LOG_UNITS = 5, 2.0**33
 #: Distinct words expected per byte of a chunk; only sizes buckets.
 WORDS_PER_BYTE = 0.045
 #: The same for grams.
@@ -282,8 +284,34 @@ def _gram_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (K.mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _packed(values: np.ndarray, head: np.ndarray) -> pa.Array:
+    """The values below 2**40 from each ``head`` to the next as one string: all lowest bytes, then all next ones.
+
+    Sorted keys share their high bytes, so these strings shrink to a fraction
+    of eight bytes a key when written or sent.
+    """
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PLANES]
+    return pa.array([planes[a:b].T.tobytes() for a, b in zip(head.tolist(), [*head[1:].tolist(), len(values)])], pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all strings, and where each begins, with the end."""
+    parts = []
+    for value in column:
+        planes = np.frombuffer(value.as_buffer(), np.uint8).reshape(PLANES, -1)
+        wide = np.zeros((planes.shape[1], 8), np.uint8)
+        wide[:, :PLANES] = planes.T
+        parts.append(wide.view("<u8").ravel())
+    return np.concatenate(parts or [np.zeros(0, np.uint64)]), np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int64)
+
+
+def _fixed(logs: np.ndarray) -> np.ndarray:
+    """Logarithms from -128 to 0 as whole numbers below 2**40, to 33 bits after the point."""
+    return np.minimum(np.rint(-logs * LOG_UNITS), 2.0 ** (8 * PLANES) - 1).astype(np.uint64)
+
+
 def _gram_logs(grams: DataFrame, buckets: int) -> DataFrame:
-    """Written table (bucket, keys, logs): log10 probability of every gram at full depth."""
+    """Written table (bucket, grams, logs): log10 probability of every gram at full depth."""
     short = grams.filter("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n"))
     rows = sorted((r.key, r.n) for r in short.collect())  # at most 65,536: one byte of context and one symbol
     base = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
@@ -292,18 +320,18 @@ def _gram_logs(grams: DataFrame, buckets: int) -> DataFrame:
 
     def one_group(group: pa.Table) -> pa.Table:
         key, n = group.column("key").to_numpy().astype(np.uint64), group.column("n").to_numpy()
+        order = np.argsort(key)
+        key, n = key[order], n[order]
         logs = ppm.Trie(key[n > 0], n[n > 0], DEPTH, sent.value).log10(key)
         bucket = _gram_bucket(key, buckets)
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
         head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        cut = pa.array(np.r_[head, len(order)], pa.int32())
-        lists = [pa.ListArray.from_arrays(cut, pa.array(x[order])) for x in (key.view(np.int64), logs)]
-        return pa.table([pa.array(bucket[head].astype(np.int32)), *lists], names=["bucket", "keys", "logs"])
+        return pa.table([pa.array(bucket[head].astype(np.int32)), _packed(key[order], head), _packed(_fixed(logs)[order], head)], names=["bucket", "grams", "logs"])
 
     context = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
     dealt = grams.withColumn("part", F.pmod(F.xxhash64(context), F.lit(groups))).groupBy("part")
-    return scratch.table(dealt.applyInArrow(one_group, "bucket int, keys array<long>, logs array<double>"), "lm-logs")
+    return scratch.table(dealt.applyInArrow(one_group, "bucket int, grams binary, logs binary"), "lm-logs")
 
 
 def _chunk_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -320,12 +348,12 @@ def _dealt(keys: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _text_chunks(docs: DataFrame, id_type: str, buckets: int, gram_buckets: int) -> DataFrame:
     """Written table with, for each chunk, its documents (kind 0), and its words (1) and grams (2) by bucket."""
-    names = ["chunk", "kind", "bucket", "ids", "held", "texts", "places", "times"]
+    names = ["chunk", "kind", "bucket", "ids", "held", "texts", "places", "times", "grams"]
     types = [pa.int64(), pa.int32(), pa.int32()]
 
     def pack(chunk: int, ids: list, held: np.ndarray, texts: list) -> Iterator[pa.RecordBatch]:
         id_all, text_all = pa.chunked_array(ids).combine_chunks(), pa.chunked_array(texts).combine_chunks()
-        list_types = [pa.list_(x) for x in (id_all.type, pa.bool_(), pa.binary(), pa.int64(), pa.int32())]
+        list_types = [*(pa.list_(x) for x in (id_all.type, pa.bool_(), pa.binary(), pa.int64(), pa.int32())), pa.binary()]
         whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (id_all, pa.array(held), text_all)]
         yield pa.RecordBatch.from_arrays(
             [*(pa.array([x], t) for x, t in zip((chunk, 0, -1), types)), *whole, *(pa.nulls(1, t) for t in list_types[3:])], names
@@ -341,6 +369,10 @@ def _text_chunks(docs: DataFrame, id_type: str, buckets: int, gram_buckets: int)
         ):
             order, of, head = _dealt(keys, bucket)
             n, cut = len(head), pa.array(np.r_[head, len(order)], pa.int32())
+            if n and kind == 1:
+                own = [pa.ListArray.from_arrays(cut, pa.array(keys[order].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(times[order])), pa.nulls(n, pa.binary())]
+            elif n:
+                own = [*(pa.nulls(n, t) for t in list_types[3:5]), _packed(keys[order], head)]
             if n:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -348,8 +380,7 @@ def _text_chunks(docs: DataFrame, id_type: str, buckets: int, gram_buckets: int)
                         pa.array(np.full(n, kind), pa.int32()),
                         pa.array(of, pa.int32()),
                         *(pa.nulls(n, t) for t in list_types[:3]),
-                        pa.ListArray.from_arrays(cut, pa.array(keys[order].view(np.int64))),
-                        pa.nulls(n, list_types[4]) if times is None else pa.ListArray.from_arrays(cut, pa.array(times[order])),
+                        *own,
                     ],
                     names,
                 )
@@ -375,19 +406,17 @@ def _text_chunks(docs: DataFrame, id_type: str, buckets: int, gram_buckets: int)
         if ids:
             yield from pack(chunk, ids, np.concatenate(held), texts)
 
-    schema = f"chunk long, kind int, bucket int, ids array<{id_type}>, held array<boolean>, texts array<binary>, places array<long>, times array<int>"
+    schema = f"chunk long, kind int, bucket int, ids array<{id_type}>, held array<boolean>, texts array<binary>, places array<long>, times array<int>, grams binary"
     return scratch.table(docs.select("id", "held", "text").mapInArrow(run, schema), "lm-chunks")
 
 
 def _logs_back(chunks: pa.Table, table: pa.Table) -> pa.Table:
     """For one bucket: the log10 probabilities of each chunk's grams."""
-    keys = table.column("keys").combine_chunks().flatten().to_numpy()
+    keys, _ = _unpacked(table.column("grams"))
     order = np.argsort(keys)
-    logs = table.column("logs").combine_chunks().flatten().to_numpy()[order]
-    wanted = chunks.column("places").combine_chunks()
-    at = np.searchsorted(keys[order], wanted.flatten().to_numpy())
-    cut = wanted.offsets.to_numpy()
-    back = pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.array(logs[at]))
+    logs = _unpacked(table.column("logs"))[0][order]
+    wanted, cut = _unpacked(chunks.column("grams"))
+    back = _packed(logs[np.searchsorted(keys[order], wanted)], cut[:-1])
     return pa.table([chunks.column("chunk").combine_chunks(), chunks.column("bucket").combine_chunks(), back], names=["chunk", "bucket", "logs"])
 
 
@@ -406,15 +435,12 @@ def score_whole(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     total = counts.filter("chunk < 0").agg(F.sum(F.col("counts")[0]).alias("n"), F.sum(F.col("counts")[1]).alias("v")).first()
     train_tokens = int(total.n or 0) + train_docs
     log_all = math.log10(train_tokens + 0.1 * (int(total.v or 0) + (train_docs > 0) + 1))
-    wanted = chunks.filter("kind = 2").select("chunk", "bucket", "places").groupBy("bucket")
-    gram_back = wanted.cogroup(logs.groupBy("bucket")).applyInArrow(_logs_back, "chunk long, bucket int, logs array<double>")
+    wanted = chunks.filter("kind = 2").select("chunk", "bucket", "grams").groupBy("bucket")
+    gram_back = wanted.cogroup(logs.groupBy("bucket")).applyInArrow(_logs_back, "chunk long, bucket int, logs binary")
 
-    def by_bucket(back: pa.Table, name: str) -> np.ndarray:
+    def by_bucket(back: pa.Table, name: str) -> pa.ChunkedArray:
         back = back.filter(pc.is_valid(back.column(name)))
-        if not len(back):
-            return np.zeros(0)
-        order = np.argsort(back.column("bucket").to_numpy(), kind="stable")
-        return back.column(name).take(pa.array(order)).combine_chunks().flatten().to_numpy()
+        return back.column(name).take(pa.array(np.argsort(back.column("bucket").to_numpy(), kind="stable")))
 
     def finish(own: pa.Table, back: pa.Table) -> pa.Table:
         names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -424,13 +450,13 @@ def score_whole(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         start, end, doc = K.words(data, offsets)
         distinct, inverse = np.unique(K.word_hashes(data, start, end), return_inverse=True)
         c = np.zeros(len(distinct), np.int64)
-        c[_dealt(distinct, (distinct % np.uint64(buckets)).astype(np.int64))[0]] = by_bucket(back, "counts")
+        c[_dealt(distinct, (distinct % np.uint64(buckets)).astype(np.int64))[0]] = by_bucket(back, "counts").combine_chunks().flatten().to_numpy()
         tokens = np.bincount(doc, minlength=n_docs) + 1
         base = np.bincount(doc, weights=np.log10(c + 0.1)[inverse], minlength=n_docs) + math.log10(train_docs + 0.1) - tokens * log_all
         n_known = np.bincount(doc, weights=(c > 0)[inverse], minlength=n_docs).astype(np.int64) + (train_docs > 0)
         grams = _chunk_grams(data, offsets)
         log = np.zeros(len(grams))
-        log[_dealt(grams, _gram_bucket(grams, gram_buckets))[0]] = by_bucket(back, "logs")
+        log[_dealt(grams, _gram_bucket(grams, gram_buckets))[0]] = _unpacked(by_bucket(back, "logs"))[0] / -LOG_UNITS
         scores = np.zeros(n_docs)
         for a, b, d, o in K.blocks(data, offsets, SCORE_BLOCK):
             keys, of = ppm.padded(d, o, DEPTH)
