@@ -1,12 +1,17 @@
 """Quality rules: base measures and cross-document line frequency.
 
-One pass over the texts leaves, per document, the base measures and its
-distinct lines as hashes. All else works on those.
-
-Copies are left to the operators that find them: exact copies of a text count
-as one document of a host, and a line of more than ``max_line_words`` words is
-a passage, not page furniture, and is never counted. So a document with many
-copies, or near copies in long paragraphs, does not deplete itself.
+One pass over the texts leaves, per document, the base measures, its distinct
+lines as hashes, and a small sketch. All else works on those.
+
+Copies are left to the operators that find them. Exact copies of a text count
+as one document of a host. Edited copies share nearly all they have, so a line
+that stands on many texts is only removed if those are unlike each other: a
+text's sketch is the smallest hash of its 3-word runs under each of
+``SKETCHES`` hash functions, two texts agree in one as often as they share
+their runs, and the number of distinct values among a line's texts, averaged
+over the functions, is what is held against the limits. So a document with
+many copies does not deplete itself, while a line of any length that stands on
+unrelated documents does go.
 """
 
 from __future__ import annotations
@@ -22,21 +27,23 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import scratch
 
+SKETCHES = 8
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """``max_docs``: a line in more distinct documents of a host is removed.
+    """``max_docs``: a line in more unlike documents of a host is removed.
 
-    ``max_line_words``: a longer line counts as a passage and stays.
+    ``min_unlike``: unlike documents must be this share of the line's
+    documents at least; below, they are edited copies.
     ``min_words``, ``min_share``: a document with fewer words left, or a
     smaller share of its words left, is rejected as depleted.
     """
 
     max_docs: int = 10
-    max_line_words: int = 25
+    min_unlike: float = 0.25
     min_words: int = 20
     min_share: float = 0.3
 
@@ -72,7 +79,7 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, ...]]:
-    """Base measures per document; (document, hash, words, longest) of its distinct lines."""
+    """Base measures and sketch per document; (document, hash, words) of its distinct lines."""
     n = len(offsets) - 1
     start, end, doc = K.words(data, offsets)
     out = {
@@ -83,6 +90,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     s = K.prefix_hash(data)
     h = K.span_hash(s, start, end)
     covered = np.zeros(len(h), bool)
+    sketch = np.zeros((SKETCHES, n), np.uint64)  # 0 without a 3-word run
     if len(h) >= 3:
         at = np.flatnonzero(doc[2:] == doc[:-2])
         k = np.uint64(0xD6E8FEB86659FD93)
@@ -90,6 +98,12 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
         _, again = _seen_before(doc[at], g)
         for j in range(3):
             covered[at[again] + j] = True
+        if len(at):
+            of = doc[at]
+            head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            for j in range(SKETCHES):
+                sketch[j, of[head]] = np.minimum.reduceat(K.mix(g + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & K.ALL)), head)
+    out["sketch"] = sketch.T.view(np.int64)
     out["n_repeat_words"] = np.bincount(doc[covered], minlength=n)
     l_start, l_end, l_doc = line_spans(data, offsets)
     first = np.searchsorted(start, l_start)
@@ -110,9 +124,8 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     norm, l_doc, in_line = norm[order], l_doc[order], in_line[order]
     new = np.flatnonzero(np.r_[True, (norm[1:] != norm[:-1]) | (l_doc[1:] != l_doc[:-1])]) if len(norm) else np.zeros(0, np.int64)
     words = np.add.reduceat(in_line, new) if len(new) else in_line
-    longest = np.maximum.reduceat(in_line, new) if len(new) else in_line
     norm, l_doc = norm[new], l_doc[new]
-    return out, (l_doc, norm, words, longest)
+    return out, (l_doc, norm, words)
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -122,40 +135,45 @@ def _lists(at: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.astype(np.int64)))
 
 
-def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def profile(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Written table: row, id, key, host, the base measures and the distinct lines of every text."""
-    id_type = dict(docs.dtypes)[id_col]
+    id_type = "long" if id_col is None else dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.column_bytes(batch.column(4))
             for a, b, d, o in K.blocks(data, offsets):
-                out, (doc, norm, words, longest) = measure(d, o)
+                out, (doc, norm, words) = measure(d, o)
                 at = np.searchsorted(doc, np.arange(b - a + 1))
                 columns = [batch.column(i).slice(a, b - a) for i in range(4)]
-                columns += [pa.array(out[x].astype(np.int64)) for x in BASE] + [_lists(at, x) for x in (norm, words, longest)]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "key", "host", *BASE, "line", "words", "longest"])
+                columns += [pa.array(out[x].astype(np.int64)) for x in BASE] + [_lists(at, x) for x in (norm, words)]
+                columns.append(_lists(np.arange(b - a + 1) * SKETCHES, out["sketch"].ravel()))
+                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "key", "host", *BASE, "line", "words", "sketch"])
 
     picked = docs.select(
         F.monotonically_increasing_id().alias("row"),
-        docs[id_col].alias("id"),
+        (F.lit(None).cast("long") if id_col is None else docs[id_col]).alias("id"),
         scratch.text_key(text_col).alias("key"),
         docs[host_col].cast("string").alias("host"),
         docs[text_col].cast("string").alias("text"),
     )
-    schema = f"row long, id {id_type}, key binary, host string, {', '.join(f'{x} long' for x in BASE)}, line array<long>, words array<long>, longest array<long>"
+    schema = f"row long, id {id_type}, key binary, host string, {', '.join(f'{x} long' for x in BASE)}, line array<long>, words array<long>, sketch array<long>"
     return scratch.table(picked.mapInArrow(run, schema), "quality")
 
 
 def frequent_lines(profiled: DataFrame, rules: LineRules) -> DataFrame:
-    """(host, line) found in more than ``max_docs`` distinct texts of the host."""
-    lines = (
-        profiled.select("host", F.xxhash64("key").alias("text"), F.explode(F.arrays_zip("line", "longest")).alias("x"))
-        .filter(F.col("x.longest") <= rules.max_line_words)
-        .select("host", "x.line", "text")
-    )
+    """(host, line) found in more than ``max_docs`` unlike texts of the host."""
+    lines = profiled.select("host", F.xxhash64("key").alias("text"), F.explode("line").alias("line"))
     distinct = lines.groupBy("host", "line", "text").agg(F.lit(1).alias("one"))
-    return distinct.groupBy("host", "line").agg(F.count("one").alias("docs")).filter(F.col("docs") > rules.max_docs).drop("docs")
+    often = distinct.groupBy("host", "line").agg(F.count("one").alias("docs")).filter(F.col("docs") > rules.max_docs)
+    often = often.select(F.col("host").alias("o_host"), F.col("line").alias("o_line"), "docs")
+    # no aggregate needs these joins' order, so a hot line's rows can be split
+    held = distinct.join(often, (F.col("line") == F.col("o_line")) & F.col("host").eqNullSafe(F.col("o_host")))
+    texts = profiled.groupBy(F.col("host").alias("t_host"), F.xxhash64("key").alias("t_text")).agg(F.first("sketch").alias("sketch"))
+    sketched = held.join(texts, (F.col("text") == F.col("t_text")) & F.col("host").eqNullSafe(F.col("t_host")))
+    values = sketched.select("host", "line", "docs", F.posexplode("sketch").alias("j", "value")).groupBy("host", "line", "j", "value").agg(F.first("docs").alias("docs"))
+    unlike = values.groupBy("host", "line").agg((F.count(F.lit(1)) / SKETCHES).alias("unlike"), F.first("docs").alias("docs"))
+    return unlike.filter((F.col("unlike") > rules.max_docs) & (F.col("unlike") >= rules.min_unlike * F.col("docs"))).select("host", "line")
 
 
 def verdicts(profiled: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -175,7 +193,7 @@ def verdicts(profiled: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     left = F.col("n_words") - F.coalesce(F.col("removed_words"), F.lit(0))
     depleted = (left < rules.min_words) | (left < rules.min_share * F.col("n_words"))
     return (
-        profiled.drop("line", "words", "longest")
+        profiled.drop("line", "words", "sketch")
         .join(removed, "row", "left")
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~base_failed & ~depleted)
@@ -198,17 +216,20 @@ def filter_documents(docs: DataFrame, rules: LineRules = LineRules(), text_col:
     """The kept documents, all their columns, with frequent lines taken out of their texts.
 
     A verdict depends on text and host alone, so it is found once per distinct
-    pair and joined to the rows.
+    pair and joined to the rows. Null and empty texts have no words and go;
+    a null host is a host of its own; every repeated row has the same fate;
+    columns may have any names; an empty table stays empty.
     """
-    judged = verdicts(profile(docs, docs.columns[0], text_col, host_col), rules)
+    judged = verdicts(profile(docs, None, text_col, host_col), rules)
+    own_key, key, host, gone = scratch.free_names(docs, 4)
     once = (
         judged.filter("kept")
         .groupBy("key", "host")
         .agg(F.first("removed_lines").alias("removed_lines"))
-        .withColumnsRenamed({"key": "_q_key", "host": "_q_host", "removed_lines": "_q_lines"})
+        .withColumnsRenamed({"key": key, "host": host, "removed_lines": gone})
     )
-    keyed = docs.withColumn("_q_row_key", scratch.text_key(text_col))
-    kept = keyed.join(once, (F.col("_q_row_key") == F.col("_q_key")) & F.col(host_col).eqNullSafe(F.col("_q_host")), "inner")
+    keyed = docs.withColumn(own_key, scratch.text_key(text_col))
+    kept = keyed.join(once, (F.col(own_key) == F.col(key)) & F.col(host_col).cast("string").eqNullSafe(F.col(host)), "inner")
     place, columns = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +243,7 @@ def filter_documents(docs: DataFrame, rules: LineRules = LineRules(), text_col:
                 batch = batch.set_column(place, columns[place], pa.array(texts, pa.string()))
             yield batch.select(columns)
 
-    return kept.select(*columns, "_q_lines").mapInArrow(run, docs.schema)
+    return kept.select(*columns, gone).mapInArrow(run, docs.schema)
 
 
 def _without(text: str, drop: set[int]) -> str:

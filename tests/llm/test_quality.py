@@ -1,6 +1,8 @@
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import quality
@@ -60,19 +62,47 @@ def test_frequent_lines_deplete_documents_but_copies_do_not(spark):
     assert kept[20] == data[20][1] and kept[80] == data[80][1]
 
 
+def test_long_furniture_goes_and_edited_copies_stay(spark):
+    notice = " ".join(f"notice{j}" for j in range(60))
+    data = [(i, _doc([f"own{i}x{j}" for j in range(90)], notice), "en", "a", 0) for i in range(30)]
+    rng = random.Random(1)
+    for i in range(100, 400):  # edited copies of one long text of three lines
+        lines = [[f"p{k}x{j}" for j in range(70)] for k in range(3)]
+        for _ in range(rng.randrange(1, 4)):
+            lines[rng.randrange(3)][rng.randrange(70)] = f"e{rng.random()}"
+        data.append((i, "\n".join(map(" ".join, lines)), "en", "a", 0))
+    kept = {r.doc_id: r.text for r in quality.filter_documents(table(spark, data)).collect()}
+    assert kept == {i: t.replace("\n" + notice, "") for i, t, *_ in data}
+
+
 def test_counts_by_brute_force(spark):
-    data = rows(3, 80) + [(200 + i, f"Own{i} \nShared  line\nshared LINE {i // 4}", "en", f"s{i % 2}", 0) for i in range(16)]
+    data = rows(3, 80) + [(200 + i, f"Own{i} and {i * 7} \nShared  line\nshared LINE {i // 4}\n" + "long shared line " * 20, "en", f"s{i % 2}", 0) for i in range(16)]
     rules = quality.LineRules(max_docs=2)
-    prof = quality.profile(table(spark, data))
-    got = Counter((r.host) for r in quality.frequent_lines(prof, rules).collect())
+    prof = quality.profile(table(spark, data)).cache()
+    got = {(r.host, r.line) for r in quality.frequent_lines(prof, rules).collect()}
+    sketch, line_hash = {}, {}
+    for t in {t for _, t, *_ in data if t}:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        out, _ = quality.measure(raw, np.array([0, len(raw)]))
+        sketch[t] = out["sketch"][0].tolist()
+        for line in t.split("\n"):
+            raw = np.frombuffer(line.encode(), np.uint8)
+            for h in quality.measure(raw, np.array([0, len(raw)]))[1][1].tolist():
+                line_hash[line] = h
     per, low = defaultdict(set), str.maketrans({c: c + 32 for c in range(65, 91)})
+    name = {}
     for _, t, _, host, _ in data:
         for line in (t or "").split("\n"):
             w = tuple(x.translate(low) for x in WORD.findall(line))
-            if 0 < len(w) <= rules.max_line_words:
+            if w:
                 per[host, w].add(t)
-    want = Counter(k[0] for k, v in per.items() if len(v) > 2)
-    assert want
+                name[w] = line_hash[line]
+    want = set()
+    for (host, w), texts in per.items():
+        unlike = sum(len({sketch[t][j] for t in texts}) for j in range(quality.SKETCHES)) / quality.SKETCHES
+        if unlike > 2 and unlike >= 0.25 * len(texts):
+            want.add((host, name[w]))
+    assert len(want) > 4 and any(len(w) > 25 and (h, name[w]) in want for h, w in per)
     assert got == want
 
 
