@@ -37,6 +37,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("learned").cast("long").alias("loss_chars"),
         F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
     )
 
 
@@ -51,7 +52,8 @@ select conv_id,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-       sum(length(role) + length(regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g')) + 16)::bigint as formatted_chars
+       sum(length(role) + length(regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g')) + 16)::bigint as formatted_chars,
+       regexp_full_match(string_agg(role, chr(1) order by turn nulls first, role, text), '(system\x01)?user\x01assistant(\x01user\x01assistant)*') as valid
 from turns group by conv_id
 """
 
