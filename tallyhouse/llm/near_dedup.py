@@ -11,15 +11,25 @@ the threshold.
 
 Equal shingle sets are one *node*. Nodes that share a band form a bucket, and
 each bucket has a *hub*, its most popular node. Every node is compared with
-its hub once, which settles a bucket of close copies with one row per node.
-What is left are pairs of a bucket of which one node is not linked to the hub.
-Such a pair can only reach the threshold if the two differ from the hub in the
-same way: with D(x) the symmetric difference of x and the hub, the pair's own
-difference is ``|D(u)| + |D(v)| - 2 |D(u) & D(v)|``, so a lower bound on the
-common part of D(u) and D(v) follows from their sizes. Both then share one of
-the first few elements of D in any common order (prefix filter), and only
-pairs that do are verified. No pair of a bucket is left out, and texts just
-below the threshold, each with edits of its own, meet nobody.
+its hub once: one row per node, however large a bucket of copies is. From the
+differences a *center* is made, the hub with all corrected in which most of a
+few of its nodes differ from it, and the node nearest to the center, the
+*core*, is compared with all. What is left are pairs of which one node is not
+linked to the core. With D(x) the symmetric difference of x and the center, a
+pair's own difference is ``|D(u)| + |D(v)| - 2 |D(u) & D(v)|``, so the sizes
+give a lower bound on the common part of D(u) and D(v), and both share one of
+the first few elements of D in any common order (prefix filter). The nodes that
+share one meet in a task, or, if they are many, in several, each with two
+parts of them. The sizes of all ``D(u) & D(v)`` are one matrix product there,
+and what leaves the task is each node with the first of its component, never a
+row for each link. No pair of a bucket is left out, and texts just below the
+threshold, each with edits of its own, mostly meet nobody.
+
+With c = (1 - t) / (1 + t) for the threshold t, nodes u and v are linked if
+``|u ^ v| <= c (|u| + |v|)``. The core is the node with the least
+``d - c n`` (d the size of D, n of the node); call that value m. Then
+``2 |D(u) & D(v)| >= d_u - c n_u + m`` for every link of u, and
+``2 |D(u) & D(v)| > d_v - c n_v - m`` if u is not linked to the core.
 """
 
 from __future__ import annotations
@@ -39,8 +49,12 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 5
 #: Similarity 4/5, as whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Differences from a hub that are looked at to order its elements, common ones last.
+#: c = _P / _Q in whole numbers.
+_P, _Q = DENOMINATOR - NUMERATOR, DENOMINATOR + NUMERATOR
+#: Nodes that are looked at for a center; any choice is right, a good one leaves fewer pairs.
 ORDER_SLOTS = 16
+#: Nodes with an element in common that meet in one task; more are parted.
+PART_NODES = 2048
 _EMPTY = hashlib.blake2b(b"no words", digest_size=16).digest()
 
 
@@ -146,8 +160,10 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cut - cut[0], column.values.to_numpy(zero_copy_only=False)[cut[0] : cut[-1]]
 
 
-def _as_lists(cut: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values))
+def _ragged(parts: list[np.ndarray]) -> pa.Array:
+    """One list of int64 for each array."""
+    cut = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,94 +178,193 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _compared(star: DataFrame, sets: DataFrame) -> DataFrame:
-    """Written table: each (node, hub) with both sizes, whether they are linked, and their difference: what the node added, then what it lacks."""
+    """Written table: for each (node, hub) the size of the node, whether they are linked, and what the node added and lacks.
+
+    The hubs are among the nodes, each with nothing added or lacking.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (x_cut, x), (y_cut, y) = _lists(batch.column(2)), _lists(batch.column(3))
             n, m = np.diff(x_cut), np.diff(y_cut)
-            diffs, added = [], []
-            for a, b, c, d in zip(x_cut[:-1], x_cut[1:], y_cut[:-1], y_cut[1:]):
-                own = np.setdiff1d(x[a:b], y[c:d], assume_unique=True)
-                diffs.append(np.r_[own, np.setdiff1d(y[c:d], x[a:b], assume_unique=True)])
-                added.append(len(own))
-            sizes = np.array([len(d) for d in diffs], np.int64)
-            linked = sizes * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR)
-            cut = np.r_[0, np.cumsum(sizes)]
-            flat = np.concatenate(diffs) if diffs else np.zeros(0, np.int64)
-            columns = [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64)), pa.array(linked), _as_lists(cut, flat), pa.array(added, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "hub", "n", "m", "linked", "diff", "added"])
+            more = [np.setdiff1d(x[a:b], y[c:d], assume_unique=True) for a, b, c, d in zip(x_cut[:-1], x_cut[1:], y_cut[:-1], y_cut[1:])]
+            less = [np.setdiff1d(y[c:d], x[a:b], assume_unique=True) for a, b, c, d in zip(x_cut[:-1], x_cut[1:], y_cut[:-1], y_cut[1:])]
+            linked = np.array([len(a) + len(b) for a, b in zip(more, less)], np.int64) * _Q <= (n + m) * _P
+            columns = [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(linked), _ragged(more), _ragged(less)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "hub", "n", "linked", "more", "less"])
 
+    star = star.unionByName(star.select(F.col("hub").alias("node"), "hub").distinct())
     hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("y"))
     joined = star.join(sets, "node").join(hubs, "hub").select("node", "hub", F.col("shingles").alias("x"), "y")
-    return scratch.table(joined.mapInArrow(run, "node binary, hub binary, n long, m long, linked boolean, diff array<long>, added long"), "near-star")
+    return scratch.table(joined.mapInArrow(run, "node binary, hub binary, n long, linked boolean, more array<long>, less array<long>"), "near-star")
+
 
+def _loose_hubs(rows: DataFrame) -> DataFrame:
+    """The rows of hubs with three nodes or more of which one is not linked."""
+    counts = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.bool_or(~F.col("linked")).alias("loose"))
+    return rows.join(counts.filter("loose and k > 2").select("hub"), "hub", "left_semi")
 
-def _common_elements(rows: DataFrame) -> DataFrame:
-    """(hub, common, times): elements found in several of a few differences from each hub."""
+
+def _centers(rows: DataFrame) -> DataFrame:
+    """(c_hub, put, drop, element, times): what to put into a hub and drop from it for its center, and how many of the looked at nodes differ from that in an element."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(np.concatenate([np.asarray(d, np.int64) for d in ds] or [np.zeros(0, np.int64)]), return_counts=True) for ds in batch.column(1).to_pylist()]
-            found = [(e[n > 1], n[n > 1]) for e, n in found]
-            cut = np.r_[0, np.cumsum([len(e) for e, _ in found])].astype(np.int64)
-            lists = [_as_lists(cut, np.concatenate([f[i] for f in found]).astype(np.int64)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["hub", "common", "times"])
+            put, drop, element, times = [], [], [], []
+            for slots in batch.column(1).to_pylist():
+                sides = []
+                for side in ("more", "less"):
+                    e, n = np.unique(np.concatenate([np.array(x[side], np.int64) for x in slots]), return_counts=True)
+                    most = 2 * n > len(slots)
+                    sides.append((e, np.where(most, len(slots) - n, n), e[most]))
+                put.append(sides[0][2])
+                drop.append(sides[1][2])
+                e, n = (np.concatenate([x[i] for x in sides]) for i in (0, 1))
+                order = np.argsort(e)
+                order = order[n[order] > 1]
+                element.append(e[order])
+                times.append(n[order])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(_ragged, (put, drop, element, times))], ["c_hub", "put", "drop", "element", "times"])
 
     slot = F.pmod(F.xxhash64("node"), F.lit(ORDER_SLOTS)).alias("slot")
-    few = rows.groupBy("hub", slot).agg(F.max_by("diff", "node").alias("diff")).groupBy("hub").agg(F.collect_list("diff").alias("diffs"))
-    return few.mapInArrow(run, "hub binary, common array<long>, times array<long>")
+    few = rows.groupBy("hub", slot).agg(F.max_by(F.struct("more", "less"), "node").alias("one")).groupBy("hub").agg(F.collect_list("one").alias("slots"))
+    return few.mapInArrow(run, "c_hub binary, put array<long>, drop array<long>, element array<long>, times array<long>")
+
+
+def _centered(rows: DataFrame, centers: DataFrame) -> DataFrame:
+    """Written table: the rows with ``more`` and ``less`` against the center, and ``rank``, by which the core is found."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [_lists(batch.column(i)) for i in range(3, 7)]
+            all_more, all_less = [], []
+            for i in range(batch.num_rows):
+                more, less, put, drop = (v[cut[i] : cut[i + 1]] for cut, v in lists)
+                all_more.append(np.r_[np.setdiff1d(more, put, True), np.setdiff1d(drop, less, True)])
+                all_less.append(np.r_[np.setdiff1d(less, drop, True), np.setdiff1d(put, more, True)])
+            d = np.array([len(a) + len(b) for a, b in zip(all_more, all_less)], np.int64)
+            rank = pa.array(_Q * d - _P * batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), _ragged(all_more), _ragged(all_less), rank], ["node", "hub", "n", "more", "less", "rank"])
+
+    named = rows.join(centers, F.col("hub") == F.col("c_hub")).select("node", "hub", "n", "more", "less", "put", "drop")
+    return scratch.table(named.mapInArrow(run, "node binary, hub binary, n long, more array<long>, less array<long>, rank long"), "near-centered")
 
-def _hub_pairs(star: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes with one hub, one of them not linked to it, that may reach the similarity."""
-    counts = star.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.bool_or(~F.col("linked")).alias("loose"))
-    open_hubs = counts.filter("loose and k > 1").select("hub")
-    rows = scratch.table(star.join(open_hubs, "hub", "left_semi"), "near-open")
-    p, q = DENOMINATOR - NUMERATOR, DENOMINATOR + NUMERATOR
+
+def _prefixes(rows: DataFrame, centers: DataFrame) -> DataFrame:
+    """Written table: links to the core (``element`` null), and the first elements of each node's difference from the center.
+
+    ``role`` has bit 1 if the element is in the prefix that a node not linked
+    to the core needs, and bit 2 if in the one that its partner needs.
+    """
+    names = ["node", "core", "hub", "element", "role"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            linked = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
-            cut, flat = _lists(batch.column(5))
-            c_cut, common = _lists(batch.column(6))
-            times, added = _lists(batch.column(7))[1], batch.column(8).to_numpy()
-            d = np.diff(cut)
-            # least common part of D with a partner that is not linked, and, for a node not linked itself, with any partner
-            least = np.maximum(1, (q * d - p * (n - m)) // (2 * q) + 1)
-            any_ = np.maximum(1, -((p * (n + m) - q * d) // (q + p)))
-            least = np.where(linked, least, np.maximum(least, any_))
-            as_v, as_u = np.maximum(0, d - least + 1), np.where(linked, 0, np.maximum(0, d - any_ + 1))
-            take = np.maximum(as_u, as_v)
-            keys, flags = [], []
-            for i in np.flatnonzero(take):
-                own = flat[cut[i] : cut[i + 1]]
-                known, seen = common[c_cut[i] : c_cut[i + 1]], times[c_cut[i] : c_cut[i + 1]]
+            n, rank, core_n, core_rank = (batch.column(i).to_numpy() for i in (2, 5, 7, 8))
+            lists = [_lists(batch.column(i)) for i in (3, 4, 9, 10, 11)]
+            of, elements, roles, linked = [], [], [], np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                more, less, core, known, seen = (v[cut[i] : cut[i + 1]] for cut, v in lists)
+                own = np.r_[more, less]
+                away = len(own) + len(core) - 2 * len(np.intersect1d(own, core, True))
+                linked[i] = away * _Q <= (n[i] + core_n[i]) * _P
+                # least common part with a partner not linked to the core; for a node not linked itself, with any
+                as_v = max(1, (rank[i] - core_rank[i]) // (2 * _Q) + 1)
+                as_u = len(own) + 1
+                if not linked[i]:
+                    as_u = max(1, -(-(rank[i] + core_rank[i]) // (2 * _Q)))
+                    as_v = max(as_v, as_u)
+                take_u, take_v = len(own) - as_u + 1, len(own) - as_v + 1
+                if max(take_u, take_v) <= 0:
+                    continue
                 weight = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     weight = np.where(known[at] == own, seen[at], 0)
-                place = np.arange(len(own))
-                # what most nodes differ in comes last, what a node lacks before it: what it added is likeliest its own
-                first = np.lexsort((own, weight, place >= added[i], weight > ORDER_SLOTS // 2))[: take[i]]
-                place = place[: len(first)]
-                keys.append(own[first])
-                flags.append((place < as_u[i]) + 2 * (place < as_v[i]))
-            if not keys:
-                continue
-            of = pa.array(np.repeat(np.arange(len(n)), take))
-            columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(keys)), pa.array(np.concatenate(flags).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(2).take(of), pa.array(d.astype(np.int64)).take(of)], ["node", "hub", "element", "role", "n", "d"])
-
-    named = rows.join(_common_elements(rows).withColumnRenamed("hub", "c_hub"), F.col("hub") == F.col("c_hub"))
-    named = named.select("node", "hub", "n", "m", "linked", "diff", "common", "times", "added")
-    keyed = scratch.table(named.mapInArrow(run, "node binary, hub binary, element long, role int, n long, d long"), "near-prefixes")
-    u = keyed.filter("role % 2 = 1").select("hub", "element", *(F.col(x).alias(f"u_{x}") for x in ("node", "n", "d")))
-    v = keyed.filter("role >= 2").select("hub", "element", *(F.col(x).alias(f"v_{x}") for x in ("node", "n", "d")))
-    fits = (F.abs(F.col("u_d") - F.col("v_d")) * q <= (F.col("u_n") + F.col("v_n")) * p) & (F.least("u_n", "v_n") * DENOMINATOR >= F.greatest("u_n", "v_n") * NUMERATOR)
-    met = u.join(v, ["hub", "element"]).filter((F.col("u_node") != F.col("v_node")) & fits)
-    return met.select(F.least("u_node", "v_node").alias("a"), F.greatest("u_node", "v_node").alias("b")).distinct()
+                # what a node added is likeliest its own, so that comes first
+                first = np.lexsort((own, weight, np.arange(len(own)) >= len(more)))[: max(take_u, take_v)]
+                place = np.arange(len(first))
+                elements.append(own[first])
+                roles.append((place < take_u) + 2 * (place < take_v))
+                of.append(np.full(len(first), i))
+            hits = np.flatnonzero(linked)
+            at = pa.array(np.concatenate([hits, *of]).astype(np.int64))
+            element = pa.array(np.concatenate([np.zeros(len(hits), np.int64), *elements]), mask=np.arange(len(at)) < len(hits))
+            role = pa.array(np.concatenate([np.zeros(len(hits)), *roles]).astype(np.int32))
+            take = lambda c: c.take(at)
+            yield pa.RecordBatch.from_arrays([take(batch.column(0)), take(batch.column(6)), take(batch.column(1)), element, role], names)
+
+    core = rows.groupBy(F.col("hub").alias("k_hub")).agg(F.min(F.struct("rank", "node")).alias("k"))
+    own = rows.select("hub", "node", "n", F.concat("more", "less").alias("away")).join(core, (F.col("hub") == F.col("k_hub")) & (F.col("node") == F.col("k.node")))
+    own = own.select("k_hub", F.col("node").alias("core"), F.col("n").alias("core_n"), F.col("k.rank").alias("core_rank"), "away")
+    told = own.join(centers.select("c_hub", "element", "times"), F.col("k_hub") == F.col("c_hub")).drop("c_hub")
+    named = rows.join(told, F.col("hub") == F.col("k_hub")).select("node", "hub", "n", "more", "less", "rank", "core", "core_n", "core_rank", "away", "element", "times")
+    schema = "node binary, core binary, hub binary, element long, role int"
+    return scratch.table(named.mapInArrow(run, schema), "near-prefixes")
+
+
+def _settle(group: pa.Table) -> pa.Table:
+    """Nodes of one element, of which some (``as_u``) are held against others (``as_v``): each linked node and the first of its component."""
+    group = group.combine_chunks()
+    n = group.column("n").to_numpy()
+    sides = [_lists(group.column(x)) for x in ("more", "less")]
+    d = np.diff(sides[0][0]) + np.diff(sides[1][0])
+    row = np.concatenate([np.repeat(np.arange(len(n)), np.diff(cut)) for cut, _ in sides])
+    # an element of one node alone is in no common part; what one adds another can't lack
+    _, word, times = np.unique(np.concatenate([v for _, v in sides]), return_inverse=True, return_counts=True)
+    held = times[word] > 1
+    column = np.cumsum(times > 1) - 1
+    holds = np.zeros((len(n), int((times > 1).sum())), np.float32)
+    holds[row[held], column[word[held]]] = 1
+    u, v = (np.flatnonzero(group.column(x).to_numpy(zero_copy_only=False)) for x in ("as_u", "as_v"))
+    first = np.arange(len(n))
+    links = [np.zeros((2, 0), np.int64)]
+    for a in range(0, len(u), 256):
+        part = u[a : a + 256]
+        common = holds[part] @ holds[v].T
+        i, j = np.nonzero((d[part][:, None] + d[v][None, :] - 2 * common) * _Q <= (n[part][:, None] + n[v][None, :]) * _P)
+        links.append(np.stack([part[i], v[j]]))
+    x, y = np.concatenate(links, axis=1)
+    while len(x):  # smallest number of each component
+        before = first.copy()
+        low = np.minimum(first[x], first[y])
+        np.minimum.at(first, x, low)
+        np.minimum.at(first, y, low)
+        first = first[first]
+        if (first == before).all():
+            break
+    moved = np.flatnonzero(first != np.arange(len(n)))
+    node = group.column("node")
+    return pa.table([node.take(pa.array(moved)), node.take(pa.array(first[moved]))], names=["a", "b"])
+
+
+def _hub_links(star: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of all (node, hub): links (a, b) that connect all nodes of a hub that are linked."""
+    star = _compared(star, sets)
+    rows = _loose_hubs(star)
+    centers = scratch.table(_centers(rows), "near-centers")
+    rows = _centered(rows, centers)
+    keyed = _prefixes(rows, centers)
+    ends = lambda df, other: df.select(F.col("node").alias("a"), F.col(other).alias("b")).filter("a <> b")
+    direct = ends(star.filter("linked"), "hub").unionByName(ends(keyed.filter("element is null"), "core"))
+    keyed = keyed.filter("element is not null").drop("core")
+    as_u, as_v = F.col("role") % 2 == 1, F.col("role") >= 2
+    groups = keyed.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("k"), F.count_if(as_u).alias("us"), F.count_if(as_v).alias("vs"), F.sum(F.xxhash64("node", "role").cast("decimal(38,0)")).alias("who"))
+    groups = groups.filter("k > 1 and us > 0 and vs > 0")
+    # elements with the same nodes, as those of one edit are, need one of them
+    groups = groups.groupBy("hub", "k", "who").agg(F.min("element").alias("g_element")).select(F.col("hub").alias("g_hub"), "g_element", F.ceil(F.col("k") / PART_NODES).cast("int").alias("parts"))
+    groups = scratch.table(groups, "near-groups")
+    met = keyed.join(groups, (F.col("hub") == F.col("g_hub")) & (F.col("element") == F.col("g_element"))).select("hub", "element", "node", as_u.alias("as_u"), as_v.alias("as_v"), "parts")
+    own, every = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+    cell = lambda i, j, u, v: F.struct(i.alias("i"), j.alias("j"), u.alias("as_u"), v.alias("as_v"))
+    no, u, v = F.lit(False), F.col("as_u"), F.col("as_v")
+    apart = F.concat(F.transform(every, lambda j: cell(own, j, u, no)), F.transform(every, lambda i: cell(i, own, no, v)))
+    cells = F.when(F.col("parts") == 1, F.array(cell(F.lit(0), F.lit(0), u, v))).otherwise(F.filter(apart, lambda c: c["as_u"] | c["as_v"]))
+    dealt = met.select("hub", "element", "node", F.inline(cells))
+    own_rows = rows.select(F.col("hub").alias("r_hub"), F.col("node").alias("r_node"), "n", "more", "less")
+    dealt = dealt.join(own_rows, (F.col("hub") == F.col("r_hub")) & (F.col("node") == F.col("r_node")))
+    found = dealt.select("hub", "element", "i", "j", "node", "as_u", "as_v", "n", "more", "less").groupBy("hub", "element", "i", "j").applyInArrow(_settle, "a binary, b binary")
+    return direct.unionByName(found)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -283,16 +398,14 @@ def links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     """
     rank = F.struct("popular", "node")
     hub = buckets.groupBy("band").agg(F.max(rank).alias("h")).select("band", F.col("h.node").alias("hub"), F.col("h.popular").alias("hub_popular"))
-    placed = buckets.select("band", "node").join(hub, "band").groupBy("node", "hub").agg(F.max("hub_popular").alias("hub_popular"))
+    placed = buckets.join(hub, "band").groupBy("node", "hub").agg(F.max("hub_popular").alias("hub_popular"))
     placed = scratch.table(placed, "near-hubs")
     best = placed.groupBy("node").agg(F.max(F.struct("hub_popular", "hub"))["hub"].alias("top"))
     handed = placed.select(F.col("hub").alias("node")).distinct().join(best, "node").filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
     handed = scratch.table(verified(handed, sets), "near-handed")
     star = placed.join(handed.select(F.col("a").alias("hub"), F.col("b").alias("top")), "hub", "left").select("node", F.coalesce("top", "hub").alias("hub"))
-    star = _compared(star.filter("node <> hub").distinct(), sets)
-    pairs = scratch.table(_hub_pairs(star), "near-pairs")
-    direct = star.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    return scratch.table(direct.unionByName(verified(pairs, sets)).unionByName(handed), "near-links")
+    found = _hub_links(star.filter("node <> hub").distinct(), sets)
+    return scratch.table(found.unionByName(handed).distinct(), "near-links")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

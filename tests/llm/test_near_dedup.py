@@ -71,8 +71,9 @@ def just_below(seed, size=120):
     return data
 
 
-def test_pairs_below_the_threshold_equal_brute_force(spark):
-    for seed in (5, 6):
+def test_pairs_below_the_threshold_equal_brute_force(spark, monkeypatch):
+    for seed, part in ((5, 2048), (6, 3)):
+        monkeypatch.setattr(nd, "PART_NODES", part)
         data = just_below(seed)
         by = defaultdict(list)
         for r in nd.classes(table(spark, data)).collect():
@@ -82,6 +83,25 @@ def test_pairs_below_the_threshold_equal_brute_force(spark):
         assert sorted((sorted(x, key=repr) for x in by.values()), key=repr) == want
 
 
+def test_groups_without_their_original(spark):
+    """Edited copies of one text that is not there itself, of which some share their edits, and parts of it."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(160)]
+    edits = [(rng.randrange(160), f"e{i}") for i in range(25)]
+    data = []
+    for n in range(150):
+        w = list(base)
+        for i, e in rng.sample(edits, 4 + n % 3):
+            w[i] = e if n % 2 else f"{e}x{n}"
+        data.append((n, " ".join(w[:80] if n % 5 == 0 else w[40:] if n % 7 == 0 else w), "en", "s", 0))
+    by = defaultdict(list)
+    for r in nd.classes(table(spark, data)).collect():
+        by[bytes(r.class_key)].append(r.doc_id)
+    want = brute(data)
+    assert 20 < len(want) < 140
+    assert sorted((sorted(x, key=repr) for x in by.values()), key=repr) == want
+
+
 @pytest.mark.parametrize("seed", [8, 1])
 def test_classes_equal_brute_force(spark, seed):
     data = planted(seed)
