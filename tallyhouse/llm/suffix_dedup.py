@@ -218,31 +218,22 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     # a 64-bit reference is enough here: a false one only adds a context to look at
     runs = source.select("text", F.xxhash64("key").alias("ref")).mapInArrow(find_runs, "anchor long, ref long, place long")
-    runs = scratch.table(runs, "suffix-runs")
+    all_runs = scratch.table(runs, "suffix-runs")
 
     # 2. those whose anchor occurs twice or more, gathered by text
-    counted = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counted = all_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # an anchor's shards, as a power of two
     splits = F.least(F.ceil(F.log2(F.ceil(F.col("n") / SHARD_CONTEXTS))), F.lit((1 << _SPLIT_BITS) - 1)).cast("long")
     # written, so that the join below has a shuffle of its own on each side and a hot anchor's rows can be split
     repeated = scratch.table(counted.select(F.col("anchor").alias("r_anchor"), F.greatest(splits, F.lit(0)).alias("splits")), "suffix-anchors")
-    runs = runs.join(repeated, F.col("anchor") == F.col("r_anchor"), "inner")
+    runs = all_runs.join(repeated, F.col("anchor") == F.col("r_anchor"), "inner")
     runs = runs.groupBy("ref").agg(F.collect_set(F.struct((F.col("place") + F.col("splits")).alias("run"), "anchor")).alias("runs")).withColumnRenamed("ref", "r_ref")
 
-    # 3. rows without such a context are done; the others keep their text
-    joined = source.withColumn("ref", F.xxhash64("key")).join(runs, F.col("ref") == F.col("r_ref"), "left")
-
-    marked = joined.select(
-        "id",
-        "key",
-        F.octet_length("text").cast("long").alias("n_bytes"),
-        F.when(F.col("runs").isNull(), F.sha2(F.col("text").cast("binary"), 256)).alias("sha"),
-        F.when(F.col("runs").isNotNull() | F.lit(keep_text), F.col("text")).alias("text"),
-        "runs",
-    )
-    marked = scratch.table(marked, "suffix-marked")
-    texts = marked.filter("runs is not null").groupBy("key").agg(F.first("text").alias("text"), F.first("runs").alias("runs"), F.count(F.lit(1)).alias("copies"))
+    # 3. texts with such a context, once each; other rows are done
+    joined = source.select("text", "key", F.xxhash64("key").alias("ref")).join(runs, F.col("ref") == F.col("r_ref"))
+    texts = joined.groupBy("key").agg(F.first("text").alias("text"), F.first("runs").alias("runs"), F.count(F.lit(1)).alias("copies"))
     texts = scratch.table(texts, "suffix-texts")
+    scratch.remove(all_runs)
     n_runs = texts.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("n")).first().n
     shards = max(1, math.ceil(n_runs * (length + (length - gram) // 2) / SHARD_BYTES))
 
@@ -393,12 +384,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     cut_rows = texts.select("key", "text").join(spans, F.col("key") == F.col("s_key"), "left").select("key", "text", "spans")
     done = cut_rows.mapInArrow(cut_texts, "t_key binary, n_removed long, n_spans long, cut_sha string, cut binary")
-    out = marked.join(done, F.col("key") == F.col("t_key"), "left").select(
+    rows = source.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), *(["text"] if keep_text else []))
+    out = rows.join(done, F.col("key") == F.col("t_key"), "left").select(
         F.col("id").cast(id_type).alias(id_col),
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("cut_sha", "sha").alias("kept_sha256"),
-        F.coalesce("cut", F.col("text").cast("binary")).alias("kept"),
+        *([F.coalesce("cut", F.col("text").cast("binary")).alias("kept")] if keep_text else []),
     )
-    return out if keep_text else out.drop("kept")
+    return out
