@@ -5,10 +5,10 @@ insertions and deletions of documents as signed sums, so any insertion can be
 undone. ``filters`` holds one cuckoo filter per shard of the keys at or above
 the limit; a later change inserts and deletes just the keys that crossed it.
 
-Dropping lines: filters that together stay under ``FILTER_BYTES`` go to every
-task, and only lines that they let through are looked up in the exact table;
-larger filters are skipped and all lines are looked up. Either way the exact
-table alone decides.
+Dropping lines: only lines that the filters let through are looked up in the
+exact table, which alone decides. Filters that together stay under
+``FILTER_BYTES`` go to every task; beyond that, lines are dealt to their
+shard's filter, a shard with many lines in several parts.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from .cuckoo import CuckooFilter
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 FILTER_BYTES = 32 << 20
 SHARD_KEYS = 50_000
+#: Lines that meet one filter in one task, where filters are not sent to all.
+PART_LINES = 500_000
 FLUSH = 200_000
 _KEY = np.dtype([("hi", "<i8"), ("lo", "<i8")])
 
@@ -138,7 +140,7 @@ def update_index(index: LineIndex, docs: DataFrame, text_col: str = "text", dele
 
 
 def _probe(index: LineIndex) -> Callable[[np.ndarray, np.ndarray], np.ndarray] | None:
-    """A test for keys that may be frequent; None if the filters are too large to send."""
+    """A test for keys that may be frequent, for every task; None if the filters are too large to send."""
     size = index.filters.select(F.coalesce(F.sum(F.length("cells")), F.lit(0)).alias("n")).first().n
     if size > FILTER_BYTES:
         return None
@@ -160,6 +162,29 @@ def _probe(index: LineIndex) -> Callable[[np.ndarray, np.ndarray], np.ndarray] |
     return test
 
 
+def _through_filters(lines: DataFrame, index: LineIndex) -> DataFrame:
+    """The rows of ``lines`` (key, hi, lo) that their shard's filter lets through.
+
+    A shard's parts follow from the exact counts, so a very common line is
+    spread over many tasks, each with a copy of that one filter.
+    """
+    held = index.counts.groupBy(_shard(index.shards).alias("shard")).agg(F.ceil(F.sum("docs") / PART_LINES).cast("int").alias("parts"))
+    held = scratch.table(held.join(index.filters, "shard"), "line-parts")
+    filters = held.select("shard", "cells", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    # a few bytes for every SHARD_KEYS frequent lines
+    placed = lines.withColumn("shard", _shard(index.shards)).join(F.broadcast(held.select("shard", "parts")), "shard")
+    placed = placed.select("shard", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "hi", "lo")
+
+    def test(own: pa.Table, cells: pa.Table) -> pa.Table:
+        rows = own.select(["key", "hi", "lo"])
+        if not len(cells):
+            return rows.slice(0, 0)
+        held = CuckooFilter.from_bytes(cells.column("cells")[0].as_py())
+        return rows.filter(pa.array(held.contains(rows.column("hi").to_numpy(), rows.column("lo").to_numpy())))
+
+    return placed.groupBy("shard", "part").cogroup(filters.groupBy("shard", "part")).applyInArrow(test, "key binary, hi long, lo long")
+
+
 def frequent_in_texts(docs: DataFrame, index: LineIndex, text_col: str = "text") -> DataFrame:
     """key, lines: the frequent lines of each distinct text that has some."""
     probe = _probe(index)
@@ -182,16 +207,20 @@ def frequent_in_texts(docs: DataFrame, index: LineIndex, text_col: str = "text")
 
     keyed = docs.select(scratch.text_key(text_col).alias("key"), docs[text_col].cast("string").alias("text"))
     lines = keyed.mapInArrow(run, "key binary, hi long, lo long")
+    if probe is None:
+        lines = _through_filters(lines, index)
     frequent = index.frequent().withColumnsRenamed({"hi": "f_hi", "lo": "f_lo"})
     found = lines.join(frequent, (F.col("hi") == F.col("f_hi")) & (F.col("lo") == F.col("f_lo")), "inner")
     # written, so that the join with the texts has a shuffle of its own on each side and a hot text's rows can be split
     return scratch.table(found.groupBy("key").agg(F.collect_set(F.struct("hi", "lo")).alias("lines")), "line-drops")
 
 
-def _joined(docs: DataFrame, index: LineIndex, text_col: str) -> DataFrame:
-    drops = frequent_in_texts(docs, index, text_col).withColumnsRenamed({"key": "_l_key", "lines": "_l_lines"})
-    keyed = docs.withColumn("_l_row_key", scratch.text_key(text_col))
-    return keyed.join(drops, F.col("_l_row_key") == F.col("_l_key"), "left")
+def _joined(docs: DataFrame, index: LineIndex, text_col: str) -> tuple[DataFrame, str]:
+    """The rows of ``docs`` with their frequent lines, and that column's name."""
+    own_key, key, gone = scratch.free_names(docs, 3)
+    drops = frequent_in_texts(docs, index, text_col).withColumnsRenamed({"key": key, "lines": gone})
+    keyed = docs.withColumn(own_key, scratch.text_key(text_col))
+    return keyed.join(drops, F.col(own_key) == F.col(key), "left"), gone
 
 
 def _kept(text: str | None, drop: list[dict] | None) -> tuple[int, int, bytes]:
@@ -228,12 +257,17 @@ def drop_report(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text_
             )
 
     schema = f"id {dict(docs.dtypes)[id_col]}, n_lines long, n_dropped long, kept_sha256 string"
-    joined = _joined(picked, index, "text").select("id", "text", "_l_lines")
-    return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    joined, gone = _joined(picked, index, "text")
+    return joined.select("id", "text", gone).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def drop_lines(docs: DataFrame, index: LineIndex, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, frequent lines taken out of the texts."""
+    """All rows and columns of ``docs``, frequent lines taken out of the texts.
+
+    A null or empty text stays as it is; a text that loses all lines becomes
+    empty; repeated rows stay repeated; columns may have any names; an empty
+    table stays empty.
+    """
     columns = docs.columns
     place = columns.index(text_col)
 
@@ -245,4 +279,5 @@ def drop_lines(docs: DataFrame, index: LineIndex, text_col: str = "text") -> Dat
                 batch = batch.set_column(place, columns[place], pa.array(texts, pa.string()))
             yield batch.select(columns)
 
-    return _joined(docs, index, text_col).select(*columns, "_l_lines").mapInArrow(run, docs.schema)
+    joined, gone = _joined(docs, index, text_col)
+    return joined.select(*columns, gone).mapInArrow(run, docs.schema)

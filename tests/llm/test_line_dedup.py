@@ -46,6 +46,18 @@ def test_large_filters_are_not_sent(spark, monkeypatch):
     docs = table(spark, data())
     got = line_dedup.drop_report(docs, line_dedup.build_index(docs, 5)).collect()
     assert sorted(map(tuple, got), key=repr) == brute(data(), 5)
+    monkeypatch.setattr(line_dedup, "PART_LINES", 4)  # a shard in several parts
+    index = line_dedup.build_index(docs, 5)
+    assert index.shards > 1
+    got = line_dedup.drop_report(docs, index).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(data(), 5)
+
+
+def test_filters_hold_back_what_is_rare(spark):
+    docs = table(spark, data())
+    index = line_dedup.build_index(docs, 5)
+    keys = index.counts.select(F.lit(b"k").alias("key"), "hi", "lo")
+    assert index.frequent().count() <= line_dedup._through_filters(keys, index).count() < index.counts.count() / 2
 
 
 def test_insert_then_delete_restores(spark):
