@@ -1,13 +1,14 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items are a stated query set, taken in blocks of ``ITEM_BLOCK``; a
-block's tables are sent to all tasks. Every n-gram of an item is a seed,
+Test items are a stated query set, taken in blocks of at most ``ITEM_BLOCK``
+items and ``ITEM_BYTES`` of text; a block's tables are sent to all tasks. Every n-gram of an item is a seed,
 however common it is in the corpus. A seed found in a document proposes a
 stretch of the document, and local alignment of the item's words against it
 gives the score: best alignment over a full match. Edited and paraphrased
 copies lose score in proportion to what was changed. A stretch is aligned only
 if it holds enough of the item's words for the threshold, which no alignment
-that reaches it can miss; so common n-grams cost little and lose nothing.
+that reaches it can miss; so common n-grams cost little and lose nothing. An
+item of fewer words than a seed is its own seed and is found word for word.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 GRAM = 4
-ITEM_BLOCK = 20_000
+ITEM_BLOCK, ITEM_BYTES = 20_000, 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.6
 #: Words of stretches that are counted at a time.
@@ -68,6 +69,7 @@ class Items:
     vocabulary: np.ndarray  # sorted distinct words
     held: np.ndarray  # sorted item * len(vocabulary) + word
     times: np.ndarray  # how often the item holds the word
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words: sorted runs and their items
 
     @staticmethod
     def of(ids: list, texts: list[str]) -> Items:
@@ -84,7 +86,15 @@ class Items:
         vocabulary, word = np.unique(h, return_inverse=True)
         held, times = np.unique(doc * len(vocabulary) + word, return_counts=True)
         words = [h[a:b] for a, b in zip(cut[:-1], cut[1:])]
-        return Items(ids, words, grams, gram_of, item[order], offset[order], lead, vocabulary, held, times)
+        short = {}
+        for n in range(1, GRAM):
+            of = np.flatnonzero(np.diff(cut) == n)
+            if len(of):
+                # the run as it is found in a text: a further word keeps a text from being a short one itself
+                run = np.array([K.shingles(np.append(words[i], np.uint64(0)), np.zeros(n + 1, np.int64), n)[0][0] for i in of.tolist()])
+                by = np.argsort(run, kind="stable")
+                short[n] = run[by], of[by]
+        return Items(ids, words, grams, gram_of, item[order], offset[order], lead, vocabulary, held, times, short)
 
     def shared(self, h: np.ndarray, item: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """How many words each stretch h[left:right] has in common with its item, as bags."""
@@ -119,11 +129,26 @@ class Items:
         found = self.grams[at] == g
         return h, doc, d[found], first[found], at[found]
 
+    def verbatim(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
+        """``matches`` of the items that are shorter than a seed."""
+        begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else doc
+        for n, (runs, items) in self.short.items():
+            g, d, first = K.shingles(h, doc, n)
+            low, high = np.searchsorted(runs, g), np.searchsorted(runs, g, side="right")
+            seen = set()
+            for i in np.flatnonzero(high > low).tolist():
+                for item in items[low[i] : high[i]].tolist():
+                    if (int(d[i]), item) not in seen:
+                        seen.add((int(d[i]), item))
+                        start = begin[np.searchsorted(begin, first[i], side="right") - 1]
+                        yield int(d[i]), item, 1.0, int(first[i] - start) + n
+
     def matches(self, data: np.ndarray, offsets: np.ndarray, threshold: float) -> list[tuple[int, int, float, int]]:
         """(document, item, score, word where the best alignment ends), one per pair."""
         h, doc, d, first, gram = self.hits(data, offsets)
+        exact = list(self.verbatim(h, doc)) if self.short else []
         if not len(d):
-            return []
+            return exact
         n = self.lead[gram + 1] - self.lead[gram]
         entry = np.repeat(self.lead[gram], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         d, first, item = np.repeat(d, n), np.repeat(first, n), self.item_of[entry]
@@ -146,7 +171,7 @@ class Items:
             found = (score / (MATCH * m), left + end - lo)
             if found[0] >= threshold and found[0] > best.get(pair, (0.0, 0))[0]:
                 best[pair] = found
-        return [(i, j, s, e) for (i, j), (s, e) in best.items()]
+        return exact + [(i, j, s, e) for (i, j), (s, e) in best.items()]
 
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
@@ -154,12 +179,14 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     rows = items.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).orderBy("i", "t").toLocalIterator()
     ids: list = []
     texts: list[str] = []
+    size = 0
     for r in rows:
         ids.append(r.i)
         texts.append(r.t)
-        if len(ids) == ITEM_BLOCK:
+        size += len(r.t.encode())
+        if len(ids) == ITEM_BLOCK or size >= ITEM_BYTES:
             yield Items.of(ids, texts)
-            ids, texts = [], []
+            ids, texts, size = [], [], 0
     if ids:
         yield Items.of(ids, texts)
 
@@ -168,8 +195,8 @@ def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     """Rows (id, item_id, score, end_word) of documents that hold a test item.
 
     ``score`` is the best local alignment over that of the whole item: 1.0 is
-    a verbatim copy. ``items`` has item_id and text. Items of fewer than four
-    words name nothing and are never found; null texts count as empty; a
+    a verbatim copy. ``items`` has item_id and text. Items of one to three
+    words are found only word for word, items without words never; null texts count as empty; a
     repeated document or item is reported as often as it stands there; other
     columns are not read; with no documents or items the result is empty.
     """
@@ -200,8 +227,14 @@ def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     return out.withColumnRenamed("id", id_col)
 
 
-def drop_copies(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no test item, all columns; no shuffle."""
+def drop_copies(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, min_words: int = GRAM) -> DataFrame:
+    """The documents that hold no test item of ``min_words`` or more, all columns; no shuffle.
+
+    A word or two are no evidence of a copy, so shorter items drop nothing.
+    Null, empty and very long texts are judged as in ``find_copies``; repeated
+    rows have the same fate; columns may have any names; without items nothing
+    goes, and an empty table stays empty.
+    """
     place = docs.columns.index(text_col)
     for block in item_blocks(items):
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -212,7 +245,8 @@ def drop_copies(docs: DataFrame, items: DataFrame, text_col: str = "text", thres
                 data, offsets = K.column_bytes(batch.column(place))
                 for a, _, raw, o in K.blocks(data, offsets):
                     for f in sent.value.matches(raw, o, threshold):
-                        keep[a + f[0]] = False
+                        if len(sent.value.words[f[1]]) >= min_words:
+                            keep[a + f[0]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

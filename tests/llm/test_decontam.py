@@ -86,6 +86,22 @@ def test_edited_copy_in_many_documents(spark):
         assert {r.doc_id for r in decontam.drop_copies(docs, bench).collect()} == set(range(n, 2 * n))
 
 
+def test_short_items_are_found_word_for_word(spark):
+    items = [(1, "One two, three"), (2, "alone"), (3, "one TWO"), (4, ""), (5, "one two three four five"), (6, "alone")]
+    texts = ["one two three", "zero one two three four", "One-two", "one x two", "alone", "not alone, alone", None, "one two three four five"]
+    docs, bench = table(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), spark.createDataFrame(items, ITEM)
+    want = []
+    for i, t in enumerate(texts):
+        for k, item in items[:4] + items[5:]:
+            a, b = words(item), words(t)
+            if a and any(b[j : j + len(a)] == a for j in range(len(b))):
+                want.append((i, k, 1.0))
+    got = [(r.doc_id, r.item_id, r.score) for r in decontam.find_copies(docs, bench).collect() if r.item_id != 5]
+    assert sorted(got) == sorted(want)
+    assert sorted(r.doc_id for r in decontam.drop_copies(docs, bench).collect()) == [0, 2, 3, 4, 5, 6]
+    assert decontam.drop_copies(docs, bench, min_words=1).count() == 2
+
+
 def test_align():
     rng = np.random.default_rng(0)
     for _ in range(200):
