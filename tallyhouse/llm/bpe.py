@@ -3,13 +3,16 @@
 A batch's new words become one flat array of symbol ids with word numbers.
 Each round looks all adjacent pairs up by binary search over the sorted pair
 keys, takes the lowest rank of every word, merges its occurrences left to
-right, and compacts the array; words without a mergeable pair leave it.
+right, and compacts the array; words without a mergeable pair leave it. A word
+of more than ``LONG_WORD`` bytes would take as many rounds over its whole
+length as it has ranks, so its pairs are merged from a heap, in the same order.
 Merged words are kept in a bounded cache of the Python worker.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -23,7 +26,22 @@ from pyspark.sql import DataFrame
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BATCH_CHARS = 1 << 20
-CACHE_WORDS = 150_000
+CACHE_WORDS, CACHE_BYTES = 150_000, 32 << 20
+LONG_WORD = 400
+#: Settings of the vocabulary file that the code relies on.
+_SETTINGS = {
+    "normalizer": (None,),
+    "pre_tokenizer.type": ("ByteLevel",),
+    "pre_tokenizer.add_prefix_space": (False,),
+    "pre_tokenizer.use_regex": (True, None),
+    "decoder.type": ("ByteLevel",),
+    "model.type": ("BPE", None),
+    "model.dropout": (None, 0),
+    "model.continuing_subword_prefix": (None, ""),
+    "model.end_of_word_suffix": (None, ""),
+    "model.byte_fallback": (False, None),
+    "model.ignore_merges": (False, None),
+}
 
 
 def byte_letters() -> dict[str, int]:
@@ -48,6 +66,15 @@ class Vocabulary:
     def load(path: str) -> Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        for name, allowed in _SETTINGS.items():
+            value = spec
+            for part in name.split("."):
+                value = (value or {}).get(part)
+            if value not in allowed:
+                raise ValueError(f"a vocabulary with {name} = {value!r} would not be encoded as its own library does")
+        for t in spec["added_tokens"]:
+            if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized"):
+                raise ValueError(f"special token {t['content']!r} has settings that are not supported")
         ids, letters = spec["model"]["vocab"], byte_letters()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         token_bytes = [b""] * (max([*ids.values(), *special.values()]) + 1)
@@ -68,6 +95,10 @@ class Vocabulary:
         """The ids of each word as little-endian unsigned 32-bit integers."""
         if not words:
             return []
+        if any(len(w) > LONG_WORD for w in words):
+            short = iter(self.encode_words([w for w in words if len(w) <= LONG_WORD]))
+            ranks = dict(zip(self.pair_keys.tolist(), zip(self.pair_ranks.tolist(), self.pair_merged.tolist())))
+            return [next(short) if len(w) <= LONG_WORD else self._encode_long(w, ranks) for w in words]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
@@ -108,6 +139,26 @@ class Vocabulary:
         ends = np.cumsum(np.bincount(of, minlength=len(words)) * 4).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
+    def _encode_long(self, word: bytes, ranks: dict[int, tuple[int, int]]) -> bytes:
+        """One word, by a heap of its pairs: lowest rank first, then leftmost."""
+        symbols = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(*ranks[k], i, k) for i, k in enumerate(a << 32 | b for a, b in zip(symbols, symbols[1:])) if k in ranks]
+        heapq.heapify(heap)
+        while heap:
+            _, merged, i, key = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] < 0 or j >= n or symbols[i] << 32 | symbols[j] != key:
+                continue  # one of its symbols has merged since
+            symbols[i], symbols[j], after[i] = merged, -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < n and (new := symbols[left] << 32 | symbols[right]) in ranks:
+                    heapq.heappush(heap, (*ranks[new], left, new))
+        return np.array([x for x in symbols if x >= 0], "<u4").tobytes()
+
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids, special tokens included; stray bytes become U+FFFD."""
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -119,6 +170,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
         self.findall = regex.compile(SPLIT).findall
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in vocabulary.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -131,12 +183,13 @@ class Encoder:
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text; a null text has none."""
         pieces = [self._pieces(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
+        if len(self.cache) > CACHE_WORDS or self.cached > CACHE_BYTES:
+            self.cache, self.cached = {}, 0
         self.cache.update(self.special)
         cache = self.cache
         new = [w for w in set(chain.from_iterable(pieces)) if w not in cache]
         cache.update(zip(new, self.vocabulary.encode_words([w.encode() for w in new])))
+        self.cached += sum(map(len, new))
         get = cache.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 

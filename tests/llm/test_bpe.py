@@ -1,4 +1,7 @@
 import hashlib
+import json
+import random
+import time
 
 import numpy as np
 import pytest
@@ -39,5 +42,27 @@ def test_overlapping_pairs():
         assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
 
 
+def test_very_long_words():
+    rng = random.Random(3)
+    theirs = tokenizers.Tokenizer.from_file(PATH)
+    encoder = bpe.Encoder(bpe.Vocabulary.load(PATH))
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (399, 400, 401, 2000, 60_000)]
+    words += ["a" * 5000, "ab" * 3000, "é" * 1001, "".join(rng.choice("abAB01+/=") for _ in range(30_000))]
+    began = time.perf_counter()
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(words)]
+    assert time.perf_counter() - began < 20
+    assert got == [theirs.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_other_settings_are_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        path = tmp_path / "changed.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.Vocabulary.load(str(path))
+
+
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], SCHEMA), PATH, digests=True).count() == 0
