@@ -5,15 +5,19 @@ Candidate spans come from the base rules and from wider shapes. Six labelers
 nothing on each. How often each vote pattern occurs is counted over the whole
 corpus; the table has at most ``4 * 2 * 3**6`` rows. On it,
 expectation-maximisation estimates each labeler's reliability for each kind
-without labels, and a logistic classifier over the votes is trained on the
-resulting posteriors. Base spans always stay. Others need the classifier, a yes from the
-gazetteer or the context, and a no from none: shape alone never adds a span.
+without labels, and with it the posterior of every pattern. The final span
+classifier, logistic, learns those posteriors from a bounded sample of
+candidates (``SAMPLE`` of each kind, by hash). It sees the votes and, beside
+them, what no labeler looks at: the words around a span, the characters next
+to it and its own shape, all hashed. Base spans always stay; whether another
+candidate is personal data is the classifier's word alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +32,13 @@ LABELERS = 6
 #: Longest stretch before a span in which context words count, and the least probability of an added span.
 CONTEXT_CHARS = 32
 THRESHOLD = 0.9
+#: Bounds of the share of true candidates: without labels it is never known for sure.
+PRIOR = (0.05, 0.95)
+#: Candidates of one kind that train the classifier, at most about so many.
+SAMPLE = 20_000
+#: Hashed features of the classifier: words around a span, its shape, the kinds of characters next to it.
+WORD_SLOTS, SHAPE_SLOTS, SIDES = 128, 32, 5
+FEATURES = WORD_SLOTS + SHAPE_SLOTS + 2 * SIDES
 
 # Gazetteers and context words of the labelers.
 DOMAINS = frozenset("com org net edu gov mil int info biz io dev app ai co uk us ca de fr es it nl be ch at pl pt se no dk fi eu ru cn jp in br mx ar au nz".split())
@@ -139,53 +150,106 @@ def votes(text: str, kind: str, a: int, b: int, base: bool) -> tuple[int, ...]:
     return (1 if base else 0, check, gazetteer, context, border, group)
 
 
-def _features(table: np.ndarray) -> np.ndarray:
-    """One-hot votes and a constant."""
+def span_features(text: str, a: int, b: int) -> list[int]:
+    """The classifier's own features of a candidate, as numbers of those that are present."""
+    slot = lambda x, n: zlib.crc32(x.encode("utf-8", "surrogatepass")) % n
+    before = [w.lower() for w in _WORD.findall(text[max(0, a - CONTEXT_CHARS) : a])][-3:]
+    after = [w.lower() for w in _WORD.findall(text[b : b + CONTEXT_CHARS])][:2]
+    shape = re.sub("[0-9]+", "9", re.sub("[^\\W\\d_]+", "a", text[a:b]))
+    side = lambda c: 0 if not c else 1 if c.isspace() else 2 if c.isalpha() else 3 if c.isdigit() else 4
+    found = {slot("<" + w, WORD_SLOTS) for w in before} | {slot(">" + w, WORD_SLOTS) for w in after}
+    found.add(WORD_SLOTS + slot(shape, SHAPE_SLOTS))
+    found.add(WORD_SLOTS + SHAPE_SLOTS + side(text[a - 1 : a]))
+    found.add(WORD_SLOTS + SHAPE_SLOTS + SIDES + side(text[b : b + 1]))
+    return sorted(found)
+
+
+def _design(table: np.ndarray, features: list[list[int]] | None = None) -> np.ndarray:
+    """One-hot votes, the classifier's own features, and a constant."""
     hot = (table[:, :, None] == np.array([-1, 0, 1])).reshape(len(table), -1)
-    return np.c_[hot, np.ones(len(table))].astype(float)
+    own = np.zeros((len(table), FEATURES))
+    for row, present in zip(own, features or []):
+        row[present] = 1
+    return np.c_[hot, own, np.ones(len(table))].astype(float)
+
+
+def _spoken(table: np.ndarray) -> np.ndarray:
+    """One-hot votes of those that voted."""
+    return (table[:, :, None] == np.array([-1, 0, 1])) & (table != 0)[:, :, None]
 
 
 @dataclass(frozen=True)
 class SpanModel:
-    """Per kind: the labelers' reliabilities and the classifier's weights."""
+    """Per kind: the share of true candidates, the labelers' reliabilities, and the classifier's weights."""
 
     prior: dict[str, float]
-    reliability: dict[str, np.ndarray]  # labeler x class x vote
+    reliability: dict[str, np.ndarray]  # labeler x class x vote, of those that voted
     weights: dict[str, np.ndarray]
 
-    def probability(self, kind: str, vote: tuple[int, ...]) -> float:
+    def posterior(self, kind: str, table: np.ndarray) -> np.ndarray:
+        """What the labelers' votes say, each weighed by its reliability; who says nothing counts for nothing."""
+        hot = _spoken(table)
+        no, yes = self.reliability[kind][:, 0], self.reliability[kind][:, 1]
+        score = np.log(self.prior[kind] / (1 - self.prior[kind])) + np.einsum("rlv,lv->r", hot, np.log(yes) - np.log(no))
+        return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+
+    def probability(self, kind: str, vote: tuple[int, ...], features: list[int] | None = None) -> float:
+        """What the classifier says of a candidate."""
         if kind not in self.weights:
             return 0.0
-        return float(1 / (1 + np.exp(-(_features(np.array([vote])) @ self.weights[kind])[0])))
+        x = _design(np.array([vote]), [features or []]) @ self.weights[kind]
+        return float(1 / (1 + np.exp(-np.clip(x[0], -30, 30))))
 
 
-def fit(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50) -> SpanModel:
-    """Reliabilities by expectation-maximisation, then the classifier, from vote counts."""
-    prior, reliability, weights = {}, {}, {}
+def reliabilities(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50) -> SpanModel:
+    """Labelers' reliabilities by expectation-maximisation from vote counts; no classifier yet."""
+    prior, reliability = {}, {}
     for kind in KINDS:
         rows = sorted((v, n) for (k, v), n in counts.items() if k == kind)
         if not rows:
             continue
         table, n = np.array([v for v, _ in rows]), np.array([m for _, m in rows], float)
-        hot = table[:, :, None] == np.array([-1, 0, 1])
+        hot = _spoken(table)
         p = 1 / (1 + np.exp(-1.5 * table.sum(axis=1) + 1.5))  # start: a majority of votes
+        # smoothing leans each labeler to being right, and one that always says the same to telling nothing
+        usual = np.einsum("r,rlv->lv", n, hot) + np.array([0.1, 0.0, 0.1])
+        lean_yes, lean_no = usual * np.array([0.5, 1, 2]), usual * np.array([2, 1, 0.5])
+        lean_yes, lean_no = (4 * x / x.sum(axis=1, keepdims=True) for x in (lean_yes, lean_no))
         for _ in range(rounds):
-            share = np.clip((n * p).sum() / n.sum(), 0.01, 0.99)
-            # beta-like smoothing leans each labeler to being right
-            yes = np.einsum("r,rlv->lv", n * p, hot) + np.array([0.5, 1, 2])
-            no = np.einsum("r,rlv->lv", n * (1 - p), hot) + np.array([2, 1, 0.5])
-            yes, no = yes / yes.sum(axis=1, keepdims=True), no / no.sum(axis=1, keepdims=True)
-            score = np.log(share / (1 - share)) + np.einsum("rlv,lv->r", hot, np.log(yes) - np.log(no))
-            p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        x, w = _features(table), np.zeros(LABELERS * 3 + 1)
-        scale = n / n.sum()
+            share = np.clip((n * p).sum() / n.sum(), *PRIOR)
+            yes = np.einsum("r,rlv->lv", n * p, hot) + lean_yes
+            no = np.einsum("r,rlv->lv", n * (1 - p), hot) + lean_no
+            yes, no = (np.maximum(x, 1e-9) / x.sum(axis=1, keepdims=True) for x in (yes, no))
+            prior[kind], reliability[kind] = float(share), np.stack([no, yes], axis=1)
+            p = SpanModel(prior, reliability, {}).posterior(kind, table)
+    return SpanModel(prior, reliability, {})
+
+
+def fit(counts: dict[tuple[str, tuple[int, ...]], int], sample: dict[str, list[tuple[tuple[int, ...], list[int]]]] | None = None) -> SpanModel:
+    """Reliabilities, then the classifier from a sample of (votes, features) of each kind; from the counts alone if there is none."""
+    model, weights = reliabilities(counts), {}
+    for kind in model.prior:
+        if sample is None:
+            rows = sorted((v, n) for (k, v), n in counts.items() if k == kind)
+            table, n, own = np.array([v for v, _ in rows]), np.array([m for _, m in rows], float), None
+        elif sample.get(kind):
+            rows = Counter((v, tuple(f)) for v, f in sample[kind])
+            table, n, own = np.array([v for v, _ in rows]), np.array(list(rows.values()), float), [list(f) for _, f in rows]
+        else:
+            continue
+        p, x = model.posterior(kind, table), _design(table, own)
+        w, scale = np.zeros(x.shape[1]), n / n.sum()
+        penalty = np.r_[np.full(3 * LABELERS, 1e-3), np.full(FEATURES, 1e-3), 1e-4]
         for _ in range(100):  # Newton steps of the penalised likelihood
             q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g = x.T @ (scale * (q - p)) + 1e-3 * w
-            h = (x * (scale * q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-            w = w - np.linalg.solve(h, g)
-        prior[kind], reliability[kind], weights[kind] = float(share), np.stack([no, yes], axis=1), w
-    return SpanModel(prior, reliability, weights)
+            g = x.T @ (scale * (q - p)) + penalty * w
+            h = (x * (scale * q * (1 - q))[:, None]).T @ x + np.diag(penalty)
+            step = np.linalg.solve(h, g)
+            w = w - step
+            if np.abs(step).max() < 1e-9:
+                break
+        weights[kind] = w
+    return SpanModel(model.prior, model.reliability, weights)
 
 
 def vote_counts(docs: DataFrame, text_col: str = "text") -> dict[tuple[str, tuple[int, ...]], int]:
@@ -207,6 +271,38 @@ def vote_counts(docs: DataFrame, text_col: str = "text") -> dict[tuple[str, tupl
     return {(r.kind, tuple(r.vote)): r.n for r in rows}
 
 
+def candidate_sample(docs: DataFrame, counts: dict[tuple[str, tuple[int, ...]], int], text_col: str = "text") -> dict[str, list[tuple[tuple[int, ...], list[int]]]]:
+    """Votes and features of about ``SAMPLE`` candidates of each kind, all if there are fewer, chosen by a hash of text and place."""
+    total = Counter()
+    for (kind, _), n in counts.items():
+        total[kind] += n
+    share = {kind: int(min(1.0, SAMPLE / n) * 2**32) for kind, n in total.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, list[int], list[int]]] = []
+            for value in batch.column(0):
+                text = value.as_py() or ""
+                base = base_spans(text)
+                for is_base, found in ((True, base), (False, wide_spans(text, base))):
+                    for k, a, b in found:
+                        near = f"{k}:{a}:{text[max(0, a - CONTEXT_CHARS) : b + CONTEXT_CHARS]}"
+                        if int.from_bytes(hashlib.blake2b(near.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") < share[k]:
+                            out.append((k, list(votes(text, k, a, b, is_base)), span_features(text, a, b)))
+            if out:
+                columns = zip(*out)
+                kinds = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["kind", "vote", "own"])
+
+    found = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "kind string, vote array<int>, own array<int>")
+    # repeated candidates count as often as they stand there
+    found = found.groupBy("kind", "vote", "own").agg(F.count(F.lit(1)).alias("n"))
+    out: dict[str, list[tuple[tuple[int, ...], list[int]]]] = {}
+    for r in sorted(found.collect(), key=lambda r: (r.kind, r.vote, r.own)):  # about 4 * SAMPLE rows
+        out.setdefault(r.kind, []).extend([(tuple(r.vote), list(r.own))] * r.n)
+    return out
+
+
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
 
@@ -220,24 +316,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     candidates trains nothing and adds nothing; an empty table gives an empty
     result. Other columns are not read.
     """
-    model = fit(vote_counts(docs, text_col))
+    counts = vote_counts(docs, text_col)
+    model = fit(counts, candidate_sample(docs, counts, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, tuple[int, ...]], bool] = {}
-
-        def added(kind: str, vote: tuple[int, ...]) -> bool:
-            if (kind, vote) not in known:
-                backed = -1 not in vote and 1 in vote[2:4]
-                known[kind, vote] = backed and model.probability(kind, vote) >= threshold
-            return known[kind, vote]
-
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
             digest, shown = [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
                 base = base_spans(text)
-                more = [s for s in wide_spans(text, base) if added(s[0], votes(text, *s, False))]
+                more = [s for s in wide_spans(text, base) if model.probability(s[0], votes(text, *s, False), span_features(text, *s[1:])) >= threshold]
                 for out, kind in zip(counts, KINDS):
                     out.append(sum(k == kind for k, _, _ in base))
                 digest.append(hashlib.sha256(_joined(base).encode()).hexdigest())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,16 +9,8 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests, a notebook on one machine) a
-    temporary folder is made and kept for the session.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallyhouse.scratch.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="tallyhouse-")
-        spark.conf.set("tallyhouse.scratch.dir", named)
-    return named.rstrip("/")
+    """The folder the cluster names in ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which executors share too."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import pii
@@ -84,5 +85,36 @@ def test_reliabilities_follow_the_truth():
     assert model.probability("ip", (1, 1, 1, 1, 1, 0)) > 0.95 and model.probability("ip", (-1, -1, -1, 1, -1, 0)) < 0.05
 
 
+def test_classifier_alone_turns_spans_in_and_out():
+    good, bad, open_ = (1, 1, 1, 0, 1, 1), (1, -1, -1, 0, -1, 0), (0, 0, 0, 0, 0, 0)
+    text = {w: f"so {w} 415-555-0134 then" for w in ("ring", "lot")}
+    own = {w: pii.span_features(t, t.index("4"), t.index(" then")) for w, t in text.items()}
+    counts = {("phone", good): 300, ("phone", bad): 300, ("phone", open_): 2}
+    sample = {"phone": [(good, own["ring"])] * 300 + [(bad, own["lot"])] * 300 + [(open_, own["ring"]), (open_, own["lot"])]}
+    model = pii.fit(counts, sample)
+    post = model.posterior("phone", np.array([open_]))[0]
+    assert 0.3 < post < pii.THRESHOLD  # the labelers leave it open
+    assert model.probability("phone", open_, own["ring"]) >= pii.THRESHOLD > 0.5 > model.probability("phone", open_, own["lot"])
+
+
+def test_added_spans_equal_a_plain_search(spark):
+    data = corpus() + [(2000 + i, f"call ({i:03d}) 555-01{i % 90 + 10} or 00{i % 9 + 1} 20 5551 {i:04d}, not 1{i}-55-012345; me{i}(at)site.org", "en", "s", 0) for i in range(40)]
+    got = {r.doc_id: set(r.spans.split(",")) for r in pii.find(table(spark, data)).collect()}
+    docs = spark.createDataFrame(data, SCHEMA)
+    counts = pii.vote_counts(docs)
+    model = pii.fit(counts, pii.candidate_sample(docs, counts))
+    shapes = [("phone", r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}"), ("phone", r"00[1-9] 20 5551 [0-9]{4}"), ("email", r"me[0-9]+\(at\)site\.org")]
+    seen = 0
+    for i, t, *_ in data[-40:]:
+        want = {f"{k}:{a}:{b}" for k, a, b in brute(t)}
+        for kind, shape in shapes:
+            for m in re.finditer(shape, t):
+                if model.probability(kind, pii.votes(t, kind, *m.span(), False), pii.span_features(t, *m.span())) >= pii.THRESHOLD:
+                    want.add(f"{kind}:{m.start()}:{m.end()}")
+                    seen += 1
+        assert got[i] - {""} == want
+    assert seen > 40
+
+
 def test_empty_table(spark):
     assert pii.find(spark.createDataFrame([], SCHEMA)).count() == 0
