@@ -45,13 +45,13 @@ class AnalyticsConfig:
     gross_margin_points: tuple = ((0.10, 0), (0.25, 45), (0.40, 75), (0.55, 100))
 
 
-#: Which way a metric should move.
+# Which way a metric should move.
 DIRECTIONS = {
     "revenue": "up",
     "orders": "up",
     "aov": "up",
     "ad_spend": "neutral",
-    "paid_clicks": "up",
+    "paid_clicks": "neutral",
     "paid_conversion_rate": "up",
     "roas": "up",
     "refunds": "down",

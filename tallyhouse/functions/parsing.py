@@ -14,9 +14,9 @@ UNSETTLED = ["pending", "authorized", "partially_paid", "voided", "expired"]
 MONEY = "decimal(19,4)"
 _PLAIN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?( ?(Z|UTC|[+-]\d{2}:?\d{2}))?)?$"
-_SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
-#: Explicit formats tried after ISO 8601.
-FORMATS = ["yyyy-MM-dd HH:mm:ss Z", "yyyy/MM/dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy", "MMM d, yyyy", "yyyyMMdd"]
+# Dates with slashes, and the compact day that ISO 8601 also allows.
+_SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
+FORMATS = ["yyyyMMdd"]
 
 
 def clean_headers(df: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def parse_slash_date(c: Column, convention: Column) -> Column:
 
 
 def parse_timestamp_utc(c: Column, convention: Column | None = None) -> Column:
-    """N-05: ISO 8601, then the explicit formats, then slash dates; else null."""
+    """N-05: ISO 8601 with or without a zone, then slash dates; else null."""
     c = null_if_token(c)
     iso = F.regexp_replace(F.regexp_replace(c, r" (Z|UTC|[+-]\d{2}:?\d{2})$", "$1"), r"([+-]\d{2})(\d{2})$", "$1:$2")
     tries = [F.when(F.regexp_like(c, F.lit(_ISO)), iso).try_cast("timestamp"), *(F.try_to_timestamp(c, F.lit(f)) for f in FORMATS)]
@@ -85,6 +85,16 @@ def parse_timestamp_utc(c: Column, convention: Column | None = None) -> Column:
     return F.coalesce(*tries)
 
 
+def is_unreadable(c: Column) -> Column:
+    """A filled cell that is no number (T9)."""
+    return null_if_token(c).isNotNull() & parse_money(c).isNull()
+
+
+def is_successful(status: Column) -> Column:
+    """N-22: a payment that was collected."""
+    return F.coalesce(F.lower(F.trim(status)).isin(SUCCESSFUL), F.lit(False))
+
+
 def first_present(df: DataFrame, *names: str) -> Column:
     """N-11: the first filled of those columns that exist."""
     have = [null_if_token(F.col(f"`{n}`")) for n in names if n in df.columns]

@@ -24,10 +24,33 @@ def issues_of(df: DataFrame, source: str, kinds: dict[str, tuple[Column, str]])
 
 def file_date_conventions(df: DataFrame, column: str) -> DataFrame:
     """N-07, N-08: one convention and issue per store and file."""
-    out = df.groupBy("store_id", "file").agg(N.date_convention(N.slash_date_order(F.col(f"`{column}`"))).alias("convention"))
+    order = N.slash_date_order(F.col(f"`{column}`"))
+    out = df.groupBy("store_id", "file").agg(N.date_convention(order).alias("convention"), F.count_if(order == "ambiguous").alias("open"))
     c = F.col("convention")
-    issue = F.when(c == "conflict", "date_order_conflict").when(c == "ambiguous", "ambiguous_date_order").when(c.isin("day_first", "month_first"), "date_order_inferred")
-    return out.withColumn("issue", issue)
+    issue = F.when(c == "conflict", "date_order_conflict").when(c == "ambiguous", "ambiguous_date_order").when(c.isin("day_first", "month_first") & (F.col("open") > 0), "date_order_inferred")
+    return out.withColumn("issue", issue).drop("open")
+
+
+def date_issues(df: DataFrame, column: str, source: str) -> DataFrame:
+    """N-08 as issue rows: how many files of a store have each."""
+    severity = F.when(F.col("issue") == "date_order_inferred", "info").otherwise("error")
+    found = file_date_conventions(df, column).filter("issue is not null").groupBy("store_id", "issue").agg(F.count(F.lit(1)).alias("count"))
+    return found.select("store_id", F.lit(source).alias("source"), F.col("issue").alias("kind"), severity.alias("severity"), F.col("issue").alias("message"), "count")
+
+
+def refuse_unreadable(cells: DataFrame, source: str, numbers: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """T9: rows of the files whose numbers can all be read, and one issue per store and column with others.
+
+    ``numbers`` maps a column of text to when it is read at all. One cell that
+    is filled but no number refuses its whole file: half a file is a wrong sum.
+    """
+    hits = {n: F.coalesce(when & N.is_unreadable(F.col(n)), F.lit(False)) for n, when in numbers.items()}
+    rows = F.inline(F.array(*[F.struct(F.lit(n).alias("column"), e.alias("hit")) for n, e in hits.items()]))
+    found = cells.select("store_id", "file", rows).filter("hit").groupBy("store_id", "file", "column").agg(F.count(F.lit(1)).alias("count"))
+    issues = found.groupBy("store_id", "column").agg(F.sum("count").alias("count")).select(
+        "store_id", F.lit(source).alias("source"), F.lit("malformed_number").alias("kind"), F.lit("error").alias("severity"), F.concat(F.lit("malformed_number: "), F.col("column")).alias("message"), "count"
+    )
+    return cells.join(found.select("store_id", "file").distinct(), ["store_id", "file"], "left_anti"), issues
 
 
 def with_timestamp(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -41,7 +64,9 @@ def normalize_orders(raw: DataFrame) -> dict[str, DataFrame]:
 
     ``raw`` has store_id, file, row_no and the export's columns as text. The
     header of an order is its first row with a readable date; earlier rows and
-    all rows of orders without one are rejected, one ``invalid_date`` each.
+    all rows of orders without one are rejected, one ``invalid_date`` each. A
+    file with an unreadable number is refused (of rows without an order id
+    nothing is read, and header cells only of rows with a date).
     """
     g = lambda *names: N.first_present(raw, *names)
     cells = raw.select(
@@ -59,6 +84,9 @@ def normalize_orders(raw: DataFrame) -> dict[str, DataFrame]:
         g("Lineitem name").alias("title"),
         g("Lineitem sku").alias("sku"),
     )
+    named, dated = F.col("order_id").isNotNull(), F.col("order_id").isNotNull() & F.col("created").isNotNull()
+    header_cells = ["s_subtotal", "s_discount", "s_shipping", "s_tax", "s_total", "s_refunded"]
+    cells, refused = refuse_unreadable(cells, "shopify", {"s_quantity": named, "s_price": named} | dict.fromkeys(header_cells, dated))
     # continuation rows have no date of their own; their order's header dates them
     rows = with_timestamp(cells.filter("order_id is not null"), "created", "created_at")
     head = rows.filter("created_at is not null").groupBy("store_id", "order_id").agg(F.min("row_no").alias("head_no"))
@@ -79,22 +107,24 @@ def normalize_orders(raw: DataFrame) -> dict[str, DataFrame]:
         F.coalesce(m("s_discount"), zero).alias("discount"),
         F.coalesce(m("s_shipping"), zero).alias("shipping"),
         F.coalesce(m("s_tax"), zero).alias("tax"),
-        F.coalesce(m("s_total"), m("s_subtotal"), zero).alias("total"),
+        F.coalesce(m("s_total"), zero).alias("total"),
         m("s_total").isNotNull().alias("has_total"),
-        F.lower("status").alias("financial_status"),
+        F.coalesce(F.lower("status"), F.lit("unknown")).alias("financial_status"),
         F.col("cancelled_at").isNotNull().alias("cancelled"),
-        F.coalesce(F.lower("channel").contains("draft"), F.lit(False)).alias("draft"),
+        F.coalesce(F.lower("channel") == "shopify_draft_order", F.lit(False)).alias("draft"),
         F.lit("shopify").alias("source"),
     )
-    lines = kept.withColumn("quantity", N.parse_int(F.col("s_quantity"))).withColumn("unit_price", m("s_price")).filter("quantity > 0")
-    lines = lines.withColumn("key_sku", F.coalesce("sku", F.lit("UNKNOWN")))
+    lines = kept.withColumn("quantity", N.parse_int(F.col("s_quantity"))).withColumn("unit_price", F.coalesce(m("s_price"), zero)).filter("quantity > 0")
+    lines = lines.withColumn("key_sku", F.coalesce("sku", F.lit("UNKNOWN"))).withColumn("title", F.coalesce("title", "sku", F.lit("unknown")))
     signature = ["store_id", "order_id", "key_sku", "quantity", "unit_price", "title"]
     lines = _first(lines, signature)
     once = lines.filter("_rank = 1")
     number = F.row_number().over(W.partitionBy("store_id", "order_id").orderBy("row_no"))
-    order_lines = once.select(
+    dates = headers.select("store_id", "order_id", F.col("created_at").alias("order_at"))
+    order_lines = once.join(dates, ["store_id", "order_id"]).select(
         "store_id",
         "order_id",
+        F.col("order_at").alias("created_at"),
         number.alias("line_no"),
         F.col("key_sku").alias("sku"),
         "title",
@@ -103,9 +133,12 @@ def normalize_orders(raw: DataFrame) -> dict[str, DataFrame]:
         (F.col("quantity").cast("decimal(10,0)") * F.col("unit_price").cast("decimal(14,4)")).cast(MONEY).alias("line_revenue"),
     )
     refunds = headers.filter(m("s_refunded") > 0).select("store_id", F.concat(F.lit("refund:"), F.col("order_id")).alias("refund_id"), "created_at", m("s_refunded").alias("amount"), "order_id", F.lit("shopify").alias("source"))
-    issues = issues_of(rejected, "shopify", {"invalid_date": (F.lit(True), "warning")})
-    issues = issues.unionByName(issues_of(lines, "shopify", {"duplicate_line_item": (F.col("_rank") > 1, "info"), "missing_sku": ((F.col("_rank") == 1) & F.col("sku").isNull(), "info")}))
-    issues = issues.unionByName(issues_of(headers, "shopify", {"negative_refund": (m("s_refunded") < 0, "warning"), "missing_order_total": (m("s_total").isNull(), "warning")}))
+    issues = refused.unionByName(date_issues(cells.filter("order_id is not null"), "created", "shopify"))
+    issues = issues.unionByName(issues_of(cells, "shopify", {"missing_order_id": (F.col("order_id").isNull(), "error")}))
+    issues = issues.unionByName(issues_of(rejected, "shopify", {"invalid_date": (F.lit(True), "error")}))
+    issues = issues.unionByName(issues_of(lines, "shopify", {"duplicate_line_item": (F.col("_rank") > 1, "warning"), "missing_line_sku": ((F.col("_rank") == 1) & F.col("sku").isNull(), "warning")}))
+    of_header = {"negative_refund": (m("s_refunded") < 0, "error"), "missing_email": (N.email_key(F.col("email")).isNull(), "warning"), "missing_currency": (F.col("currency").isNull(), "warning")}
+    issues = issues.unionByName(issues_of(headers, "shopify", of_header))
     per_order = once.groupBy("store_id", "order_id").agg(F.count(F.lit(1)).alias("n"))
     accepted = orders.select("store_id", "order_id").join(per_order, ["store_id", "order_id"], "left")
     accepted = accepted.groupBy("store_id").agg((F.count(F.lit(1)) + F.coalesce(F.sum(F.greatest(F.col("n") - 1, F.lit(0))), F.lit(0))).alias("accepted_rows"))
@@ -115,10 +148,13 @@ def normalize_orders(raw: DataFrame) -> dict[str, DataFrame]:
 def normalize_products(raw: DataFrame) -> dict[str, DataFrame]:
     """S-02: last row of a SKU wins; a negative cost is unknown."""
     g = lambda *names: N.first_present(raw, *names)
-    rows = raw.select("store_id", "row_no", g("SKU").alias("sku"), g("Product ID").alias("product_ref"), g("Title").alias("title"), N.parse_money(g("Cost per item", "Cost", "COGS")).alias("cost")).filter("sku is not null")
-    last = _first(rows, ["store_id", "sku"], last=True).filter("_rank = 1")
-    products = last.select("store_id", "sku", "product_ref", "title", F.when(F.col("cost") >= 0, F.col("cost")).alias("unit_cogs"))
-    return {"products": products, "issues": issues_of(rows, "products", {"negative_cost": (F.col("cost") < 0, "warning")})}
+    rows = raw.select("store_id", "row_no", g("SKU").alias("sku"), g("Product ID").alias("product_ref"), g("Title").alias("title"), g("Cost per item", "Cost", "COGS").alias("s_cost"), "file")
+    rows, refused = refuse_unreadable(rows, "products", {"s_cost": F.col("sku").isNotNull()})
+    rows = rows.withColumn("cost", N.parse_money(F.col("s_cost")))
+    last = _first(rows.filter("sku is not null"), ["store_id", "sku"], last=True).filter("_rank = 1")
+    products = last.select("store_id", "sku", F.coalesce("product_ref", "sku").alias("product_ref"), F.coalesce("title", "sku").alias("title"), F.when(F.col("cost") >= 0, F.col("cost")).alias("unit_cogs"))
+    kinds = {"missing_sku": (F.col("sku").isNull(), "warning"), "negative_cogs": (F.col("sku").isNotNull() & (F.col("cost") < 0), "error")}
+    return {"products": products, "issues": refused.unionByName(issues_of(rows, "products", kinds))}
 
 
 def normalize_payments(raw: DataFrame) -> dict[str, DataFrame]:
@@ -130,26 +166,30 @@ def normalize_payments(raw: DataFrame) -> dict[str, DataFrame]:
         "row_no",
         g("id").alias("payment_id"),
         g("Created (UTC)", "Created", "created").alias("created"),
-        N.parse_money(g("Amount")).alias("amount"),
-        N.parse_money(g("Amount Refunded")).alias("refunded"),
-        N.parse_money(g("Fee")).alias("fee"),
-        N.parse_money(g("Net")).alias("net"),
-        F.lower(g("Status")).alias("status"),
+        g("Amount").alias("s_amount"),
+        g("Amount Refunded", "amount_refunded").alias("s_refunded"),
+        g("Fee", "fee").alias("s_fee"),
+        g("Net", "net").alias("s_net"),
+        F.coalesce(F.lower(g("Status")), F.lit("unknown")).alias("status"),
         g("order_id", "Order ID", "metadata.order_id").alias("order_id"),
-        N.email_key(g("Customer Email")).alias("customer_email"),
-    ).filter("payment_id is not null")
+        N.email_key(g("Customer Email", "customer_email", "Email")).alias("customer_email"),
+    )
+    named = F.col("payment_id").isNotNull()
+    rows, refused = refuse_unreadable(rows, "stripe", dict.fromkeys(["s_amount", "s_refunded", "s_fee", "s_net"], named))
+    refused = refused.unionByName(date_issues(rows, "created", "stripe")).unionByName(issues_of(rows, "stripe", {"missing_id": (~named, "error")}))
+    rows = rows.filter(named).withColumns({n: N.parse_money(F.col(f"s_{n}")) for n in ("refunded", "fee", "net")}).withColumn("amount", F.coalesce(N.parse_money(F.col("s_amount")), F.lit(0).cast(MONEY)))
     rows = with_timestamp(_first(rows, ["store_id", "payment_id"]), "created", "created_at")
     good = rows.filter("_rank = 1 and created_at is not null")
     payments = good.select("store_id", "payment_id", "created_at", "amount", F.when(F.col("fee") >= 0, F.col("fee")).alias("fee"), "net", "status", "order_id", "customer_email", F.lit("stripe").alias("source"))
     refunds = good.filter("refunded > 0").select("store_id", F.concat(F.lit("refund:"), F.col("payment_id")).alias("refund_id"), "created_at", F.col("refunded").alias("amount"), "order_id", F.lit("stripe").alias("source"))
     first = F.col("_rank") == 1
     kinds = {
-        "duplicate_payment": (~first, "info"),
-        "invalid_date": (first & F.col("created_at").isNull(), "warning"),
-        "negative_fee": (first & (F.col("fee") < 0), "warning"),
-        "negative_refund": (first & (F.col("refunded") < 0), "warning"),
+        "duplicate_payment": (~first, "warning"),
+        "invalid_date": (first & F.col("created_at").isNull(), "error"),
+        "negative_fee": (first & F.col("created_at").isNotNull() & (F.col("fee") < 0), "error"),
+        "negative_refund": (first & F.col("created_at").isNotNull() & (F.col("refunded") < 0), "error"),
     }
-    return {"payments": payments, "refunds": refunds, "issues": issues_of(rows, "stripe", kinds)}
+    return {"payments": payments, "refunds": refunds, "issues": refused.unionByName(issues_of(rows, "stripe", kinds))}
 
 
 def normalize_ads(raw: DataFrame) -> dict[str, DataFrame]:
@@ -162,19 +202,28 @@ def normalize_ads(raw: DataFrame) -> dict[str, DataFrame]:
         g("Day").alias("day_text"),
         g("Campaign").alias("name"),
         F.coalesce(g("Campaign ID"), g("Campaign")).alias("campaign_id"),
-        F.coalesce(N.parse_money(g("Cost")), F.lit(0).cast(MONEY)).alias("spend"),
-        F.coalesce(N.parse_int(g("Impressions")), F.lit(0)).alias("impressions"),
-        F.coalesce(N.parse_int(g("Clicks")), F.lit(0)).alias("clicks"),
-        F.coalesce(N.parse_money(g("Conversions")).cast("double"), F.lit(0.0)).alias("conversions"),
-        F.coalesce(N.parse_money(g("Conv. value", "Conversion value", "Total conv. value")), F.lit(0).cast(MONEY)).alias("conversion_value"),
-    ).filter("campaign_id is not null")
+        g("Cost").alias("s_cost"),
+        g("Impressions").alias("s_impressions"),
+        g("Clicks").alias("s_clicks"),
+        g("Conversions").alias("s_conversions"),
+        g("Conv. value", "Conversion value", "Total conv. value").alias("s_value"),
+    )
+    read = F.col("name").isNotNull() & F.col("day_text").isNotNull()
+    rows, refused = refuse_unreadable(rows, "google_ads", dict.fromkeys(["s_cost", "s_impressions", "s_clicks", "s_conversions", "s_value"], read))
+    m = lambda n: F.coalesce(N.parse_money(F.col(n)), F.lit(0).cast(MONEY))
+    count = lambda n: F.coalesce(N.parse_int(F.col(n)), F.lit(0).cast("long"))
+    rows = rows.withColumns({"spend": m("s_cost"), "impressions": count("s_impressions"), "clicks": count("s_clicks"), "conversions": m("s_conversions").cast("double"), "conversion_value": m("s_value")})
+    issues = refused.unionByName(date_issues(rows, "day_text", "google_ads"))
     rows = with_timestamp(rows, "day_text", "at").withColumn("day", F.to_date("at"))
-    dated = _first(rows.filter("day is not null"), ["store_id", "campaign_id", "day"])
+    named = rows.filter("day is not null and name is not null")
+    dated = _first(named, ["store_id", "campaign_id", "day"])
     good = dated.filter("_rank = 1 and spend >= 0")
     ads = good.select("store_id", "campaign_id", "day", "spend", "impressions", "clicks", "conversions", "conversion_value")
-    campaigns = good.groupBy("store_id", "campaign_id").agg(F.min_by("name", "row_no").alias("name"), F.lit("google_ads").alias("channel"))
-    issues = issues_of(rows, "google_ads", {"invalid_date": (F.col("day").isNull(), "warning")})
-    issues = issues.unionByName(issues_of(dated, "google_ads", {"duplicate_ad_row": (F.col("_rank") > 1, "info"), "negative_spend": ((F.col("_rank") == 1) & (F.col("spend") < 0), "warning")}))
+    # a campaign is known by all its dated rows, dropped ones included
+    campaigns = named.groupBy("store_id", "campaign_id").agg(F.min_by("name", "row_no").alias("name"), F.lit("google_ads").alias("channel"))
+    undated = {"invalid_date": (F.col("day").isNull(), "error"), "missing_campaign": (F.col("day").isNotNull() & F.col("name").isNull(), "error")}
+    issues = issues.unionByName(issues_of(rows, "google_ads", undated))
+    issues = issues.unionByName(issues_of(dated, "google_ads", {"duplicate_ad_row": (F.col("_rank") > 1, "warning"), "negative_spend": ((F.col("_rank") == 1) & (F.col("spend") < 0), "error")}))
     return {"ad_daily": ads, "campaigns": campaigns, "issues": issues}
 
 

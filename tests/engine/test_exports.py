@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyhouse.functions import parsing
 from tallyhouse.operators import normalize
 from tallyhouse.sources import exports, snapshots
 from tallyhouse.sources.testdata import read_stores
@@ -50,7 +51,7 @@ def test_orders(spark, folder):
         assert {r.order_id: (float(r.subtotal), r.customer_id) for r in own["orders"]} == {"#1": (150.0, "a@x.de"), "#2": (45.0, "guest:#2")}
         assert sorted((r.order_id, r.sku, r.quantity) for r in own["order_lines"]) == [("#1", "A", 1), ("#1", "B", 2), ("#2", "A", 1)]
         assert [(r.order_id, float(r.amount)) for r in own["refunds"]] == [("#2", 10.0)]
-        assert {r.kind: r["count"] for r in own["issues"]} == {"invalid_date": 1, "duplicate_line_item": 1}
+        assert {(r.kind, r.severity): r["count"] for r in own["issues"]} == {("invalid_date", "error"): 1, ("duplicate_line_item", "warning"): 1, ("missing_email", "warning"): 1}
         assert own["accepted_rows"][0].accepted_rows == 3
 
 
@@ -71,6 +72,42 @@ def test_load_stores_reports_missing_sources(spark, folder):
     assert t.orders.count() == 4 and t.products.count() == 0
 
 
+def test_unreadable_number_refuses_the_file(spark, tmp_path):
+    good = ORDERS.replace("#1", "#8").replace("#2", "#9")
+    for name, text in (("bad", ORDERS.replace(",150,0,0,0,150,", ",abc,0,0,0,150,")), ("bad2", ORDERS.replace(",2,Bolt", ",xx,Bolt")), ("good", good)):
+        (tmp_path / "orders" / "s1").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "orders" / "s1" / f"{name}.csv").write_text(text)
+    out = normalize.normalize_orders(exports.read_export(spark, f"{tmp_path}/orders/*/*.csv"))
+    assert {r.order_id for r in out["orders"].collect()} == {"#8", "#9"}
+    bad = {r.message: r["count"] for r in out["issues"].filter("kind = 'malformed_number' and severity = 'error'").collect()}
+    assert bad == {"malformed_number: s_subtotal": 1, "malformed_number: s_quantity": 1}
+
+
+def test_issues_of_the_sources(spark, tmp_path):
+    texts = {
+        "orders": "Name,Email,Created at,Currency,Subtotal,Total,Lineitem quantity,Lineitem price,Lineitem sku,Source\n#1,,1/2/2020,,10,,1,5,,Draft orders\n,,13/2/2020,,1,,1,1,A,\n#2,a@b.c,13/2/2020,eur,10,7,1,5,B,shopify_draft_order\n",
+        "ads": "Day,Campaign,Cost\n2026-01-01,,5\n2026-01-01,x,5\n2026-01-01,x,6\n",
+        "stripe": "id,Created,Amount,Status\n,2026-01-01,1,paid\np1,2026-01-01,,Captured\n",
+        "products": "SKU,Title,COGS\n,none,1\nA,,-2\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name / "s").mkdir(parents=True)
+        (tmp_path / name / "s" / "f.csv").write_text(text)
+    read = lambda n: exports.read_export(spark, f"{tmp_path}/{n}/*/*.csv")
+    o = normalize.normalize_orders(read("orders"))
+    kinds = lambda out: {(r.kind, r.severity): r["count"] for r in out["issues"].collect()}
+    assert kinds(o) == {("missing_order_id", "error"): 1, ("missing_email", "warning"): 1, ("missing_currency", "warning"): 1, ("missing_line_sku", "warning"): 1, ("date_order_inferred", "info"): 1}
+    rows = {r.order_id: (float(r.total), r.has_total, r.draft) for r in o["orders"].collect()}
+    assert rows == {"#1": (0.0, False, False), "#2": (7.0, True, True)}
+    assert kinds(normalize.normalize_ads(read("ads"))) == {("missing_campaign", "error"): 1, ("duplicate_ad_row", "warning"): 1}
+    paid = normalize.normalize_payments(read("stripe"))
+    assert kinds(paid) == {("missing_id", "error"): 1}
+    assert [(float(r.amount), r.ok) for r in paid["payments"].select("amount", parsing.is_successful(F.col("status")).alias("ok")).collect()] == [(0.0, True)]
+    p = normalize.normalize_products(read("products"))
+    assert kinds(p) == {("missing_sku", "warning"): 1, ("negative_cogs", "error"): 1}
+    assert [(r.sku, r.title, r.unit_cogs) for r in p["products"].collect()] == [("A", "A", None)]
+
+
 def test_snapshots(spark, sf_dir, tmp_path):
     t = read_stores(spark, sf_dir)
     root = str(tmp_path / "snap")
@@ -79,7 +116,13 @@ def test_snapshots(spark, sf_dir, tmp_path):
     assert t.orders.exceptAll(back.orders.select(*t.orders.columns)).count() == 0
     with pytest.raises(ValueError, match="not completed"):
         snapshots.load_snapshot(spark, root, "b")
-    extra = t.campaigns.limit(1).withColumn("snapshot_id", F.lit("a"))
-    extra.write.mode("append").partitionBy("snapshot_id", "store_id").parquet(f"{root}/campaigns")
+    assert [(r.snapshot_id, r.stores) for r in snapshots.list_snapshots(spark, root).collect()] == [("a", t.orders.select("store_id").distinct().count())]
+    # what another attempt left behind is not read
+    t.campaigns.write.partitionBy("store_id").parquet(f"{root}/campaigns/snapshot_id=a/attempt=crashed")
+    assert snapshots.load_snapshot(spark, root, "a").campaigns.count() == t.campaigns.count()
+    attempt = snapshots.list_snapshots(spark, root).first().attempt
+    twice = t.campaigns.limit(1)
+    for _ in range(2):  # an even number of equal rows
+        twice.write.mode("append").partitionBy("store_id").parquet(f"{root}/campaigns/snapshot_id=a/attempt={attempt}")
     with pytest.raises(ValueError, match="differs"):
         snapshots.load_snapshot(spark, root, "a")

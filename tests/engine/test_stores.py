@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.config import AnalyticsConfig
-from tallyhouse.operators import anomaly, facts, kpis, profitability, quality, rootcause, series
+from tallyhouse.operators import anomaly, facts, insights, kpis, profitability, quality, rootcause, series
 from tallyhouse.plans.analyze import PACK_LIMITS, Analysis, evidence_pack
 from tallyhouse.schemas import SCHEMAS, StoreTables
 
@@ -32,7 +32,7 @@ def order(i, day, subtotal, customer="c1", total=None, discount=0, **more):
 
 
 def line(i, n, sku, qty, price):
-    return dict(order_id=str(i), line_no=n, sku=sku, quantity=qty, unit_price=D(price), line_revenue=D(qty * price))
+    return dict(order_id=str(i), created_at=T(7 + i), line_no=n, sku=sku, quantity=qty, unit_price=D(price), line_revenue=D(qty * price))
 
 
 @pytest.fixture(scope="module")
@@ -110,6 +110,91 @@ def test_contributions_sum_to_one(spark, simple):
     assert len(got) == 3 and math.isclose(sum(r.contribution for r in got), 1.0) and all(0.1 <= r.confidence <= 0.9 for r in got)
 
 
+def test_contributors_are_shares_of_the_change_of_revenue(spark):
+    t = make(
+        spark,
+        orders=[order(0, 7, 100), order(1, 14, 150, discount=50), order(2, 27, 1)],
+        order_lines=[dict(line(0, 1, "A", 1, 100), created_at=T(7)), dict(line(1, 1, "A", 1, 120), created_at=T(14)), dict(line(1, 2, "B", 1, 80), created_at=T(14)), dict(line(2, 1, "A", 1, 1), created_at=T(27))],
+    )
+    cfg = AnalyticsConfig()
+    periods = spark.createDataFrame([(s, dt.date(2026, 9, 14)) for s in ("s1", "s2")], "store_id string, period_start date")
+    got = {r.sku: (float(r.delta), r.contribution) for r in rootcause.product_contributors(t, periods, facts.period_facts(t), cfg).filter("store_id = 's1'").collect()}
+    assert got == {"B": (80.0, 1.6), "A": (20.0, 0.4)}  # revenue moved by 50, lines by 100
+
+
+def test_direction_of_traffic_is_neutral(spark):
+    got = anomaly.detect(points(spark, [100.0] * 8 + [60.0], "paid_clicks"), AnalyticsConfig()).collect()
+    assert {r.assessment for r in got} == {"neutral"}
+
+
+def test_findings_rules(spark, simple):
+    cfg = AnalyticsConfig()
+    seen = [("revenue", -0.4, "down", "high", "unfavorable"), ("roas", -0.3, "down", "high", "unfavorable"), ("refunds", -0.5, "down", "high", "favorable"), ("ad_spend", 0.5, "up", "high", "neutral")]
+    rows = [("s1", *r) for r in seen] + [("s2", *r) for r in seen if r[0] != "revenue"]
+    anomalies = spark.createDataFrame(rows, "store_id string, metric string, pct double, direction string, severity string, assessment string")
+    none = spark.createDataFrame([], "store_id string, factor string, contribution double, confidence double")
+    primary = spark.createDataFrame([], "store_id string, primary_factor string")
+    profit = spark.createDataFrame([("s1", 1.0, [])], "store_id string, full_profit double, missing array<string>")
+    products = spark.createDataFrame([("s1", "A", 0.1, 5.0), ("s1", "B", 0.05, 5.0), ("s1", "C", 0.1, 0.0), ("s1", "D", 0.5, 9.0)], "store_id string, sku string, margin double, revenue double")
+    kpi = spark.createDataFrame([("s1", 0.5)], "store_id string, customer_concentration_top5 double")
+    campaigns = spark.createDataFrame([("s1", "x", 2.0)], "store_id string, campaign_id string, delta_conversions double")
+    found = insights.ranked(insights.findings(anomalies, none, primary, profit, products, kpi, campaigns, cfg)).collect()
+    of = lambda s: [(r.kind, r.subject, r.severity, r.confidence) for r in sorted(found, key=lambda r: r["rank"]) if r.store_id == s]
+    assert of("s1") == [
+        ("revenue_decline", "revenue", "high", 0.4),
+        ("low_margin_product", "A", "medium", 0.7),
+        ("low_margin_product", "B", "medium", 0.7),
+        ("customer_concentration", "top5", "medium", 0.6),
+        ("anomaly", "ad_spend", "low", 0.45),
+        ("anomaly", "refunds", "info", 0.45),
+        ("campaign_opportunity", "x", "info", 0.4),
+    ]
+    assert of("s2") == [("anomaly", "roas", "high", 0.45), ("anomaly", "ad_spend", "low", 0.45), ("anomaly", "refunds", "info", 0.45)]
+
+
+def test_consistency_issues(spark):
+    t = make(
+        spark,
+        orders=[
+            order(1, 8, 100, discount=20, total=80),  # the total takes the discount off the subtotal
+            order(2, 8, 50, total=99),
+            order(3, 8, -5),
+            order(4, 8, 10, cancelled=True, currency="USD"),
+            order(5, 8, 10, financial_status="voided"),
+            order(6, 8, 0, draft=True),
+            order(7, 8, 10, has_total=False, total=0),
+        ],
+        refunds=[dict(refund_id="a", created_at=T(8), amount=D(60), order_id="5", source="shopify"), dict(refund_id="b", created_at=T(8), amount=D(20), order_id="5", source="stripe")],
+    )
+    cfg = AnalyticsConfig()
+    negative = spark.createDataFrame([("s1", 2)], "store_id string, n long")
+    found = quality.consistency_issues(t, cfg, negative)
+    got = {(r.kind, r.severity): r["count"] for r in found.filter("store_id = 's1'").collect()}
+    assert got == {
+        ("subtotal_convention_contradiction", "error"): 1,
+        ("subtotal_contract_unverified", "warning"): 2,
+        ("missing_order_total", "warning"): 1,
+        ("refund_exceeds_order_total", "warning"): 1,
+        ("negative_subtotal", "warning"): 1,
+        ("cancelled_orders_counted", "warning"): 1,
+        ("unsettled_orders_counted", "warning"): 1,
+        ("zero_value_orders_counted", "info"): 1,
+        ("draft_orders_counted", "info"): 1,
+        ("currency_mismatch", "error"): 1,
+        ("refund_mismatch", "warning"): 1,
+        ("negative_period_revenue", "warning"): 2,
+    }
+    fields = {r.field: r.status for r in quality.field_quality(t, cfg).filter("store_id = 's1'").collect()}
+    assert fields["currency"] == "unavailable"
+    rows = {r.metric: (r.data_quality, r.notes) for r in kpis.kpis_long(facts.period_facts(t), quality.field_quality(t, cfg), found).filter("store_id = 's1'").collect()}
+    assert rows["revenue"] == ("incomplete", ["subtotal_contract_unverified"]) and rows["refund_rate"][0] == "incomplete"
+
+
+def test_one_store_by_any_name(spark, simple):
+    odd = replace(simple, orders=simple.orders.withColumn("store_id", F.when(F.col("store_id") == "s1", "o'brien").otherwise(F.col("store_id"))))
+    assert odd.only("o'brien").orders.count() == 2 and odd.only("' or 1=1 --").orders.count() == 0
+
+
 def test_refund_basis(spark):
     t = make(spark, orders=[order(1, 8, 100, total=130), order(2, 9, 50)], refunds=[dict(refund_id="r1", created_at=T(8), amount=D(30), order_id="1", source="shopify")])
     r = profitability.refund_basis(t, AnalyticsConfig()).filter("store_id = 's1'").first()
