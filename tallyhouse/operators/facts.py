@@ -1,8 +1,10 @@
 """One row per store and period with every base measure (A-01 to A-15).
 
-Orders, lines, refunds, payments, ads and customers are each aggregated to
-(store, period) before they meet, so the raw facts cross the network once, by
-their own keys, and no window ever spans a store's raw rows.
+Orders, lines, refunds, payments and ads are each aggregated to (store,
+period) before they meet, so the raw facts cross the network once, by their
+own keys, and no window ever spans a store's raw rows. Orders cross once for
+all: grouped by customer they give counts, sums and buyers alike. Only the
+parts whose measures are asked for are computed.
 """
 
 from __future__ import annotations
@@ -32,50 +34,83 @@ def customers(t: StoreTables) -> DataFrame:
     )
 
 
-def lines_with_cost(t: StoreTables) -> DataFrame:
-    """J-01: lines with their product's cost; unknown products keep a null cost."""
-    return t.order_lines.join(t.products.select("store_id", "sku", "unit_cogs"), ["store_id", "sku"], "left")
-
-
 def customer_periods(t: StoreTables, grain: str) -> DataFrame:
-    """J-03, A-10: customers active in each period, whether new, and their revenue."""
-    first = t.orders.groupBy("store_id", "customer_id").agg(F.min("created_at").alias("first_order_at"))
-    active = t.orders.groupBy("store_id", "customer_id", P.period_start(F.col("created_at"), grain).alias("period_start")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("subtotal").cast(MONEY).alias("spent")
+    """J-03, A-10: customers active in each period, whether new, and their orders and sums.
+
+    One shuffle by customer serves both groupings and their join.
+    """
+    start = P.period_start(F.col("created_at"), grain)
+    rows = t.orders.select("store_id", "customer_id", start.alias("period_start"), "created_at", "subtotal", "total").repartition("store_id", "customer_id")
+    active = rows.groupBy("store_id", "customer_id", "period_start").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("subtotal").cast(MONEY).alias("spent"), F.sum("total").cast(MONEY).alias("totals")
     )
+    first = rows.groupBy("store_id", "customer_id").agg(F.min("created_at").alias("first_order_at"))
     return active.join(first, ["store_id", "customer_id"]).withColumn("is_new", P.period_start(F.col("first_order_at"), grain) == F.col("period_start"))
 
 
-def period_facts(t: StoreTables, grain: str = "week") -> DataFrame:
-    """store_id, period_start and all measures; sums and counts of nothing are 0."""
-    at = lambda c: P.period_start(F.col(c), grain).alias("period_start")
-    orders = t.orders.groupBy("store_id", at("created_at")).agg(
-        F.count(F.lit(1)).alias("orders"), F.sum("subtotal").alias("revenue"), F.sum("total").alias("order_value")
+def _order_part(t: StoreTables, grain: str) -> DataFrame:
+    """Orders alone, where no measure of customers is asked for."""
+    at = P.period_start(F.col("created_at"), grain).alias("period_start")
+    return t.orders.groupBy("store_id", at).agg(F.count(F.lit(1)).alias("orders"), F.sum("subtotal").alias("revenue"), F.sum("total").alias("order_value"))
+
+
+def _buyer_parts(t: StoreTables, grain: str, top: bool) -> list[DataFrame]:
+    """Orders and buyers from one grouping by customer; ``top`` adds what the five largest spent."""
+    active = customer_periods(t, grain)
+    buyers = active.groupBy("store_id", "period_start").agg(
+        F.sum("n").alias("orders"),
+        F.sum("spent").alias("revenue"),
+        F.sum("totals").alias("order_value"),
+        F.count(F.lit(1)).alias("customers"),
+        F.count_if("is_new").alias("new_customers"),
+        F.count_if(F.col("n") > 1).alias("repeat_customers"),
     )
-    cost = F.col("quantity").cast("decimal(10,0)") * F.col("unit_cogs").cast("decimal(14,4)")
-    per_order = lines_with_cost(t).groupBy("store_id", "order_id").agg(
-        F.sum("quantity").alias("units"),
+    if not top:
+        return [buyers]
+    rank = F.row_number().over(W.partitionBy("store_id", "period_start").orderBy(F.desc("spent"), "customer_id"))
+    return [buyers, active.withColumn("rank", rank).filter("rank <= 5").groupBy("store_id", "period_start").agg(F.sum("spent").alias("top5_revenue"))]
+
+
+def _line_part(t: StoreTables, grain: str, with_cost: bool) -> DataFrame:
+    at = P.period_start(F.col("created_at"), grain).alias("period_start")
+    if not with_cost:
+        return t.order_lines.groupBy("store_id", at).agg(F.sum("quantity").alias("units"), F.sum("line_revenue").alias("line_revenue"))
+    # a product's lines of a period are summed before they meet its cost
+    sold = t.order_lines.groupBy("store_id", "sku", at).agg(F.sum("quantity").alias("units"), F.sum("line_revenue").cast(MONEY).alias("line_revenue"))
+    costed = sold.join(t.products.select("store_id", "sku", "unit_cogs"), ["store_id", "sku"], "left")
+    cost = F.col("units").cast("decimal(18,0)") * F.col("unit_cogs").cast("decimal(14,4)")
+    return costed.groupBy("store_id", "period_start").agg(
+        F.sum("units").alias("units"),
         F.sum("line_revenue").alias("line_revenue"),
         F.sum(F.when(F.col("unit_cogs").isNotNull(), F.col("line_revenue"))).alias("covered_revenue"),
         F.sum(cost).alias("known_cogs"),
     )
-    lines = (
-        per_order.join(t.orders.select("store_id", "order_id", at("created_at")), ["store_id", "order_id"])
-        .groupBy("store_id", "period_start")
-        .agg(*[F.sum(c).alias(c) for c in ("units", "line_revenue", "covered_revenue", "known_cogs")])
-    )
-    refunds = t.refunds.filter("source = 'shopify'").groupBy("store_id", at("created_at")).agg(F.sum("amount").alias("refunds"))
-    payments = t.payments.groupBy("store_id", at("created_at")).agg(F.sum("fee").alias("payment_fees"))
-    ads = t.ad_daily.groupBy("store_id", at("day")).agg(
-        F.sum("spend").alias("ad_spend"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.count(F.lit(1)).alias("ad_rows")
-    )
-    active = customer_periods(t, grain)
-    buyers = active.groupBy("store_id", "period_start").agg(
-        F.count(F.lit(1)).alias("customers"), F.count_if("is_new").alias("new_customers"), F.count_if(F.col("n") > 1).alias("repeat_customers")
-    )
-    rank = F.row_number().over(W.partitionBy("store_id", "period_start").orderBy(F.desc("spent"), "customer_id"))
-    top5 = active.withColumn("rank", rank).filter("rank <= 5").groupBy("store_id", "period_start").agg(F.sum("spent").alias("top5_revenue"))
-    parts = [orders, lines, refunds, payments, ads, buyers, top5]
+
+
+def period_facts(t: StoreTables, grain: str = "week", measures: set[str] | None = None) -> DataFrame:
+    """store_id, period_start and all measures; sums and counts of nothing are 0.
+
+    With ``measures`` only those are right; the others are 0 or null.
+    """
+    at = lambda c: P.period_start(F.col(c), grain).alias("period_start")
+    asked = lambda *names: measures is None or bool(measures & set(names))
+    parts = []
+    if asked("customers", "new_customers", "repeat_customers", "top5_revenue"):
+        parts += _buyer_parts(t, grain, asked("top5_revenue"))
+    elif asked("orders", "revenue", "order_value"):
+        parts.append(_order_part(t, grain))
+    if asked("units", "line_revenue", "covered_revenue", "known_cogs"):
+        parts.append(_line_part(t, grain, asked("covered_revenue", "known_cogs")))
+    if asked("refunds"):
+        parts.append(t.refunds.filter("source = 'shopify'").groupBy("store_id", at("created_at")).agg(F.sum("amount").alias("refunds")))
+    if asked("payment_fees"):
+        parts.append(t.payments.groupBy("store_id", at("created_at")).agg(F.sum("fee").alias("payment_fees")))
+    if asked("ad_spend", "clicks", "impressions", "ad_rows"):
+        parts.append(
+            t.ad_daily.groupBy("store_id", at("day")).agg(
+                F.sum("spend").alias("ad_spend"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.count(F.lit(1)).alias("ad_rows")
+            )
+        )
     names = [*SUMS, *COUNTS, *UNKNOWN]
     as_type = {c: "long" if c in COUNTS else "decimal(28,4)" for c in names}
     wide = [p.select("store_id", "period_start", *[(F.col(c) if c in p.columns else F.lit(None)).cast(as_type[c]).alias(c) for c in names]) for p in parts]
@@ -99,18 +134,12 @@ def data_period(t: StoreTables) -> DataFrame:
 
 
 def product_performance(t: StoreTables, by: list[str] | None = None) -> DataFrame:
-    """A-11 per SKU (and further keys): revenue, units, cost and margin if known."""
+    """A-11, J-01 per SKU (and further columns of the lines): revenue, units, cost and margin if known."""
     keys = ["store_id", *(by or []), "sku"]
-    cost = F.col("quantity").cast("decimal(10,0)") * F.col("unit_cogs").cast("decimal(14,4)")
-    lines = t.order_lines.join(t.products.select("store_id", "sku", "unit_cogs", F.col("title").alias("product_title")), ["store_id", "sku"], "left")
-    if by:
-        lines = lines.join(t.orders.select("store_id", "order_id", *[c for c in by]), ["store_id", "order_id"])
-    out = lines.groupBy(*keys).agg(
-        F.max("product_title").alias("title"),
-        F.sum("line_revenue").cast(MONEY).alias("revenue"),
-        F.sum("quantity").alias("units"),
-        F.sum(cost).cast(MONEY).alias("cogs"),
-    )
+    cost = F.col("units").cast("decimal(18,0)") * F.col("unit_cogs").cast("decimal(14,4)")
+    sold = t.order_lines.groupBy(*keys).agg(F.sum("line_revenue").cast(MONEY).alias("revenue"), F.sum("quantity").alias("units"))
+    named = t.products.groupBy("store_id", "sku").agg(F.max("title").alias("title"), F.max("unit_cogs").alias("unit_cogs"))
+    out = sold.join(named, ["store_id", "sku"], "left").select(*keys, "title", "revenue", "units", cost.cast(MONEY).alias("cogs"))
     profit = (F.col("revenue") - F.col("cogs")).cast(MONEY)
     return out.withColumn("gross_profit", profit).withColumn("margin", F.when(F.col("revenue") != 0, profit.cast("double") / F.col("revenue").cast("double")))
 

@@ -16,11 +16,18 @@ RECOMMENDATIONS = {
     "paid_conversion_rate": "check landing pages, stock and checkout",
     "aov": "check discounts, bundles and the product mix",
 }
-_COLUMNS = ["store_id", "kind", "subject", "severity", "confidence", "value", "statement"]
+# Severities from the gravest, and the metrics that revenue is made of.
+SEVERITIES = ["high", "medium", "low", "info"]
+DECOMPOSED = ["orders", "aov", "paid_conversion_rate", "paid_clicks", "roas"]
 
 
 def findings(anomalies: DataFrame, parts: DataFrame, primary: DataFrame, profit: DataFrame, products: DataFrame, kpis: DataFrame, campaigns: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
-    """X-20: the six rules, one DataFrame each; all inputs are of the chosen period."""
+    """X-20: the six rules, one DataFrame each; all inputs are of the chosen period.
+
+    A revenue decline takes in the anomalies of what revenue is made of. Other
+    anomalies are "info" if favorable, "low" if neutral, else as severe as
+    they are. Every product with a low margin is a finding.
+    """
     row = lambda df, kind, subject, severity, confidence, value, statement: df.select(
         "store_id", F.lit(kind).alias("kind"), subject.cast("string").alias("subject"), severity.alias("severity"), confidence.cast("double").alias("confidence"), value.cast("double").alias("value"), statement.alias("statement")
     )
@@ -28,25 +35,25 @@ def findings(anomalies: DataFrame, parts: DataFrame, primary: DataFrame, profit:
     declines = anomalies.filter("metric = 'revenue' and direction = 'down'").select("store_id", "severity", "pct")
     cause = parts.filter("contribution is not null").join(primary, "store_id").filter("factor = primary_factor").select("store_id", "factor", "confidence")
     led = declines.join(cause, "store_id", "left")
-    r1 = row(led, "revenue_decline", F.coalesce("factor", F.lit("revenue")), F.col("severity"), F.coalesce("confidence", F.lit(0.1)), F.col("pct"), F.concat(F.lit("Revenue changed by "), pct("pct")))
-    decomposed = ["revenue", "paid_clicks", "paid_conversion_rate", "aov", "orders"]
-    folded = anomalies.filter(F.col("metric").isin(decomposed)).join(declines.select("store_id"), "store_id", "left_semi").select("store_id", "metric")
-    others = anomalies.join(folded, ["store_id", "metric"], "left_anti")
-    r2 = row(others, "anomaly", F.col("metric"), F.col("severity"), F.lit(0.6), F.col("pct"), F.concat(F.col("metric"), F.lit(" changed by "), pct("pct")))
+    r1 = row(led, "revenue_decline", F.coalesce("factor", F.lit("revenue")), F.col("severity"), F.coalesce("confidence", F.lit(0.4)), F.col("pct"), F.concat(F.lit("Revenue changed by "), pct("pct")))
+    told = declines.select("store_id", F.lit(True).alias("told"))
+    others = anomalies.filter("metric <> 'revenue'").join(told, "store_id", "left").filter(F.col("told").isNull() | ~F.col("metric").isin(DECOMPOSED))
+    level = F.when(F.col("assessment") == "favorable", "info").when(F.col("assessment") == "neutral", "low").otherwise(F.col("severity"))
+    r2 = row(others, "anomaly", F.col("metric"), level, F.lit(0.45), F.col("pct"), F.concat(F.col("metric"), F.lit(" changed by "), pct("pct")))
     unknown = profit.filter("full_profit is null")
     r3 = row(unknown, "profit_unavailable", F.array_join("missing", ","), F.lit("medium"), F.lit(0.9), F.size("missing"), F.concat(F.lit("Profit is unknown without "), F.array_join("missing", ", ")))
-    low = products.filter(F.col("margin") < cfg.low_margin).groupBy("store_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("sku", F.struct("margin", "sku")).alias("worst"))
-    r4 = row(low, "low_margin_products", F.col("worst"), F.lit("medium"), F.lit(0.7), F.col("n"), F.concat(F.col("n").cast("string"), F.lit(" products have a margin below 20%")))
+    low = products.filter((F.col("margin") < cfg.low_margin) & (F.col("revenue") > 0))
+    r4 = row(low, "low_margin_product", F.col("sku"), F.lit("medium"), F.lit(0.7), F.col("margin"), F.concat(F.lit("Product "), F.col("sku"), F.lit(" has a margin of "), pct("margin")))
     top = kpis.filter(F.col("customer_concentration_top5") >= cfg.concentration)
-    r5 = row(top, "customer_concentration", F.lit("top5"), F.lit("medium"), F.lit(0.8), F.col("customer_concentration_top5"), F.lit("Five customers hold a large share of revenue"))
+    r5 = row(top, "customer_concentration", F.lit("top5"), F.lit("medium"), F.lit(0.6), F.col("customer_concentration_top5"), F.lit("Five customers hold a large share of revenue"))
     best = campaigns.filter("delta_conversions > 0").groupBy("store_id").agg(F.max_by(F.struct("campaign_id", "delta_conversions"), F.struct("delta_conversions", "campaign_id")).alias("b"))
-    r6 = row(best, "campaign_opportunity", F.col("b.campaign_id"), F.lit("low"), F.lit(0.5), F.col("b.delta_conversions"), F.concat(F.lit("Campaign "), F.col("b.campaign_id"), F.lit(" gained conversions")))
+    r6 = row(best, "campaign_opportunity", F.col("b.campaign_id"), F.lit("info"), F.lit(0.4), F.col("b.delta_conversions"), F.concat(F.lit("Campaign "), F.col("b.campaign_id"), F.lit(" gained conversions")))
     return reduce(DataFrame.unionByName, [r1, r2, r3, r4, r5, r6])
 
 
 def ranked(found: DataFrame) -> DataFrame:
     """X-22, X-29: revenue decline first, then severity, then confidence; ids unique per store."""
-    order = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    order = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
     w = W.partitionBy("store_id").orderBy((F.col("kind") != "revenue_decline").cast("int"), order, F.desc("confidence"), "kind", "subject")
     same = F.row_number().over(W.partitionBy("store_id", "kind").orderBy("rank"))
     out = found.withColumn("rank", F.row_number().over(w)).withColumn("_n", same)

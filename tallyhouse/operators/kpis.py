@@ -34,6 +34,30 @@ def kpi_columns() -> dict[str, Column]:
     }
 
 
+#: What each KPI is computed from.
+NEEDS = {
+    "revenue": {"revenue"},
+    "orders": {"orders"},
+    "units": {"units"},
+    "aov": {"revenue", "orders"},
+    "refunds": {"refunds"},
+    "refund_rate": {"refunds", "order_value"},
+    "ad_spend": {"ad_spend"},
+    "clicks": {"clicks"},
+    "paid_conversion_rate": {"orders", "clicks"},
+    "new_customers": {"new_customers"},
+    "cac": {"ad_spend", "ad_rows", "new_customers"},
+    "roas": {"revenue", "ad_spend"},
+    "gross_margin": {"covered_revenue", "known_cogs"},
+    "cogs": {"covered_revenue", "known_cogs"},
+    "payment_fees": {"payment_fees"},
+    "repeat_purchase_rate": {"repeat_customers", "customers"},
+    "customer_concentration_top5": {"top5_revenue", "revenue"},
+}
+#: What makes a period one with data: it has a row even if the asked measures are 0.
+PRESENT = {"orders", "ad_rows"}
+
+
 def kpis_wide(facts: DataFrame) -> DataFrame:
     return facts.select("store_id", "period_start", *[e.alias(n) for n, e in kpi_columns().items()])
 
@@ -77,7 +101,7 @@ def kpis_long(facts: DataFrame, field_quality: DataFrame, issues: DataFrame) ->
     notes = {
         "revenue": F.when(F.col("i_subtotal_contract_unverified") == 1, F.array(F.lit("subtotal_contract_unverified"))).otherwise(F.array().cast("array<string>")),
         "cac": F.when(F.col("ad_rows") == 0, F.array(F.lit("no_ad_data"))).otherwise(F.array().cast("array<string>")),
-        "gross_margin": F.array(F.concat(F.lit("cost_coverage="), F.coalesce(F.format_string("%.0f%%", coverage * 100), F.lit("unknown")))),
+        "gross_margin": F.array(F.concat(F.lit("cost_coverage="), F.when(coverage.isNotNull(), F.format_string("%.0f%%", coverage * 100)).otherwise("unknown"))),
     }
     rows = F.array(
         *[

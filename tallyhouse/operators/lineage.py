@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 
 
 def inputs_sha256(files: DataFrame, by: str, hash_col: str, version: str = "1") -> DataFrame:
-    """L-01: one fingerprint per group of files, whatever their order."""
-    joined = F.array_join(F.array_sort(F.collect_list(hash_col)), "\n")
-    return files.groupBy(by).agg(F.sha2(F.concat(F.lit(f"v{version}\n"), joined).cast("binary"), 256).alias("fingerprint"))
+    """L-01: one fingerprint per group of files, whatever their order.
+
+    The hashes are dealt to 4,096 buckets by their first digits; each bucket is
+    hashed by itself and then the buckets are, so no list holds a whole group.
+    """
+    bucket = F.left(hash_col, F.lit(3))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "\n")
+    parts = files.groupBy(by, bucket.alias("bucket")).agg(F.sha2(listed(hash_col).cast("binary"), 256).alias("h"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: F.concat(x["bucket"], F.lit(":"), x["h"])), "\n")
+    return parts.groupBy(by).agg(F.sha2(F.concat(F.lit(f"v{version}\n"), whole).cast("binary"), 256).alias("fingerprint"))
 
 
 def new_fingerprints(incoming: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -36,10 +43,22 @@ def latest_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
+def list_runs(runs: DataFrame, status: str | None = None) -> DataFrame:
+    """L-05: runs, newest first."""
+    found = runs if status is None else runs.filter(F.col("status") == F.lit(status))
+    return found.orderBy(F.desc("started_at"), "run_id")
+
+
 def equality(a: DataFrame, b: DataFrame) -> DataFrame:
-    """L-06: rows and order-free checksum of two tables, in one row."""
-    digest = lambda df, n: df.agg(F.count(F.lit(1)).alias(f"rows_{n}"), F.coalesce(F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])), F.lit(0)).alias(f"sum_{n}"))
-    return digest(a, "a").join(digest(b, "b")).withColumn("equal", (F.col("rows_a") == F.col("rows_b")) & (F.col("sum_a") == F.col("sum_b")))
+    """L-06: rows and order-free checksum of two tables, in one row; repeated rows count."""
+
+    def digest(df: DataFrame, n: str) -> DataFrame:
+        columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+        total = F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+        return df.agg(F.count(F.lit(1)).alias(f"rows_{n}"), total.alias(f"sum_{n}"))
+
+    both = digest(a, "a").join(digest(b, "b"))  # one row each
+    return both.withColumn("equal", (F.col("rows_a") == F.col("rows_b")) & (F.col("sum_a") == F.col("sum_b")))
 
 
 def trace(records: DataFrame, files: DataFrame, snapshots: DataFrame, connections: DataFrame) -> DataFrame:
@@ -47,6 +66,11 @@ def trace(records: DataFrame, files: DataFrame, snapshots: DataFrame, connection
     return records.join(files, ["file_id"]).join(snapshots, ["snapshot_id"]).join(connections, ["connection_id"])
 
 
+def trace_report(reports: DataFrame, runs: DataFrame, snapshots: DataFrame, files: DataFrame) -> DataFrame:
+    """L-07, J-12: report -> run -> snapshot -> the files it was read from, one row per file."""
+    return reports.join(runs, ["run_id"]).join(snapshots, ["snapshot_id"]).join(files, ["snapshot_id"])
+
+
 def retention(rows: DataFrame, policy: DataFrame, now: Column, cap: int) -> DataFrame:
     """L-08: terminal rows older than their status allows, oldest first, at most ``cap`` per status.
 

@@ -20,40 +20,55 @@ def status(coverage: Column, cfg: AnalyticsConfig) -> Column:
 
 
 def field_quality(t: StoreTables, cfg: AnalyticsConfig) -> DataFrame:
-    """Q-01, Q-02: covered, total, coverage and status of the tracked fields."""
+    """Q-01, Q-02: covered, total, coverage and status of the tracked fields, one pass per table.
 
-    def field(df: DataFrame, name: str, covered: Column) -> DataFrame:
-        return df.groupBy("store_id").agg(F.count_if(covered).alias("covered"), F.count(F.lit(1)).alias("total")).select("store_id", F.lit(name).alias("field"), "covered", "total")
+    Rejected order rows count as revenue that is not covered; a store with
+    several currencies, or none, has no usable currency (Q-06).
+    """
+
+    def fields(df: DataFrame, covered: dict[str, Column]) -> DataFrame:
+        counts = df.groupBy("store_id").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(e).alias(n) for n, e in covered.items()])
+        return counts.select("store_id", F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("covered"), F.col("total").alias("total")) for n in covered])))
 
+    c = F.col
+    code = F.upper("currency")
     known = [
-        field(t.products, "product_cogs", F.col("unit_cogs").isNotNull()),
-        field(t.orders, "order_revenue", F.col("subtotal").isNotNull()),
-        field(t.orders, "customer_identity", ~F.coalesce(F.col("customer_id"), F.lit("guest:")).startswith("guest:")),
-        field(t.payments, "payment_fees", F.col("fee").isNotNull()),
-        field(t.ad_daily, "ad_spend", F.col("spend").isNotNull()),
-        field(t.orders, "currency", F.col("currency").isNotNull()),
+        fields(t.products, {"product_cogs": c("unit_cogs").isNotNull()}),
+        fields(t.orders, {"order_revenue": c("subtotal").isNotNull(), "customer_identity": ~F.coalesce(c("customer_id"), F.lit("guest:")).startswith("guest:"), "currency": c("currency").isNotNull()}),
+        fields(t.payments, {"payment_fees": c("fee").isNotNull()}),
+        fields(t.ad_daily, {"ad_spend": c("spend").isNotNull()}),
     ]
     names = F.explode(F.array(*[F.lit(n) for n in ("product_cogs", "order_revenue", "customer_identity", "payment_fees", "ad_spend", "currency")]))
-    stores = t.orders.select("store_id").union(t.ad_daily.select("store_id")).distinct().withColumn("field", names)
-    out = stores.join(reduce(DataFrame.unionByName, known), ["store_id", "field"], "left").fillna(0, ["covered", "total"])
-    coverage = ratio(F.col("covered"), F.col("total"))
-    return out.withColumn("coverage", coverage).withColumn("status", status(coverage, cfg))
-
-
-def subtotal_contract(t: StoreTables, cfg: AnalyticsConfig) -> DataFrame:
-    """Q-03: does total = subtotal + shipping (+ tax), or only without the discount?"""
+    mixed = t.orders.groupBy("store_id").agg((F.min(code) != F.max(code)).alias("mixed"))
+    rejected = t.issues.filter("source = 'shopify' and kind in ('invalid_date', 'missing_order_id')").groupBy("store_id").agg(F.sum("count").alias("rejected"))
+    found = reduce(DataFrame.unionByName, known)
+    # stores are those of orders and advertising
+    stores = found.filter("field in ('order_revenue', 'ad_spend')").select("store_id").distinct().withColumn("field", names)
+    out = stores.join(found, ["store_id", "field"], "left").join(mixed, "store_id", "left").join(rejected, "store_id", "left").fillna(0, ["covered", "total", "rejected"])
+    out = out.withColumn("total", F.when(c("field") == "order_revenue", c("total") + c("rejected")).otherwise(c("total")))
+    coverage = ratio(c("covered"), c("total"))
+    state = F.when((c("field") == "currency") & c("mixed"), "unavailable").when((c("field") == "currency") & (coverage > 0) & (coverage < 1), "incomplete").otherwise(status(coverage, cfg))
+    return out.withColumn("coverage", coverage).withColumn("status", state).select("store_id", "field", "covered", "total", "coverage", "status")
+
+
+def contract_of(cfg: AnalyticsConfig) -> Column:
+    """Q-03 of one order: does total = subtotal + shipping (+ tax), or only without the discount?"""
     tol, c = F.lit(cfg.money_tolerance), F.col
     near = lambda e: F.abs(c("total") - e) <= tol
     post = near(c("subtotal") + c("shipping") + c("tax")) | near(c("subtotal") + c("shipping"))
     pre = near(c("subtotal") - c("discount") + c("shipping") + c("tax")) | near(c("subtotal") - c("discount") + c("shipping"))
-    kind = (
+    return (
         F.when(~c("has_total"), "no_total")
         .when(post & pre & (c("discount") > 0), "ambiguous")
         .when(post, "consistent")
         .when(pre, "contradiction")
         .otherwise("unreconstructible")
     )
-    classed = t.orders.withColumn("contract", kind)
+
+
+def subtotal_contract(t: StoreTables, cfg: AnalyticsConfig) -> DataFrame:
+    """Q-03: orders of each store by what their total says of their subtotal."""
+    classed = t.orders.withColumn("contract", contract_of(cfg))
     return classed.groupBy("store_id", "contract").agg(
         F.count(F.lit(1)).alias("orders"), F.sum(F.when(F.col("contract") == "contradiction", F.col("discount")).otherwise(0)).cast("decimal(28,4)").alias("overstatement")
     )
@@ -107,28 +122,83 @@ def refund_reconciliation(t: StoreTables, cfg: AnalyticsConfig) -> DataFrame:
     return by.withColumn("gap", F.when(both, gap)).withColumn("mismatch", F.coalesce(both & (gap > cfg.refund_gap), F.lit(False)))
 
 
+def consistency_issues(t: StoreTables, cfg: AnalyticsConfig, negative: DataFrame | None = None) -> DataFrame:
+    """Q-03 to Q-07 and P-10 as issue rows; ``count`` says how many orders, refunds or periods.
+
+    Orders are read once for all their checks. ``negative`` has store_id and n,
+    the periods of the series with negative revenue.
+    """
+    c = F.col
+    contract = contract_of(cfg)
+    tol = F.lit(cfg.money_tolerance)
+    code = F.upper("currency")
+    of_orders = t.orders.groupBy("store_id").agg(
+        F.count_if(contract == "contradiction").alias("contradiction"),
+        F.count_if(contract.isin("no_total", "ambiguous", "unreconstructible")).alias("unverified"),
+        F.count_if(~c("has_total")).alias("no_total"),
+        F.count_if(c("subtotal") < 0).alias("negative"),
+        F.count_if(c("cancelled")).alias("cancelled"),
+        F.count_if(c("financial_status").isin(N.UNSETTLED)).alias("unsettled"),
+        F.count_if(c("subtotal") == 0).alias("zero"),
+        F.count_if(c("draft")).alias("draft"),
+        (F.min(code) != F.max(code)).cast("long").alias("mixed"),
+        F.when(F.count(code) == 0, 1).otherwise(0).cast("long").alias("no_currency"),
+    )
+    gap = refund_reconciliation(t, cfg).select("store_id", F.col("mismatch").cast("long").alias("gap"))
+    totals = t.orders.filter("has_total").select("store_id", "order_id", "total")
+    above = t.refunds.filter("source = 'shopify'").join(totals, ["store_id", "order_id"]).filter(c("amount") > c("total") + tol).groupBy("store_id").agg(F.count(F.lit(1)).alias("above"))
+    one = of_orders.join(gap, "store_id", "left").join(above, "store_id", "left")
+    one = one.join(negative.select("store_id", F.col("n").alias("below")), "store_id", "left") if negative is not None else one.withColumn("below", F.lit(0).cast("long"))
+    kinds = {
+        "contradiction": ("shopify", "subtotal_convention_contradiction", "error"),
+        "unverified": ("shopify", "subtotal_contract_unverified", "warning"),
+        "no_total": ("shopify", "missing_order_total", "warning"),
+        "above": ("shopify", "refund_exceeds_order_total", "warning"),
+        "negative": ("shopify", "negative_subtotal", "warning"),
+        "cancelled": ("shopify", "cancelled_orders_counted", "warning"),
+        "unsettled": ("shopify", "unsettled_orders_counted", "warning"),
+        "zero": ("shopify", "zero_value_orders_counted", "info"),
+        "draft": ("shopify", "draft_orders_counted", "info"),
+        "mixed": ("reconciliation", "currency_mismatch", "error"),
+        "no_currency": ("shopify", "currency_absent", "warning"),
+        "gap": ("reconciliation", "refund_mismatch", "warning"),
+        "below": ("analytics", "negative_period_revenue", "warning"),
+    }
+    rows = F.inline(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(k).alias("kind"), F.lit(v).alias("severity"), F.coalesce(c(n), F.lit(0)).cast("long").alias("count")) for n, (s, k, v) in kinds.items()]))
+    return one.select("store_id", rows).filter(c("count") > 0).select("store_id", "source", "kind", "severity", c("kind").alias("message"), "count")
+
+
 def issue_counts(issues: DataFrame) -> DataFrame:
     """A-16: equal issues collapse."""
     return issues.groupBy("store_id", "source", "kind", "severity", "message").agg(F.sum("count").alias("count"))
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """Q-08 over the whole table in one pass: type by share of cells, missing and distinct count."""
-    as_text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), N.null_if_token(F.col(f"`{c}`")).alias("v")) for c in df.columns]))
-    cells = as_text.select(rows)
-    v = F.col("v")
-    share = lambda e: F.avg(F.when(v.isNotNull(), F.coalesce(e, F.lit(False)).cast("int")))
-    out = cells.groupBy("column").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(v.isNull()).alias("missing"),
-        F.countDistinct("v").alias("distinct"),
-        share(F.regexp_like(v, F.lit("^[A-Z]{3}$"))).alias("currency"),
-        share(F.lower(v).isin("true", "false", "yes", "no", "0", "1")).alias("boolean"),
-        share(F.regexp_like(v, F.lit(r"^\d{4}-\d{2}-\d{2}"))).alias("date"),
-        share(F.regexp_like(v, F.lit(r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))).alias("number"),
-        share(F.regexp_like(v, F.lit(f"^{R.EMAIL}$"))).alias("email"),
-    )
+    """Q-08 over the whole table in one pass: type by share of cells, missing and distinct count.
+
+    Columns are measured side by side in one row; only the distinct values of
+    a column are ever shuffled, each once per task.
+    """
+    names = df.columns
+    cells = df.select(*[N.null_if_token(F.col(f"`{c}`").cast("string")).alias(f"v{i}") for i, c in enumerate(names)])
+
+    def measures(v: Column) -> Column:
+        share = lambda e: F.avg(F.when(v.isNotNull(), F.coalesce(e, F.lit(False)).cast("int")))
+        return F.struct(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(v.isNull()).alias("missing"),
+            share(F.regexp_like(v, F.lit("^[A-Z]{3}$"))).alias("currency"),
+            share(F.lower(v).isin("true", "false", "yes", "no", "0", "1")).alias("boolean"),
+            share(F.regexp_like(v, F.lit(r"^\d{4}-\d{2}-\d{2}"))).alias("date"),
+            share(F.regexp_like(v, F.lit(r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))).alias("number"),
+            share(F.regexp_like(v, F.lit(f"^{R.EMAIL}$"))).alias("email"),
+        )
+
+    wide = cells.agg(*[measures(F.col(f"v{i}")).alias(f"m{i}") for i in range(len(names))])
+    long = wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.col(f"m{i}").alias("m")) for i, c in enumerate(names)]))).select("i", "column", "m.*")
+    values = cells.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in range(len(names))]))).filter("v is not null")
+    distinct = values.distinct().groupBy("i").agg(F.count(F.lit(1)).alias("distinct"))
+    out = long.join(distinct, "i", "left").fillna(0, ["distinct"])
     kind = F.when(F.col("rows") == F.col("missing"), "empty")
     for name, least in (("currency", 0.9), ("boolean", 0.95), ("date", 0.9), ("number", 0.9)):
         kind = kind.when(F.col(name) > least, name)
@@ -136,12 +206,13 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def personal_columns(df: DataFrame, names: list[str] = ["email", "phone", "name", "address", "customer"]) -> DataFrame:
-    """Q-10: columns that look personal by name or by content."""
-    hint = lambda c: any(n in c.lower() for n in names)
-    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(hint(c)).alias("by_name"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns]))
-    cells = df.select(rows).groupBy("column", "by_name")
-    share = lambda shape: F.coalesce(F.avg(F.when(F.col("v").isNotNull(), F.regexp_like("v", F.lit(shape)).cast("int"))), F.lit(0.0))
-    out = cells.agg(share(R.EMAIL).alias("emails"), share(r"^\+?[0-9][0-9 ().-]{6,18}[0-9]$").alias("phones"))
+    """Q-10: columns that look personal by name or by content, all in one pass."""
+    share = lambda c, shape: F.coalesce(F.avg(F.when(c.isNotNull(), F.regexp_like(c, F.lit(shape)).cast("int"))), F.lit(0.0))
+    text = {c: F.col(f"`{c}`").cast("string") for c in df.columns}
+    wide = df.agg(*[F.struct(share(v, R.EMAIL).alias("emails"), share(v, r"^\+?[0-9][0-9 ().-]{6,18}[0-9]$").alias("phones")).alias(f"m{i}") for i, v in enumerate(text.values())])
+    by_name = [any(n in c.lower() for n in names) for c in text]
+    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(b).alias("by_name"), F.col(f"m{i}").alias("m")) for i, (c, b) in enumerate(zip(text, by_name))]))
+    out = wide.select(rows).select("column", "by_name", "m.*")
     return out.withColumn("personal", F.col("by_name") | (F.col("emails") > 0.3) | (F.col("phones") > 0.5))
 
 
@@ -167,7 +238,7 @@ def sensitive_scan(df: DataFrame, columns: list[str]) -> DataFrame:
     kinds = {n: F.regexp_like("v", F.lit(p)) for n, p in R.SCANS.items()} | {"card": R.has_card(F.col("v"))}
     hits = F.inline(F.array(*[F.struct(F.lit(n).alias("kind"), F.coalesce(e, F.lit(False)).alias("hit")) for n, e in kinds.items()]))
     found = cells.select("column", hits).groupBy("column", "kind").agg(F.count_if("hit").alias("rows"))
-    named = [c for c in columns if any(s in c.lower() for s in R.SUSPICIOUS_NAMES)]
+    named = [c for c in columns if c.strip().lower() in R.SUSPICIOUS_NAMES]
     return found.withColumn("suspicious_name", F.col("column").isin(named) if named else F.lit(False))
 
 

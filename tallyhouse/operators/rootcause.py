@@ -58,17 +58,19 @@ def primary_factor(parts: DataFrame) -> DataFrame:
     return parts.filter("contribution is not null").groupBy("store_id").agg(F.max_by("factor", F.abs("contribution")).alias("primary_factor"))
 
 
-def product_contributors(t: StoreTables, periods: DataFrame, cfg: AnalyticsConfig, top: int = 5) -> DataFrame:
-    """X-09, J-06: the products whose line revenue moved most."""
-    start = P.period_start(F.col("created_at"), cfg.grain)
-    orders = t.orders.select("store_id", "order_id", start.alias("at")).join(periods.select("store_id", "period_start"), "store_id")
-    orders = orders.withColumn("side", F.when(F.col("at") == F.col("period_start"), 1).when(F.col("at") == P.shift(F.col("period_start"), -1, cfg.grain), 0)).filter("side is not null")
-    lines = t.order_lines.join(orders.select("store_id", "order_id", "side"), ["store_id", "order_id"])
+def product_contributors(t: StoreTables, periods: DataFrame, facts: DataFrame, cfg: AnalyticsConfig, top: int = 5) -> DataFrame:
+    """X-09, J-06: the products whose line revenue moved most, and that move over the change of revenue."""
+    at = P.period_start(F.col("created_at"), cfg.grain)
+    lines = t.order_lines.join(periods.select("store_id", "period_start"), "store_id")
+    lines = lines.withColumn("side", F.when(at == F.col("period_start"), 1).when(at == P.shift(F.col("period_start"), -1, cfg.grain), 0)).filter("side is not null")
     side = lambda k: F.coalesce(F.sum(F.when(F.col("side") == k, F.col("line_revenue"))), F.lit(0)).cast(MONEY)
     skus = lines.groupBy("store_id", "sku").agg(side(1).alias("current"), side(0).alias("previous")).withColumn("delta", (F.col("current") - F.col("previous")).cast(MONEY))
-    total = F.sum("delta").over(W.partitionBy("store_id"))
+    # the filtered rank is cut before the shuffle, so no task ranks all SKUs of a store
     rank = F.row_number().over(W.partitionBy("store_id").orderBy(F.desc(F.abs("delta")), "sku"))
-    return skus.withColumn("contribution", F.when(total != 0, F.col("delta").cast("double") / total.cast("double"))).withColumn("rank", rank).filter(F.col("rank") <= top)
+    moved = skus.withColumn("rank", rank).filter(F.col("rank") <= top)
+    whole = two_periods(facts, periods, cfg).select("store_id", (F.col("revenue_1") - F.col("revenue_0")).alias("whole"))
+    share = F.when(F.col("whole") != 0, F.col("delta").cast("double") / F.col("whole"))
+    return moved.join(whole, "store_id", "left").select("store_id", "sku", "current", "previous", "delta", share.alias("contribution"), "rank")
 
 
 def campaign_contributors(t: StoreTables, periods: DataFrame, cfg: AnalyticsConfig) -> DataFrame:

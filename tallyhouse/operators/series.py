@@ -92,9 +92,9 @@ def comparisons(facts: DataFrame, periods: DataFrame, cfg: AnalyticsConfig) -> D
 
 
 def negative_periods(facts: DataFrame, periods: DataFrame, cfg: AnalyticsConfig) -> DataFrame:
-    """P-10: labels of the periods in the series with negative revenue."""
+    """P-10: number and labels of the periods in the series with negative revenue."""
     bad = dense(facts, periods, cfg).filter("revenue < 0")
-    return bad.groupBy("store_id").agg(F.array_join(F.array_sort(F.collect_list(P.label(F.col("period_start"), cfg.grain))), ", ").alias("labels"))
+    return bad.groupBy("store_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(P.label(F.col("period_start"), cfg.grain))), ", ").alias("labels"))
 
 
 def period_profile(orders: DataFrame, cfg: AnalyticsConfig) -> DataFrame:

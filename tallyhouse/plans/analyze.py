@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import cached_property, reduce
 
@@ -38,6 +39,14 @@ class Analysis:
     def __init__(self, tables: StoreTables, cfg: AnalyticsConfig = AnalyticsConfig()):
         self.tables, self.cfg = tables, cfg
 
+    def prepare(self, *names: str) -> Analysis:
+        """Start the named results at once: they read the tables independently, so their jobs fill the cluster together."""
+        first = [n for n in ("facts", "periods") if n not in self.__dict__]
+        for wave in (first, [n for n in names if n not in ("facts", "periods") and n not in self.__dict__]):
+            with ThreadPoolExecutor(4) as pool:
+                list(pool.map(lambda n: getattr(self, n), wave))
+        return self
+
     @kept
     def facts(self) -> DataFrame:
         return facts.period_facts(self.tables, self.cfg.grain)
@@ -46,7 +55,7 @@ class Analysis:
     def periods(self) -> DataFrame:
         return series.store_periods(facts.latest_day(self.tables), self.cfg)
 
-    @kept
+    @cached_property
     def current(self) -> DataFrame:
         """Facts of each store's last complete period; a store without rows in it has zeros."""
         wide = self.periods.select("store_id", "period_start").join(self.facts, ["store_id", "period_start"], "left")
@@ -56,7 +65,7 @@ class Analysis:
     def series(self) -> DataFrame:
         return series.series(self.facts, self.periods, self.cfg)
 
-    @kept
+    @cached_property
     def comparisons(self) -> DataFrame:
         return series.comparisons(self.facts, self.periods, self.cfg)
 
@@ -72,16 +81,30 @@ class Analysis:
     def campaigns(self) -> DataFrame:
         return rootcause.campaign_contributors(self.tables, self.periods, self.cfg)
 
+    @kept
+    def contributors(self) -> DataFrame:
+        return rootcause.product_contributors(self.tables, self.periods, self.facts, self.cfg)
+
     @kept
     def products(self) -> DataFrame:
         """Product performance of the current period."""
-        orders = self.tables.orders.withColumn("period_start", P.period_start(F.col("created_at"), self.cfg.grain))
-        orders = orders.join(self.periods.select("store_id", "period_start"), ["store_id", "period_start"], "left_semi")
-        return facts.product_performance(replace(self.tables, orders=orders), ["period_start"])
+        lines = self.tables.order_lines.withColumn("period_start", P.period_start(F.col("created_at"), self.cfg.grain))
+        lines = lines.join(self.periods.select("store_id", "period_start"), ["store_id", "period_start"], "left_semi")
+        return facts.product_performance(replace(self.tables, order_lines=lines), ["period_start"])
+
+    @kept
+    def basis(self) -> DataFrame:
+        return profitability.refund_basis(self.tables, self.cfg)
 
     @kept
     def profit(self) -> DataFrame:
-        return profitability.profitability(self.current, profitability.refund_basis(self.tables, self.cfg), self.cfg)
+        return profitability.profitability(self.current, self.basis, self.cfg)
+
+    @kept
+    def issues(self) -> DataFrame:
+        """What reading the tables found, and what they say when they are held against each other."""
+        negative = series.negative_periods(self.facts, self.periods, self.cfg)
+        return self.tables.issues.unionByName(quality.consistency_issues(self.tables, self.cfg, negative))
 
     @cached_property
     def kpis(self) -> DataFrame:
@@ -96,7 +119,7 @@ class Analysis:
         margins = health.product_margin(self.products, self.cfg)
         return health.dimensions(self.periods, self.comparisons, self.profit, self.kpis, margins, self.field_quality, self.cfg)
 
-    @kept
+    @cached_property
     def score(self) -> DataFrame:
         return health.health_score(self.dimensions)
 
@@ -112,7 +135,7 @@ class Analysis:
 
     @cached_property
     def limitations(self) -> DataFrame:
-        return insights.limitations(self.profit, self.factors, self.dimensions, self.tables.issues, self.periods)
+        return insights.limitations(self.profit, self.factors, self.dimensions, self.issues, self.periods)
 
     def report(self) -> DataFrame:
         """X-26: one JSON document per store; X-30's summary columns beside it.
@@ -120,6 +143,7 @@ class Analysis:
         Every section gives its items as (store, section, place, JSON) rows.
         They are gathered once, by store: a few hundred small rows each.
         """
+        self.prepare("products", "contributors", "campaigns", "basis", "issues", "field_quality", "anomalies", "factors")
         grain = self.cfg.grain
 
         def items(df: DataFrame, name: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -132,7 +156,7 @@ class Analysis:
             "comparisons": items(self.comparisons, "comparisons", ["metric", "kind"], ["metric", "kind", "available", "current", "reference", "delta", "pct"]),
             "anomalies": items(self.anomalies, "anomalies", ["metric"], ["metric", "direction", "severity", "assessment", "value", "mean", "pct", "z"]),
             "root_cause": items(self.factors, "root_cause", ["rank"], ["factor", "contribution", "confidence", "pct"]),
-            "product_contributors": items(rootcause.product_contributors(self.tables, self.periods, self.cfg), "product_contributors", ["rank"], ["sku", "delta", "contribution"]),
+            "product_contributors": items(self.contributors, "product_contributors", ["rank"], ["sku", "delta", "contribution"]),
             "campaign_contributors": items(self.campaigns.filter("rank <= 5"), "campaign_contributors", ["rank"], ["campaign_id", "name", "delta_conversions", "delta_cvr"]),
             "health_dimensions": items(self.dimensions, "health_dimensions", ["dimension"], ["dimension", "score", "weight"]),
             "insights": items(self.findings, "insights", ["rank"], ["item_id", "kind", "subject", "severity", "confidence", "statement"]),
@@ -140,7 +164,7 @@ class Analysis:
             "hypotheses": items(insights.hypotheses(self.factors), "hypotheses", ["statement"], ["statement", "supports"]),
             "top_customers": items(insights.top_customers(self.tables.orders), "top_customers", ["rank"], ["customer", "revenue", "orders"]),
             "data_quality": items(self.field_quality, "data_quality", ["field"], ["field", "coverage", "status"]),
-            "issues": items(quality.issue_counts(self.tables.issues), "issues", ["kind"], ["source", "kind", "severity", "message", "count"]),
+            "issues": items(quality.issue_counts(self.issues), "issues", ["kind"], ["source", "kind", "severity", "message", "count"]),
         }
         head = self.periods.join(self.current.select("store_id", (F.col("orders") + F.col("ad_rows") > 0).alias("has_rows")), "store_id")
         head = head.withColumns({"period": P.label(F.col("period_start"), grain), "status": F.when(F.col("has_rows"), "ok").otherwise("insufficient_data")})
@@ -190,7 +214,7 @@ def evidence_pack(a: Analysis) -> DataFrame:
         "hypotheses": listed(insights.hypotheses(a.factors), "hypotheses", ["statement"], text(c("statement"), c("supports"))),
         "recommendations": listed(a.recommendations, "recommendations", ["factor"], c("recommendation")),
         "limitations": a.limitations,
-        "contributors": listed(rootcause.product_contributors(a.tables, a.periods, a.cfg), "contributors", ["rank"], c("sku")),
+        "contributors": listed(a.contributors, "contributors", ["rank"], c("sku")),
     }
     out = a.periods.select("store_id")
     for part in parts.values():

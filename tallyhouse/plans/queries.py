@@ -15,7 +15,7 @@ from ..config import AnalyticsConfig
 from ..functions import periods as P
 from ..operators import facts as A
 from ..operators import insights, kpis, profitability, quality, rootcause, series, validate
-from ..sources.testdata import read_stores
+from ..sources.testdata import read_stores, stored_stores
 from . import sql as S
 from .analyze import Analysis, evidence_pack
 
@@ -54,8 +54,8 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def analysis(spark: SparkSession, sf_dir: str, cfg: AnalyticsConfig = CFG) -> Analysis:
-    """Several results share the adapter's joins, so its tables are kept; stored snapshots would not need it."""
-    return Analysis(read_stores(spark, sf_dir).persist(), cfg)
+    """An analysis of the stored snapshot of these inputs."""
+    return Analysis(stored_stores(spark, sf_dir), cfg)
 
 
 def _kpi_sql(columns: dict[str, str], grain: str = "week", where: str = "") -> str:
@@ -64,7 +64,9 @@ def _kpi_sql(columns: dict[str, str], grain: str = "week", where: str = "") -> s
 
 
 def _kpis(spark: SparkSession, sf_dir: str, *names: str, cfg: AnalyticsConfig = CFG) -> DataFrame:
-    return tidy(kpis.kpis_wide(A.period_facts(read_stores(spark, sf_dir), cfg.grain)).select("store_id", "period_start", *names))
+    """Those KPIs, from the parts of the facts that they need."""
+    needs = set.union(kpis.PRESENT, *(kpis.NEEDS[n] for n in names))
+    return tidy(kpis.kpis_wide(A.period_facts(read_stores(spark, sf_dir), cfg.grain, needs)).select("store_id", "period_start", *names))
 
 
 KPI_SQL = {
@@ -151,6 +153,30 @@ def q_field_quality(spark, sf_dir):
     return tidy(quality.field_quality(read_stores(spark, sf_dir), CFG))
 
 
+#: Issues of the adapter's tables: every order has a total, none is cancelled or a draft, and a store has one currency.
+_ISSUES = """
+near as (select *, abs(total - (subtotal + tax)) <= 0.02 or abs(total - subtotal) <= 0.02 as post, abs(total - (subtotal - discount + tax)) <= 0.02 or abs(total - (subtotal - discount)) <= 0.02 as pre from o_),
+iss_n as (
+  select store_id, 'shopify' as source, 'subtotal_convention_contradiction' as kind, 'error' as severity, count(*) filter (pre and not post) as n from near group by 1 union all
+  select store_id, 'shopify', 'subtotal_contract_unverified', 'warning', count(*) filter ((post and pre and discount > 0) or (not post and not pre)) from near group by 1 union all
+  select store_id, 'shopify', 'refund_exceeds_order_total', 'warning', count(*) from re_ r join o_ o using (store_id, order_id) where r.source = 'shopify' and r.amount > o.total + 0.02 group by 1 union all
+  select store_id, 'shopify', 'negative_subtotal', 'warning', count(*) filter (subtotal < 0) from o_ group by 1 union all
+  select store_id, 'shopify', 'unsettled_orders_counted', 'warning', count(*) filter (financial_status in ('pending', 'partially_paid')) from o_ group by 1 union all
+  select store_id, 'shopify', 'zero_value_orders_counted', 'info', count(*) filter (subtotal = 0) from o_ group by 1 union all
+  select store_id, 'reconciliation', 'refund_mismatch', 'warning', case when a <> 0 and b <> 0 and cast(abs(a - b) as double) / cast(greatest(a, b) as double) > 0.01 then 1 else 0 end
+    from (select store_id, coalesce(sum(amount) filter (source = 'shopify'), 0) as a, coalesce(sum(amount) filter (source = 'stripe'), 0) as b from re_ group by 1) union all
+  select store_id, 'analytics', 'negative_period_revenue', 'warning', count(*) filter (revenue < 0) from wide group by 1),
+iss as (select store_id, source, kind, severity, n from iss_n where n > 0)
+"""
+
+
+@query(f"with {S.series()}, {_ISSUES} select store_id, source, kind, severity, cast(n as bigint) as \"count\" from iss")
+def q_issues(spark, sf_dir):
+    """Q-03 to Q-07, P-10, A-16: the checks between the tables as issue rows."""
+    a = analysis(spark, sf_dir)
+    return tidy(quality.issue_counts(a.issues).select("store_id", "source", "kind", "severity", "count"))
+
+
 def _long_kpi_sql() -> str:
     inc = lambda v: f"case when ({v}) is null then 'unavailable' else 'incomplete' end"
     margin = "case when covered_revenue <= 0 then 'unavailable' when cast(covered_revenue as double) / cast(line_revenue as double) >= 0.95 then 'reliable' else 'incomplete' end"
@@ -158,21 +184,25 @@ def _long_kpi_sql() -> str:
     q |= {"ad_spend": "'incomplete'", "clicks": "'incomplete'", "gross_margin": margin, "cogs": margin, "payment_fees": "q_fees", "new_customers": "q_ident", "customer_concentration_top5": "q_ident"}
     q |= {n: inc(KPI_SQL[n]) for n in ("paid_conversion_rate", "cac", "roas", "repeat_purchase_rate")}
     q |= {n: f"case when ({KPI_SQL[n]}) is null then 'unavailable' else 'reliable' end" for n in ("aov", "refund_rate")}
-    q["revenue"] = "case when revenue < 0 then 'incomplete' else 'reliable' end"
+    q["revenue"] = "case when revenue < 0 or has_contradiction then 'incomplete' else 'reliable' end"
     notes = dict.fromkeys(KPI_SQL, "''")
     notes["cac"] = "case when ad_rows = 0 then 'no_ad_data' else '' end"
-    rows = " union all ".join(f"select store_id, cast(ps as varchar) as period_start, '{n}' as metric, {v} as value, {q[n]} as data_quality, {notes[n]} as notes from x" for n, v in KPI_SQL.items() if n != "gross_margin")
+    notes["revenue"] = "case when has_unverified then 'subtotal_contract_unverified' else '' end"
+    notes["gross_margin"] = "'cost_coverage=' || case when line_revenue <> 0 then printf('%.0f%%', cast(covered_revenue as double) / cast(line_revenue as double) * 100) else 'unknown' end"
+    rows = " union all ".join(f"select store_id, cast(ps as varchar) as period_start, '{n}' as metric, {v} as value, {q[n]} as data_quality, {notes[n]} as notes from x" for n, v in KPI_SQL.items())
     ident = "(select max(status) from fq where fq.store_id = f.store_id and field = 'customer_identity')"
     fees = "(select max(status) from fq where fq.store_id = f.store_id and field = 'payment_fees')"
-    return f"with {S.facts()}, {_FIELDS}, x as (select *, {ident} as q_ident, {fees} as q_fees from f) {rows}"
+    has = lambda kind: f"exists (select 1 from iss where iss.store_id = f.store_id and iss.kind = '{kind}')"
+    return f"""with {S.series()}, {_FIELDS}, {_ISSUES}, x as (select *, {ident} as q_ident, {fees} as q_fees, {has('subtotal_convention_contradiction')} as has_contradiction,
+ {has('subtotal_contract_unverified')} as has_unverified from f) {rows}"""
 
 
 @query(_long_kpi_sql())
 def k_all_kpis(spark, sf_dir):
-    """K-01 to K-17 in long form with quality and notes (gross_margin's note holds a formatted share and is tested apart)."""
-    a = analysis(spark, sf_dir)
-    long = kpis.kpis_long(a.facts, a.field_quality, a.tables.issues)
-    return tidy(long.filter("metric <> 'gross_margin'").select("store_id", "period_start", "metric", "value", "data_quality", "notes"))
+    """K-01 to K-17 in long form with quality and notes."""
+    a = analysis(spark, sf_dir).prepare("field_quality", "issues")
+    long = kpis.kpis_long(a.facts, a.field_quality, a.issues)
+    return tidy(long.select("store_id", "period_start", "metric", "value", "data_quality", "notes"))
 
 
 @query(f"with {S.TABLES} select store_id, customer_id, count(*) as n_orders, {S.r('sum(subtotal)')} as revenue, cast(cast(min(created_at) as date) as varchar) as first_order_at, cast(cast(max(created_at) as date) as varchar) as last_order_at from o_ group by 1, 2")
@@ -302,7 +332,7 @@ an as (select *, case when pct > 0 then 'up' else 'down' end as direction,
 
 
 @query(f"""with {_ANOMALY} select store_id, metric, cast(ps as varchar) as period_start, {S.r('v')} as value, {S.r('m')} as mean, n as points, {S.r('pct')} as pct, {S.r('z')} as z, direction, severity,
- case when metric = 'ad_spend' then 'neutral' when (metric = 'refunds') = (pct < 0) then 'favorable' else 'unfavorable' end as assessment from an""")
+ case when metric in ('ad_spend', 'paid_clicks') then 'neutral' when (metric = 'refunds') = (pct < 0) then 'favorable' else 'unfavorable' end as assessment from an""")
 def x_anomalies(spark, sf_dir):
     """X-01 to X-03, P-12."""
     return tidy(analysis(spark, sf_dir).anomalies)
@@ -335,12 +365,13 @@ def x_root_cause_factors(spark, sf_dir):
 
 @query(f"""with {S.facts()}, d as (select l.store_id, l.sku, coalesce(sum(line_revenue) filter (cast(date_trunc('week', created_at) as date) = n.ps), 0) as c, coalesce(sum(line_revenue) filter (cast(date_trunc('week', created_at) as date) = n.ps - 7), 0) as p
  from l_ l join o_ o using (store_id, order_id) join now_ n on n.store_id = l.store_id where cast(date_trunc('week', created_at) as date) in (n.ps, n.ps - 7) group by 1, 2),
-e as (select *, c - p as delta, row_number() over (partition by store_id order by abs(c - p) desc, sku) as rk, sum(c - p) over (partition by store_id) as total from d)
+e as (select d.*, c - p as delta, row_number() over (partition by d.store_id order by abs(c - p) desc, sku) as rk, coalesce(a.revenue, 0) - coalesce(b.revenue, 0) as total
+ from d join now_ n on n.store_id = d.store_id left join f a on a.store_id = n.store_id and a.ps = n.ps left join f b on b.store_id = n.store_id and b.ps = n.ps - 7)
 select store_id, sku, {S.r('c')} as "current", {S.r('p')} as previous, {S.r('delta')} as delta, {S.ratio('delta', 'total')} as contribution, rk as "rank" from e where rk <= 5""")
 def x_product_contributors(spark, sf_dir):
     """X-09, J-06."""
     a = analysis(spark, sf_dir)
-    return tidy(rootcause.product_contributors(a.tables, a.periods, CFG))
+    return tidy(rootcause.product_contributors(a.tables, a.periods, a.facts, CFG))
 
 
 _CAMPAIGNS = """cd as (select a.store_id, campaign_id, coalesce(sum(spend) filter (w = n.ps), 0) as s1, coalesce(sum(spend) filter (w = n.ps - 7), 0) as s0, coalesce(sum(clicks) filter (w = n.ps), 0) as k1, coalesce(sum(clicks) filter (w = n.ps - 7), 0) as k0,
@@ -381,7 +412,8 @@ pf as (select *, case when revenue <> 0 and len(missing) < 5 then revenue - cost
 def x_profitability(spark, sf_dir):
     """X-05, for every period."""
     a = analysis(spark, sf_dir)
-    out = profitability.profitability(a.facts, profitability.refund_basis(a.tables, CFG), CFG)
+    a.prepare("basis")
+    out = profitability.profitability(a.facts, a.basis, CFG)
     return tidy(out.select("store_id", "period_start", "cost_cogs", "cost_payment_fees", "cost_advertising", "cost_refunds", "missing", "partial_profit", "partial_margin"))
 
 
@@ -419,7 +451,7 @@ def x_health_dimensions(spark, sf_dir):
 select store_id, health_score, dimensions, case when health_score is null then 'unknown' when health_score >= 80 then 'healthy' when health_score >= 60 then 'watch' when health_score >= 40 then 'at_risk' else 'critical' end as interpretation from sc""")
 def x_health_score(spark, sf_dir):
     """X-18, X-19."""
-    return tidy(analysis(spark, sf_dir).score)
+    return tidy(analysis(spark, sf_dir).prepare("products", "basis", "field_quality").score)
 
 
 @query(f"""with {S.TABLES}, b as (select store_id, customer_id, sum(subtotal) as rev, count(*) as orders from o_ group by 1, 2), k as (select *, row_number() over (partition by store_id order by rev desc, customer_id) as rk from b)
@@ -432,7 +464,7 @@ def x_top_customers(spark, sf_dir):
 @query()
 def x_insights_ranked(spark, sf_dir):
     """X-20, X-22, X-29; its parts have twins of their own."""
-    return tidy(analysis(spark, sf_dir).findings)
+    return tidy(analysis(spark, sf_dir).prepare("products", "campaigns", "basis", "anomalies", "factors").findings)
 
 
 @query()

@@ -1,10 +1,11 @@
-"""Canonical tables. Every one leads with store_id; unknown stays null."""
+"""Canonical tables. Every one leads with store_id; unknown stays null; a line carries its order's date."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MONEY = "decimal(19,4)"
 SCHEMAS = {
@@ -13,7 +14,7 @@ SCHEMAS = {
         f"store_id string, order_id string, customer_id string, customer_email string, created_at timestamp, currency string, subtotal {MONEY}, "
         f"discount {MONEY}, shipping {MONEY}, tax {MONEY}, total {MONEY}, has_total boolean, financial_status string, cancelled boolean, draft boolean, source string"
     ),
-    "order_lines": f"store_id string, order_id string, line_no int, sku string, title string, quantity long, unit_price {MONEY}, line_revenue {MONEY}",
+    "order_lines": f"store_id string, order_id string, created_at timestamp, line_no int, sku string, title string, quantity long, unit_price {MONEY}, line_revenue {MONEY}",
     "payments": f"store_id string, payment_id string, created_at timestamp, amount {MONEY}, fee {MONEY}, net {MONEY}, status string, order_id string, customer_email string, source string",
     "refunds": f"store_id string, refund_id string, created_at timestamp, amount {MONEY}, order_id string, source string",
     "campaigns": "store_id string, campaign_id string, name string, channel string",
@@ -37,11 +38,7 @@ class StoreTables:
 
     def only(self, store_id: str) -> StoreTables:
         """One store; the filter reaches the scans (F-04)."""
-        return StoreTables(*(getattr(self, n).filter(f"store_id = '{store_id}'") for n in self.__dataclass_fields__))
-
-    def persist(self) -> StoreTables:
-        """The same tables, each kept once computed: for several results from inputs that are not stored tables."""
-        return StoreTables(*(getattr(self, n).persist() for n in self.__dataclass_fields__))
+        return StoreTables(*(getattr(self, n).filter(F.col("store_id") == F.lit(store_id)) for n in self.__dataclass_fields__))
 
 
 #: unit and definition of the KPIs.

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+def root(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which executors share too."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return f"{named.rstrip('/')}/tallyhouse"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallyhouse.scratch.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tallyhouse-")
-        spark.conf.set("tallyhouse.scratch.dir", root)
-    return f"{root.rstrip('/')}/tallyhouse/{name}-{uuid.uuid4().hex}"
+    """A fresh path of its own."""
+    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path that all queries of an application find again."""
+    return f"{root(spark)}/{name}-{spark.sparkContext.applicationId}"

@@ -1,61 +1,102 @@
-"""Immutable snapshots: partitioned Parquet, sealed by a manifest written last (S-09, S-10)."""
+"""Immutable snapshots: Parquet by store, sealed by a manifest written last (S-09 to S-11)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SCHEMAS, StoreTables
 
-_SEAL = "snapshot_id string, table string, store_id string, rows long, checksum long, status string"
+_SEAL = "snapshot_id string, attempt string, fingerprint string, table string, store_id string, rows long, checksum decimal(38,0), status string, sealed_at timestamp"
 
 
-def _digest(df: DataFrame, snapshot_id: str, name: str) -> DataFrame:
-    columns = sorted(c for c in df.columns if c != "snapshot_id")
-    return df.groupBy("store_id").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*columns)).alias("checksum")).select(
-        F.lit(snapshot_id).alias("snapshot_id"), F.lit(name).alias("table"), "store_id", "rows", "checksum", F.lit("completed").alias("status")
-    )
+def digest(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows and an order-free checksum; a sum of hashes, so that repeated rows count too."""
+    columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    total = F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), total.alias("checksum"))
 
 
-def write_snapshot(tables: StoreTables, root: str, snapshot_id: str) -> None:
-    """All tables, then the manifest; without a manifest a snapshot doesn't exist."""
-    for name in SCHEMAS:
-        df = getattr(tables, name).withColumn("snapshot_id", F.lit(snapshot_id))
-        df.write.mode("append").partitionBy("snapshot_id", "store_id").parquet(f"{root}/{name}")
+def _base(root: str, table: str, snapshot_id: str, attempt: str) -> str:
+    return f"{root}/{table}/snapshot_id={snapshot_id}/attempt={attempt}"
+
+
+def write_snapshot(tables: StoreTables, root: str, snapshot_id: str, fingerprint: str | None = None) -> None:
+    """All tables, then the manifest; without a manifest a snapshot doesn't exist.
+
+    Every attempt has folders of its own and the manifest names the one it
+    sealed: what a crashed attempt left behind is never read.
+    """
+    attempt = uuid.uuid4().hex
     spark = tables.orders.sparkSession
     seal = None
     for name in SCHEMAS:
-        written = _read(spark, root, name, snapshot_id)
-        part = _digest(written, snapshot_id, name)
+        base = _base(root, name, snapshot_id, attempt)
+        # few files a store, and a large store in several tasks
+        getattr(tables, name).hint("rebalance", "store_id").write.partitionBy("store_id").parquet(base)
+        part = digest(_read(spark, root, name, snapshot_id, attempt), "store_id").select(
+            F.lit(snapshot_id).alias("snapshot_id"),
+            F.lit(attempt).alias("attempt"),
+            F.lit(fingerprint).cast("string").alias("fingerprint"),
+            F.lit(name).alias("table"),
+            "store_id",
+            "rows",
+            "checksum",
+            F.lit("completed").alias("status"),
+            F.current_timestamp().alias("sealed_at"),
+        )
         seal = part if seal is None else seal.unionByName(part)
-    seal.write.mode("append").parquet(f"{root}/manifest")
+    seal.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
 
 
-def _read(spark: SparkSession, root: str, name: str, snapshot_id: str) -> DataFrame:
-    typed = ", ".join(f"{c}" for c in SCHEMAS[name].split(", ")) + ", snapshot_id string"
-    return spark.read.schema(typed).parquet(f"{root}/{name}").filter(F.col("snapshot_id") == snapshot_id)
+def _read(spark: SparkSession, root: str, name: str, snapshot_id: str, attempt: str) -> DataFrame:
+    columns = [c.split(" ")[0] for c in SCHEMAS[name].replace("decimal(19,4)", "decimal").split(", ")]
+    return spark.read.schema(SCHEMAS[name]).parquet(_base(root, name, snapshot_id, attempt)).select(*columns)
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """One row per completed snapshot, table and store; empty where nothing was sealed yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], _SEAL)
     return spark.read.schema(_SEAL).parquet(f"{root}/manifest")
 
 
+def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """L-05: completed snapshots, newest first, with their stores and rows."""
+    of_one = manifest(spark, root).groupBy("snapshot_id", "attempt").agg(
+        F.max("fingerprint").alias("fingerprint"), F.countDistinct("store_id").alias("stores"), F.sum("rows").alias("rows"), F.max("sealed_at").alias("sealed_at")
+    )
+    return of_one.orderBy(F.desc("sealed_at"), "snapshot_id")
+
+
 def load_snapshot(spark: SparkSession, root: str, snapshot_id: str, check: bool = True) -> StoreTables:
-    """Pruned to the snapshot; refused if it is not sealed or differs from its seal."""
+    """The first sealed attempt; refused if there is none or it differs from its seal."""
     sealed = manifest(spark, root).filter(F.col("snapshot_id") == snapshot_id)
-    if sealed.limit(1).count() == 0:
+    first = sealed.agg(F.min(F.struct("sealed_at", "attempt")).alias("a")).first().a
+    if first is None:
         raise ValueError(f"snapshot {snapshot_id} is not completed")
     tables = {}
     for name in SCHEMAS:
-        df = _read(spark, root, name, snapshot_id)
+        df = _read(spark, root, name, snapshot_id, first.attempt)
         if check:
-            now = _digest(df, snapshot_id, name)
-            if sealed.filter(F.col("table") == name).exceptAll(now).limit(1).count() or now.exceptAll(sealed).limit(1).count():
+            was = sealed.filter((F.col("table") == name) & (F.col("attempt") == first.attempt)).select("store_id", "rows", "checksum")
+            now = digest(df, "store_id")
+            if was.exceptAll(now).unionByName(now.exceptAll(was)).limit(1).count():
                 raise ValueError(f"table {name} of snapshot {snapshot_id} differs from its seal")
-        tables[name] = df.drop("snapshot_id")
+        tables[name] = df
     return StoreTables(**tables)
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """S-11: one JSON document per store."""
-    reports.select("store_id", "report").write.mode("errorifexists").partitionBy("store_id").text(path)
+def find_snapshot(spark: SparkSession, root: str, fingerprint: str) -> str | None:
+    """L-02: a completed snapshot of the same inputs."""
+    found = manifest(spark, root).filter((F.col("status") == "completed") & (F.col("fingerprint") == fingerprint))
+    return found.agg(F.min("snapshot_id").alias("s")).first().s
+
+
+def write_reports(reports: DataFrame, quality: DataFrame, path: str) -> None:
+    """S-11: one analysis document and one data-quality document per store."""
+    reports.select("store_id", "report").write.mode("errorifexists").partitionBy("store_id").text(f"{path}/analysis")
+    quality.select("store_id", "data_quality").write.mode("errorifexists").partitionBy("store_id").text(f"{path}/data_quality")
