@@ -461,19 +461,60 @@ def x_top_customers(spark, sf_dir):
     return tidy(insights.top_customers(read_stores(spark, sf_dir).orders))
 
 
-@query()
+def _findings_sql() -> str:
+    said = lambda c: f"printf('%+.1f%%', {c} * 100)"
+    an = _ANOMALY.replace(S.facts(), "").lstrip(" ,\n")
+    return f"""{_factor_sql()}, {an},
+ ass as (select *, case when metric in ('ad_spend', 'paid_clicks') then 'neutral' when (metric = 'refunds') = (pct < 0) then 'favorable' else 'unfavorable' end as assessment from an),
+ dec as (select store_id, severity, pct from ass where metric = 'revenue' and direction = 'down'),
+ lead as (select store_id, max_by(factor, abs(con)) as factor, max_by(conf, abs(con)) as conf from fa where con is not null group by 1),
+ {_PROFIT}, {_CAMPAIGNS},
+ pp as (select l.store_id, sku, sum(line_revenue) as rev, sum(quantity * unit_cogs) as cogs from l_ l join o_ o using (store_id, order_id) join now_ n on n.store_id = l.store_id and n.ps = cast(date_trunc('week', created_at) as date) left join p_ p using (store_id, sku) group by 1, 2),
+ pm as (select *, case when rev <> 0 then cast(rev - cogs as double) / cast(rev as double) end as margin from pp),
+ pu as (select n.store_id, coalesce(missing, case when c_known then ['cogs', 'payment_fees', 'advertising', 'shipping'] end) as missing from (select *, true as c_known from now_) n left join pf on pf.store_id = n.store_id and pf.ps = n.ps),
+ best as (select store_id, max_by(campaign_id, (v1 - v0, campaign_id)) as campaign_id, max(v1 - v0) as v from ca where v1 - v0 > 0 group by 1),
+ conc as (select n.store_id, cast(top5_revenue as double) / cast(revenue as double) as v from now_ n join f on f.store_id = n.store_id and f.ps = n.ps where revenue <> 0),
+ fnd as (
+  select dec.store_id, 'revenue_decline' as kind, coalesce(factor, 'revenue') as subject, severity, coalesce(conf, 0.4) as confidence, pct as value, 'Revenue changed by ' || {said('pct')} as statement from dec left join lead using (store_id) union all
+  select store_id, 'anomaly', metric, case assessment when 'favorable' then 'info' when 'neutral' then 'low' else severity end, 0.45, pct, metric || ' changed by ' || {said('pct')} from ass
+   where metric <> 'revenue' and not (metric in ('orders', 'aov', 'paid_conversion_rate', 'paid_clicks', 'roas') and store_id in (select store_id from dec)) union all
+  select store_id, 'profit_unavailable', array_to_string(missing, ','), 'medium', 0.9, len(missing), 'Profit is unknown without ' || array_to_string(missing, ', ') from pu union all
+  select store_id, 'low_margin_product', sku, 'medium', 0.7, margin, 'Product ' || sku || ' has a margin of ' || {said('margin')} from pm where margin < 0.2 and rev > 0 union all
+  select store_id, 'customer_concentration', 'top5', 'medium', 0.6, v, 'Five customers hold a large share of revenue' from conc where v >= 0.4 union all
+  select store_id, 'campaign_opportunity', campaign_id, 'info', 0.4, v, 'Campaign ' || campaign_id || ' gained conversions' from best),
+ rkd as (select *, row_number() over (partition by store_id order by case when kind = 'revenue_decline' then 0 else 1 end, case severity when 'high' then 0 when 'medium' then 1 when 'low' then 2 else 3 end, confidence desc, kind, subject) as rk from fnd),
+ idd as (select *, row_number() over (partition by store_id, kind order by rk) as nth from rkd)"""
+
+
+@query(f"""with {_findings_sql()} select store_id, kind, subject, severity, {S.r('confidence')} as confidence, {S.r('value')} as value, statement, rk as "rank", kind || case when nth > 1 then '-' || nth else '' end as item_id from idd""")
 def x_insights_ranked(spark, sf_dir):
-    """X-20, X-22, X-29; its parts have twins of their own."""
+    """X-20, X-22, X-29."""
     return tidy(analysis(spark, sf_dir).prepare("products", "campaigns", "basis", "anomalies", "factors").findings)
 
 
-@query()
+@query(f"""with {_findings_sql()}, worst as (select store_id, campaign_id from ca where rk = 1 and v1 - v0 < 0)
+select store_id, subject as factor, case subject when 'paid_clicks' then 'check budgets, bids and paused campaigns' when 'paid_conversion_rate' then 'check landing pages, stock and checkout' when 'aov' then 'check discounts, bundles and the product mix' else 'review revenue drivers' end
+ || case when subject = 'paid_conversion_rate' and campaign_id is not null then '; worst campaign: ' || campaign_id else '' end as recommendation from fnd left join worst using (store_id) where kind = 'revenue_decline'""")
 def x_recommendations(spark, sf_dir):
     """X-21."""
     return tidy(analysis(spark, sf_dir).recommendations)
 
 
-@query()
+def _limitations_sql() -> str:
+    """Costs that are unknown, a change that was not decomposed, dimensions without score, then warnings; each list in order."""
+    series = S.series().replace(S.facts(), "").lstrip(" ,\n")
+    return f"""with {_health_sql()}, {series}, {_ISSUES},
+ fr as (select n.store_id from now_ n join f a on a.store_id = n.store_id and a.ps = n.ps join f b on b.store_id = n.store_id and b.ps = n.ps - 7 where a.revenue > 0 and b.revenue > 0),
+ lst as (
+  select n.store_id, 1 as part, i as place, 'cost unknown: ' || m as said from now_ n left join pf on pf.store_id = n.store_id and pf.ps = n.ps,
+   lateral (select unnest(coalesce(missing, ['cogs', 'payment_fees', 'advertising', 'shipping'])) as m, generate_subscripts(coalesce(missing, ['cogs', 'payment_fees', 'advertising', 'shipping']), 1) as i) union all
+  select store_id, 2, 1, 'revenue change not decomposed' from now_ where store_id not in (select store_id from fr) union all
+  select store_id, 3, row_number() over (partition by store_id order by dimension), 'not scored: ' || dimension from di where score is null union all
+  select store_id, 4, row_number() over (partition by store_id order by kind), 'issue: ' || kind from (select distinct store_id, kind from iss where severity in ('warning', 'error')))
+ select store_id, string_agg(said, ',' order by part, place) as limitations from lst group by 1"""
+
+
+@query(_limitations_sql())
 def x_limitations(spark, sf_dir):
     """X-24."""
     return tidy(analysis(spark, sf_dir).limitations)
