@@ -12,8 +12,8 @@ from ..functions import redaction as R
 from ..operators import facts as A
 from ..operators import lineage, normalize, quality, series, validate
 from ..operators.kpis import kpi_columns
-from ..sources import scratch, snapshots
-from ..sources.testdata import read_stores
+from ..sources import exports, scratch, snapshots
+from ..sources.testdata import read_stores, stored_stores, write_exports
 from . import sql as S
 from .queries import CFG, _compare_sql, analysis, query, tidy
 
@@ -69,6 +69,50 @@ def n_money_exactness(spark, sf_dir):
     return tidy(normalize.money_exactness_report(rows, ["price", "sixth"]))
 
 
+# exports ---------------------------------------------------------------------
+
+
+def _exported(spark, sf_dir: str) -> str:
+    return write_exports(stored_stores(spark, sf_dir), scratch.new_path(spark, "exports"))
+
+
+_LINES_KEPT = "(select distinct store_id, order_id, sku, quantity, cast(gross / l_quantity as decimal(19,4)) as price from (select store_id, cast(l_orderkey as varchar) as order_id, cast(l_partkey as varchar) as sku, cast(l_quantity as bigint) as quantity, gross, cast(l_quantity as decimal(10,0)) as l_quantity from money join own on l_orderkey = o_orderkey))"
+
+
+@query(f"""with {S.TABLES}, a as (select store_id, count(*) as orders, count(distinct customer_id) as customers, {S.r('sum(subtotal)')} as revenue, {S.r('sum(total)')} as order_value from o_ group by 1),
+b as (select store_id, count(*) as lines, cast(sum(quantity) as bigint) as units from {_LINES_KEPT} group by 1), r as (select store_id, {S.r('sum(amount)')} as refunds from re_ where source = 'shopify' group by 1),
+p as (select store_id, count(*) as payments, {S.r('sum(fee)')} as fees from pay_ group by 1), d as (select store_id, {S.r('sum(spend)')} as spend, cast(sum(clicks) as bigint) as clicks from ad_ group by 1), q as (select store_id, count(*) as products, count(unit_cogs) as with_cost from p_ group by 1)
+select a.*, lines, units, refunds, payments, fees, spend, clicks, products, with_cost from a left join b using (store_id) left join r using (store_id) left join p using (store_id) left join d using (store_id) left join q using (store_id)""")
+def s_export_round_trip(spark, sf_dir):
+    """S-01 to S-08, N-11 to N-21: the stores written as CSV exports in several forms, triaged, read and normalised again."""
+    t = exports.load_exports(spark, _exported(spark, sf_dir))
+    by = lambda df, **sums: df.groupBy("store_id").agg(*[e.alias(n) for n, e in sums.items()])
+    n = F.count(F.lit(1))
+    parts = [
+        by(t.order_lines, lines=n, units=F.sum("quantity")),
+        by(t.refunds, refunds=F.sum("amount")),
+        by(t.payments, payments=n, fees=F.sum("fee")),
+        by(t.ad_daily, spend=F.sum("spend"), clicks=F.sum("clicks")),
+        by(t.products, products=n, with_cost=F.count("unit_cogs")),
+    ]
+    out = by(t.orders, orders=n, customers=F.countDistinct("customer_id"), revenue=F.sum("subtotal"), order_value=F.sum("total"))
+    for part in parts:
+        out = out.join(part, "store_id", "left")
+    return tidy(out.withColumn("store_id", F.replace("store_id", F.lit("store_id="), F.lit(""))))
+
+
+@query(f"""with {S.TABLES}, n as (select store_id, order_id, count(*) as k from l_ group by 1, 2), kept as (select store_id, order_id, count(*) as k from {_LINES_KEPT} group by 1, 2),
+o as (select store_id, 'shopify_orders' as source, sum(coalesce(n.k, 1)) as rows_read, sum(coalesce(kept.k, 1)) as accepted_rows, sum(coalesce(n.k, 0) - coalesce(kept.k, 0)) as issues, min(cast(created_at as date)) as a, max(cast(created_at as date)) as b, max(currency) as currency from o_ left join n using (store_id, order_id) left join kept using (store_id, order_id) group by 1),
+u as (select * from o union all select store_id, 'shopify_products', count(*), count(*), 0, null, null, null from p_ group by 1 union all select store_id, 'stripe', count(*), count(*), 0, min(cast(created_at as date)), max(cast(created_at as date)), null from pay_ group by 1
+ union all select store_id, 'google_ads', count(*), count(*), 0, min(day), max(day), null from ad_ group by 1)
+select store_id, source, cast(rows_read as bigint) as rows_read, cast(accepted_rows as bigint) as accepted_rows, cast(rows_read - accepted_rows as bigint) as rejected_rows, cast(issues as bigint) as issues, cast(a as varchar) as first_day, cast(b as varchar) as last_day, currency,
+ case when issues > 0 then 'valid_with_issues' else 'valid' end as verdict from u""")
+def q_file_validation(spark, sf_dir):
+    """Q-12 for all four sources."""
+    raw, _ = exports.read_exports(spark, _exported(spark, sf_dir))
+    return tidy(exports.validate_exports(raw).withColumn("store_id", F.replace("store_id", F.lit("store_id="), F.lit(""))))
+
+
 # quality ---------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,11 @@ NORMALIZE = {
 }
 
 
+_CODES = [(chr(b), bytes([b]).decode("windows-1252", "replace")) for b in range(0x80, 0xA0)]
+#: Control characters of ISO 8859-1, and what windows-1252 has in their places.
+_WINDOWS = "".join(a for a, b in _CODES if b != "\ufffd"), "".join(b for _, b in _CODES if b != "\ufffd")
+
+
 def triage_files(spark: SparkSession, glob: str) -> DataFrame:
     """S-05, S-07: per file its sha256, refusal, encoding, delimiter, header and source.
 
@@ -57,38 +63,91 @@ def triage_files(spark: SparkSession, glob: str) -> DataFrame:
     return out.select("path", "length", "sha256", "refused", "encoding", "best.delimiter", "best.header", F.array_max(F.array_compact(found))["source"].alias("source"))
 
 
-def read_export(spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str = ",", multi_line: bool = True) -> DataFrame:
+def read_export(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", delimiter: str = ",", multi_line: bool = True) -> DataFrame:
     """All columns as text, with store_id (the folder), file and row_no (S-06).
 
     ``multi_line`` keeps quoted line breaks; a file is then one task, and
     parallelism comes from many files. Clean input can be split without it.
     """
-    raw = spark.read.csv(path, header=True, encoding=encoding, sep=delimiter, multiLine=multi_line, quote='"', escape='"', inferSchema=False, enforceSchema=False)
+    read_as = "ISO-8859-1" if encoding == "windows-1252" else encoding
+    raw = spark.read.csv(path, header=True, encoding=read_as, sep=delimiter, multiLine=multi_line, quote='"', escape='"', inferSchema=False, enforceSchema=False)
     columns = raw.columns
+    # Spark reads no windows-1252; it is ISO 8859-1 but for 27 characters
+    cell = (lambda x: F.translate(x, *_WINDOWS)) if encoding == "windows-1252" else (lambda x: x)
     name = F.col("_metadata.file_path")
-    out = raw.select(*[F.col(f"`{c}`") for c in columns], name.alias("file"), F.element_at(F.split(name, "/"), -2).alias("store_id"), F.monotonically_increasing_id().alias("row_no"))
+    out = raw.select(*[cell(F.col(f"`{c}`")).alias(c) for c in columns], name.alias("file"), F.url_decode(F.element_at(F.split(name, "/"), -2)).alias("store_id"), F.monotonically_increasing_id().alias("row_no"))
     return clean_headers(out)
 
 
-def load_stores(spark: SparkSession, paths: dict[str, str], **options: object) -> StoreTables:
-    """S-08: canonical tables from exports by source name; an absent source is an issue of every store."""
-    parts = {s: NORMALIZE[s](read_export(spark, p, **options)) for s, p in paths.items()}
+def _columns(table: str) -> list[str]:
+    return [c.split(" ")[0] for c in SCHEMAS[table].replace("decimal(19,4)", "decimal").split(", ")]
+
+
+def _gather(spark: SparkSession, parts: dict[str, dict[str, DataFrame]]) -> StoreTables:
+    """Canonical tables from the normalised sources; an absent source is an issue of every store."""
     empty = lambda t: spark.createDataFrame([], SCHEMAS[t])
-    columns = lambda t: [c.split(" ")[0] for c in SCHEMAS[t].replace("decimal(19,4)", "decimal").split(", ")]
-    gather = lambda t: reduce(DataFrame.unionByName, [p[t].select(*columns(t)) for p in parts.values() if t in p], empty(t))
-    tables = {t: gather(t) for t in SCHEMAS}
+    tables = {t: reduce(DataFrame.unionByName, [p[t].select(*_columns(t)) for p in parts.values() if t in p], empty(t)) for t in SCHEMAS}
     stores = tables["orders"].select("store_id").union(tables["ad_daily"].select("store_id")).distinct()
     for s in SIGNATURES:
-        if s not in paths:
+        if s not in parts:
             severity = "error" if s == "shopify_orders" else "warning"
             missing = stores.select("store_id", F.lit(s).alias("source"), F.lit("missing_source").alias("kind"), F.lit(severity).alias("severity"), F.lit(f"no {s} export").alias("message"), F.lit(1).cast("long").alias("count"))
             tables["issues"] = tables["issues"].unionByName(missing)
     return StoreTables(**tables)
 
 
-def validate_files(parts: dict[str, DataFrame], rows_read: DataFrame) -> DataFrame:
-    """Q-12: rows read and accepted per store of an orders export, and its verdict."""
-    accepted = rows_read.join(parts["accepted_rows"], "store_id", "left").fillna(0, ["accepted_rows"])
-    bad = parts["issues"].groupBy("store_id").agg(F.sum("count").alias("issues"))
-    verdict = F.when(F.col("accepted_rows") == 0, "invalid").when(F.col("issues") > 0, "valid_with_issues").otherwise("valid")
-    return accepted.join(bad, "store_id", "left").fillna(0, ["issues"]).withColumn("rejected_rows", F.col("rows_read") - F.col("accepted_rows")).withColumn("verdict", verdict)
+def load_stores(spark: SparkSession, paths: dict[str, str], **options: object) -> StoreTables:
+    """S-08: canonical tables from exports whose sources and encoding are known."""
+    return _gather(spark, {s: NORMALIZE[s](read_export(spark, p, **options)) for s, p in paths.items()})
+
+
+def read_exports(spark: SparkSession, glob: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """S-05 to S-08: raw rows by source of whatever files lie there, and issues for those that can't be read.
+
+    Triage finds source, encoding and delimiter of each file; files that agree
+    in them are read together. The driver sees the files' paths, as it does
+    for any read.
+    """
+    files = triage_files(spark, glob).withColumn("store_id", F.url_decode(F.element_at(F.split("path", "/"), -2)))
+    bad = files.withColumn("reason", F.coalesce("refused", F.when(F.col("source").isNull(), "unknown_columns"))).filter("reason is not null")
+    issues = bad.groupBy("store_id", "reason").agg(F.count(F.lit(1)).alias("count")).select(
+        "store_id", F.lit("files").alias("source"), F.lit("refused_file").alias("kind"), F.lit("error").alias("severity"), F.col("reason").alias("message"), "count"
+    )
+    raw: dict[str, DataFrame] = {}
+    alike = files.filter("refused is null and source is not null").groupBy("source", "encoding", "delimiter").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    for r in alike.orderBy("source", "encoding", "delimiter").collect():  # at most one row for each way a source can be written
+        rows = read_export(spark, r.paths, r.encoding, r.delimiter)
+        raw[r.source] = raw[r.source].unionByName(rows, allowMissingColumns=True) if r.source in raw else rows
+    return raw, issues
+
+
+def load_exports(spark: SparkSession, glob: str) -> StoreTables:
+    """Files to canonical tables in one step, with every issue that reading them raised."""
+    raw, issues = read_exports(spark, glob)
+    parts = {s: NORMALIZE[s](rows) for s, rows in raw.items()}
+    tables = _gather(spark, parts)
+    return replace(tables, issues=tables.issues.unionByName(issues.select(*_columns("issues"))))
+
+
+def validate_exports(raw: dict[str, DataFrame]) -> DataFrame:
+    """Q-12: per store and source the rows read, accepted and rejected, issues, period, currency and verdict.
+
+    A source is invalid if a file was refused for a number or nothing was
+    accepted, valid with issues if any warning or error was raised.
+    """
+    facts = {"shopify_orders": ("orders", "created_at"), "shopify_products": ("products", None), "stripe": ("payments", "created_at"), "google_ads": ("ad_daily", "day")}
+    out = []
+    for source, rows in raw.items():
+        parts = NORMALIZE[source](rows)
+        name, at = facts[source]
+        day = F.to_date(at) if at else F.lit(None).cast("date")
+        code = F.when(F.countDistinct("currency") == 1, F.max("currency")) if name == "orders" else F.lit(None).cast("string")
+        seen = parts[name].groupBy("store_id").agg(F.count(F.lit(1)).alias("accepted_rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), code.alias("currency"))
+        if name == "orders":  # an order's further lines count too
+            seen = seen.drop("accepted_rows").join(parts["accepted_rows"], "store_id", "left")
+        found = parts["issues"].filter("severity <> 'info'").groupBy("store_id").agg(F.sum("count").alias("issues"), F.count_if(F.col("kind") == "malformed_number").alias("malformed"))
+        read = rows.groupBy("store_id").agg(F.count(F.lit(1)).alias("rows_read"))
+        both = read.join(seen, "store_id", "left").join(found, "store_id", "left").fillna(0, ["accepted_rows", "issues", "malformed"])
+        verdict = F.when((F.col("accepted_rows") == 0) | (F.col("malformed") > 0), "invalid").when(F.col("issues") > 0, "valid_with_issues").otherwise("valid")
+        out.append(both.select("store_id", F.lit(source).alias("source"), "rows_read", "accepted_rows", (F.col("rows_read") - F.col("accepted_rows")).alias("rejected_rows"), "issues", "first_day", "last_day", "currency", verdict.alias("verdict")))
+    return reduce(DataFrame.unionByName, out)

@@ -198,3 +198,49 @@ def stored_stores(spark: SparkSession, sf_dir: str) -> StoreTables:
         found = fingerprint[:16]
         snapshots.write_snapshot(read_stores(spark, sf_dir), root, found, fingerprint)
     return snapshots.load_snapshot(spark, root, found, check=False)
+
+
+def write_exports(tables: StoreTables, root: str) -> str:
+    """The tables as the exports they could have come from, a folder per source and store; returns the glob of all files.
+
+    Two stores are written with semicolons and one of them in a one-byte encoding.
+    """
+    c = F.col
+    text = lambda e: e.cast("string")
+    back = tables.refunds.filter("source = 'shopify'").groupBy("store_id", "order_id").agg(F.sum("amount").cast(MONEY).alias("refunded"))
+    lines = tables.order_lines.select("store_id", "order_id", "line_no", "sku", "quantity", "unit_price")
+    rows = tables.orders.join(lines, ["store_id", "order_id"], "left").join(back, ["store_id", "order_id"], "left").withColumn("line_no", F.coalesce("line_no", F.lit(1)))
+    least = tables.order_lines.groupBy("store_id", "order_id").agg(F.min("line_no").alias("first_no"))
+    rows = rows.join(least, ["store_id", "order_id"], "left")
+    head = lambda e: F.when(c("line_no") == F.coalesce(c("first_no"), F.lit(1)), text(e))
+    named = {
+        "Name": c("order_id"),
+        "Email": head(F.concat(c("customer_id"), F.lit("@Shop.org"))),
+        "Financial Status": head(c("financial_status")),
+        "Created at": head(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss +0000")),
+        "Currency": head(c("currency")),
+        "Subtotal": head(c("subtotal")),
+        "Discount Amount": head(c("discount")),
+        "Shipping": head(c("shipping")),
+        "Taxes": head(c("tax")),
+        "Total": head(c("total")),
+        "Refunded Amount": head(c("refunded")),
+        "Lineitem quantity": text(c("quantity")),
+        "Lineitem name": F.when(c("sku").isNotNull(), F.concat(F.lit("Größe "), c("sku"))),
+        "Lineitem price": text(c("unit_price")),
+        "Lineitem sku": c("sku"),
+    }
+    exports = {
+        "orders": rows.select("store_id", "order_id", "line_no", *[e.alias(n) for n, e in named.items()]),
+        "products": tables.products.select("store_id", c("sku").alias("order_id"), F.lit(1).alias("line_no"), c("sku").alias("SKU"), c("title").alias("Title"), text(c("unit_cogs")).alias("Cost per item")),
+        "payments": tables.payments.select("store_id", c("payment_id").alias("order_id"), F.lit(1).alias("line_no"), c("payment_id").alias("id"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("Created (UTC)"), text(c("amount")).alias("Amount"), text(c("fee")).alias("Fee"), c("status").alias("Status"), c("order_id").alias("order_id_of")),
+        "ads": tables.ad_daily.select("store_id", c("campaign_id").alias("order_id"), F.lit(1).alias("line_no"), text(c("day")).alias("Day"), c("campaign_id").alias("Campaign"), text(c("spend")).alias("Cost"), text(c("impressions")).alias("Impressions"), text(c("clicks")).alias("Clicks")),
+    }
+    semicolons = c("store_id").isin("ASIA", "EUROPE")
+    for name, df in exports.items():
+        # a store's file in the order of its rows; one store is one file, as a shop's export is
+        placed = df.repartition("store_id").sortWithinPartitions("store_id", "order_id", "line_no").drop("order_id", "line_no")
+        placed = placed.withColumnRenamed("order_id_of", "order_id")
+        for part, sep, encoding in ((~semicolons, ",", "UTF-8"), (c("store_id") == "ASIA", ";", "UTF-8"), (c("store_id") == "EUROPE", ";", "ISO-8859-1")):
+            placed.filter(part).write.mode("append").partitionBy("store_id").csv(f"{root}/{name}", header=True, sep=sep, encoding=encoding, escape='"')
+    return f"{root}/*/store_id=*/*.csv"

@@ -44,6 +44,23 @@ def test_triage(spark, folder):
     assert got["d.csv"].source is None and got["d.csv"].refused is None
 
 
+def test_files_to_tables_in_one_step(spark, tmp_path):
+    (tmp_path / "in" / "s").mkdir(parents=True)
+    (tmp_path / "in" / "s" / "ads.csv").write_bytes("Day;Campaign;Cost\n2026-01-01;Caf\xe9 \x80;1,50\n".encode("latin-1"))
+    (tmp_path / "in" / "s" / "orders.csv").write_text(ORDERS)
+    (tmp_path / "in" / "s" / "x.xlsx").write_bytes(b"PK\x03\x04rest")
+    (tmp_path / "in" / "s" / "other.csv").write_text("order_id,order_date\n1,2\n")
+    t = exports.load_exports(spark, f"{tmp_path}/in/*/*")
+    assert [(r.name, float(r.spend)) for r in t.campaigns.join(t.ad_daily, ["store_id", "campaign_id"]).collect()] == [("Café €", 1.5)]
+    assert t.orders.count() == 2
+    assert {(r.kind, r.message) for r in t.issues.filter("kind in ('refused_file', 'missing_source')").collect()} == {
+        ("refused_file", "xlsx_or_zip"), ("refused_file", "unknown_columns"), ("missing_source", "no stripe export"), ("missing_source", "no shopify_products export"),
+    }
+    raw, _ = exports.read_exports(spark, f"{tmp_path}/in/*/*")
+    got = {r.source: (r.rows_read, r.accepted_rows, r.verdict, str(r.first_day), r.currency) for r in exports.validate_exports(raw).collect()}
+    assert got == {"google_ads": (1, 1, "valid", "2026-01-01", None), "shopify_orders": (5, 3, "valid_with_issues", "2026-09-07", "EUR")}
+
+
 def test_orders(spark, folder):
     out = normalize.normalize_orders(exports.read_export(spark, f"{folder}/orders/*/*.csv"))
     for store in ("s1", "s2"):
