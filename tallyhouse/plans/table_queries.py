@@ -265,14 +265,14 @@ def _checks_sql() -> str:
 @query(f"""with {_checks_sql()} select store_id, name as "check", failures, case when failures = 0 then 'pass' else 'fail' end as status from ck""")
 def v_relational_checks(spark, sf_dir):
     """V-01, J-13."""
-    return tidy(validate.relational_checks(read_stores(spark, sf_dir)))
+    return tidy(validate.relational_checks(stored_stores(spark, sf_dir)))
 
 
 @query(f"""with {_checks_sql()} select store_id, case when count(*) filter (failures > 0 and name in ('unique_orders', 'orders_dated', 'lines_have_order')) > 0 then 'UNSUPPORTED' when count(*) filter (failures > 0) > 0 then 'PARTIALLY_SUPPORTED' else 'SUPPORTED' end as support,
  count(*) filter (failures > 0) as failed, coalesce(string_agg(name, ',' order by name) filter (failures > 0), '') as reasons from ck group by 1""")
 def v_classification(spark, sf_dir):
     """V-07."""
-    t = read_stores(spark, sf_dir)
+    t = stored_stores(spark, sf_dir)
     return tidy(validate.classify_support(validate.relational_checks(t), quality.currencies(t)))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +33,11 @@ def write_snapshot(tables: StoreTables, root: str, snapshot_id: str, fingerprint
     """
     attempt = uuid.uuid4().hex
     spark = tables.orders.sparkSession
-    seal = None
-    for name in SCHEMAS:
-        base = _base(root, name, snapshot_id, attempt)
+
+    def write(name: str) -> DataFrame:
         # few files a store, and a large store in several tasks
-        getattr(tables, name).hint("rebalance", "store_id").write.partitionBy("store_id").parquet(base)
-        part = digest(_read(spark, root, name, snapshot_id, attempt), "store_id").select(
+        getattr(tables, name).hint("rebalance", "store_id").write.partitionBy("store_id").parquet(_base(root, name, snapshot_id, attempt))
+        return digest(_read(spark, root, name, snapshot_id, attempt), "store_id").select(
             F.lit(snapshot_id).alias("snapshot_id"),
             F.lit(attempt).alias("attempt"),
             F.lit(fingerprint).cast("string").alias("fingerprint"),
@@ -47,7 +48,10 @@ def write_snapshot(tables: StoreTables, root: str, snapshot_id: str, fingerprint
             F.lit("completed").alias("status"),
             F.current_timestamp().alias("sealed_at"),
         )
-        seal = part if seal is None else seal.unionByName(part)
+
+    # the tables don't depend on each other, so their jobs fill the cluster together
+    with ThreadPoolExecutor(4) as pool:
+        seal = reduce(DataFrame.unionByName, pool.map(write, SCHEMAS))
     seal.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
 
 
