@@ -428,6 +428,7 @@ def score_whole(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     buckets = max(1, math.ceil(size * WORDS_PER_BYTE / BUCKET_WORDS))
     gram_buckets = max(1, math.ceil(size * GRAMS_PER_BYTE / BUCKET_GRAMS))
     logs = _gram_logs(grams, gram_buckets)
+    scratch.remove(grams)
     chunks = _text_chunks(picked, id_type, buckets, gram_buckets)
     words = chunks.filter("kind = 1").select("chunk", "bucket", "places", "times")
     counts = words.groupBy("bucket").applyInArrow(_corpus_counts, "chunk long, bucket int, counts array<long>")
