@@ -171,11 +171,21 @@ def claims(text: Column) -> Column:
     return F.regexp_like(text, F.lit(r"(?i)\b(because of|caused by|due to|led to|resulted in)\b"))
 
 
-def scattered_blocks(rows: DataFrame, order_col: str, key: str, group: str) -> DataFrame:
-    """V-10: keys whose rows are not adjacent in file order, within each file (``group``)."""
-    w = W.partitionBy(group).orderBy(order_col)
-    starts = rows.withColumn("new", F.coalesce((F.lag(key).over(w) != F.col(key)).cast("int"), F.lit(1)))
-    return starts.groupBy(group, key).agg(F.sum("new").alias("blocks"), F.count(F.lit(1)).alias("rows")).filter("blocks > 1")
+def scattered_blocks(rows: DataFrame, order_col: str, key: str, group: str, span: int = 1_000_000) -> DataFrame:
+    """V-10: keys whose rows are not adjacent in file order, within each file (``group``).
+
+    Files are looked at in stretches of ``span`` places, each by itself; then
+    only the stretches' edges are held against each other, so a large file is
+    many tasks. ``order_col`` is a number.
+    """
+    placed = rows.withColumn("_at", F.floor(F.col(order_col) / span))
+    before = F.lag(key).over(W.partitionBy(group, "_at").orderBy(order_col))
+    starts = placed.select(group, key, F.coalesce((before != F.col(key)).cast("long"), F.lit(1).cast("long")).alias("new"), F.lit(1).cast("long").alias("n"))
+    edges = placed.groupBy(group, "_at").agg(F.min_by(key, order_col).alias("first"), F.max_by(key, order_col).alias("last"))
+    joined = edges.withColumn("prior", F.lag("last").over(W.partitionBy(group).orderBy("_at"))).filter("prior = first")
+    # a block that goes on over an edge was counted twice
+    again = joined.select(group, F.col("first").alias(key), F.lit(-1).cast("long").alias("new"), F.lit(0).cast("long").alias("n"))
+    return starts.unionByName(again).groupBy(group, key).agg(F.sum("new").alias("blocks"), F.sum("n").alias("rows")).filter("blocks > 1")
 
 
 def parse_statistics(df: DataFrame, numbers: dict[str, Column]) -> DataFrame:

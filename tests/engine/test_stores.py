@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.config import AnalyticsConfig
-from tallyhouse.operators import anomaly, facts, insights, kpis, profitability, quality, rootcause, series
+from tallyhouse.operators import anomaly, facts, insights, kpis, profitability, quality, rootcause, series, validate
 from tallyhouse.plans.analyze import PACK_LIMITS, Analysis, evidence_pack
 from tallyhouse.schemas import SCHEMAS, StoreTables
 
@@ -190,6 +190,15 @@ def test_consistency_issues(spark):
     assert rows["revenue"] == ("incomplete", ["subtotal_contract_unverified"]) and rows["refund_rate"][0] == "incomplete"
 
 
+def test_scattered_blocks_over_edges(spark):
+    keys = "aabbbbacccdd" * 3
+    rows = spark.createDataFrame([("f", i, k) for i, k in enumerate(keys)] + [("g", i, "x") for i in range(40)], "file string, at long, k string")
+    blocks = [k for i, k in enumerate(keys) if i == 0 or keys[i - 1] != k]
+    want = {(k, blocks.count(k), keys.count(k)) for k in set(keys) if blocks.count(k) > 1}
+    for span in (1_000_000, 5, 1):
+        assert {(r.k, r.blocks, r["rows"]) for r in validate.scattered_blocks(rows, "at", "k", "file", span).collect()} == want
+
+
 def test_one_store_by_any_name(spark, simple):
     odd = replace(simple, orders=simple.orders.withColumn("store_id", F.when(F.col("store_id") == "s1", "o'brien").otherwise(F.col("store_id"))))
     assert odd.only("o'brien").orders.count() == 2 and odd.only("' or 1=1 --").orders.count() == 0
