@@ -346,44 +346,13 @@ def _dealt(keys: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, bucket[order][head], head
 
 
-def _text_chunks(docs: DataFrame, id_type: str, buckets: int, gram_buckets: int) -> DataFrame:
-    """Written table with, for each chunk, its documents (kind 0), and its words (1) and grams (2) by bucket."""
-    names = ["chunk", "kind", "bucket", "ids", "held", "texts", "places", "times", "grams"]
-    types = [pa.int64(), pa.int32(), pa.int32()]
+def _text_chunks(docs: DataFrame, id_type: str) -> DataFrame:
+    """Written table with the documents of each chunk in one row."""
+    names = ["chunk", "ids", "held", "texts"]
 
     def pack(chunk: int, ids: list, held: np.ndarray, texts: list) -> Iterator[pa.RecordBatch]:
-        id_all, text_all = pa.chunked_array(ids).combine_chunks(), pa.chunked_array(texts).combine_chunks()
-        list_types = [*(pa.list_(x) for x in (id_all.type, pa.bool_(), pa.binary(), pa.int64(), pa.int32())), pa.binary()]
-        whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (id_all, pa.array(held), text_all)]
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array([x], t) for x, t in zip((chunk, 0, -1), types)), *whole, *(pa.nulls(1, t) for t in list_types[3:])], names
-        )
-        data, offsets = K.column_bytes(text_all)
-        start, end, doc = K.words(data, offsets)
-        distinct, inverse = np.unique(K.word_hashes(data, start, end), return_inverse=True)
-        trains = np.bincount(inverse, weights=~held[doc], minlength=len(distinct)).astype(np.int32)
-        grams = _chunk_grams(data, offsets)
-        for kind, keys, times, bucket in (
-            (1, distinct, trains, (distinct % np.uint64(buckets)).astype(np.int64)),
-            (2, grams, None, _gram_bucket(grams, gram_buckets)),
-        ):
-            order, of, head = _dealt(keys, bucket)
-            n, cut = len(head), pa.array(np.r_[head, len(order)], pa.int32())
-            if n and kind == 1:
-                own = [pa.ListArray.from_arrays(cut, pa.array(keys[order].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(times[order])), pa.nulls(n, pa.binary())]
-            elif n:
-                own = [*(pa.nulls(n, t) for t in list_types[3:5]), _packed(keys[order], head)]
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, chunk)),
-                        pa.array(np.full(n, kind), pa.int32()),
-                        pa.array(of, pa.int32()),
-                        *(pa.nulls(n, t) for t in list_types[:3]),
-                        *own,
-                    ],
-                    names,
-                )
+        columns = (pa.chunked_array(ids).combine_chunks(), pa.array(held), pa.chunked_array(texts).combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
@@ -406,10 +375,44 @@ def _text_chunks(docs: DataFrame, id_type: str, buckets: int, gram_buckets: int)
         if ids:
             yield from pack(chunk, ids, np.concatenate(held), texts)
 
-    schema = f"chunk long, kind int, bucket int, ids array<{id_type}>, held array<boolean>, texts array<binary>, places array<long>, times array<int>, grams binary"
+    schema = f"chunk long, ids array<{id_type}>, held array<boolean>, texts array<binary>"
     return scratch.table(docs.select("id", "held", "text").mapInArrow(run, schema), "lm-chunks")
 
 
+def _chunk_words(chunks: DataFrame, buckets: int) -> DataFrame:
+    """The distinct words of each chunk by bucket, and how often they train."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, held, texts in zip(batch.column(0), batch.column(1), batch.column(2)):
+                data, offsets = K.column_bytes(texts.values)
+                out = held.values.to_numpy(zero_copy_only=False).astype(bool)
+                start, end, doc = K.words(data, offsets)
+                distinct, inverse = np.unique(K.word_hashes(data, start, end), return_inverse=True)
+                trains = np.bincount(inverse, weights=~out[doc], minlength=len(distinct)).astype(np.int32)
+                order, of, head = _dealt(distinct, (distinct % np.uint64(buckets)).astype(np.int64))
+                cut = pa.array(np.r_[head, len(order)], pa.int32())
+                if len(head):
+                    lists = [pa.ListArray.from_arrays(cut, pa.array(x[order])) for x in (distinct.view(np.int64), trains)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), chunk.as_py())), pa.array(of, pa.int32()), *lists], ["chunk", "bucket", "places", "times"])
+
+    return chunks.select("chunk", "held", "texts").mapInArrow(run, "chunk long, bucket int, places array<long>, times array<int>")
+
+
+def _wanted_grams(chunks: DataFrame, buckets: int) -> DataFrame:
+    """The distinct grams of each chunk by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, texts in zip(batch.column(0), batch.column(1)):
+                grams = _chunk_grams(*K.column_bytes(texts.values))
+                order, of, head = _dealt(grams, _gram_bucket(grams, buckets))
+                if len(head):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), chunk.as_py())), pa.array(of, pa.int32()), _packed(grams[order], head)], ["chunk", "bucket", "grams"])
+
+    return chunks.select("chunk", "texts").mapInArrow(run, "chunk long, bucket int, grams binary")
+
+
 def _logs_back(chunks: pa.Table, table: pa.Table) -> pa.Table:
     """For one bucket: the log10 probabilities of each chunk's grams."""
     keys, _ = _unpacked(table.column("grams"))
@@ -429,14 +432,13 @@ def score_whole(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gram_buckets = max(1, math.ceil(size * GRAMS_PER_BYTE / BUCKET_GRAMS))
     logs = _gram_logs(grams, gram_buckets)
     scratch.remove(grams)
-    chunks = _text_chunks(picked, id_type, buckets, gram_buckets)
-    words = chunks.filter("kind = 1").select("chunk", "bucket", "places", "times")
-    counts = words.groupBy("bucket").applyInArrow(_corpus_counts, "chunk long, bucket int, counts array<long>")
+    chunks = _text_chunks(picked, id_type)
+    counts = _chunk_words(chunks, buckets).groupBy("bucket").applyInArrow(_corpus_counts, "chunk long, bucket int, counts array<long>")
     counts = scratch.table(counts, "lm-counts")
     total = counts.filter("chunk < 0").agg(F.sum(F.col("counts")[0]).alias("n"), F.sum(F.col("counts")[1]).alias("v")).first()
     train_tokens = int(total.n or 0) + train_docs
     log_all = math.log10(train_tokens + 0.1 * (int(total.v or 0) + (train_docs > 0) + 1))
-    wanted = chunks.filter("kind = 2").select("chunk", "bucket", "grams").groupBy("bucket")
+    wanted = _wanted_grams(chunks, gram_buckets).groupBy("bucket")
     gram_back = wanted.cogroup(logs.groupBy("bucket")).applyInArrow(_logs_back, "chunk long, bucket int, logs binary")
 
     def by_bucket(back: pa.Table, name: str) -> pa.ChunkedArray:
@@ -466,6 +468,6 @@ def score_whole(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.table(columns, names=names)
 
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    left = chunks.filter("kind = 0").select("chunk", "ids", "held", "texts").groupBy("chunk")
+    left = chunks.groupBy("chunk")
     right = counts.filter("chunk >= 0").unionByName(gram_back, allowMissingColumns=True)
     return left.cogroup(right.groupBy("chunk")).applyInArrow(finish, schema).withColumnRenamed("id", id_col)
