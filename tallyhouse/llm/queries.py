@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, line_dedup, lm_score, near_dedup, pii, quality, sharding, suffix_dedup
+from . import bpe, chat, decontam, line_dedup, lm_score, near_dedup, periodic, pii, quality, sharding, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +111,38 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.BASE, "base_failed", "kept", "removed_words")
 
 
+def _with_periods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of every tenth document, by the checksum of its id, made periodic from some word on."""
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for i, doc_id in enumerate(batch.column(0).to_pylist()):
+            h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+            words = texts[i].encode().split() if h % 10 == 0 and texts[i] else []
+            if words:
+                g, n = h // 10, len(words)
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                texts[i] = b" ".join(words[:a] + (words[a : a + p] * (1 + (n - a) // p))[: n - a]).decode()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = _documents(spark, sf_dir).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_with_periods, "doc_id long, text string")
+    out = periodic.find_runs(planted, min_words=24, min_repeats=3)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.start",
+        "strongest.length",
+        "strongest.period",
+        F.floor(1000 * F.col("strongest.length") / F.col("strongest.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -120,5 +154,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ppm_scoring": op8_ppm_scoring,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op4_line_dedup": OP4_SQL}
