@@ -35,14 +35,16 @@ from pyspark.sql import functions as F
 
 from . import near_dedup, scratch
 
-#: Nodes of a tree, about; and the most regions, whose centers are taken from a sample of SAMPLE nodes for each.
-TREE_NODES, REGIONS, SAMPLE = 8192, 256, 4
+#: Nodes and bytes of a tree, about.
+TREE_NODES, TREE_BYTES = 8192, 32 << 20
+#: The most regions; their centers are taken from a sample of SAMPLE nodes for each.
+REGIONS, SAMPLE = 256, 4
 #: Points closer than this to a center are a leaf's, in a row.
 LEAF_RADIUS = 2.0**-6
 #: Rows and columns of a matrix product; links that are gathered before they are merged.
 ROWS, COLUMNS, EDGES = 1024, 4096, 1 << 20
 #: More than rounding can change a cosine or a distance by.
-SLACK = 1e-7
+SLACK = 1e-6
 
 
 def units(raw: np.ndarray) -> np.ndarray:
@@ -119,7 +121,7 @@ class Tree:
                 if reach <= radius:  # the center alone covers all: the next level decides
                     following.append(k)
                     continue
-                own = order[low:high]
+                own = order[low:high].copy()
                 x = points[own]
                 centers, owner, best = net(x, int(np.flatnonzero(own == center)[0]), radius)
                 by = np.argsort(owner, kind="stable")
@@ -169,7 +171,7 @@ class Links:
                 return
             u, v = u[apart], v[apart]
             np.minimum.at(self.label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-            while (again := self.label[self.label]).tobytes() != self.label.tobytes():
+            while not np.array_equal(again := self.label[self.label], self.label):
                 self.label = again
 
 
@@ -349,15 +351,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     placed = scratch.table(placed, "vector-placed")
     # a row for each region and vector size
     regions = placed.groupBy("size", "region").agg(F.count(F.lit(1)).alias("c"), F.max("far").alias("far")).orderBy("size", "region").collect()
-    eps, met = math.sqrt(2 - 2 * threshold), []
+    eps, met, per_tree = math.sqrt(2 - 2 * threshold), [], [min(tree_nodes, max(1, TREE_BYTES // r["size"])) for r in regions]
     for i, r in enumerate(regions):
         for j, s in enumerate(regions):
             if r["size"] == s["size"]:
                 own = sent.value.get(r["size"])
                 apart = 0.0 if own is None or min(r.region, s.region) < 0 else float(np.linalg.norm(own[r.region] - own[s.region]))
                 if i == j or apart <= r.far + s.far + eps + SLACK:
-                    met.append((i, j, -(-s.c // tree_nodes)))
-    parts = spark.createDataFrame([(r["size"], r.region, i, -(-r.c // tree_nodes)) for i, r in enumerate(regions)], "size int, region int, g int, parts long")
+                    met.append((i, j, -(-s.c // per_tree[j])))
+    parts = spark.createDataFrame([(r["size"], r.region, i, -(-r.c // per_tree[i])) for i, r in enumerate(regions)], "size int, region int, g int, parts long")
     partners = spark.createDataFrame(met, "g int, h int, h_parts long")
 
     def grow(group: pa.Table) -> pa.Table:
@@ -370,8 +372,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     dealt = placed.join(F.broadcast(parts), ["size", "region"]).select("g", F.expr("pmod(xxhash64(key), parts)").alias("part"), "key", "n", "raw")
     trees = scratch.table(dealt.groupBy("g", "part").applyInArrow(grow, "g int, part long, keys binary, weights binary, points binary, nodes binary"), "vector-trees")
 
+    links_schema = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("label", pa.binary())])
+
     def meet(group: pa.Table) -> pa.Table:
-        both = sorted(group.select(["own", "keys", "weights", "points", "nodes"]).to_pylist(), key=lambda r: r["own"] != group["a"][0].as_py())
+        a, b = group["a"][0].as_py(), group["b"][0].as_py()
+        both = sorted(group.select(["own", "keys", "weights", "points", "nodes"]).to_pylist(), key=lambda r: r["own"] != a)
+        if len(both) == 1 and a != b:  # the other part has no nodes
+            return links_schema.empty_table()
         n = [len(r["keys"]) // 16 for r in both]
         raw = [np.frombuffer(r["points"], number).reshape(k, -1) for r, k in zip(both, n)]
         grown = [Tree(units(x), np.frombuffer(r["nodes"], np.float64).reshape(6, -1)) for r, x in zip(both, raw)]
@@ -381,7 +388,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         keys = b"".join(r["keys"] for r in both)
         at = np.flatnonzero(links.linked > 0)
         name = [[keys[16 * i : 16 * i + 16] for i in x.tolist()] for x in (at, links.label[at])]
-        return pa.table([pa.array(name[0], pa.binary()), pa.array(links.linked[at].astype(np.int64)), pa.array(name[1], pa.binary())], names=["key", "links", "label"])
+        return pa.table([pa.array(name[0], pa.binary()), pa.array(links.linked[at].astype(np.int64)), pa.array(name[1], pa.binary())], schema=links_schema)
 
     own, other = F.struct("g", "part"), F.struct(F.col("h").alias("g"), F.col("q").alias("part"))
     pairs = trees.join(F.broadcast(partners), "g").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h_parts") - 1)))
