@@ -43,6 +43,8 @@ REGIONS, SAMPLE = 256, 4
 LEAF_RADIUS = 2.0**-6
 #: Rows and columns of a matrix product; links that are gathered before they are merged.
 ROWS, COLUMNS, EDGES = 1024, 4096, 1 << 20
+#: A product of all children is taken unless it has so many times the cells needed; else so many cells at a time.
+DENSE, PAIRS = 16, 1 << 16
 #: More than rounding can change a cosine or a distance by.
 SLACK = 1e-6
 
@@ -220,48 +222,76 @@ def walk(a: Tree, b: Tree, weights: np.ndarray, raw: np.ndarray, threshold: floa
                 if good.any():
                     links.add(u[good], v[good])
 
-    def children(tree: Tree, k: int) -> np.ndarray:
-        kids = np.arange(tree.child[k], tree.end[k])
-        return kids[np.argsort(tree.radius[kids], kind="stable")] if len(kids) else np.array([k])
-
-    stack = [(0, 0)]
-    while stack:
-        i, j = stack.pop()
-        leaf_i, leaf_j, own = a.child[i] == a.end[i], b.child[j] == b.end[j], same and i == j
-        if own and 2 * a.radius[i] + SLACK <= eps:
-            all_linked(np.array([i]), np.array([i]))
-            continue
-        if leaf_i and leaf_j:
-            compare(np.arange(a.low[i], a.high[i]), np.arange(b.low[j], b.high[j]), own)
-            continue
-        left, right = children(a, i), children(b, j)
-        for r in range(0, len(left), ROWS):
-            for c in range(0, len(right), COLUMNS):
-                u, v = left[r : r + ROWS], right[c : c + COLUMNS]
-                if own and c + len(v) <= r:
-                    continue
-                product = a.points[a.center[u]] @ b.points[b.center[v]].T
-                reach = eps + a.radius[u].max() + b.radius[v].max() + SLACK
-                p, q = np.nonzero(product >= 1 - reach * reach / 2) if reach < 2 else np.indices(product.shape).reshape(2, -1)
-                if own:
-                    p, q = (x[q + c >= p + r] for x in (p, q))
-                far, k, m = _chord(product[p, q]), u[p], v[q]
-                reach = a.radius[k] + b.radius[m]
-                near = far <= reach + eps + SLACK
-                inside = (far + reach + SLACK <= eps) & (k != m if own else True)
-                if inside.any():
-                    all_linked(k[inside], m[inside])
-                near &= ~inside
-                # two points need no more steps
-                points = near & (a.high[k] - a.low[k] == 1) & (b.high[m] - b.low[m] == 1)
-                one, two = a.center[k[points]], b.center[m[points]] + shift
-                if len(one):
-                    good = product[p, q][points] >= threshold + SLACK
-                    good[~good] = cosines(raw[one[~good]], raw[two[~good]]) >= threshold
-                    good &= one != two
-                    links.add(one[good], two[good])
-                rest = near & ~points
-                stack += zip(k[rest].tolist(), m[rest].tolist())
+    def judge(k: np.ndarray, m: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Settle pairs of tree nodes; those left need their children looked at."""
+        far, reach, itself = _chord(cosine), a.radius[k] + b.radius[m], (k == m) & same
+        inside = np.where(itself, reach, far + reach) + SLACK <= eps
+        inside &= ~itself | (a.high[k] - a.low[k] > 1)
+        if inside.any():
+            all_linked(k[inside], m[inside])
+        open_ = (far <= reach + eps + SLACK) & ~inside
+        k, m, cosine = k[open_], m[open_], cosine[open_]
+        points = (a.high[k] - a.low[k] == 1) & (b.high[m] - b.low[m] == 1)
+        if points.any():
+            one, two = a.center[k[points]], b.center[m[points]] + shift
+            good = cosine[points] >= threshold + SLACK
+            good[~good] = cosines(raw[one[~good]], raw[two[~good]]) >= threshold
+            good &= one != two
+            links.add(one[good], two[good])
+        k, m = k[~points], m[~points]
+        leaves = (a.child[k] == a.end[k]) & (b.child[m] == b.end[m])
+        for i, j in zip(k[leaves].tolist(), m[leaves].tolist()):
+            compare(np.arange(a.low[i], a.high[i]), np.arange(b.low[j], b.high[j]), same and i == j)
+        return k[~leaves], m[~leaves]
+
+    def children(tree: Tree, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Children of tree nodes, a leaf being its own, with places of their parents; and how many each has."""
+        leaf = tree.child[nodes] == tree.end[nodes]
+        first, n = np.where(leaf, nodes, tree.child[nodes]), np.where(leaf, 1, tree.end[nodes] - tree.child[nodes])
+        parent = np.repeat(np.arange(len(nodes)), n)
+        return first[parent] + np.arange(len(parent)) - np.repeat(np.cumsum(n) - n, n), parent, n
+
+    k, m = judge(np.array([0]), np.array([0]), a.points[a.center[:1]] @ b.points[b.center[0]])
+    while len(k):
+        left, of_left = np.unique(k, return_inverse=True)
+        right, of_right = np.unique(m, return_inverse=True)
+        (u, up, un), (v, vp, vn) = children(a, left), children(b, right)
+        following = []
+        many = un[of_left] * vn[of_right]
+        if len(u) * len(v) <= DENSE * many.sum():
+            # most pairs are open: one product of all children, in blocks of like radius
+            opened = np.zeros((len(left), len(right)), bool)
+            opened[of_left, of_right] = True
+            by_u, by_v = np.argsort(a.radius[u], kind="stable"), np.argsort(b.radius[v], kind="stable")
+            for r in range(0, len(u), ROWS):
+                i = by_u[r : r + ROWS]
+                for c in range(0, len(v), COLUMNS):
+                    j = by_v[c : c + COLUMNS]
+                    product = a.points[a.center[u[i]]] @ b.points[b.center[v[j]]].T
+                    reach = eps + a.radius[u[i]].max() + b.radius[v[j]].max() + SLACK
+                    p, q = np.nonzero(product >= (1 - reach * reach / 2 if reach < 2 else -2.0))
+                    keep = opened[up[i[p]], vp[j[q]]]
+                    p, q = p[keep], q[keep]
+                    x, y = u[i[p]], v[j[q]]
+                    if same:
+                        keep = (left[up[i[p]]] != right[vp[j[q]]]) | (x <= y)
+                        p, q, x, y = p[keep], q[keep], x[keep], y[keep]
+                    following.append(judge(x, y, product[p, q]))
+        else:
+            start_u, start_v = np.cumsum(un) - un, np.cumsum(vn) - vn
+            cells, r = np.r_[0, np.cumsum(many)], 0
+            while r < len(k):
+                end = max(r + 1, int(np.searchsorted(cells, cells[r] + PAIRS, side="right")) - 1)
+                of = np.repeat(np.arange(r, end), many[r:end])
+                place = np.arange(len(of)) - np.repeat(cells[r:end] - cells[r], many[r:end])
+                wide = vn[of_right[of]]
+                x, y = u[start_u[of_left[of]] + place // wide], v[start_v[of_right[of]] + place % wide]
+                if same:
+                    keep = (k[of] != m[of]) | (x <= y)
+                    x, y = x[keep], y[keep]
+                following.append(judge(x, y, np.einsum("ij,ij->i", a.points[a.center[x]], b.points[b.center[y]])))
+                r = end
+        k, m = (np.concatenate(x) for x in zip(*following))
     for low, high in solid:
         if high - low > 1:
             links.join(np.arange(low, high - 1), np.arange(low + 1, high))

@@ -87,9 +87,12 @@ def test_empty_table(spark):
     assert cover_tree.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("dense", [0, 16, 10**9])
 @pytest.mark.parametrize("dim,spread", [(2, [0.01, 0.3]), (5, [0.001, 0.02, 0.1]), (40, [0.01, 0.05, 1.0])])
-def test_walks(dim, spread):
-    """Two trees, and each with itself, for many shapes; the tree's own rules."""
+def test_walks(dim, spread, dense, monkeypatch):
+    """Two trees, and each with itself, for many shapes and both kinds of products; the tree's own rules."""
+    monkeypatch.setattr(cover_tree, "DENSE", dense)
+    monkeypatch.setattr(cover_tree, "PAIRS", 500)
     for seed in range(6):
         x = cover_tree.units(clouds(seed, 300, dim, spread))
         n = [170, 130]
