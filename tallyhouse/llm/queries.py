@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cover_tree, decontam, line_dedup, lm_score, near_dedup, periodic, pii, quality, sharding, suffix_dedup
+from . import bpe, chat, cover_tree, decontam, lexical, line_dedup, lm_score, near_dedup, periodic, pii, quality, sharding, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +143,35 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+OP12_SQL = r"""
+with docs as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents
+),
+items as (
+  select row_number() over () as i, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from benchmark
+),
+wanted as (select i, term, count(*) as c from (select i, unnest(terms) as term from items) group by i, term),
+totals as (select count(*) filter (len(terms) > 0) as n_docs, coalesce(sum(len(terms)), 0)::bigint as n_terms from docs),
+found as (select r, term, count(*) as tf from (select r, unnest(terms) as term from docs) where term in (select term from wanted) group by r, term),
+weights as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)))::bigint as w from found, totals group by term),
+parts as (select r, doc_id, 25 + (75 * len(terms) * n_docs) // n_terms as m from docs, totals where len(terms) > 0),
+scores as (
+  select i, r, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from wanted join found using (term) join weights using (term) join parts using (r) group by i, r, doc_id
+),
+ranked as (select i, doc_id, score, row_number() over (partition by i order by score desc, doc_id nulls last)::int as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked join items using (i) where rank <= 10
+"""
+
+
 def op13_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
 
@@ -159,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_lexical_search": op12_lexical_search,
     "op13_cover_tree": op13_cover_tree,
 }
-SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op4_line_dedup": OP4_SQL}
+SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op4_line_dedup": OP4_SQL, "op12_lexical_search": OP12_SQL}
