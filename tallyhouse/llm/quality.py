@@ -1,17 +1,17 @@
 """Quality rules: base measures and cross-document line frequency.
 
-One pass over the texts leaves, per document, the base measures, its distinct
-lines as hashes, and a small sketch. All else works on those.
-
-Copies are left to the operators that find them. Exact copies of a text count
-as one document of a host. Edited copies share nearly all they have, so a line
-that stands on many texts is only removed if those are unlike each other: a
-text's sketch is the smallest hash of its 3-word runs under each of
-``SKETCHES`` hash functions, two texts agree in one as often as they share
-their runs, and the number of distinct values among a line's texts, averaged
-over the functions, is what is held against the limits. So a document with
-many copies does not deplete itself, while a line of any length that stands on
-unrelated documents does go.
+One pass over the texts leaves, per document, the base measures and its
+distinct lines, each as a hash and a small sketch. All else works on those.
+
+A line in more than ``max_docs`` distinct documents of a host is removed.
+Exact copies of a text are one document. Edited copies are documents, but copies
+must not deplete each other, so what is counted are documents that are unlike
+apart from the line: of each text that holds it, only the lines rarer than the
+line under test are looked at, and a text that shares one of the ``SKETCHES``
+smallest hashes of their 3-word runs with c texts counts 1 / c. Copies share what
+is rare in them and count as one; unrelated pages share nothing rare, however much
+furniture they carry, since furniture as frequent as the line or more is not seen.
+Further documents that hold a line don't bring it back.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import scratch
 
-SKETCHES = 8
+SKETCHES = 4
+#: Value of a sketch without runs.
+NOTHING = 0xFFFFFFFF
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -36,14 +38,11 @@ SYMBOL[list(b"#*$%&|<>")] = True
 class LineRules:
     """``max_docs``: a line in more unlike documents of a host is removed.
 
-    ``min_unlike``: unlike documents must be this share of the line's
-    documents at least; below, they are edited copies.
     ``min_words``, ``min_share``: a document with fewer words left, or a
     smaller share of its words left, is rejected as depleted.
     """
 
     max_docs: int = 10
-    min_unlike: float = 0.25
     min_words: int = 20
     min_share: float = 0.3
 
@@ -79,7 +78,7 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, ...]]:
-    """Base measures and sketch per document; (document, hash, words) of its distinct lines."""
+    """Base measures per document; (document, hash, words, sketch) of its distinct lines."""
     n = len(offsets) - 1
     start, end, doc = K.words(data, offsets)
     out = {
@@ -90,7 +89,6 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     s = K.prefix_hash(data)
     h = K.span_hash(s, start, end)
     covered = np.zeros(len(h), bool)
-    sketch = np.zeros((SKETCHES, n), np.uint64)  # 0 without a 3-word run
     if len(h) >= 3:
         at = np.flatnonzero(doc[2:] == doc[:-2])
         k = np.uint64(0xD6E8FEB86659FD93)
@@ -98,12 +96,6 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
         _, again = _seen_before(doc[at], g)
         for j in range(3):
             covered[at[again] + j] = True
-        if len(at):
-            of = doc[at]
-            head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            for j in range(SKETCHES):
-                sketch[j, of[head]] = np.minimum.reduceat(K.mix(g + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & K.ALL)), head)
-    out["sketch"] = sketch.T.view(np.int64)
     out["n_repeat_words"] = np.bincount(doc[covered], minlength=n)
     l_start, l_end, l_doc = line_spans(data, offsets)
     first = np.searchsorted(start, l_start)
@@ -117,15 +109,32 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
         low = K.word_hashes(data, start, end)
         place = np.arange(len(low)) - np.repeat(first, in_line)
         norm = K.mix(np.add.reduceat(K.mix(low + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first))
+        sketch = _line_sketches(low, first, in_line, place, norm)
     else:
-        norm = np.zeros(0, np.uint64)
+        norm, sketch = np.zeros(0, np.uint64), np.zeros((0, SKETCHES), np.uint32)
     norm = norm.view(np.int64)
     order = np.lexsort((norm, l_doc))
-    norm, l_doc, in_line = norm[order], l_doc[order], in_line[order]
+    norm, l_doc, in_line, sketch = norm[order], l_doc[order], in_line[order], sketch[order]
     new = np.flatnonzero(np.r_[True, (norm[1:] != norm[:-1]) | (l_doc[1:] != l_doc[:-1])]) if len(norm) else np.zeros(0, np.int64)
     words = np.add.reduceat(in_line, new) if len(new) else in_line
-    norm, l_doc = norm[new], l_doc[new]
-    return out, (l_doc, norm, words)
+    return out, (l_doc[new], norm[new], words, sketch[new])
+
+
+def _line_sketches(low: np.ndarray, first: np.ndarray, in_line: np.ndarray, place: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Smallest hash of each line's 3-word runs, under each hash function; a shorter line is one run."""
+    k = np.uint64(0xD6E8FEB86659FD93)
+    run = np.zeros(len(low), np.uint64)
+    if len(low) >= 3:
+        run[:-2] = K.mix(K.mix(low[:-2] * k + low[1:-1]) * k + low[2:])
+    short = in_line < 3
+    run[first[short]] = norm[short]
+    valid = place + 2 < np.repeat(in_line, in_line)
+    valid[first[short]] = True
+    out = np.empty((len(first), SKETCHES), np.uint32)
+    for j in range(SKETCHES):
+        value = K.mix(run + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & K.ALL)) >> np.uint64(32)
+        out[:, j] = np.minimum.reduceat(np.where(valid, value, np.uint64(NOTHING)), first)
+    return out
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -143,11 +152,11 @@ def profile(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "tex
         for batch in batches:
             data, offsets = K.column_bytes(batch.column(4))
             for a, b, d, o in K.blocks(data, offsets):
-                out, (doc, norm, words) = measure(d, o)
+                out, (doc, norm, words, sketch) = measure(d, o)
                 at = np.searchsorted(doc, np.arange(b - a + 1))
                 columns = [batch.column(i).slice(a, b - a) for i in range(4)]
                 columns += [pa.array(out[x].astype(np.int64)) for x in BASE] + [_lists(at, x) for x in (norm, words)]
-                columns.append(_lists(np.arange(b - a + 1) * SKETCHES, out["sketch"].ravel()))
+                columns.append(pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * 4 * SKETCHES).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(sketch))]))
                 yield pa.RecordBatch.from_arrays(columns, ["row", "id", "key", "host", *BASE, "line", "words", "sketch"])
 
     picked = docs.select(
@@ -157,23 +166,55 @@ def profile(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "tex
         docs[host_col].cast("string").alias("host"),
         docs[text_col].cast("string").alias("text"),
     )
-    schema = f"row long, id {id_type}, key binary, host string, {', '.join(f'{x} long' for x in BASE)}, line array<long>, words array<long>, sketch array<long>"
-    return scratch.table(picked.mapInArrow(run, schema), "quality")
+    schema = f"row long, id {id_type}, key binary, host string, {', '.join(f'{x} long' for x in BASE)}, line array<long>, words array<long>, sketch binary"
+    site = F.xxhash64(F.col("host").isNull(), F.coalesce("host", F.lit("")))
+    return scratch.table(picked.mapInArrow(run, schema).withColumn("site", site), "quality")
+
+
+def _rarer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each frequent line of a text, the sketch of the text's lines that are rarer."""
+    for batch in batches:
+        size, rows, lines, values = [], [], [], []
+        for row, line, sketch, often, docs in zip(*(batch.column(i) for i in range(1, 6))):
+            line, often, docs = (np.asarray(x.values) for x in (line, often, docs))
+            sketch = np.frombuffer(sketch.as_buffer(), np.uint32).reshape(-1, SKETCHES)
+            order = np.argsort(docs, kind="stable")
+            often, docs = often[order], docs[order]
+            plain = sketch[~np.isin(line, often)]
+            # distinct lines are sorted by hash
+            known = np.vstack([plain.min(axis=0) if len(plain) else np.full(SKETCHES, NOTHING, np.uint32), sketch[np.searchsorted(line, often)]])
+            size.append(len(often))
+            rows.append(row.as_py())
+            lines.append(often)
+            values.append(np.minimum.accumulate(known, axis=0)[np.searchsorted(docs, docs)])
+        of = pa.array(np.repeat(np.arange(len(size)), size))
+        value = np.concatenate(values) if values else np.zeros((0, SKETCHES), np.uint32)
+        listed = _lists(np.arange(len(value) + 1) * SKETCHES, value.ravel())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(np.repeat(rows, size), pa.int64()), pa.array(np.concatenate(lines) if lines else [], pa.int64()), listed], ["site", "row", "line", "value"])
 
 
 def frequent_lines(profiled: DataFrame, rules: LineRules) -> DataFrame:
-    """(host, line) found in more than ``max_docs`` unlike texts of the host."""
-    lines = profiled.select("host", F.xxhash64("key").alias("text"), F.explode("line").alias("line"))
-    distinct = lines.groupBy("host", "line", "text").agg(F.lit(1).alias("one"))
-    often = distinct.groupBy("host", "line").agg(F.count("one").alias("docs")).filter(F.col("docs") > rules.max_docs)
-    often = often.select(F.col("host").alias("o_host"), F.col("line").alias("o_line"), "docs")
+    """Written table: (site, line) found in more than ``max_docs`` unlike texts of the host."""
+    lines = profiled.select("site", F.xxhash64("key").alias("text"), "row", F.explode("line").alias("line"))
+    distinct = lines.groupBy("site", "line", "text").agg(F.min("row").alias("row"))
+    often = distinct.groupBy("site", "line").agg(F.count("row").alias("docs")).filter(F.col("docs") > rules.max_docs)
+    often = often.select(F.col("site").alias("o_site"), F.col("line").alias("o_line"), "docs")
     # no aggregate needs these joins' order, so a hot line's rows can be split
-    held = distinct.join(often, (F.col("line") == F.col("o_line")) & F.col("host").eqNullSafe(F.col("o_host")))
-    texts = profiled.groupBy(F.col("host").alias("t_host"), F.xxhash64("key").alias("t_text")).agg(F.first("sketch").alias("sketch"))
-    sketched = held.join(texts, (F.col("text") == F.col("t_text")) & F.col("host").eqNullSafe(F.col("t_host")))
-    values = sketched.select("host", "line", "docs", F.posexplode("sketch").alias("j", "value")).groupBy("host", "line", "j", "value").agg(F.first("docs").alias("docs"))
-    unlike = values.groupBy("host", "line").agg((F.count(F.lit(1)) / SKETCHES).alias("unlike"), F.first("docs").alias("docs"))
-    return unlike.filter((F.col("unlike") > rules.max_docs) & (F.col("unlike") >= rules.min_unlike * F.col("docs"))).select("host", "line")
+    held = distinct.join(often, (F.col("line") == F.col("o_line")) & (F.col("site") == F.col("o_site")))
+    held = held.groupBy("row").agg(F.collect_list(F.struct("line", "docs")).alias("held"))
+    held = held.select(F.col("row").alias("h_row"), F.col("held.line").alias("often"), F.col("held.docs").alias("docs"))
+    texts = profiled.select("site", "row", "line", "sketch").join(held, F.col("row") == F.col("h_row")).select("site", "row", "line", "sketch", "often", "docs")
+    rarer = scratch.table(texts.mapInArrow(_rarer, "site long, row long, line long, value array<long>"), "quality-rarer")
+    values = rarer.select("site", "line", "row", F.posexplode("value").alias("j", "value"))
+    shared = values.groupBy("site", "line", "j", "value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = scratch.table(shared.withColumnsRenamed({x: f"s_{x}" for x in ("site", "line", "j", "value")}), "quality-shared")
+    alike = values.join(shared, [F.col(x) == F.col(f"s_{x}") for x in ("site", "line", "j", "value")], "left")
+    each = alike.groupBy("site", "line", "row").agg(F.max(F.coalesce("c", F.lit(1))).alias("c"))
+    unlike = each.groupBy("site", "line").agg(F.round(F.sum(1 / F.col("c")), 6).alias("unlike"))
+    found = scratch.table(unlike.filter(F.col("unlike") > rules.max_docs).select("site", "line"), "quality-lines")
+    scratch.remove(rarer)
+    scratch.remove(shared)
+    return found
 
 
 def verdicts(profiled: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -184,16 +225,16 @@ def verdicts(profiled: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     lines leave fewer than ``min_words`` words or less than ``min_share`` of
     them. A null host is a host of its own.
     """
-    lines = profiled.select("row", "host", F.explode(F.arrays_zip("line", "words")).alias("x")).select("row", "host", "x.line", "x.words")
-    frequent = frequent_lines(profiled, rules).withColumnsRenamed({"host": "f_host", "line": "f_line"})
+    lines = profiled.select("row", "site", F.explode(F.arrays_zip("line", "words")).alias("x")).select("row", "site", "x.line", "x.words")
+    frequent = frequent_lines(profiled, rules).withColumnsRenamed({"site": "f_site", "line": "f_line"})
     # no aggregate needs this join's order, so a hot line's rows can be split
-    dropped = lines.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")), "inner")
+    dropped = lines.join(frequent, (F.col("line") == F.col("f_line")) & (F.col("site") == F.col("f_site")), "inner")
     removed = dropped.groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce(F.col("removed_words"), F.lit(0))
     depleted = (left < rules.min_words) | (left < rules.min_share * F.col("n_words"))
     return (
-        profiled.drop("line", "words", "sketch")
+        profiled.drop("line", "words", "sketch", "site")
         .join(removed, "row", "left")
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~base_failed & ~depleted)
