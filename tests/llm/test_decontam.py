@@ -98,10 +98,61 @@ def test_short_items_are_found_word_for_word(spark):
                 want.append((i, k, 1.0))
     got = [(r.doc_id, r.item_id, r.score) for r in decontam.find_copies(docs, bench).collect() if r.item_id != 5]
     assert sorted(got) == sorted(want)
-    assert sorted(r.doc_id for r in decontam.drop_copies(docs, bench).collect()) == [0, 2, 3, 4, 5, 6]
+    # by full alignment with the one item that is long enough: three of five words in a row are 0.6 of it
+    long = words(items[4][1])
+    left = [i for i, t in enumerate(texts) if smith_waterman(long, words(t)) < decontam.THRESHOLD * 2 * len(long)]
+    assert left == [2, 3, 4, 5, 6] and sorted(r.doc_id for r in decontam.drop_copies(docs, bench).collect()) == left
     assert decontam.drop_copies(docs, bench, min_words=1).count() == 2
 
 
+def edited(rng, words_, rate, every=0):
+    """Words replaced, dropped or added at a rate, or every n-th replaced."""
+    out = []
+    for i, w in enumerate(words_):
+        if every:
+            out.append(f"x{rng.randrange(10**9)}" if i % every == every - 1 else w)
+        elif rng.random() < rate:
+            out += [[f"x{rng.randrange(10**9)}"], [], [w, f"x{rng.randrange(10**9)}"]][rng.choice([0, 0, 1, 2])]
+        else:
+            out.append(w)
+    return out
+
+
+def test_no_edited_copy_is_lost(spark):
+    """At every rate of edits, all copies that full alignment finds, and their scores."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(30)]
+    items = [(i, [rng.choice(common) if rng.random() < 0.4 else f"w{rng.randrange(20_000)}" for _ in range(40)]) for i in range(60)]
+    data = []
+    for rate, every in ((0.1, 0), (0.15, 0), (0.2, 0), (0.25, 0), (0.3, 0), (0, 4), (0, 3)):
+        for i, item in items:
+            around = [rng.choice(common) for _ in range(60)]
+            data.append((len(data), " ".join([*around, *edited(rng, item, rate, every), *around[::-1]]), "en", "s", 0))
+    want, lost = {}, 0
+    for i, t, *_ in data:
+        item = items[i % 60]
+        score = smith_waterman(item[1], words(t)) / 80
+        lost += score < decontam.THRESHOLD
+        if score >= decontam.THRESHOLD:
+            want[i, item[0]] = round(score, 9)
+    assert len(want) > 250 and lost > 20
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], ITEM)
+    got = {(r.doc_id, r.item_id): round(r.score, 9) for r in decontam.find_copies(table(spark, data), bench).collect()}
+    assert {k: v for k, v in got.items() if k[1] == items[k[0] % 60][0]} == want
+    for (i, k), score in got.items():
+        assert (i, k) in want or score == round(smith_waterman(items[k][1], words(data[i][1])) / 80, 9)
+
+
+def test_items_of_common_words(spark):
+    """An item all of whose words are everywhere is found too."""
+    rng = random.Random(6)
+    item = [rng.choice("abcdef") for _ in range(24)]
+    data = [(i, " ".join(rng.choice("abcdefgh") for _ in range(150)), "en", "s", 0) for i in range(60)] + [(100, " ".join(["h"] * 9 + item), "en", "s", 0)]
+    want = {i: round(s, 9) for i, t, *_ in data if (s := smith_waterman(item, words(t)) / 48) >= decontam.THRESHOLD}
+    got = decontam.find_copies(table(spark, data), spark.createDataFrame([(1, " ".join(item))], ITEM)).collect()
+    assert {r.doc_id: round(r.score, 9) for r in got} == want and want[100] == 1.0
+
+
 def test_align():
     rng = np.random.default_rng(0)
     for _ in range(200):
