@@ -43,6 +43,8 @@ REGIONS, SAMPLE = 256, 4
 LEAF_RADIUS = 2.0**-6
 #: Rows and columns of a matrix product; links that are gathered before they are merged.
 ROWS, COLUMNS, EDGES = 1024, 4096, 1 << 20
+#: Radii at which blocks of nodes are cut.
+RADII = [0.0, *(2.0**-i for i in range(6, -1, -1))]
 #: A product of all children is taken unless it has so many times the cells needed; else so many cells at a time.
 DENSE, PAIRS = 16, 1 << 16
 #: More than rounding can change a cosine or a distance by.
@@ -103,7 +105,7 @@ class Tree:
     """
 
     def __init__(self, points: np.ndarray, nodes: np.ndarray):
-        self.points = points
+        self.points, self.single = points, points.astype(np.float32)
         self.center, self.low, self.high, self.child, self.end = nodes[:5].astype(np.int64)
         self.radius = nodes[5]
 
@@ -244,6 +246,27 @@ def walk(a: Tree, b: Tree, weights: np.ndarray, raw: np.ndarray, threshold: floa
             compare(np.arange(a.low[i], a.high[i]), np.arange(b.low[j], b.high[j]), same and i == j)
         return k[~leaves], m[~leaves]
 
+    def near_pairs(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and cosines of all pairs of tree nodes with a cosine of ``least`` or more, and perhaps a few more.
+
+        The product is taken in single precision, with room for its rounding; what it leaves is computed in double.
+        """
+        room = 1.2e-7 * (a.points.shape[1] + 2)
+        p, q = np.nonzero(a.single[a.center[x]] @ b.single[b.center[y]].T >= np.float32(least - room))
+        if 8 * len(p) > len(x) * len(y):
+            return p, q, (a.points[a.center[x]] @ b.points[b.center[y]].T)[p, q]
+        cut = range(0, len(p), PAIRS)
+        exact = [np.einsum("ij,ij->i", a.points[a.center[x[p[c : c + PAIRS]]]], b.points[b.center[y[q[c : c + PAIRS]]]]) for c in cut]
+        return p, q, np.concatenate([np.zeros(0), *exact])
+
+    def alike(radius: np.ndarray, most: int) -> Iterator[np.ndarray]:
+        """Places of nodes in blocks of like radius, since the largest of a block bounds what the block leaves."""
+        order = np.argsort(radius, kind="stable")
+        cut = [0, *np.searchsorted(radius[order], RADII, side="right").tolist(), len(order)]
+        for low, high in zip(cut, cut[1:]):
+            for c in range(low, high, most):
+                yield order[c : min(high, c + most)]
+
     def children(tree: Tree, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Children of tree nodes, a leaf being its own, with places of their parents; and how many each has."""
         leaf = tree.child[nodes] == tree.end[nodes]
@@ -262,21 +285,16 @@ def walk(a: Tree, b: Tree, weights: np.ndarray, raw: np.ndarray, threshold: floa
             # most pairs are open: one product of all children, in blocks of like radius
             opened = np.zeros((len(left), len(right)), bool)
             opened[of_left, of_right] = True
-            by_u, by_v = np.argsort(a.radius[u], kind="stable"), np.argsort(b.radius[v], kind="stable")
-            for r in range(0, len(u), ROWS):
-                i = by_u[r : r + ROWS]
-                for c in range(0, len(v), COLUMNS):
-                    j = by_v[c : c + COLUMNS]
-                    product = a.points[a.center[u[i]]] @ b.points[b.center[v[j]]].T
+            columns = list(alike(b.radius[v], COLUMNS))
+            for i in alike(a.radius[u], ROWS):
+                for j in columns:
                     reach = eps + a.radius[u[i]].max() + b.radius[v[j]].max() + SLACK
-                    p, q = np.nonzero(product >= (1 - reach * reach / 2 if reach < 2 else -2.0))
-                    keep = opened[up[i[p]], vp[j[q]]]
-                    p, q = p[keep], q[keep]
+                    p, q, cosine = near_pairs(u[i], v[j], 1 - reach * reach / 2 if reach < 2 else -2.0)
                     x, y = u[i[p]], v[j[q]]
+                    keep = opened[up[i[p]], vp[j[q]]]
                     if same:
-                        keep = (left[up[i[p]]] != right[vp[j[q]]]) | (x <= y)
-                        p, q, x, y = p[keep], q[keep], x[keep], y[keep]
-                    following.append(judge(x, y, product[p, q]))
+                        keep &= (left[up[i[p]]] != right[vp[j[q]]]) | (x <= y)
+                    following.append(judge(x[keep], y[keep], cosine[keep]))
         else:
             start_u, start_v = np.cumsum(un) - un, np.cumsum(vn) - vn
             cells, r = np.r_[0, np.cumsum(many)], 0
