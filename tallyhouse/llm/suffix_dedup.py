@@ -230,8 +230,26 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     runs = runs.groupBy("ref").agg(F.collect_set(F.struct((F.col("place") + F.col("splits")).alias("run"), "anchor")).alias("runs")).withColumnRenamed("ref", "r_ref")
 
     # 3. texts with such a context, once each; other rows are done
-    joined = source.select("text", "key", F.xxhash64("key").alias("ref")).join(runs, F.col("ref") == F.col("r_ref"))
-    texts = joined.groupBy("key").agg(F.first("text").alias("text"), F.first("runs").alias("runs"), F.count(F.lit(1)).alias("copies"))
+    def fold_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text of the task once, and at the end how often it came again, so that copies don't meet in one task."""
+        again: dict[bytes, int] = {}
+        for batch in batches:
+            new = []
+            for i, key in enumerate(batch.column(1).to_pylist()):
+                if key in again:
+                    again[key] += 1
+                else:
+                    again[key] = 0
+                    new.append(i)
+            if new:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(new)).columns, pa.array(np.ones(len(new), np.int64))], ["text", "key", "n"])
+        more = {k: n for k, n in again.items() if n}
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.string()), pa.array(list(more), pa.binary()), pa.array(list(more.values()), pa.int64())], ["text", "key", "n"])
+
+    once = source.select("text", "key").mapInArrow(fold_copies, "text string, key binary, n long").withColumn("ref", F.xxhash64("key"))
+    joined = once.join(runs, F.col("ref") == F.col("r_ref"))
+    texts = joined.groupBy("key").agg(F.first("text", ignorenulls=True).alias("text"), F.first("runs").alias("runs"), F.sum("n").alias("copies"))
     texts = scratch.table(texts, "suffix-texts")
     scratch.remove(all_runs)
     n_runs = texts.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("n")).first().n

@@ -114,3 +114,13 @@ def test_suffix_array_and_prefixes():
 
 def test_empty_table(spark):
     assert sd.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_text_of_many_copies(spark):
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    page, shared = fresh(60), fresh(40)
+    data = [(i, page, "en", "s", 0) for i in range(400)]
+    data += [(1000 + i, f"{fresh(20)} {shared} {fresh(20)}", "en", "s", 0) for i in range(3)] + [(2000, fresh(80), "en", "s", 0), (2001, f"{page} {fresh(30)}", "en", "s", 0)]
+    got = sd.remove_repeats(table(spark, data, 7), length=200)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(data, 200)
