@@ -55,6 +55,8 @@ _P, _Q = DENOMINATOR - NUMERATOR, DENOMINATOR + NUMERATOR
 ORDER_SLOTS = 16
 #: Nodes with an element in common that meet in one task; more are parted.
 PART_NODES = 2048
+#: Elements whose nodes are held as a matrix at a time.
+ELEMENTS = 2048
 _EMPTY = hashlib.blake2b(b"no words", digest_size=16).digest()
 
 
@@ -314,15 +316,21 @@ def _settle(group: pa.Table) -> pa.Table:
     _, word, times = np.unique(np.concatenate([v for _, v in sides]), return_inverse=True, return_counts=True)
     held = times[word] > 1
     column = np.cumsum(times > 1) - 1
-    holds = np.zeros((len(n), int((times > 1).sum())), np.float32)
-    holds[row[held], column[word[held]]] = 1
+    row, column = row[held], column[word[held]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
     u, v = (np.flatnonzero(group.column(x).to_numpy(zero_copy_only=False)) for x in ("as_u", "as_v"))
     first = np.arange(len(n))
+    common = np.zeros((len(u), len(v)), np.float32)
+    for c in range(0, int((times > 1).sum()), ELEMENTS):  # however many elements there are, so many of them are held at a time
+        low, high = np.searchsorted(column, [c, c + ELEMENTS])
+        holds = np.zeros((len(n), ELEMENTS), np.float32)
+        holds[row[low:high], column[low:high] - c] = 1
+        common += holds[u] @ holds[v].T
     links = [np.zeros((2, 0), np.int64)]
     for a in range(0, len(u), 256):
         part = u[a : a + 256]
-        common = holds[part] @ holds[v].T
-        i, j = np.nonzero((d[part][:, None] + d[v][None, :] - 2 * common) * _Q <= (n[part][:, None] + n[v][None, :]) * _P)
+        i, j = np.nonzero((d[part][:, None] + d[v][None, :] - 2 * common[a : a + 256]) * _Q <= (n[part][:, None] + n[v][None, :]) * _P)
         links.append(np.stack([part[i], v[j]]))
     x, y = np.concatenate(links, axis=1)
     while len(x):  # smallest number of each component
@@ -430,7 +438,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     labels = components(links(buckets, _shingle_sets(docs, wanted, text_col)))
     placed = signed.select("id", "key", "node").join(labels, "node", "left")
     placed = scratch.table(placed.select("id", "key", F.coalesce("label", "node").alias("class_key")), "near-placed")
-    sizes = placed.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    # written, so that the members of a large class can be split in the join
+    sizes = scratch.table(placed.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "near-sizes")
     return placed.join(sizes, "class_key").select(F.col("id").alias(id_col), "key", "class_key", "class_id", "class_size")
 
 

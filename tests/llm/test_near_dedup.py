@@ -140,3 +140,24 @@ def test_chain_component(spark):
 
 def test_empty_table(spark):
     assert nd.classes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_settle_holds_few_elements_at_a_time(monkeypatch):
+    """Nodes with very many differences from their center: the same components, however many elements are held at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    for seed in range(5):
+        n = 60
+        pool = rng.integers(0, 1 << 40, 400)
+        base = [rng.choice(pool, 150, replace=False) for _ in range(4)]
+        more = [np.unique(np.r_[base[i % 4][: rng.integers(100, 150)], rng.choice(pool, rng.integers(0, 20))]) for i in range(n)]
+        less = [np.unique(rng.integers(1 << 41, (1 << 41) + 30, rng.integers(0, 6))) for _ in range(n)]
+        sizes = rng.integers(200, 320, n)
+        group = pa.table({"node": pa.array([bytes([i]) * 16 for i in range(n)], pa.binary()), "n": sizes, "more": pa.array([x.tolist() for x in more], pa.list_(pa.int64())), "less": pa.array([x.tolist() for x in less], pa.list_(pa.int64())), "as_u": pa.array([True] * n), "as_v": pa.array([i % 3 > 0 for i in range(n)])})
+        got = []
+        for few in (7, 1 << 12):
+            monkeypatch.setattr(nd, "ELEMENTS", few)
+            got.append(nd._settle(group).to_pylist())
+        assert got[0] == got[1] and got[0]
