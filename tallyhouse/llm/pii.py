@@ -225,15 +225,15 @@ def reliabilities(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int =
     return SpanModel(prior, reliability, {})
 
 
-def fit(counts: dict[tuple[str, tuple[int, ...]], int], sample: dict[str, list[tuple[tuple[int, ...], list[int]]]] | None = None) -> SpanModel:
-    """Reliabilities, then the classifier from a sample of (votes, features) of each kind; from the counts alone if there is none."""
+def fit(counts: dict[tuple[str, tuple[int, ...]], int], sample: dict[str, Counter] | None = None) -> SpanModel:
+    """Reliabilities, then the classifier from counts of (votes, features) of each kind; from the vote counts alone if there is none."""
     model, weights = reliabilities(counts), {}
     for kind in model.prior:
         if sample is None:
             rows = sorted((v, n) for (k, v), n in counts.items() if k == kind)
             table, n, own = np.array([v for v, _ in rows]), np.array([m for _, m in rows], float), None
         elif sample.get(kind):
-            rows = Counter((v, tuple(f)) for v, f in sample[kind])
+            rows = sample[kind]
             table, n, own = np.array([v for v, _ in rows]), np.array(list(rows.values()), float), [list(f) for _, f in rows]
         else:
             continue
@@ -271,8 +271,12 @@ def vote_counts(docs: DataFrame, text_col: str = "text") -> dict[tuple[str, tupl
     return {(r.kind, tuple(r.vote)): r.n for r in rows}
 
 
-def candidate_sample(docs: DataFrame, counts: dict[tuple[str, tuple[int, ...]], int], text_col: str = "text") -> dict[str, list[tuple[tuple[int, ...], list[int]]]]:
-    """Votes and features of about ``SAMPLE`` candidates of each kind, all if there are fewer, chosen by a hash of text and place."""
+def candidate_sample(docs: DataFrame, counts: dict[tuple[str, tuple[int, ...]], int], text_col: str = "text") -> dict[str, Counter]:
+    """How often each (votes, features) occurs among about ``SAMPLE`` different candidates of each kind, all if there are fewer.
+
+    They are chosen by a hash of the text around them and of the whole text, so
+    that one of many copies does not bring all others; what does is counted, not listed.
+    """
     total = Counter()
     for (kind, _), n in counts.items():
         total[kind] += n
@@ -284,9 +288,10 @@ def candidate_sample(docs: DataFrame, counts: dict[tuple[str, tuple[int, ...]],
             for value in batch.column(0):
                 text = value.as_py() or ""
                 base = base_spans(text)
+                whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
                 for is_base, found in ((True, base), (False, wide_spans(text, base))):
                     for k, a, b in found:
-                        near = f"{k}:{a}:{text[max(0, a - CONTEXT_CHARS) : b + CONTEXT_CHARS]}"
+                        near = f"{whole}:{k}:{a}:{text[max(0, a - CONTEXT_CHARS) : b + CONTEXT_CHARS]}"
                         if int.from_bytes(hashlib.blake2b(near.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") < share[k]:
                             out.append((k, list(votes(text, k, a, b, is_base)), span_features(text, a, b)))
             if out:
@@ -297,9 +302,9 @@ def candidate_sample(docs: DataFrame, counts: dict[tuple[str, tuple[int, ...]],
     found = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "kind string, vote array<int>, own array<int>")
     # repeated candidates count as often as they stand there
     found = found.groupBy("kind", "vote", "own").agg(F.count(F.lit(1)).alias("n"))
-    out: dict[str, list[tuple[tuple[int, ...], list[int]]]] = {}
+    out: dict[str, Counter] = {}
     for r in sorted(found.collect(), key=lambda r: (r.kind, r.vote, r.own)):  # about 4 * SAMPLE rows
-        out.setdefault(r.kind, []).extend([(tuple(r.vote), list(r.own))] * r.n)
+        out.setdefault(r.kind, Counter())[tuple(r.vote), tuple(r.own)] = r.n
     return out
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -90,13 +91,27 @@ def test_classifier_alone_turns_spans_in_and_out():
     text = {w: f"so {w} 415-555-0134 then" for w in ("ring", "lot")}
     own = {w: pii.span_features(t, t.index("4"), t.index(" then")) for w, t in text.items()}
     counts = {("phone", good): 300, ("phone", bad): 300, ("phone", open_): 2}
-    sample = {"phone": [(good, own["ring"])] * 300 + [(bad, own["lot"])] * 300 + [(open_, own["ring"]), (open_, own["lot"])]}
+    ring, lot = tuple(own["ring"]), tuple(own["lot"])
+    sample = {"phone": Counter({(good, ring): 300, (bad, lot): 300, (open_, ring): 1, (open_, lot): 1})}
     model = pii.fit(counts, sample)
     post = model.posterior("phone", np.array([open_]))[0]
     assert 0.45 < post < 0.55  # the labelers leave it open
     assert model.probability("phone", open_, own["ring"]) > 0.6 and model.probability("phone", open_, own["lot"]) < 0.4
 
 
+def test_a_repeated_candidate_is_counted_not_listed(spark):
+    """A footer's number on many pages: one row of the sample per page at most, and a count where all is equal."""
+    footer = "Call us: (020) 555-0199 today, or (021) 555-0123 tomorrow."
+    data = [(i, footer, "en", "s", 0) for i in range(3000)] + [(9000, "mail me(at)site.org", "en", "s", 0)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    counts = pii.vote_counts(docs)
+    sample = pii.candidate_sample(docs, counts)
+    assert sum(sample["phone"].values()) == 6000 and len(sample["phone"]) <= 2
+    votes, own = next(iter(sample["phone"]))
+    huge = pii.fit(counts, {"phone": Counter({(votes, own): 10**12})})
+    assert 0 <= huge.probability("phone", votes, list(own)) <= 1
+
+
 def test_added_spans_equal_a_plain_search(spark):
     data = corpus() + [(2000 + i, f"call ({i:03d}) 555-01{i % 90 + 10} or 00{i % 9 + 1} 20 5551 {i:04d}, not 1{i}-55-012345; me{i}(at)site.org", "en", "s", 0) for i in range(40)]
     got = {r.doc_id: set(r.spans.split(",")) for r in pii.find(table(spark, data)).collect()}
