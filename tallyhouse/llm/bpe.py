@@ -16,6 +16,7 @@ import heapq
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -91,14 +92,18 @@ class Vocabulary:
         merged = np.array([ids[a + b] for a, b in merges], np.int64)
         return Vocabulary(token_bytes, byte_ids, keys[order], order.astype(np.int64), merged[order], special)
 
+    @cached_property
+    def ranks(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged symbol by pair; made once for each worker, and only for long words."""
+        return dict(zip(self.pair_keys.tolist(), zip(self.pair_ranks.tolist(), self.pair_merged.tolist())))
+
     def encode_words(self, words: Sequence[bytes]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
         if not words:
             return []
         if any(len(w) > LONG_WORD for w in words):
             short = iter(self.encode_words([w for w in words if len(w) <= LONG_WORD]))
-            ranks = dict(zip(self.pair_keys.tolist(), zip(self.pair_ranks.tolist(), self.pair_merged.tolist())))
-            return [next(short) if len(w) <= LONG_WORD else self._encode_long(w, ranks) for w in words]
+            return [next(short) if len(w) <= LONG_WORD else self._encode_long(w, self.ranks) for w in words]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
