@@ -60,6 +60,26 @@ def ranked(found: DataFrame) -> DataFrame:
     return out.withColumn("item_id", F.when(F.col("_n") > 1, F.concat("kind", F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col("kind"))).drop("_n")
 
 
+def evidence(found: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """X-20, X-29: what each finding rests on, one row per anomaly, with ids that stay the same from run to run.
+
+    A revenue decline rests on the anomaly of revenue and on all those of what
+    revenue is made of, which are no findings of their own then.
+    """
+    seen = anomalies.select("store_id", F.concat(F.lit("anomaly-"), F.col("metric")).alias("evidence_id"), "metric", "direction", F.col("severity").alias("evidence_severity"), "value", "mean", "pct")
+    items = found.select("store_id", "item_id", "kind", "subject")
+    lead = items.filter("kind = 'revenue_decline'").join(seen.filter(F.col("metric").isin(["revenue", *DECOMPOSED])), "store_id")
+    own = items.filter("kind = 'anomaly'").join(seen, "store_id").filter("subject = metric")
+    return lead.unionByName(own).drop("kind", "subject")
+
+
+def with_evidence(found: DataFrame, rests_on: DataFrame) -> DataFrame:
+    """The findings with their evidence as a nested list, and the relative change of the first as impact."""
+    item = F.struct("evidence_id", "metric", "direction", F.col("evidence_severity").alias("severity"), "value", "mean", "pct")
+    of = rests_on.groupBy("store_id", "item_id").agg(F.sort_array(F.collect_list(item)).alias("evidence"))
+    return found.join(of, ["store_id", "item_id"], "left").withColumn("impact", F.when(F.col("kind").isin("revenue_decline", "anomaly"), F.col("value")))
+
+
 def recommendations(found: DataFrame, campaigns: DataFrame) -> DataFrame:
     """X-21: one text per revenue decline, with the worst campaign when conversion fell."""
     lead = found.filter("kind = 'revenue_decline'").select("store_id", F.col("subject").alias("factor"))

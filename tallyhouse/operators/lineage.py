@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 
 def inputs_sha256(files: DataFrame, by: str, hash_col: str, version: str = "1") -> DataFrame:
     """L-01: one fingerprint per group of files, whatever their order.
@@ -74,8 +78,12 @@ def trace_report(reports: DataFrame, runs: DataFrame, snapshots: DataFrame, file
 def retention(rows: DataFrame, policy: DataFrame, now: Column, cap: int) -> DataFrame:
     """L-08: terminal rows older than their status allows, oldest first, at most ``cap`` per status.
 
-    ``policy`` has status and keep_days. The cap is the feature: one sweep's size.
+    ``policy`` has status and keep_days; a policy row may have a floor of its
+    own, ``least_days``, below which nothing goes (audit rows are kept at least
+    that long whatever is set). The cap is the feature: one sweep's size.
     """
+    if "least_days" in policy.columns:
+        policy = policy.withColumn("keep_days", F.greatest("keep_days", F.coalesce("least_days", F.lit(0)))).drop("least_days")
     old = rows.join(policy, "status").filter(F.col("at") < now - F.make_dt_interval(F.col("keep_days")))
     rank = F.row_number().over(W.partitionBy("status").orderBy("at", "id"))
     return old.withColumn("rank", rank).filter(F.col("rank") <= cap)
@@ -95,16 +103,53 @@ def rollup(events: DataFrame, a: str, b: str, at: str) -> DataFrame:
     return sets.agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("oldest"), F.grouping_id().alias("level"))
 
 
+#: Parts that the values in question are told apart in, at a pass over them.
+SELECT_BINS = 1024
+
+
 def percentiles(df: DataFrame, key: str, value: str) -> DataFrame:
-    """A-20: median interpolated; p95 and p99 are observed values."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})").cast("double")
-    out = df.groupBy(key).agg(
-        F.count(value).alias("n"),
-        F.median(value).cast("double").alias("median"),
-        rank(0.95).alias("p95"),
-        rank(0.99).alias("p99"),
-        F.min(value).cast("double").alias("min"),
-        F.max(value).cast("double").alias("max"),
-        F.avg(value).cast("double").alias("mean"),
-    )
-    return out.withColumn("p95_is_max", F.col("p95") == F.col("max"))
+    """A-20: median interpolated; p95 and p99 are observed values. NaN counts as no value.
+
+    The ranks are found by selection: a pass counts the values of each part of
+    the range in question, and only the part that holds the rank is looked at
+    again, until it is one value. No task holds a key's values, however many
+    it has; a pass shuffles at most ``SELECT_BINS`` counts for each key, rank
+    and task.
+    """
+    v = F.col(value).cast("double")
+    rows = df.select(F.col(key).alias("k"), F.when(~F.isnan(v), v).alias("v"))
+    known = rows.filter("v is not null")
+    stats = rows.groupBy("k").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"))
+    stats = scratch.table(stats, "percentiles")
+    n = F.col("n")
+    whole = lambda e: e.cast("long")
+    ranks = {"m1": whole(F.floor((n + 1) / 2)), "m2": whole(F.floor(n / 2) + 1), "p95": whole(F.floor((95 * n + 99) / 100)), "p99": whole(F.floor((99 * n + 99) / 100))}
+    wanted = stats.filter("n > 0").select("k", F.inline(F.array(*[F.struct(F.lit(name).alias("name"), e.alias("rank")) for name, e in ranks.items()])), "low", "high")
+    open_ = scratch.table(wanted, "percentiles")
+    done = []
+    while True:
+        done.append(open_.filter("low = high").select("k", "name", F.col("low").alias("x")))
+        open_ = open_.filter("low < high")
+        if open_.limit(1).count() == 0:
+            break
+        # a row of bounds for each key; a key with very many rows can be split
+        bounds = scratch.table(open_.groupBy(F.col("k").alias("b_k")).agg(F.collect_list(F.struct("name", "low", "high")).alias("b")), "percentiles")
+        # halved where a difference could overflow; small values are not, since half of the least is zero
+        scale = lambda b: F.when(F.greatest(F.abs(b["low"]), F.abs(b["high"])) > 1e300, 0.5).otherwise(1.0)
+        width = lambda high, b: high * scale(b) - b["low"] * scale(b)
+        part = lambda b: F.least(F.floor(width(F.col("v"), b) / width(b["high"], b) * SELECT_BINS), F.lit(SELECT_BINS - 1))
+        hits = F.transform(F.filter("b", lambda b: F.col("v").between(b["low"], b["high"])), lambda b: F.struct(b["name"].alias("name"), part(b).alias("part")))
+        placed = known.join(bounds, F.col("k").eqNullSafe(F.col("b_k"))).select("k", "v", F.inline(hits))
+        counted = placed.groupBy("k", "name", "part").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        counted = counted.withColumn("upto", F.sum("c").over(W.partitionBy("k", "name").orderBy("part")))
+        ranked = counted.join(open_.select(F.col("k").alias("o_k"), F.col("name").alias("o_name"), "rank"), F.col("k").eqNullSafe(F.col("o_k")) & (F.col("name") == F.col("o_name")))
+        chosen = ranked.filter("upto >= rank and upto - c < rank")
+        open_ = scratch.table(chosen.select("k", "name", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), "low", "high"), "percentiles")
+    values = reduce(DataFrame.unionByName, done).groupBy(F.col("k").alias("v_k")).agg(*[F.max(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in ranks])
+    out = stats.join(values, F.col("k").eqNullSafe(F.col("v_k")), "left")
+    median = F.when(F.col("m1") == F.col("m2"), F.col("m1")).otherwise(half_sum("m1", "m2"))
+    return out.select(F.col("k").alias(key), "n", median.alias("median"), "p95", "p99", F.col("low").alias("min"), F.col("high").alias("max"), "mean", (F.col("p95") == F.col("high")).alias("p95_is_max"))
+
+
+def half_sum(a: str, b: str) -> Column:
+    return F.col(a) + (F.col(b) - F.col(a)) / 2

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as N
 from ..schemas import MONEY
+from ..sources import scratch
 
 
 def _first(df: DataFrame, keys: list[str], order: str = "row_no", last: bool = False) -> DataFrame:
@@ -38,13 +39,22 @@ def date_issues(df: DataFrame, column: str, source: str) -> DataFrame:
     return found.select("store_id", F.lit(source).alias("source"), F.col("issue").alias("kind"), severity.alias("severity"), F.col("issue").alias("message"), "count")
 
 
+def typed(cells: DataFrame, money: list[str], counts: list[str] = []) -> DataFrame:
+    """The cells with their numbers read once: ``m_`` and ``i_`` columns, and ``bad_`` where a filled cell is no number.
+
+    Written, so that all that is derived from them is planned over plain columns.
+    """
+    read = {f"m_{c}": N.parse_money(F.col(c)) for c in money} | {f"i_{c}": N.parse_int(F.col(c)) for c in counts}
+    return scratch.table(cells.withColumns(read | {f"bad_{c}": F.coalesce(N.is_unreadable(F.col(c)), F.lit(False)) for c in [*money, *counts]}), "cells")
+
+
 def refuse_unreadable(cells: DataFrame, source: str, numbers: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """T9: rows of the files whose numbers can all be read, and one issue per store and column with others.
 
-    ``numbers`` maps a column of text to when it is read at all. One cell that
+    ``numbers`` maps a column that ``typed`` has read to when it counts at all. One cell that
     is filled but no number refuses its whole file: half a file is a wrong sum.
     """
-    hits = {n: F.coalesce(when & N.is_unreadable(F.col(n)), F.lit(False)) for n, when in numbers.items()}
+    hits = {n: F.coalesce(when & F.col(f"bad_{n}"), F.lit(False)) for n, when in numbers.items()}
     rows = F.inline(F.array(*[F.struct(F.lit(n).alias("column"), e.alias("hit")) for n, e in hits.items()]))
     found = cells.select("store_id", "file", rows).filter("hit").groupBy("store_id", "file", "column").agg(F.count(F.lit(1)).alias("count"))
     issues = found.groupBy("store_id", "column").agg(F.sum("count").alias("count")).select(
@@ -86,16 +96,17 @@ def normalize_orders(raw: DataFrame) -> dict[str, DataFrame]:
     )
     named, dated = F.col("order_id").isNotNull(), F.col("order_id").isNotNull() & F.col("created").isNotNull()
     header_cells = ["s_subtotal", "s_discount", "s_shipping", "s_tax", "s_total", "s_refunded"]
+    cells = typed(cells, [*header_cells, "s_price"], ["s_quantity"])
     cells, refused = refuse_unreadable(cells, "shopify", {"s_quantity": named, "s_price": named} | dict.fromkeys(header_cells, dated))
     # continuation rows have no date of their own; their order's header dates them
-    rows = with_timestamp(cells.filter("order_id is not null"), "created", "created_at")
+    rows = scratch.table(with_timestamp(cells.filter("order_id is not null"), "created", "created_at"), "order-rows")
     head = rows.filter("created_at is not null").groupBy("store_id", "order_id").agg(F.min("row_no").alias("head_no"))
     own = rows.join(head, ["store_id", "order_id"], "left")
     rejected = own.filter((F.col("head_no").isNull()) | (F.col("row_no") < F.col("head_no")))
     kept = own.filter(F.col("row_no") >= F.col("head_no"))
-    m = lambda c: N.parse_money(F.col(c))
+    m = lambda c: F.col(f"m_{c}")
     zero = F.lit(0).cast(MONEY)
-    headers = kept.filter("row_no = head_no")
+    headers = _first(kept.filter("row_no = head_no"), ["store_id", "order_id"]).filter("_rank = 1").drop("_rank")
     orders = headers.select(
         "store_id",
         "order_id",
@@ -114,7 +125,7 @@ def normalize_orders(raw: DataFrame) -> dict[str, DataFrame]:
         F.coalesce(F.lower("channel") == "shopify_draft_order", F.lit(False)).alias("draft"),
         F.lit("shopify").alias("source"),
     )
-    lines = kept.withColumn("quantity", N.parse_int(F.col("s_quantity"))).withColumn("unit_price", F.coalesce(m("s_price"), zero)).filter("quantity > 0")
+    lines = kept.withColumn("quantity", F.col("i_s_quantity")).withColumn("unit_price", F.coalesce(m("s_price"), zero)).filter("quantity > 0")
     lines = lines.withColumn("key_sku", F.coalesce("sku", F.lit("UNKNOWN"))).withColumn("title", F.coalesce("title", "sku", F.lit("unknown")))
     signature = ["store_id", "order_id", "key_sku", "quantity", "unit_price", "title"]
     lines = _first(lines, signature)
@@ -149,8 +160,8 @@ def normalize_products(raw: DataFrame) -> dict[str, DataFrame]:
     """S-02: last row of a SKU wins; a negative cost is unknown."""
     g = lambda *names: N.first_present(raw, *names)
     rows = raw.select("store_id", "row_no", g("SKU").alias("sku"), g("Product ID").alias("product_ref"), g("Title").alias("title"), g("Cost per item", "Cost", "COGS").alias("s_cost"), "file")
-    rows, refused = refuse_unreadable(rows, "products", {"s_cost": F.col("sku").isNotNull()})
-    rows = rows.withColumn("cost", N.parse_money(F.col("s_cost")))
+    rows, refused = refuse_unreadable(typed(rows, ["s_cost"]), "products", {"s_cost": F.col("sku").isNotNull()})
+    rows = rows.withColumn("cost", F.col("m_s_cost"))
     last = _first(rows.filter("sku is not null"), ["store_id", "sku"], last=True).filter("_rank = 1")
     products = last.select("store_id", "sku", F.coalesce("product_ref", "sku").alias("product_ref"), F.coalesce("title", "sku").alias("title"), F.when(F.col("cost") >= 0, F.col("cost")).alias("unit_cogs"))
     kinds = {"missing_sku": (F.col("sku").isNull(), "warning"), "negative_cogs": (F.col("sku").isNotNull() & (F.col("cost") < 0), "error")}
@@ -175,10 +186,10 @@ def normalize_payments(raw: DataFrame) -> dict[str, DataFrame]:
         N.email_key(g("Customer Email", "customer_email", "Email")).alias("customer_email"),
     )
     named = F.col("payment_id").isNotNull()
-    rows, refused = refuse_unreadable(rows, "stripe", dict.fromkeys(["s_amount", "s_refunded", "s_fee", "s_net"], named))
+    rows, refused = refuse_unreadable(typed(rows, ["s_amount", "s_refunded", "s_fee", "s_net"]), "stripe", dict.fromkeys(["s_amount", "s_refunded", "s_fee", "s_net"], named))
     refused = refused.unionByName(date_issues(rows, "created", "stripe")).unionByName(issues_of(rows, "stripe", {"missing_id": (~named, "error")}))
-    rows = rows.filter(named).withColumns({n: N.parse_money(F.col(f"s_{n}")) for n in ("refunded", "fee", "net")}).withColumn("amount", F.coalesce(N.parse_money(F.col("s_amount")), F.lit(0).cast(MONEY)))
-    rows = with_timestamp(_first(rows, ["store_id", "payment_id"]), "created", "created_at")
+    rows = rows.filter(named).withColumns({n: F.col(f"m_s_{n}") for n in ("refunded", "fee", "net")}).withColumn("amount", F.coalesce(F.col("m_s_amount"), F.lit(0).cast(MONEY)))
+    rows = scratch.table(with_timestamp(_first(rows, ["store_id", "payment_id"]), "created", "created_at"), "payment-rows")
     good = rows.filter("_rank = 1 and created_at is not null")
     payments = good.select("store_id", "payment_id", "created_at", "amount", F.when(F.col("fee") >= 0, F.col("fee")).alias("fee"), "net", "status", "order_id", "customer_email", F.lit("stripe").alias("source"))
     refunds = good.filter("refunded > 0").select("store_id", F.concat(F.lit("refund:"), F.col("payment_id")).alias("refund_id"), "created_at", F.col("refunded").alias("amount"), "order_id", F.lit("stripe").alias("source"))
@@ -209,12 +220,12 @@ def normalize_ads(raw: DataFrame) -> dict[str, DataFrame]:
         g("Conv. value", "Conversion value", "Total conv. value").alias("s_value"),
     )
     read = F.col("name").isNotNull() & F.col("day_text").isNotNull()
-    rows, refused = refuse_unreadable(rows, "google_ads", dict.fromkeys(["s_cost", "s_impressions", "s_clicks", "s_conversions", "s_value"], read))
-    m = lambda n: F.coalesce(N.parse_money(F.col(n)), F.lit(0).cast(MONEY))
-    count = lambda n: F.coalesce(N.parse_int(F.col(n)), F.lit(0).cast("long"))
+    rows, refused = refuse_unreadable(typed(rows, ["s_cost", "s_conversions", "s_value"], ["s_impressions", "s_clicks"]), "google_ads", dict.fromkeys(["s_cost", "s_impressions", "s_clicks", "s_conversions", "s_value"], read))
+    m = lambda n: F.coalesce(F.col(f"m_{n}"), F.lit(0).cast(MONEY))
+    count = lambda n: F.coalesce(F.col(f"i_{n}"), F.lit(0).cast("long"))
     rows = rows.withColumns({"spend": m("s_cost"), "impressions": count("s_impressions"), "clicks": count("s_clicks"), "conversions": m("s_conversions").cast("double"), "conversion_value": m("s_value")})
     issues = refused.unionByName(date_issues(rows, "day_text", "google_ads"))
-    rows = with_timestamp(rows, "day_text", "at").withColumn("day", F.to_date("at"))
+    rows = scratch.table(with_timestamp(rows, "day_text", "at").withColumn("day", F.to_date("at")), "ad-rows")
     named = rows.filter("day is not null and name is not null")
     dated = _first(named, ["store_id", "campaign_id", "day"])
     good = dated.filter("_rank = 1 and spend >= 0")

@@ -12,6 +12,7 @@ from ..functions import parsing as N
 from ..functions import redaction as R
 from ..functions.numbers import ratio
 from ..schemas import StoreTables
+from ..sources import scratch
 
 
 def status(coverage: Column, cfg: AnalyticsConfig) -> Column:
@@ -173,11 +174,17 @@ def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("store_id", "source", "kind", "severity", "message").agg(F.sum("count").alias("count"))
 
 
+#: Distinct values of a column that are counted one by one.
+DISTINCT_CAP = 200_000
+
+
 def column_profile(df: DataFrame) -> DataFrame:
-    """Q-08 over the whole table in one pass: type by share of cells, missing and distinct count.
+    """Q-08 over the whole table: type by share of cells, missing and distinct count.
 
-    Columns are measured side by side in one row; only the distinct values of
-    a column are ever shuffled, each once per task.
+    Columns are measured side by side in one row, with a sketch of each one's
+    distinct values. Those with about ``DISTINCT_CAP`` or fewer are then
+    counted exactly, which shuffles so many values for each column and task at
+    most; beyond, the sketch's estimate stands and ``exact`` is false.
     """
     names = df.columns
     cells = df.select(*[N.null_if_token(F.col(f"`{c}`").cast("string")).alias(f"v{i}") for i, c in enumerate(names)])
@@ -187,6 +194,7 @@ def column_profile(df: DataFrame) -> DataFrame:
         return F.struct(
             F.count(F.lit(1)).alias("rows"),
             F.count_if(v.isNull()).alias("missing"),
+            F.approx_count_distinct(v, 0.02).alias("sketched"),
             share(F.regexp_like(v, F.lit("^[A-Z]{3}$"))).alias("currency"),
             share(F.lower(v).isin("true", "false", "yes", "no", "0", "1")).alias("boolean"),
             share(F.regexp_like(v, F.lit(r"^\d{4}-\d{2}-\d{2}"))).alias("date"),
@@ -196,13 +204,18 @@ def column_profile(df: DataFrame) -> DataFrame:
 
     wide = cells.agg(*[measures(F.col(f"v{i}")).alias(f"m{i}") for i in range(len(names))])
     long = wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.col(f"m{i}").alias("m")) for i, c in enumerate(names)]))).select("i", "column", "m.*")
-    values = cells.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in range(len(names))]))).filter("v is not null")
+    long = scratch.table(long, "profile")
+    few = [r.i for r in long.filter(F.col("sketched") <= 1.1 * DISTINCT_CAP).select("i").collect()]  # a row for each column
+    counted = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in few]) if few else F.array().cast("array<struct<i: int, v: string>>")
+    values = cells.select(F.inline(counted)).filter("v is not null")
     distinct = values.distinct().groupBy("i").agg(F.count(F.lit(1)).alias("distinct"))
-    out = long.join(distinct, "i", "left").fillna(0, ["distinct"])
+    exact = F.col("i").isin(few) if few else F.lit(False)
+    out = long.join(distinct, "i", "left").withColumn("exact", exact)
+    out = out.withColumn("distinct", F.when(F.col("exact"), F.coalesce("distinct", F.lit(0))).otherwise(F.col("sketched")))
     kind = F.when(F.col("rows") == F.col("missing"), "empty")
     for name, least in (("currency", 0.9), ("boolean", 0.95), ("date", 0.9), ("number", 0.9)):
         kind = kind.when(F.col(name) > least, name)
-    return out.select("column", "rows", "missing", "distinct", kind.otherwise("text").alias("type"), "email")
+    return out.select("column", "rows", "missing", "distinct", kind.otherwise("text").alias("type"), "email", "exact")
 
 
 def personal_columns(df: DataFrame, names: list[str] = ["email", "phone", "name", "address", "customer"]) -> DataFrame:

@@ -153,22 +153,31 @@ def evaluate(expected: DataFrame, observed: DataFrame, dead_band: float = 0.08)
     return both.withColumn("verdict", F.when(F.col("observed") == F.col("expected"), "MATCH").otherwise("KNOWN_GAP"))
 
 
-def ungrounded_numbers(explanations: DataFrame, key: str, text_col: str, store_col: str, trusted: DataFrame) -> DataFrame:
-    """V-09: numbers quoted in a text that are no trusted value of its store.
+#: What an expectation may compare a value with its threshold by.
+COMPARISONS = {">=": lambda v, t: v >= t, "<=": lambda v, t: v <= t, ">": lambda v, t: v > t, "<": lambda v, t: v < t}
 
-    A quoted number is trusted if a value, or a hundred times it, has its
-    digits at its precision (0 to 4 decimals).
-    """
-    shape = r"(?<![\w.])[0-9]+(?:\.[0-9]{1,4})?(?![\w.]*[0-9])"
-    said = explanations.select(key, F.col(store_col).alias("store_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(shape), F.lit(0)))).alias("quoted"))
-    forms = F.array(*[F.format_string(f"%.{d}f", F.col("v")) for d in range(5)])
-    known = trusted.select("store_id", F.explode(F.array(F.col("value"), F.col("value") * 100)).alias("v")).select("store_id", F.explode(forms).alias("quoted")).distinct()
-    return said.join(known, ["store_id", "quoted"], "left_anti")
 
+def evaluate_rules(rules: DataFrame, observed: DataFrame, dead_band: float = 0.08) -> DataFrame:
+    """V-08: rules as data against observations as data, in one join.
 
-def claims(text: Column) -> Column:
-    """V-09: wording that claims a cause."""
-    return F.regexp_like(text, F.lit(r"(?i)\b(because of|caused by|due to|led to|resulted in)\b"))
+    ``rules`` has store_id, kind, subject, op, expected and threshold;
+    ``observed`` has store_id, kind, subject, value and text. Kinds: *direction*
+    expects up, down, flat or unknown of a relative change; *presence* expects
+    present or absent; *choice* expects a text; *threshold* expects the value
+    to hold ``op`` against the threshold. What was not observed is unknown,
+    absent, none, or no match. Adds observed and verdict (MATCH or KNOWN_GAP).
+    """
+    v, t = F.col("value"), F.col("threshold")
+    both = rules.join(observed.withColumn("seen", F.lit(True)), ["store_id", "kind", "subject"], "left")
+    change = F.when(v.isNull(), "unknown").when(v > dead_band, "up").when(v < -dead_band, "down").otherwise("flat")
+    holds = F.lit(None).cast("boolean")
+    for op, test in COMPARISONS.items():
+        holds = F.when(F.col("op") == op, test(v, t)).otherwise(holds)
+    is_ = lambda kind: F.col("kind") == kind
+    saw = F.when(is_("direction"), change).when(is_("presence"), F.when(F.col("seen"), "present").otherwise("absent")).when(is_("choice"), F.coalesce("text", F.lit("none"))).when(is_("threshold"), F.when(holds, "holds").otherwise("fails"))
+    want = F.when(is_("threshold"), "holds").otherwise(F.col("expected"))
+    out = both.withColumn("observed", saw)
+    return out.withColumn("verdict", F.when(F.col("observed") == want, "MATCH").otherwise("KNOWN_GAP")).drop("seen", "value", "text")
 
 
 def scattered_blocks(rows: DataFrame, order_col: str, key: str, group: str, span: int = 1_000_000) -> DataFrame:

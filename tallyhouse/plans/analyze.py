@@ -8,10 +8,12 @@ from dataclasses import replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import AnalyticsConfig
 from ..functions import periods as P
+from ..functions.redaction import sanitize_text
 from ..operators import anomaly, facts, health, insights, kpis, profitability, quality, rootcause, series
 from ..schemas import StoreTables
 from ..sources import scratch
@@ -129,6 +131,10 @@ class Analysis:
         found = insights.findings(self.anomalies, self.factors, primary, self.profit, self.products, self.kpis, self.campaigns, self.cfg)
         return insights.ranked(found)
 
+    @kept
+    def evidence(self) -> DataFrame:
+        return insights.evidence(self.findings, self.anomalies)
+
     @cached_property
     def recommendations(self) -> DataFrame:
         return insights.recommendations(self.findings, self.campaigns)
@@ -159,7 +165,7 @@ class Analysis:
             "product_contributors": items(self.contributors, "product_contributors", ["rank"], ["sku", "delta", "contribution"]),
             "campaign_contributors": items(self.campaigns.filter("rank <= 5"), "campaign_contributors", ["rank"], ["campaign_id", "name", "delta_conversions", "delta_cvr"]),
             "health_dimensions": items(self.dimensions, "health_dimensions", ["dimension"], ["dimension", "score", "weight"]),
-            "insights": items(self.findings, "insights", ["rank"], ["item_id", "kind", "subject", "severity", "confidence", "statement"]),
+            "insights": items(insights.with_evidence(self.findings, self.evidence), "insights", ["rank"], ["item_id", "kind", "subject", "severity", "confidence", "statement", "impact", "evidence"]),
             "recommendations": items(self.recommendations, "recommendations", ["factor"], ["factor", "recommendation"]),
             "hypotheses": items(insights.hypotheses(self.factors), "hypotheses", ["statement"], ["statement", "supports"]),
             "top_customers": items(insights.top_customers(self.tables.orders), "top_customers", ["rank"], ["customer", "revenue", "orders"]),
@@ -189,41 +195,57 @@ class Analysis:
         )
 
 
-#: Most items of each list of an evidence pack, and the most bytes of a pack.
-PACK_LIMITS = {"facts": 25, "findings": 15, "evidence": 30, "hypotheses": 10, "recommendations": 10, "limitations": 15, "contributors": 5}
-PACK_BYTES = 64_000
-#: Sections halved, in this order, while a pack is too large.
-HALVING = ["evidence", "findings", "facts", "hypotheses", "limitations"]
+#: Most items of each list of an evidence pack, in order of priority; the most characters of an item, and the most bytes of a pack.
+PACK_LIMITS = {"unavailable": 20, "facts": 25, "findings": 15, "recommendations": 10, "evidence": 30, "hypotheses": 10, "limitations": 15, "contributors": 5}
+PACK_CHARS, PACK_BYTES = 400, 64_000
+#: Bytes of a pack without items: names, brackets and commas.
+_FRAME = len("{}") + sum(len(f'"{n}":[],') for n in PACK_LIMITS)
+
+
+def packed(items: DataFrame, budget: int = PACK_BYTES) -> DataFrame:
+    """X-27: from (store_id, section, place, text), one JSON pack per store of at most ``budget`` bytes.
+
+    Texts are sanitised and cut. Items are taken place by place, sections by
+    priority at each place, while the bytes they take as JSON fit the budget;
+    the first that does not fit ends the pack.
+    """
+    order = F.array(*[F.lit(n) for n in PACK_LIMITS])
+    most = F.create_map(*[F.lit(x) for pair in PACK_LIMITS.items() for x in pair])
+    body = F.to_json(F.array("clean"))
+    of_section = W.partitionBy("store_id", "section").orderBy("place", "text")
+    rows = items.withColumn("nth", F.row_number().over(of_section))
+    totals = rows.groupBy("store_id", "section").agg(F.count(F.lit(1)).alias("total"))
+    rows = rows.filter(F.col("nth") <= most[F.col("section")]).withColumn("clean", sanitize_text(F.col("text"), PACK_CHARS))
+    rows = rows.withColumn("body", F.substring(body, F.lit(2), F.char_length(body) - 2)).withColumn("priority", F.array_position(order, F.col("section")))
+    # as JSON, with the comma after it
+    running = F.sum(F.octet_length("body") + 1).over(W.partitionBy("store_id").orderBy("nth", "priority"))
+    taken = rows.withColumn("upto", running).filter(F.col("upto") + _FRAME <= budget)
+    by = taken.groupBy("store_id").agg(F.sort_array(F.collect_list(F.struct("section", "nth", "body"))).alias("rows"))
+    counts = totals.groupBy("store_id").agg(*[F.coalesce(F.sum(F.when(F.col("section") == n, F.col("total"))), F.lit(0)).alias(f"{n}_total") for n in PACK_LIMITS])
+    out = counts.join(by, "store_id", "left").withColumn("rows", F.coalesce("rows", F.array().cast("array<struct<section: string, nth: int, body: string>>")))
+    of = lambda n: F.transform(F.filter("rows", lambda r: r["section"] == n), lambda r: r["body"])
+    pack = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":['), F.array_join(of(n), ","), F.lit("]")) for n in PACK_LIMITS]), F.lit("}"))
+    return out.select("store_id", *[f"{n}_total" for n in PACK_LIMITS], *[F.size(of(n)).alias(f"{n}_included") for n in PACK_LIMITS], pack.alias("pack"))
+
+
+def pack_items(a: Analysis) -> DataFrame:
+    """What an evidence pack may hold: (store_id, section, place, text)."""
+    c, text = F.col, lambda *parts: F.concat_ws(" ", *[p.cast("string") for p in parts])
+    item = lambda df, name, place, said: df.select("store_id", F.lit(name).alias("section"), (F.lpad(c(place).cast("string"), 9, "0") if dict(df.dtypes)[place] in ("int", "bigint") else c(place)).alias("place"), said.alias("text"))
+    metrics = a.kpis.select("store_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), c(m).alias("value")) for m in a.kpis.columns[2:]])))
+    limits = a.limitations.select("store_id", F.posexplode("limitations").alias("place", "text"))
+    return reduce(DataFrame.unionByName, [
+        item(metrics.filter("value is null"), "unavailable", "metric", c("metric")),
+        item(metrics.filter("value is not null"), "facts", "metric", text(c("metric"), F.round("value", 4))),
+        item(a.findings, "findings", "rank", text(c("item_id"), c("statement"))),
+        item(a.recommendations, "recommendations", "factor", c("recommendation")),
+        item(a.anomalies, "evidence", "metric", text(F.concat(F.lit("anomaly-"), c("metric")), c("direction"), c("severity"))),
+        item(insights.hypotheses(a.factors), "hypotheses", "statement", text(c("statement"), c("supports"))),
+        item(limits, "limitations", "place", c("text")),
+        item(a.contributors, "contributors", "rank", c("sku")),
+    ])
 
 
 def evidence_pack(a: Analysis) -> DataFrame:
     """X-27: bounded lists with total and included counts; unknown metrics apart from facts."""
-
-    def listed(df: DataFrame, name: str, order: list[str], item) -> DataFrame:
-        rows = F.transform(F.sort_array(F.collect_list(F.struct(*order, item.alias("item")))), lambda r: r["item"])
-        return df.groupBy("store_id").agg(rows.alias(name))
-
-    metrics = a.kpis.select("store_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in a.kpis.columns[2:]])))
-    c = F.col
-    text = lambda *parts: F.concat_ws(" ", *[p.cast("string") for p in parts])
-    parts = {
-        "facts": listed(metrics.filter("value is not null"), "facts", ["metric"], text(c("metric"), F.round("value", 4))),
-        "unavailable": listed(metrics.filter("value is null"), "unavailable", ["metric"], c("metric")),
-        "findings": listed(a.findings, "findings", ["rank"], text(c("item_id"), c("statement"))),
-        "evidence": listed(a.anomalies, "evidence", ["metric"], text(c("metric"), c("direction"), c("severity"))),
-        "hypotheses": listed(insights.hypotheses(a.factors), "hypotheses", ["statement"], text(c("statement"), c("supports"))),
-        "recommendations": listed(a.recommendations, "recommendations", ["factor"], c("recommendation")),
-        "limitations": a.limitations,
-        "contributors": listed(a.contributors, "contributors", ["rank"], c("sku")),
-    }
-    out = a.periods.select("store_id")
-    for part in parts.values():
-        out = out.join(part, "store_id", "left")
-    empty = F.array().cast("array<string>")
-    out = out.withColumns({n: F.coalesce(c(n), empty) for n in parts})
-    out = out.withColumns({f"{n}_total": F.size(n) for n in PACK_LIMITS})
-    out = out.withColumns({n: F.slice(n, 1, limit) for n, limit in PACK_LIMITS.items()})
-    size = F.octet_length(F.to_json(F.struct(*parts)))
-    for name in HALVING * 3:  # each section is cut at most three times
-        out = out.withColumn(name, F.when(size > PACK_BYTES, F.slice(name, F.lit(1), F.greatest(F.lit(1), (F.size(name) / 2).cast("int")))).otherwise(c(name)))
-    return out.select("store_id", *[f"{n}_total" for n in PACK_LIMITS], *[F.size(n).alias(f"{n}_included") for n in PACK_LIMITS], F.to_json(F.struct(*parts)).alias("pack"))
+    return packed(pack_items(a))

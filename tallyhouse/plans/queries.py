@@ -492,6 +492,14 @@ def x_insights_ranked(spark, sf_dir):
     return tidy(analysis(spark, sf_dir).prepare("products", "campaigns", "basis", "anomalies", "factors").findings)
 
 
+@query(f"""with {_findings_sql()}, named as (select *, kind || case when nth > 1 then '-' || nth else '' end as item_id from idd)
+select n.store_id, item_id, 'anomaly-' || metric as evidence_id, metric, direction, ass.severity as evidence_severity, {S.r('v')} as value, {S.r('m')} as mean, {S.r('pct')} as pct from named n join ass on ass.store_id = n.store_id
+and (n.kind = 'revenue_decline' and metric in ('revenue', 'orders', 'aov', 'paid_conversion_rate', 'paid_clicks', 'roas') or n.kind = 'anomaly' and n.subject = metric)""")
+def x_insight_evidence(spark, sf_dir):
+    """X-20, X-29: the anomalies that each finding rests on, those folded into a revenue decline too."""
+    return tidy(analysis(spark, sf_dir).prepare("products", "campaigns", "basis", "anomalies", "factors").evidence)
+
+
 @query(f"""with {_findings_sql()}, worst as (select store_id, campaign_id from ca where rk = 1 and v1 - v0 < 0)
 select store_id, subject as factor, case subject when 'paid_clicks' then 'check budgets, bids and paused campaigns' when 'paid_conversion_rate' then 'check landing pages, stock and checkout' when 'aov' then 'check discounts, bundles and the product mix' else 'review revenue drivers' end
  || case when subject = 'paid_conversion_rate' and campaign_id is not null then '; worst campaign: ' || campaign_id else '' end as recommendation from fnd left join worst using (store_id) where kind = 'revenue_decline'""")
@@ -526,6 +534,34 @@ def x_report(spark, sf_dir):
     return analysis(spark, sf_dir).report()
 
 
+def _pack_sql() -> str:
+    kpis_ = _long_kpi_sql()
+    parts = {
+        "unavailable": "select store_id, count(*) as n from kp join nw using (store_id, period_start) where value is null group by 1",
+        "facts": "select store_id, count(*) as n from kp join nw using (store_id, period_start) where value is not null group by 1",
+        "findings": f"select store_id, count(*) as n from ({SQL['x_insights_ranked']}) group by 1",
+        "recommendations": f"select store_id, count(*) as n from ({SQL['x_recommendations']}) group by 1",
+        "evidence": f"select store_id, count(*) as n from ({SQL['x_anomalies']}) group by 1",
+        "hypotheses": f"select store_id, count(distinct factor = 'paid_clicks') as n from ({SQL['x_root_cause_factors']}) where contribution is not null group by 1",
+        "limitations": f"select store_id, n from ({SQL['x_limitations']}) x, lateral (select len(string_split(x.limitations, ',')) as n) where x.limitations <> ''",
+        "contributors": f"select store_id, count(*) as n from ({SQL['x_product_contributors']}) group by 1",
+    }
+    most = {"unavailable": 20, "facts": 25, "findings": 15, "recommendations": 10, "evidence": 30, "hypotheses": 10, "limitations": 15, "contributors": 5}
+    ctes = ", ".join(f"c_{n} as ({q})" for n, q in parts.items())
+    columns = ", ".join(f"cast(coalesce(c_{n}.n, 0) as bigint) as {n}_total, cast(least(coalesce(c_{n}.n, 0), {most[n]}) as bigint) as {n}_included" for n in parts)
+    joins = " ".join(f"left join c_{n} on c_{n}.store_id = nw.store_id" for n in parts)
+    return f"with kp as ({kpis_}), nw as ({SQL['p_last_complete_period']}), {ctes} select nw.store_id, {columns}, true as fits from nw {joins}"
+
+
+@query(_pack_sql())
+def x_pack_counts(spark, sf_dir):
+    """X-27: what the packs hold and leave out, and whether each keeps to its bytes."""
+    from .analyze import PACK_BYTES
+
+    packs = evidence_pack(analysis(spark, sf_dir).prepare("products", "contributors", "campaigns", "basis", "issues", "field_quality", "anomalies", "factors"))
+    return tidy(packs.withColumn("fits", F.octet_length("pack") <= PACK_BYTES).drop("pack"))
+
+
 @query()
 def x_evidence_pack(spark, sf_dir):
     """X-27, X-28."""

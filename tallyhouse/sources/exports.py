@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import codecs
+import hashlib
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import parsing as N
 from ..functions.parsing import clean_headers
 from ..operators import normalize
 from ..schemas import SCHEMAS, StoreTables
+from . import scratch
 
 # Columns by which an export is recognised, and delimiters in order of preference.
 SIGNATURES = {
@@ -33,100 +41,230 @@ _CODES = [(chr(b), bytes([b]).decode("windows-1252", "replace")) for b in range(
 _WINDOWS = "".join(a for a, b in _CODES if b != "\ufffd"), "".join(b for _, b in _CODES if b != "\ufffd")
 
 
-def triage_files(spark: SparkSession, glob: str) -> DataFrame:
-    """S-05, S-07: per file its sha256, refusal, encoding, delimiter, header and source.
+_UNDEFINED = [bytes([b]) for b in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+#: Bytes of a file's head, lines of it in which the header is looked for, and bytes read at a time.
+HEAD, PREAMBLE, BLOCK = 8192, 10, 1 << 20
+# How files of other kinds begin.
+REFUSED = [(b"PK\x03\x04", "xlsx_or_zip"), (b"\xd0\xcf\x11\xe0", "xls"), (b"%PDF", "pdf"), (b"\xff\xfe", "utf16"), (b"\xfe\xff", "utf16")]
+#: Stores that a task can open by itself; elsewhere Spark reads the files, whole.
+OPENED = {"file", "hdfs", "s3", "s3a", "gs"}
 
-    Only the first 8 KB decide; the files stay where they are.
-    """
+
+def _open(path: str):
+    if path.startswith("file:"):
+        return open(path[5:].replace("//", "/", 1) if path.startswith("file://") else path[5:], "rb")
+    from pyarrow.fs import FileSystem
+
+    store, name = FileSystem.from_uri(quote(path.replace("s3a://", "s3://", 1), safe=":/@"))
+    return store.open_input_stream(name)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Head, sha256 and byte checks of each file, read in blocks."""
+    for batch in batches:
+        found = []
+        for path in batch.column(0).to_pylist():
+            digest, decoder, utf8, undefined, head = hashlib.sha256(), codecs.getincrementaldecoder("utf-8")(), True, False, b""
+            with _open(path) as file:
+                while block := file.read(BLOCK):
+                    digest.update(block)
+                    head += block[: HEAD - len(head)]
+                    undefined = undefined or any(b in block for b in _UNDEFINED)
+                    if utf8:
+                        try:
+                            decoder.decode(block)
+                        except UnicodeDecodeError:
+                            utf8 = False
+            found.append({"head": head, "sha256": digest.hexdigest(), "utf8": utf8 and not decoder.getstate()[0], "undefined": undefined})
+        facts = pa.Table.from_pylist(found, pa.schema([("head", pa.binary()), ("sha256", pa.string()), ("utf8", pa.bool_()), ("undefined", pa.bool_())]))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(c.combine_chunks() for c in facts.columns)], ["path", "length", *facts.column_names])
+
+
+def _file_facts(spark: SparkSession, glob: str) -> DataFrame:
+    """path, length, head, sha256, utf8 and undefined of each file."""
     files = spark.read.format("binaryFile").load(glob)
-    head = F.substring("content", 1, 8192)
-    hexed = F.hex(head)
-    refuse = (
-        F.when(hexed.startswith("504B0304"), "xlsx_or_zip")
-        .when(hexed.startswith("D0CF11E0"), "xls")
-        .when(hexed.startswith("25504446"), "pdf")
-        .when(hexed.startswith("FFFE") | hexed.startswith("FEFF"), "utf16")
-        .when(F.locate("00", F.regexp_replace(hexed, "(..)", "$1 ")) > 0, "nul_bytes")
-    )
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    # bytes that windows-1252 leaves undefined
+    listed = files.select("path", "length")  # contents are not read for these
+    schemes = {r.s for r in listed.select(F.split_part("path", F.lit(":"), F.lit(1)).alias("s")).distinct().collect()}
+    if schemes <= OPENED:
+        return listed.mapInArrow(_scan, "path string, length long, head binary, sha256 string, utf8 boolean, undefined boolean")
     undefined = F.regexp_like(F.regexp_replace(F.hex("content"), "(..)", "$1 "), F.lit("(81|8D|8F|90|9D) "))
-    encoding = F.when(utf8, "UTF-8").when(~undefined, "windows-1252").otherwise("ISO-8859-1")
-    text = F.when(utf8, head.cast("string")).otherwise(F.decode(head, "ISO-8859-1"))
-    line = F.regexp_replace(F.split_part(text, F.lit("\n"), F.lit(1)), "^﻿|\r$", "")
-    names = lambda d: F.transform(F.split(line, "\\Q" + d + "\\E"), lambda x: F.trim(F.regexp_replace(x, '^"|"$', "")))
-    every = F.array_distinct(F.array(*[F.lit(c) for cols in SIGNATURES.values() for c in cols]))
-    options = F.array(*[F.struct(F.size(F.array_intersect(names(d), every)).alias("hits"), F.lit(-i).alias("order"), F.lit(d).alias("delimiter"), names(d).alias("header")) for i, d in enumerate(DELIMITERS)])
-    best = F.array_max(options)
-    out = files.select("path", "length", F.sha2("content", 256).alias("sha256"), refuse.alias("refused"), encoding.alias("encoding"), best.alias("best"))
-    found = F.array(*[F.when(F.size(F.array_intersect("best.header", F.array(*map(F.lit, cols)))) == len(cols), F.struct(F.lit(len(cols)).alias("n"), F.lit(name).alias("source"))) for name, cols in SIGNATURES.items()])
-    return out.select("path", "length", "sha256", "refused", "encoding", "best.delimiter", "best.header", F.array_max(F.array_compact(found))["source"].alias("source"))
+    return files.select("path", "length", F.substring("content", 1, HEAD).alias("head"), F.sha2("content", 256).alias("sha256"), F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"), undefined.alias("undefined"))
+
+
+def judge_head(head: bytes, utf8: bool, undefined: bool) -> dict[str, object]:
+    """What a file's first bytes say: refusal, encoding, delimiter, header, the lines before it, and source."""
+    refused = next((name for start, name in REFUSED if head.startswith(start)), "nul_bytes" if b"\0" in head else None)
+    encoding = "UTF-8" if utf8 else "ISO-8859-1" if undefined else "windows-1252"
+    # the last character of a head may be cut
+    text = head.decode("utf-8", "ignore") if utf8 else head.decode("latin-1")
+    lines = re.split("\r?\n", re.sub("^(\ufeff|ï»¿)", "", text))[:PREAMBLE]
+    every = {c for columns in SIGNATURES.values() for c in columns}
+    options = [([re.sub('^"|"$', "", x).strip() for x in line.split(d)], n, i) for n, line in enumerate(lines) for i, d in enumerate(DELIMITERS)]
+    header, n, i = max(options, key=lambda o: (len(every & set(o[0])), -o[1], -o[2]))
+    source = max(((len(columns), name) for name, columns in SIGNATURES.items() if set(columns) <= set(header)), default=(0, None))[1]
+    return {"refused": refused, "encoding": encoding, "delimiter": DELIMITERS[i], "header": header, "title_rows": n, "header_text": lines[n], "source": source}
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [("refused", pa.string()), ("encoding", pa.string()), ("delimiter", pa.string()), ("header", pa.list_(pa.string())), ("title_rows", pa.int32()), ("header_text", pa.string()), ("source", pa.string())]
+    for batch in batches:
+        found = [judge_head(r["head"], r["utf8"], r["undefined"]) for r in batch.select(["head", "utf8", "undefined"]).to_pylist()]
+        columns = [pa.array([f[name] for f in found], kind) for name, kind in kinds]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), batch.column("sha256"), *columns], ["path", "length", "sha256", *(name for name, _ in kinds)])
+
+
+def triage_files(spark: SparkSession, glob: str) -> DataFrame:
+    """S-05, S-07: per file its sha256, refusal, encoding, delimiter, header, the lines before it, and source.
+
+    A task reads a file in blocks and keeps its first 8 KB; no row holds a
+    file. The header is the line, of the first ten, that has most of the known
+    columns; lines before it are a title.
+    """
+    return _file_facts(spark, glob).mapInArrow(_judge, "path string, length long, sha256 string, refused string, encoding string, delimiter string, header array<string>, title_rows int, header_text string, source string")
+
+
+def _placed(cells: DataFrame, columns: list[str], convert) -> DataFrame:
+    """The columns as text, with store_id (the folder), file and row_no."""
+    name = F.col("file_path")
+    row = F.struct(name.alias("file"), F.col("line").alias("line")).alias("row_no")
+    return cells.select(*[convert(F.col(f"`{c}`")).alias(c) for c in columns], name.alias("file"), F.url_decode(F.element_at(F.split(name, "/"), -2)).alias("store_id"), row)
+
+
+def _converted(encoding: str):
+    # Spark reads no windows-1252; it is ISO 8859-1 but for 27 characters
+    return (lambda x: F.translate(x, *_WINDOWS)) if encoding == "windows-1252" else (lambda x: x)
 
 
 def read_export(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", delimiter: str = ",", multi_line: bool = True) -> DataFrame:
     """All columns as text, with store_id (the folder), file and row_no (S-06).
 
-    ``multi_line`` keeps quoted line breaks; a file is then one task, and
-    parallelism comes from many files. Clean input can be split without it.
+    ``row_no`` is a struct of the file's path and a number that grows within
+    the file: rows of all files have one total order, whichever reads they
+    came from. ``multi_line`` keeps quoted line breaks; a file is then one task,
+    and parallelism comes from many files. Clean input can be split without it.
     """
     read_as = "ISO-8859-1" if encoding == "windows-1252" else encoding
     raw = spark.read.csv(path, header=True, encoding=read_as, sep=delimiter, multiLine=multi_line, quote='"', escape='"', inferSchema=False, enforceSchema=False)
     columns = raw.columns
-    # Spark reads no windows-1252; it is ISO 8859-1 but for 27 characters
-    cell = (lambda x: F.translate(x, *_WINDOWS)) if encoding == "windows-1252" else (lambda x: x)
-    name = F.col("_metadata.file_path")
-    out = raw.select(*[cell(F.col(f"`{c}`")).alias(c) for c in columns], name.alias("file"), F.url_decode(F.element_at(F.split(name, "/"), -2)).alias("store_id"), F.monotonically_increasing_id().alias("row_no"))
-    return clean_headers(out)
+    numbered = raw.select("*", F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("line"))
+    return clean_headers(_placed(numbered, columns, _converted(encoding)))
+
+
+def read_titled_export(spark: SparkSession, paths: list[str], header_text: str, header: list[str], encoding: str = "UTF-8", delimiter: str = ",") -> DataFrame:
+    """V-11: as ``read_export``, of files whose header follows title rows; a row is a line.
+
+    Each file's header is its first line equal to ``header_text``; lines up to it are left out.
+    """
+    text = F.decode(F.col("value").cast("binary"), "UTF-8" if encoding == "UTF-8" else "ISO-8859-1")
+    numbered = spark.read.text(paths).select(F.regexp_replace(text, "^(\ufeff|ï»¿)|\r$", "").alias("text"), F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("line"))
+    start = numbered.filter(F.col("text") == header_text).groupBy("file_path").agg(F.min("line").alias("start"))
+    body = numbered.join(start, "file_path").filter((F.col("line") > F.col("start")) & (F.length("text") > 0))
+    names = [c or f"_c{i}" for i, c in enumerate(header)]
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+    parsed = body.select(F.from_csv("text", schema, {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}).alias("c"), "file_path", "line").select("c.*", "file_path", "line")
+    return clean_headers(_placed(parsed, names, _converted(encoding)))
 
 
 def _columns(table: str) -> list[str]:
     return [c.split(" ")[0] for c in SCHEMAS[table].replace("decimal(19,4)", "decimal").split(", ")]
 
 
-def _gather(spark: SparkSession, parts: dict[str, dict[str, DataFrame]]) -> StoreTables:
-    """Canonical tables from the normalised sources; an absent source is an issue of every store."""
+def _gather(spark: SparkSession, parts: dict[str, dict[str, DataFrame]], stores: DataFrame, found: DataFrame) -> StoreTables:
+    """Canonical tables from the normalised sources, and an issue for each source that a store lacks.
+
+    ``stores`` has store_id of all that are known, whatever was found of them;
+    ``found`` has store_id and source.
+    """
     empty = lambda t: spark.createDataFrame([], SCHEMAS[t])
     tables = {t: reduce(DataFrame.unionByName, [p[t].select(*_columns(t)) for p in parts.values() if t in p], empty(t)) for t in SCHEMAS}
-    stores = tables["orders"].select("store_id").union(tables["ad_daily"].select("store_id")).distinct()
-    for s in SIGNATURES:
-        if s not in parts:
-            severity = "error" if s == "shopify_orders" else "warning"
-            missing = stores.select("store_id", F.lit(s).alias("source"), F.lit("missing_source").alias("kind"), F.lit(severity).alias("severity"), F.lit(f"no {s} export").alias("message"), F.lit(1).cast("long").alias("count"))
-            tables["issues"] = tables["issues"].unionByName(missing)
-    return StoreTables(**tables)
+    grid = stores.select("store_id").distinct().withColumn("source", F.explode(F.array(*map(F.lit, SIGNATURES))))
+    severity = F.when(F.col("source") == "shopify_orders", "error").otherwise("warning")
+    missing = grid.join(found.select("store_id", "source").distinct(), ["store_id", "source"], "left_anti")
+    missing = missing.select("store_id", "source", F.lit("missing_source").alias("kind"), severity.alias("severity"), F.format_string("no %s export", "source").alias("message"), F.lit(1).cast("long").alias("count"))
+    return StoreTables(**tables | {"issues": tables["issues"].unionByName(missing)})
 
 
 def load_stores(spark: SparkSession, paths: dict[str, str], **options: object) -> StoreTables:
     """S-08: canonical tables from exports whose sources and encoding are known."""
-    return _gather(spark, {s: NORMALIZE[s](read_export(spark, p, **options)) for s, p in paths.items()})
+    raw = {s: read_export(spark, p, **options) for s, p in paths.items()}
+    found = reduce(DataFrame.unionByName, [rows.select("store_id", F.lit(s).alias("source")).distinct() for s, rows in raw.items()])
+    return _gather(spark, {s: NORMALIZE[s](rows) for s, rows in raw.items()}, found, found)
 
 
-def read_exports(spark: SparkSession, glob: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """S-05 to S-08: raw rows by source of whatever files lie there, and issues for those that can't be read.
+@dataclass(frozen=True)
+class Exports:
+    """What lies in a folder: triaged files, raw rows by source, issues of files that can't be read."""
+
+    files: DataFrame
+    raw: dict[str, DataFrame]
+    issues: DataFrame
+
 
-    Triage finds source, encoding and delimiter of each file; files that agree
-    in them are read together. The driver sees the files' paths, as it does
-    for any read.
+def open_exports(spark: SparkSession, glob: str) -> Exports:
+    """S-05 to S-08, V-11: raw rows by source of whatever files lie there.
+
+    Triage finds source, encoding, delimiter and header of each file, and files
+    that agree in them are read together. Each source's rows are staged once,
+    as Parquet, so that no file is parsed again; the driver sees the files'
+    paths, as it does for any read.
     """
+    staged = lambda df, name: (df.write.parquet(path := scratch.new_path(spark, name)), spark.read.parquet(path))[1]
     files = triage_files(spark, glob).withColumn("store_id", F.url_decode(F.element_at(F.split("path", "/"), -2)))
+    files = staged(files, "exports-files")
     bad = files.withColumn("reason", F.coalesce("refused", F.when(F.col("source").isNull(), "unknown_columns"))).filter("reason is not null")
     issues = bad.groupBy("store_id", "reason").agg(F.count(F.lit(1)).alias("count")).select(
         "store_id", F.lit("files").alias("source"), F.lit("refused_file").alias("kind"), F.lit("error").alias("severity"), F.col("reason").alias("message"), "count"
     )
     raw: dict[str, DataFrame] = {}
-    alike = files.filter("refused is null and source is not null").groupBy("source", "encoding", "delimiter").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    for r in alike.orderBy("source", "encoding", "delimiter").collect():  # at most one row for each way a source can be written
-        rows = read_export(spark, r.paths, r.encoding, r.delimiter)
+    titled = F.col("title_rows") > 0
+    way = ["source", "encoding", "delimiter", F.when(titled, F.col("header_text")).alias("header_text"), F.when(titled, F.col("header")).alias("header")]
+    alike = files.filter("refused is null and source is not null").groupBy(*way).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    for r in alike.orderBy("source", "encoding", "delimiter", "header_text").collect():  # a row for each way a source is written
+        if r.header_text is None:
+            rows = read_export(spark, r.paths, r.encoding, r.delimiter)
+        else:
+            rows = read_titled_export(spark, r.paths, r.header_text, r.header, r.encoding, r.delimiter)
         raw[r.source] = raw[r.source].unionByName(rows, allowMissingColumns=True) if r.source in raw else rows
-    return raw, issues
+    return Exports(files, {s: staged(rows, f"exports-{s}") for s, rows in raw.items()}, issues)
+
+
+def read_exports(spark: SparkSession, glob: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Raw rows by source, and issues of files that can't be read."""
+    found = open_exports(spark, glob)
+    return found.raw, found.issues
 
 
 def load_exports(spark: SparkSession, glob: str) -> StoreTables:
     """Files to canonical tables in one step, with every issue that reading them raised."""
-    raw, issues = read_exports(spark, glob)
-    parts = {s: NORMALIZE[s](rows) for s, rows in raw.items()}
-    tables = _gather(spark, parts)
-    return replace(tables, issues=tables.issues.unionByName(issues.select(*_columns("issues"))))
+    found = open_exports(spark, glob)
+    parts = {s: NORMALIZE[s](rows) for s, rows in found.raw.items()}
+    tables = _gather(spark, parts, found.files, found.files.filter("refused is null and source is not null"))
+    return replace(tables, issues=tables.issues.unionByName(found.issues.select(*_columns("issues"))))
+
+
+#: The columns that date a payment, by preference.
+PAYMENT_DATES = ["Created (UTC)", "Created", "created"]
+
+
+def format_probes(found: Exports) -> DataFrame:
+    """V-11: per file the title rows before its header, the date column in use, other columns that look like one, and total rows.
+
+    A total row of an advertising export has no day or no campaign, and says "total" in one of them.
+    """
+    files = found.files.filter("refused is null and source is not null")
+    dates = F.array(*map(F.lit, PAYMENT_DATES))
+    used = F.when(F.col("source") == "stripe", F.element_at(F.filter(dates, lambda c: F.array_contains(F.col("header"), c)), 1))
+    others = F.filter("header", lambda c: F.contains(F.lower(c), F.lit("created")) & ~c.eqNullSafe(F.col("date_column")))
+    out = files.withColumn("date_column", used).withColumn("other_date_columns", F.when(F.col("source") == "stripe", F.array_join(others, ",")))
+    totals = None
+    if "google_ads" in found.raw:
+        rows = found.raw["google_ads"]
+        first = F.coalesce(N.first_present(rows, "Campaign"), N.first_present(rows, "Day"), F.lit(""))
+        undated = N.first_present(rows, "Campaign").isNull() | ~F.coalesce(N.first_present(rows, "Day"), F.lit("")).rlike("[0-9]")
+        totals = rows.groupBy(F.col("file").alias("t_file")).agg(F.count_if(undated & F.startswith(F.lower(first), F.lit("total"))).alias("total_rows"))
+        out = out.join(totals, F.url_decode(F.regexp_replace("t_file", "^file:/+", "file:/")) == F.regexp_replace("path", "^file:/+", "file:/"), "left")
+    count = F.when(F.col("source") == "google_ads", F.coalesce("total_rows", F.lit(0))) if totals is not None else F.lit(None).cast("long")
+    return out.select("store_id", "path", "source", "title_rows", "date_column", "other_date_columns", count.alias("total_rows"))
 
 
 def validate_exports(raw: dict[str, DataFrame]) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which executors share too."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        if named.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{named.rstrip('/')}/tallyhouse"
 
 
@@ -21,3 +25,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path that all queries of an application find again."""
     return f"{root(spark)}/{name}-{spark.sparkContext.applicationId}"
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: a plain scan, whatever it was made from."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

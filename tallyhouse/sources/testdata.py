@@ -200,10 +200,18 @@ def stored_stores(spark: SparkSession, sf_dir: str) -> StoreTables:
     return snapshots.load_snapshot(spark, root, found, check=False)
 
 
+#: The store whose advertising export has title rows.
+TITLED = "web-0"
+
+
 def write_exports(tables: StoreTables, root: str) -> str:
     """The tables as the exports they could have come from, a folder per source and store; returns the glob of all files.
 
     Two stores are written with semicolons and one of them in a one-byte encoding.
+    AMERICA has later files in a one-byte encoding: every fifth of its orders
+    again with another subtotal, and every seventh of its products without a
+    cost. MIDDLE EAST has every fifth payment twice, AFRICA no payments at all.
+    One store's advertising file starts with title rows and ends with a total.
     """
     c = F.col
     text = lambda e: e.cast("string")
@@ -236,11 +244,26 @@ def write_exports(tables: StoreTables, root: str) -> str:
         "payments": tables.payments.select("store_id", c("payment_id").alias("order_id"), F.lit(1).alias("line_no"), c("payment_id").alias("id"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("Created (UTC)"), text(c("amount")).alias("Amount"), text(c("fee")).alias("Fee"), c("status").alias("Status"), c("order_id").alias("order_id_of")),
         "ads": tables.ad_daily.select("store_id", c("campaign_id").alias("order_id"), F.lit(1).alias("line_no"), text(c("day")).alias("Day"), c("campaign_id").alias("Campaign"), text(c("spend")).alias("Cost"), text(c("impressions")).alias("Impressions"), text(c("clicks")).alias("Clicks")),
     }
-    semicolons = c("store_id").isin("ASIA", "EUROPE")
-    for name, df in exports.items():
+    nth = lambda k: F.expr("try_cast(regexp_replace(order_id, '[^0-9]', '') as bigint)") % k == 0
+    later = {
+        "orders_later": exports["orders"].filter((c("store_id") == "AMERICA") & nth(5) & c("Created at").isNotNull()).withColumn("Subtotal", F.lit("1.00")),
+        "products_later": exports["products"].filter((c("store_id") == "AMERICA") & nth(7)).withColumn("Cost per item", F.lit(None).cast("string")),
+        "payments_later": exports["payments"].filter((c("store_id") == "MIDDLE EAST") & nth(5)).withColumn("Fee", F.lit("1.00")),
+    }
+    exports["payments"] = exports["payments"].filter(c("store_id") != "AFRICA")
+    titled = exports["ads"].filter(c("store_id") == TITLED)
+    exports["ads"] = exports["ads"].filter(c("store_id") != TITLED)
+    semicolons, one_byte = c("store_id").isin("ASIA", "EUROPE"), F.lit(True)
+    ways = ((~semicolons, ",", "UTF-8"), (c("store_id") == "ASIA", ";", "UTF-8"), (c("store_id") == "EUROPE", ";", "ISO-8859-1"))
+    for name, df in (exports | later).items():
         # a store's file in the order of its rows; one store is one file, as a shop's export is
         placed = df.repartition("store_id").sortWithinPartitions("store_id", "order_id", "line_no").drop("order_id", "line_no")
         placed = placed.withColumnRenamed("order_id_of", "order_id")
-        for part, sep, encoding in ((~semicolons, ",", "UTF-8"), (c("store_id") == "ASIA", ";", "UTF-8"), (c("store_id") == "EUROPE", ";", "ISO-8859-1")):
+        for part, sep, encoding in ways if name in exports else ((one_byte, ";", "ISO-8859-1"),):
             placed.filter(part).write.mode("append").partitionBy("store_id").csv(f"{root}/{name}", header=True, sep=sep, encoding=encoding, escape='"')
-    return f"{root}/*/store_id=*/*.csv"
+    names = ["Day", "Campaign", "Cost", "Impressions", "Clicks"]
+    line = F.concat_ws(",", *[F.coalesce(c(n), F.lit("")) for n in names])
+    around = tables.ad_daily.sparkSession.createDataFrame([(0, "Campaign report"), (1, "All time"), (2, ",".join(names)), (9, "Total,,1.00,1,1")], "part int, value string")
+    body = titled.select(F.lit(5).alias("part"), line.alias("value"))
+    around.unionByName(body).repartition(1).sortWithinPartitions("part", "value").select("value").write.text(f"{root}/ads_titled/store_id={TITLED}")
+    return f"{root}/*/store_id=*/*.[ct][sx][vt]"

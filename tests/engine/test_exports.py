@@ -61,6 +61,64 @@ def test_files_to_tables_in_one_step(spark, tmp_path):
     assert got == {"google_ads": (1, 1, "valid", "2026-01-01", None), "shopify_orders": (5, 3, "valid_with_issues", "2026-09-07", "EUR")}
 
 
+def test_one_order_in_two_encodings_counts_once(spark, tmp_path):
+    row = "Name,Email,Created at,Currency,Subtotal,Total,Lineitem quantity,Lineitem name,Lineitem price,Lineitem sku\n#1,a@x.de,2026-01-0{day},eur,{v},{v},1,Gr\u00f6\u00dfe,{v},A\n"
+    pay = "id,Created (UTC),Amount,Status,Customer Email\np1,2026-01-0{day},{v},paid,gr\u00fcn@x.de\n"
+    ads = "Day,Campaign,Cost\n2026-01-01,Gr\u00f6\u00dfe,{v}\n"
+    goods = "SKU,Title,Cost per item\nA,Gr\u00f6\u00dfe {v},{v}\n"
+    folder = tmp_path / "in" / "s"
+    folder.mkdir(parents=True)
+    for name, text in (("orders", row), ("payments", pay), ("ads", ads), ("goods", goods)):
+        (folder / f"{name}_1.csv").write_text(text.format(v=100, day=1), encoding="utf-8")
+        (folder / f"{name}_2.csv").write_bytes(text.format(v=70, day=2).encode("windows-1252"))
+        (folder / f"{name}_0.csv").write_bytes(text.replace(",", ";").format(v=50, day=3).encode("windows-1252"))
+    t = exports.load_exports(spark, f"{tmp_path}/in/*/*")
+    assert [(r.order_id, float(r.subtotal), str(r.created_at)[:10]) for r in t.orders.collect()] == [("#1", 50.0, "2026-01-03")]
+    assert [float(r.amount) for r in t.payments.collect()] == [50.0] and [float(r.spend) for r in t.ad_daily.collect()] == [50.0]
+    assert [(r.title, float(r.unit_cogs)) for r in t.products.collect()] == [("Größe 70", 70.0)]
+    assert {(r.kind, r["count"]) for r in t.issues.collect()} == {("duplicate_payment", 2), ("duplicate_ad_row", 2)}
+
+
+def test_missing_sources_are_judged_by_store(spark, tmp_path):
+    for store, names in {"a": ["orders", "stripe"], "b": ["orders"], "c": ["bad"], "d": ["ads"]}.items():
+        (tmp_path / store).mkdir()
+        for name in names:
+            (tmp_path / store / f"{name}.csv").write_text({"orders": ORDERS, "stripe": STRIPE, "ads": ADS, "bad": "x,y\n1,2\n"}[name])
+    t = exports.load_exports(spark, f"{tmp_path}/*/*")
+    missing = {(r.store_id, r.source, r.severity) for r in t.issues.filter("kind = 'missing_source'").collect()}
+    have = {("a", "shopify_orders"), ("a", "stripe"), ("b", "shopify_orders"), ("d", "google_ads")}
+    assert missing == {(x, s, "error" if s == "shopify_orders" else "warning") for x in "abcd" for s in exports.SIGNATURES if (x, s) not in have}
+
+
+def test_title_and_total_rows(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "ads.csv").write_bytes("Campaign report\r\nJanuary; all\r\n\r\nDay;Campaign;Cost\r\n2026-01-01;\"Caf\xe9; x\";1,50\r\nTotal;;9\r\n".encode("windows-1252"))
+    (tmp_path / "s" / "pay.csv").write_text(STRIPE.replace("Created (UTC)", "Created").replace("Fee", "created_local"))
+    found = exports.open_exports(spark, f"{tmp_path}/*/*")
+    t = exports.load_exports(spark, f"{tmp_path}/*/*")
+    assert [(r.campaign_id, float(r.spend), str(r.day)) for r in t.ad_daily.collect()] == [("Café; x", 1.5, "2026-01-01")]
+    got = {r.source: (r.title_rows, r.date_column, r.other_date_columns, r.total_rows) for r in exports.format_probes(found).collect()}
+    assert got == {"google_ads": (3, None, None, 1), "stripe": (0, "Created", "created_local", None)}
+
+
+def test_triage_reads_in_blocks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(exports, "BLOCK", 7)
+    texts = {"a": "id,Amount,Status\n" + "é€😀" * 5000, "b": "x" * 9000, "c": "é" * 20 + "é"[:1]}
+    raw = {k: v.encode() for k, v in texts.items()} | {"d": b"ab\xe9\x81" * 10, "e": "é".encode()[:1], "f": b""}
+    for name, data in raw.items():
+        (tmp_path / name).write_bytes(data)
+    names = [f"file:{tmp_path}/{n}" for n in raw]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array([len(x) for x in raw.values()])], ["path", "length"])
+    got = next(exports._scan(iter([batch]))).to_pylist()
+    assert [r["sha256"] for r in got] == [hashlib.sha256(x).hexdigest() for x in raw.values()]
+    assert [r["head"] for r in got] == [x[:8192] for x in raw.values()]
+    assert [(r["utf8"], r["undefined"]) for r in got][2:] == [(True, False), (False, True), (False, False), (True, False)]
+
+
 def test_orders(spark, folder):
     out = normalize.normalize_orders(exports.read_export(spark, f"{folder}/orders/*/*.csv"))
     for store in ("s1", "s2"):
