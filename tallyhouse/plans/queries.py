@@ -548,7 +548,9 @@ def _pack_sql() -> str:
     }
     most = {"unavailable": 20, "facts": 25, "findings": 15, "recommendations": 10, "evidence": 30, "hypotheses": 10, "limitations": 15, "contributors": 5}
     ctes = ", ".join(f"c_{n} as ({q})" for n, q in parts.items())
-    columns = ", ".join(f"cast(coalesce(c_{n}.n, 0) as bigint) as {n}_total, cast(least(coalesce(c_{n}.n, 0), {most[n]}) as bigint) as {n}_included" for n in parts)
+    # a store without rows in its last period has seven counts of zero, and ten ratios and costs that are unknown
+    found = {n: f"coalesce(c_{n}.n, 0)" for n in parts} | {"facts": "coalesce(c_facts.n, 7)", "unavailable": "coalesce(c_unavailable.n, case when c_facts.n is null then 10 else 0 end)"}
+    columns = ", ".join(f"cast({found[n]} as bigint) as {n}_total, cast(least({found[n]}, {most[n]}) as bigint) as {n}_included" for n in parts)
     joins = " ".join(f"left join c_{n} on c_{n}.store_id = nw.store_id" for n in parts)
     return f"with kp as ({kpis_}), nw as ({SQL['p_last_complete_period']}), {ctes} select nw.store_id, {columns}, true as fits from nw {joins}"
 
