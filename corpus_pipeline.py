@@ -13,27 +13,47 @@ from tallyhouse.llm import bpe, decontam, line_dedup, near_dedup, quality, scrat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; frequent lines of a host leave the others."""
+    """Rejected documents go; frequent lines of a host leave the others.
+
+    Null and empty texts have no words and go; a null host is a host; a long
+    text is one block; repeated rows have one fate; no rows give none.
+    """
     return quality.filter_documents(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more leave every document."""
+    """Lines found in ten documents or more leave every document.
+
+    A null or empty text is one empty line, which stays; repeated rows are
+    documents each; a long text is one block; no rows give none.
+    """
     return line_dedup.drop_lines(docs, line_dedup.build_index(docs, limit=10))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays."""
+    """One document of each class stays, the one with the smallest id.
+
+    All texts without words are one class; a null id is the last choice; of
+    repeated rows one stays; no rows give none.
+    """
     return near_dedup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none and stay; repeated rows have one fate;
+    without items nothing goes; no rows give none.
+    """
     return decontam.drop_copies(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left."""
+    """Token ids of what is left.
+
+    Null and empty texts have no tokens; every row gives one, repeated rows
+    too; no rows give none.
+    """
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
