@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import METRICS
+from ..sources import scratch
 
 #: A number not inside a word or a reference, with grouped digits or not, and the sign that makes it a share.
-NUMBER = r"(?<![\w.\[#-])[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]{1,4})?(?![\w.,]*[0-9])\s?%?|(?<![\w.\[#-])[0-9]+(?:\.[0-9]{1,4})?(?![\w.,]*[0-9])\s?%?"
+#: Digits once taken are never given back (a digit left over could only fail the look ahead), so a long run is read once.
+_ALONE = r"(?![\w.,]*?[0-9])\s?%?"
+NUMBER = rf"(?<![\w.\[#-])[0-9]{{1,3}}+(?:,[0-9]{{3}})++(?:\.[0-9]{{1,4}}+)?+{_ALONE}|(?<![\w.\[#-])[0-9]++(?:\.[0-9]{{1,4}}+)?+{_ALONE}"
 REFERENCE = r"\[([A-Za-z][\w-]*)\]"
 CURRENCIES = {"EUR": "€", "USD": r"\$", "GBP": "£", "JPY": "¥", "CHF": None, "SEK": None, "NOK": None, "DKK": None, "PLN": None, "CAD": None, "AUD": None}
 CAUSES = r"(?i)\b(because of|caused by|due to|led to|resulted in)\b"
@@ -40,19 +43,33 @@ def claims(explanations: DataFrame, key: str, text_col: str, store_col: str) ->
     references = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), lambda r: claim("reference", none, r))
     plain = F.translate(F.lower(text), "_", " ")
     named = lambda pattern, kind, name: F.when(F.regexp_like(plain if kind == "metric" else text, F.lit(pattern)), claim(kind, none, F.lit(name)))
-    metrics = [named(rf"\b{m.replace('_', ' ')}\b", "metric", m) for m in METRICS]
-    money = [named(rf"\b{code}\b" + (f"|{sign}" if sign else ""), "currency", code) for code, sign in CURRENCIES.items()]
+    metric = {m: rf"\b{m.replace('_', ' ')}\b" for m in METRICS}
+    money = {code: rf"\b{code}\b" + (f"|{sign}" if sign else "") for code, sign in CURRENCIES.items()}
+
+    def any_of(patterns: dict[str, str], kind: str) -> Column:
+        """One look for all names; only a sentence that has one is looked through for each."""
+        some = F.regexp_like(plain if kind == "metric" else text, F.lit("|".join(patterns.values())))
+        each = F.array_compact(F.array(*[named(p, kind, n) for n, p in patterns.items()]))
+        return F.when(some, each).otherwise(F.array().cast("array<struct<kind: string, unit: string, claim: string>>"))
+
     cause = F.when(F.regexp_like(text, F.lit(CAUSES)), claim("cause", none, F.lower(F.regexp_extract(text, CAUSES, 1))))
-    every = F.array_distinct(F.concat(numbers, references, F.array_compact(F.array(*metrics, *money, cause))))
+    every = F.array_distinct(F.concat(numbers, references, any_of(metric, "metric"), any_of(money, "currency"), F.array_compact(F.array(cause))))
     return said.select(key, "store_id", (F.col("place") + 1).alias("sentence"), F.inline(every))
 
 
-def trusted_numbers(trusted: DataFrame) -> DataFrame:
-    """(store_id, unit, claim): how each trusted ``value`` of a store may be quoted, as it is and as a share."""
-    forms = lambda v: F.array(*[F.format_string(f"%.{d}f", v) for d in range(DECIMALS)])
-    value = F.col("value").cast("double")
-    units = F.array(F.struct(F.lit("plain").alias("unit"), value.alias("v")), F.struct(F.lit("percent").alias("unit"), (value * 100).alias("v")))
-    return trusted.select(F.col("store_id").cast("string").alias("store_id"), F.inline(units)).select("store_id", "unit", F.explode(forms(F.abs("v"))).alias("claim")).distinct()
+def forms_used(numbers: DataFrame) -> list[tuple[str, int]]:
+    """The units and decimals that number claims are written with: a row for each, ten at most."""
+    point = F.instr("claim", ".")
+    decimals = F.when(point > 0, F.length("claim") - point).otherwise(0)
+    return [(r.unit, r.decimals) for r in numbers.select("unit", decimals.alias("decimals")).distinct().collect()]
+
+
+def trusted_numbers(trusted: DataFrame, forms: list[tuple[str, int]]) -> DataFrame:
+    """(store_id, unit, claim): how each trusted ``value`` of a store is quoted in the given units and decimals, as it is and as a share."""
+    value = {"plain": F.abs(F.col("value").cast("double")), "percent": F.abs(F.col("value").cast("double") * 100)}
+    quoted = [F.struct(F.lit(unit).alias("unit"), F.format_string(f"%.{d}f", value[unit]).alias("claim")) for unit, d in forms if d < DECIMALS]
+    none = F.array().cast("array<struct<unit: string, claim: string>>")
+    return trusted.select(F.col("store_id").cast("string").alias("store_id"), F.inline(F.array(*quoted) if quoted else none))
 
 
 def faults(found: DataFrame, key: str, trusted: DataFrame, references: DataFrame, unavailable: DataFrame, currencies: DataFrame) -> DataFrame:
@@ -64,14 +81,20 @@ def faults(found: DataFrame, key: str, trusted: DataFrame, references: DataFrame
     precision; an unavailable metric may be named but not beside a number; a
     store without a known currency may be told in none; a cause is never
     grounded, since no figure shows one.
+
+    Claims are written once and read by each kind. Evidence may be as large as
+    the texts and is larger than its files look, so it is always shuffled and
+    merged, never sent whole to the driver and all tasks; repeated evidence is
+    harmless to a semi or anti join.
     """
-    text = lambda df, **names: df.select(*[F.col(c).cast("string").alias(n) for n, c in names.items()]).distinct()
+    found = scratch.table(found, "claims")
+    text = lambda df, **names: df.select(*[F.col(c).cast("string").alias(n) for n, c in names.items()]).hint("merge")
     of = lambda kind: found.filter(F.col("kind") == kind)
     fault = lambda df, name: df.select(key, "store_id", "sentence", F.lit(name).alias("fault"), "claim")
     numbers = of("number")
-    counted = numbers.select(key, "store_id", "sentence").distinct()
+    counted = numbers.select(key, "store_id", "sentence").hint("merge")
     parts = [
-        fault(numbers.join(trusted_numbers(trusted), ["store_id", "unit", "claim"], "left_anti"), "ungrounded_number"),
+        fault(numbers.join(trusted_numbers(trusted, forms_used(numbers)).hint("merge"), ["store_id", "unit", "claim"], "left_anti"), "ungrounded_number"),
         fault(of("reference").join(text(references, store_id="store_id", claim="ref"), ["store_id", "claim"], "left_anti"), "unknown_reference"),
         fault(of("metric").join(text(unavailable, store_id="store_id", claim="metric"), ["store_id", "claim"], "left_semi").join(counted, [key, "store_id", "sentence"], "left_semi"), "unavailable_metric"),
         fault(of("currency").join(text(currencies, store_id="store_id", claim="currency"), ["store_id", "claim"], "left_anti"), "foreign_currency"),
