@@ -32,3 +32,15 @@ def test_only_quoted_forms_are_made(spark):
     got = {(r.unit, r.claim) for r in grounding.trusted_numbers(values, [("plain", 1), ("percent", 0), ("plain", 4)]).collect()}
     assert got == {("plain", "1.3"), ("percent", "125"), ("plain", "1.2500")}
     assert grounding.trusted_numbers(values, []).count() == 0
+
+
+def test_texts_are_read_once_for_all_claims(spark):
+    assert "regexp_extract_all" not in _plan(_faults(spark))
+
+
+def test_numbers_are_found_as_with_backtracking():
+    plain = r"(?<![\w.\[#-])[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]{1,4})?(?![\w.,]*[0-9])\s?%?|(?<![\w.\[#-])[0-9]+(?:\.[0-9]{1,4})?(?![\w.,]*[0-9])\s?%?"
+    rng = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(rng.choice("0123456789012,,.. %a-[") for _ in range(rng.randrange(1, 14)))
+        assert re.findall(grounding.NUMBER, text) == re.findall(plain, text), text
