@@ -178,44 +178,61 @@ def issue_counts(issues: DataFrame) -> DataFrame:
 DISTINCT_CAP = 200_000
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def _cell_measures(c: Column, v: Column, kind: str) -> dict[str, Column]:
+    """Tests of one column's cells, as texts ``v``; what the column's own type settles is not looked for in the texts."""
+    never, always = F.lit(False), F.lit(True)
+    tests = {
+        "currency": F.regexp_like(v, F.lit("^[A-Z]{3}$")),
+        "boolean": F.lower(v).isin("true", "false", "yes", "no", "0", "1"),
+        "date": F.regexp_like(v, F.lit(r"^\d{4}-\d{2}-\d{2}")),
+        "number": F.regexp_like(v, F.lit(r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")),
+        "email": F.regexp_like(v, F.lit(f"^{R.EMAIL}$")),
+    }
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return dict.fromkeys(tests, never) | {"boolean": c.isin(0, 1), "number": always}
+    if kind in ("float", "double"):  # NaN is no value
+        return dict.fromkeys(tests, never) | {"number": F.abs(c) < F.lit(float("inf"))}
+    if kind == "date" or kind.startswith("timestamp"):
+        return dict.fromkeys(tests, never) | {"date": tests["date"]}
+    return tests
+
+
+def column_profile(df: DataFrame, exact: bool = False, only: str | None = None) -> DataFrame:
     """Q-08 over the whole table: type by share of cells, missing and distinct count.
 
-    Columns are measured side by side in one row, with a sketch of each one's
-    distinct values. Those with about ``DISTINCT_CAP`` or fewer are then
-    counted exactly, which shuffles so many values for each column and task at
-    most; beyond, the sketch's estimate stands and ``exact`` is false.
+    Columns are measured side by side in one row. With ``exact`` every column's
+    distinct values are then counted one by one, which shuffles each value once
+    a task at most. Without, a sketch is taken in the first pass: columns with
+    about ``DISTINCT_CAP`` or fewer are counted, and beyond, the sketch's
+    estimate stands and ``exact`` is false. ``only`` is a condition on column
+    and type: others are not counted, and their distinct count is null.
     """
     names = df.columns
-    cells = df.select(*[N.null_if_token(F.col(f"`{c}`").cast("string")).alias(f"v{i}") for i, c in enumerate(names)])
+    kinds = dict(df.dtypes)
+    cells = df.select(*[N.null_if_token(F.col(f"`{c}`").cast("string")).alias(f"v{i}") for i, c in enumerate(names)], *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
 
-    def measures(v: Column) -> Column:
+    def measures(i: int) -> Column:
+        v = F.col(f"v{i}")
         share = lambda e: F.avg(F.when(v.isNotNull(), F.coalesce(e, F.lit(False)).cast("int")))
-        return F.struct(
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if(v.isNull()).alias("missing"),
-            F.approx_count_distinct(v, 0.02).alias("sketched"),
-            share(F.regexp_like(v, F.lit("^[A-Z]{3}$"))).alias("currency"),
-            share(F.lower(v).isin("true", "false", "yes", "no", "0", "1")).alias("boolean"),
-            share(F.regexp_like(v, F.lit(r"^\d{4}-\d{2}-\d{2}"))).alias("date"),
-            share(F.regexp_like(v, F.lit(r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))).alias("number"),
-            share(F.regexp_like(v, F.lit(f"^{R.EMAIL}$"))).alias("email"),
-        )
-
-    wide = cells.agg(*[measures(F.col(f"v{i}")).alias(f"m{i}") for i in range(len(names))])
+        sketched = F.lit(None).cast("long") if exact else F.approx_count_distinct(v, 0.02)
+        tests = _cell_measures(F.col(f"c{i}"), v, kinds[names[i]])
+        return F.struct(F.count(F.lit(1)).alias("rows"), F.count_if(v.isNull()).alias("missing"), sketched.alias("sketched"), *[share(e).alias(n) for n, e in tests.items()])
+
+    wide = cells.agg(*[measures(i).alias(f"m{i}") for i in range(len(names))])
     long = wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.col(f"m{i}").alias("m")) for i, c in enumerate(names)]))).select("i", "column", "m.*")
-    long = scratch.table(long, "profile")
-    few = [r.i for r in long.filter(F.col("sketched") <= 1.1 * DISTINCT_CAP).select("i").collect()]  # a row for each column
-    counted = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in few]) if few else F.array().cast("array<struct<i: int, v: string>>")
-    values = cells.select(F.inline(counted)).filter("v is not null")
-    distinct = values.distinct().groupBy("i").agg(F.count(F.lit(1)).alias("distinct"))
-    exact = F.col("i").isin(few) if few else F.lit(False)
-    out = long.join(distinct, "i", "left").withColumn("exact", exact)
-    out = out.withColumn("distinct", F.when(F.col("exact"), F.coalesce("distinct", F.lit(0))).otherwise(F.col("sketched")))
     kind = F.when(F.col("rows") == F.col("missing"), "empty")
     for name, least in (("currency", 0.9), ("boolean", 0.95), ("date", 0.9), ("number", 0.9)):
         kind = kind.when(F.col(name) > least, name)
-    return out.select("column", "rows", "missing", "distinct", kind.otherwise("text").alias("type"), "email", "exact")
+    long = scratch.table(long.withColumn("type", kind.otherwise("text")), "profile")
+    asked = long.filter(only) if only else long
+    counted = [r.i for r in (asked if exact else asked.filter(F.col("sketched") <= 1.1 * DISTINCT_CAP)).select("i").collect()]  # a row for each column
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in counted]) if counted else F.array().cast("array<struct<i: int, v: string>>")
+    values = cells.select(F.inline(pairs)).filter("v is not null")
+    distinct = values.distinct().groupBy("i").agg(F.count(F.lit(1)).alias("distinct"))
+    out = long.join(distinct, "i", "left").withColumn("exact", F.col("i").isin(counted) if counted else F.lit(False))
+    known = F.when(F.col("exact"), F.coalesce("distinct", F.lit(0)))
+    out = out.withColumn("distinct", known.when(F.expr(only), F.col("sketched")) if only else known.otherwise(F.col("sketched")))
+    return out.select("column", "rows", "missing", "distinct", "type", "email", "exact")
 
 
 def personal_columns(df: DataFrame, names: list[str] = ["email", "phone", "name", "address", "customer"]) -> DataFrame:

@@ -55,3 +55,22 @@ def test_cards_apart_by_one_character(spark):
     assert [r.rows for r in found] == [4]
     # masking takes every run
     assert spark.createDataFrame([(f"{bad},{good}",)], "t string").select(R.redact_sensitive(F.col("t"))).first()[0] == f"{bad},[card]"
+
+
+def test_exact_profiles_beyond_the_cap(spark, monkeypatch):
+    monkeypatch.setattr(quality, "DISTINCT_CAP", 500)
+    rows = spark.range(20_000).select("id", (F.col("id") / 4).alias("d"), F.date_add(F.lit("2020-01-01"), (F.col("id") % 700).cast("int")).alias("day"), F.lit("x").alias("t"), (F.col("id") % 2).alias("b"))
+    got = {r.column: (r.distinct, r.type, r.exact) for r in quality.column_profile(rows, exact=True).collect()}
+    assert got == {"id": (20_000, "number", True), "d": (20_000, "number", True), "day": (700, "date", True), "t": (1, "text", True), "b": (2, "boolean", True)}
+    some = {r.column: r.distinct for r in quality.column_profile(rows, exact=True, only="type = 'date' or `column` = 'id'").collect()}
+    assert some == {"id": 20_000, "d": None, "day": 700, "t": None, "b": None}
+    wide = {r.column: (r.distinct, r.exact) for r in quality.column_profile(rows, only="type = 'date'").collect()}
+    assert wide["id"] == (None, False) and wide["day"][1] is False and abs(wide["day"][0] - 700) < 60
+
+
+def test_types_of_columns_are_as_of_their_texts(spark):
+    rows = spark.createDataFrame([(1, 0, float("nan"), True), (None, 1, 1e300, None), (3, 1, None, False)], "n long, z int, d double, b boolean")
+    rows = rows.withColumns({"m": F.lit("2.50").cast("decimal(9,2)"), "at": F.to_timestamp(F.lit("2024-01-02 03:04:05")), "none": F.lit(None).cast("long")})
+    texts = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
+    of = lambda df: {r.column: (r.type, r.missing, r.distinct) for r in quality.column_profile(df).collect()}
+    assert of(rows) == of(texts)
