@@ -50,6 +50,43 @@ REFUSED = [(b"PK\x03\x04", "xlsx_or_zip"), (b"\xd0\xcf\x11\xe0", "xls"), (b"%PDF
 OPENED = {"file", "hdfs", "s3", "s3a", "gs"}
 
 
+#: Most bytes of a line that is looked at for quotes.
+LINE = 1 << 24
+_QUOTED = rb'"(?:[^",;\t|]|[,;\t|](?!")|"")*+"'
+_LINE = re.compile(rb'(?:%s|[^",;\t|]*+)(?:[,;\t|](?:%s|[^",;\t|]*+))*+' % (_QUOTED, _QUOTED))
+
+
+class _Lines:
+    """Whether each line of a file stands by itself, so that the file may be cut at any line break.
+
+    Every quoted cell has to begin and end in its line, whichever of the
+    delimiters is the file's, and the line breaks have to be all of one kind.
+    """
+
+    def __init__(self) -> None:
+        self.rest, self.plain, self.breaks = b"", True, [0, 0, 0]
+
+    def see(self, block: bytes) -> None:
+        if not self.plain:
+            return
+        held = self.rest + block
+        cut = held.rfind(b"\n") + 1
+        self._judge(held[:cut])
+        self.rest = held[cut:]
+        self.plain = self.plain and len(self.rest) <= LINE
+
+    def end(self) -> bool:
+        self._judge(self.rest)
+        lf, cr, both = self.breaks
+        return self.plain and (cr == 0 or cr == both == lf)
+
+    def _judge(self, text: bytes) -> None:
+        for i, mark in enumerate((b"\n", b"\r", b"\r\n")):
+            self.breaks[i] += text.count(mark)
+        if b'"' in text:
+            self.plain = self.plain and all(b'"' not in line or _LINE.fullmatch(line.removesuffix(b"\r")) for line in text.split(b"\n"))
+
+
 def _open(path: str):
     if path.startswith("file:"):
         return open(path[5:].replace("//", "/", 1) if path.startswith("file://") else path[5:], "rb")
@@ -64,10 +101,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
         for path in batch.column(0).to_pylist():
-            digest, decoder, utf8, undefined, head = hashlib.sha256(), codecs.getincrementaldecoder("utf-8")(), True, False, b""
+            digest, decoder, utf8, undefined, head, lines = hashlib.sha256(), codecs.getincrementaldecoder("utf-8")(), True, False, b"", _Lines()
             with _open(path) as file:
                 while block := file.read(BLOCK):
                     digest.update(block)
+                    lines.see(block)
                     head += block[: HEAD - len(head)]
                     undefined = undefined or any(b in block for b in _UNDEFINED)
                     if utf8:
@@ -75,20 +113,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             decoder.decode(block)
                         except UnicodeDecodeError:
                             utf8 = False
-            found.append({"head": head, "sha256": digest.hexdigest(), "utf8": utf8 and not decoder.getstate()[0], "undefined": undefined})
-        facts = pa.Table.from_pylist(found, pa.schema([("head", pa.binary()), ("sha256", pa.string()), ("utf8", pa.bool_()), ("undefined", pa.bool_())]))
+            found.append({"head": head, "sha256": digest.hexdigest(), "utf8": utf8 and not decoder.getstate()[0], "undefined": undefined, "plain": lines.end()})
+        facts = pa.Table.from_pylist(found, pa.schema([("head", pa.binary()), ("sha256", pa.string()), ("utf8", pa.bool_()), ("undefined", pa.bool_()), ("plain", pa.bool_())]))
         yield pa.RecordBatch.from_arrays([*batch.columns, *(c.combine_chunks() for c in facts.columns)], ["path", "length", *facts.column_names])
 
 
 def _file_facts(spark: SparkSession, glob: str) -> DataFrame:
-    """path, length, head, sha256, utf8 and undefined of each file."""
+    """path, length, head, sha256, utf8, undefined and plain (see ``_Lines``) of each file."""
     files = spark.read.format("binaryFile").load(glob)
     listed = files.select("path", "length")  # contents are not read for these
     schemes = {r.s for r in listed.select(F.split_part("path", F.lit(":"), F.lit(1)).alias("s")).distinct().collect()}
     if schemes <= OPENED:
-        return listed.mapInArrow(_scan, "path string, length long, head binary, sha256 string, utf8 boolean, undefined boolean")
+        return listed.mapInArrow(_scan, "path string, length long, head binary, sha256 string, utf8 boolean, undefined boolean, plain boolean")
+    plain = ~F.contains("content", F.lit(b'"')) & ~F.contains("content", F.lit(b"\r"))
     undefined = F.regexp_like(F.regexp_replace(F.hex("content"), "(..)", "$1 "), F.lit("(81|8D|8F|90|9D) "))
-    return files.select("path", "length", F.substring("content", 1, HEAD).alias("head"), F.sha2("content", 256).alias("sha256"), F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"), undefined.alias("undefined"))
+    return files.select("path", "length", F.substring("content", 1, HEAD).alias("head"), F.sha2("content", 256).alias("sha256"), F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"), undefined.alias("undefined"), plain.alias("plain"))
 
 
 def judge_head(head: bytes, utf8: bool, undefined: bool) -> dict[str, object]:
@@ -110,7 +149,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [judge_head(r["head"], r["utf8"], r["undefined"]) for r in batch.select(["head", "utf8", "undefined"]).to_pylist()]
         columns = [pa.array([f[name] for f in found], kind) for name, kind in kinds]
-        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), batch.column("sha256"), *columns], ["path", "length", "sha256", *(name for name, _ in kinds)])
+        own = ["path", "length", "sha256", "plain"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in own), *columns], [*own, *(name for name, _ in kinds)])
 
 
 def triage_files(spark: SparkSession, glob: str) -> DataFrame:
@@ -120,13 +160,13 @@ def triage_files(spark: SparkSession, glob: str) -> DataFrame:
     file. The header is the line, of the first ten, that has most of the known
     columns; lines before it are a title.
     """
-    return _file_facts(spark, glob).mapInArrow(_judge, "path string, length long, sha256 string, refused string, encoding string, delimiter string, header array<string>, title_rows int, header_text string, source string")
+    return _file_facts(spark, glob).mapInArrow(_judge, "path string, length long, sha256 string, plain boolean, refused string, encoding string, delimiter string, header array<string>, title_rows int, header_text string, source string")
 
 
 def _placed(cells: DataFrame, columns: list[str], convert) -> DataFrame:
     """The columns as text, with store_id (the folder), file and row_no."""
     name = F.col("file_path")
-    row = F.struct(name.alias("file"), F.col("line").alias("line")).alias("row_no")
+    row = F.struct(name.alias("file"), F.col("block").alias("block"), F.col("line").alias("line")).alias("row_no")
     return cells.select(*[convert(F.col(f"`{c}`")).alias(c) for c in columns], name.alias("file"), F.url_decode(F.element_at(F.split(name, "/"), -2)).alias("store_id"), row)
 
 
@@ -138,15 +178,16 @@ def _converted(encoding: str):
 def read_export(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", delimiter: str = ",", multi_line: bool = True) -> DataFrame:
     """All columns as text, with store_id (the folder), file and row_no (S-06).
 
-    ``row_no`` is a struct of the file's path and a number that grows within
-    the file: rows of all files have one total order, whichever reads they
-    came from. ``multi_line`` keeps quoted line breaks; a file is then one task,
-    and parallelism comes from many files. Clean input can be split without it.
+    ``row_no`` is a struct of the file's path, the start of the stretch that a
+    task read, and a number that grows within it: rows of all files have one
+    total order, whichever reads they came from. ``multi_line`` keeps quoted
+    line breaks; a file is then one task, and parallelism comes from many
+    files. A file whose lines stand by themselves is split without it.
     """
     read_as = "ISO-8859-1" if encoding == "windows-1252" else encoding
     raw = spark.read.csv(path, header=True, encoding=read_as, sep=delimiter, multiLine=multi_line, quote='"', escape='"', inferSchema=False, enforceSchema=False)
     columns = raw.columns
-    numbered = raw.select("*", F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("line"))
+    numbered = raw.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     return clean_headers(_placed(numbered, columns, _converted(encoding)))
 
 
@@ -156,12 +197,12 @@ def read_titled_export(spark: SparkSession, paths: list[str], header_text: str,
     Each file's header is its first line equal to ``header_text``; lines up to it are left out.
     """
     text = F.decode(F.col("value").cast("binary"), "UTF-8" if encoding == "UTF-8" else "ISO-8859-1")
-    numbered = spark.read.text(paths).select(F.regexp_replace(text, "^(\ufeff|ï»¿)|\r$", "").alias("text"), F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("line"))
+    numbered = spark.read.text(paths).select(F.regexp_replace(text, "^(\ufeff|ï»¿)|\r$", "").alias("text"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     start = numbered.filter(F.col("text") == header_text).groupBy("file_path").agg(F.min("line").alias("start"))
     body = numbered.join(start, "file_path").filter((F.col("line") > F.col("start")) & (F.length("text") > 0))
     names = [c or f"_c{i}" for i, c in enumerate(header)]
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
-    parsed = body.select(F.from_csv("text", schema, {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}).alias("c"), "file_path", "line").select("c.*", "file_path", "line")
+    parsed = body.select(F.from_csv("text", schema, {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}).alias("c"), "file_path", "block", "line").select("c.*", "file_path", "block", "line")
     return clean_headers(_placed(parsed, names, _converted(encoding)))
 
 
@@ -169,6 +210,14 @@ def _columns(table: str) -> list[str]:
     return [c.split(" ")[0] for c in SCHEMAS[table].replace("decimal(19,4)", "decimal").split(", ")]
 
 
+def missing_sources(stores: DataFrame, found: DataFrame) -> DataFrame:
+    """S-08: an issue for each source that a store lacks, told from the files; no row is read for it."""
+    grid = stores.select("store_id").distinct().withColumn("source", F.explode(F.array(*map(F.lit, SIGNATURES))))
+    severity = F.when(F.col("source") == "shopify_orders", "error").otherwise("warning")
+    missing = grid.join(found.select("store_id", "source").distinct(), ["store_id", "source"], "left_anti")
+    return missing.select("store_id", "source", F.lit("missing_source").alias("kind"), severity.alias("severity"), F.format_string("no %s export", "source").alias("message"), F.lit(1).cast("long").alias("count"))
+
+
 def _gather(spark: SparkSession, parts: dict[str, dict[str, DataFrame]], stores: DataFrame, found: DataFrame) -> StoreTables:
     """Canonical tables from the normalised sources, and an issue for each source that a store lacks.
 
@@ -177,10 +226,7 @@ def _gather(spark: SparkSession, parts: dict[str, dict[str, DataFrame]], stores:
     """
     empty = lambda t: spark.createDataFrame([], SCHEMAS[t])
     tables = {t: reduce(DataFrame.unionByName, [p[t].select(*_columns(t)) for p in parts.values() if t in p], empty(t)) for t in SCHEMAS}
-    grid = stores.select("store_id").distinct().withColumn("source", F.explode(F.array(*map(F.lit, SIGNATURES))))
-    severity = F.when(F.col("source") == "shopify_orders", "error").otherwise("warning")
-    missing = grid.join(found.select("store_id", "source").distinct(), ["store_id", "source"], "left_anti")
-    missing = missing.select("store_id", "source", F.lit("missing_source").alias("kind"), severity.alias("severity"), F.format_string("no %s export", "source").alias("message"), F.lit(1).cast("long").alias("count"))
+    missing = missing_sources(stores, found)
     return StoreTables(**tables | {"issues": tables["issues"].unionByName(missing)})
 
 
@@ -200,8 +246,14 @@ class Exports:
     issues: DataFrame
 
 
-def open_exports(spark: SparkSession, glob: str) -> Exports:
-    """S-05 to S-08, V-11: raw rows by source of whatever files lie there.
+def export_files(spark: SparkSession, glob: str) -> DataFrame:
+    """The triaged files with their stores, staged."""
+    files = triage_files(spark, glob).withColumn("store_id", F.url_decode(F.element_at(F.split("path", "/"), -2)))
+    return scratch.table(files, "exports-files")
+
+
+def open_exports(spark: SparkSession, glob: str, sources: list[str] | None = None) -> Exports:
+    """S-05 to S-08, V-11: raw rows by source of whatever files lie there; with ``sources`` the rows of those alone.
 
     Triage finds source, encoding, delimiter and header of each file, and files
     that agree in them are read together. Each source's rows are staged once,
@@ -209,19 +261,19 @@ def open_exports(spark: SparkSession, glob: str) -> Exports:
     paths, as it does for any read.
     """
     staged = lambda df, name: (df.write.parquet(path := scratch.new_path(spark, name)), spark.read.parquet(path))[1]
-    files = triage_files(spark, glob).withColumn("store_id", F.url_decode(F.element_at(F.split("path", "/"), -2)))
-    files = staged(files, "exports-files")
+    files = export_files(spark, glob)
     bad = files.withColumn("reason", F.coalesce("refused", F.when(F.col("source").isNull(), "unknown_columns"))).filter("reason is not null")
     issues = bad.groupBy("store_id", "reason").agg(F.count(F.lit(1)).alias("count")).select(
         "store_id", F.lit("files").alias("source"), F.lit("refused_file").alias("kind"), F.lit("error").alias("severity"), F.col("reason").alias("message"), "count"
     )
     raw: dict[str, DataFrame] = {}
     titled = F.col("title_rows") > 0
-    way = ["source", "encoding", "delimiter", F.when(titled, F.col("header_text")).alias("header_text"), F.when(titled, F.col("header")).alias("header")]
-    alike = files.filter("refused is null and source is not null").groupBy(*way).agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    for r in alike.orderBy("source", "encoding", "delimiter", "header_text").collect():  # a row for each way a source is written
+    way = ["source", "encoding", "delimiter", "plain", F.when(titled, F.col("header_text")).alias("header_text"), F.when(titled, F.col("header")).alias("header")]
+    wanted = files.filter("refused is null and source is not null")
+    alike = (wanted if sources is None else wanted.filter(F.col("source").isin(sources))).groupBy(*way).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    for r in alike.orderBy("source", "encoding", "delimiter", "plain", "header_text").collect():  # a row for each way a source is written
         if r.header_text is None:
-            rows = read_export(spark, r.paths, r.encoding, r.delimiter)
+            rows = read_export(spark, r.paths, r.encoding, r.delimiter, multi_line=not r.plain)
         else:
             rows = read_titled_export(spark, r.paths, r.header_text, r.header, r.encoding, r.delimiter)
         raw[r.source] = raw[r.source].unionByName(rows, allowMissingColumns=True) if r.source in raw else rows

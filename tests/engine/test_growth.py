@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import redaction as R
 from tallyhouse.operators import grounding, quality
+from tallyhouse.sources import exports
 
 
 def _plan(df):
@@ -74,3 +75,32 @@ def test_types_of_columns_are_as_of_their_texts(spark):
     texts = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
     of = lambda df: {r.column: (r.type, r.missing, r.distinct) for r in quality.column_profile(df).collect()}
     assert of(rows) == of(texts)
+
+
+def test_files_are_cut_only_at_line_breaks_outside_quotes():
+    def plain(text, size=3):
+        lines, data = exports._Lines(), text.encode()
+        for i in range(0, len(data), size):
+            lines.see(data[i : i + size])
+        return lines.end()
+
+    for text in ("a,b\n1,2\n", 'a,b\n"x, y",2\n"a ""b""",""\n', "a;b\r\n1;2\r\n", 'a\n"b";c\n"d"', ""):
+        assert plain(text) and plain(text, 1000), text
+    for text in ('a,b\n"x\ny",2\n', 'a,b\n"x\n', 'a\n5" pipe,"b\nc"\n', "a\rb\n", "a\r\nb\n", 'a\nx;a,";"b"\n'):
+        assert not plain(text) and not plain(text, 1000), text
+
+
+def test_plain_files_are_split_and_stay_in_order(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    rows = "".join(f"p{i},2026-01-01,{i},paid\n" for i in range(3000))
+    (tmp_path / "s" / "pay.csv").write_text("id,Created,Amount,Status\n" + rows)
+    (tmp_path / "s" / "pay2.csv").write_text('id,Created,Amount,Status\nq1,2026-01-01,1,"pa\nid"\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        raw = exports.open_exports(spark, f"{tmp_path}/*/*").raw["stripe"]
+        got = raw.orderBy("row_no").select("id", "Status", "row_no.block").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.id for r in got] == [f"p{i}" for i in range(3000)] + ["q1"] and got[-1].Status == "pa\nid"
+    assert len({r.block for r in got}) > 3
