@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import redaction as R
 from tallyhouse.operators import grounding, quality
-from tallyhouse.sources import exports
+from tallyhouse.schemas import SCHEMAS, StoreTables
+from tallyhouse.sources import exports, snapshots
 
 
 def _plan(df):
@@ -104,3 +105,12 @@ def test_plain_files_are_split_and_stay_in_order(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [r.id for r in got] == [f"p{i}" for i in range(3000)] + ["q1"] and got[-1].Status == "pa\nid"
     assert len({r.block for r in got}) > 3
+
+
+def test_a_snapshot_is_written_where_its_rows_are(spark, tmp_path):
+    empty = {n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
+    rows = spark.range(0, 60, 1, 3).select(F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("store_id"), F.col("id").cast("string").alias("campaign_id"), F.lit("n").alias("name"), F.lit("c").alias("channel"))
+    snapshots.write_snapshot(StoreTables(**empty | {"campaigns": rows}), str(tmp_path), "a")
+    # each of the three tasks wrote its rows of both stores: nothing was shuffled for it
+    assert len(list((tmp_path / "campaigns").rglob("part-*.parquet"))) == 6
+    assert snapshots.load_snapshot(spark, str(tmp_path), "a").campaigns.count() == 60
