@@ -19,10 +19,11 @@ from ..sources import scratch
 #: A number not inside a word or a reference, with grouped digits or not, and the sign that makes it a share.
 #: Digits once taken are never given back (a digit left over could only fail the look ahead), so a long run is read once.
 _ALONE = r"(?![\w.,]*?[0-9])\s?%?"
-NUMBER = rf"(?<![\w.\[#-])[0-9]{{1,3}}+(?:,[0-9]{{3}})++(?:\.[0-9]{{1,4}}+)?+{_ALONE}|(?<![\w.\[#-])[0-9]++(?:\.[0-9]{{1,4}}+)?+{_ALONE}"
+#: Every shape looks at its first character before anything else, so that most of a text is passed over at once.
+NUMBER = rf"(?=[0-9])(?<![\w.\[#-])(?:[0-9]{{1,3}}+(?:,[0-9]{{3}})++(?:\.[0-9]{{1,4}}+)?+{_ALONE}|[0-9]++(?:\.[0-9]{{1,4}}+)?+{_ALONE})"
 REFERENCE = r"\[([A-Za-z][\w-]*)\]"
 CURRENCIES = {"EUR": "€", "USD": r"\$", "GBP": "£", "JPY": "¥", "CHF": None, "SEK": None, "NOK": None, "DKK": None, "PLN": None, "CAD": None, "AUD": None}
-CAUSES = r"(?i)\b(because of|caused by|due to|led to|resulted in)\b"
+CAUSES = r"(?i)(?=[bcdlr])\b(because of|caused by|due to|led to|resulted in)\b"
 #: Decimals at which a trusted value may be quoted.
 DECIMALS = 5
 
@@ -33,7 +34,9 @@ def claims(explanations: DataFrame, key: str, text_col: str, store_col: str) ->
     Kinds are number (unit "percent" or "plain"; the claim is the number as
     written, ungrouped), reference, metric, currency and cause.
     """
-    sentences = F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"(?<=[.!?])\s+"))
+    # outer, and empty sentences dropped behind it: of a plain explode the optimizer asks first whether there will be rows,
+    # and so reads every text twice
+    sentences = F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), r"(?=\s)(?<=[.!?])\s+"))
     said = explanations.select(key, F.col(store_col).cast("string").alias("store_id"), sentences.alias("place", "said"))
     text = F.col("said")
     claim = lambda kind, unit, e: F.struct(F.lit(kind).alias("kind"), unit.alias("unit"), e.alias("claim"))
@@ -41,20 +44,21 @@ def claims(explanations: DataFrame, key: str, text_col: str, store_col: str) ->
     percent = lambda n: F.when(F.endswith(n, F.lit("%")), "percent").otherwise("plain")
     numbers = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda n: claim("number", percent(n), F.trim(F.translate(n, ",%", ""))))
     references = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), lambda r: claim("reference", none, r))
-    plain = F.translate(F.lower(text), "_", " ")
+    plain = F.replace(F.lower(text), F.lit("_"), F.lit(" "))
     named = lambda pattern, kind, name: F.when(F.regexp_like(plain if kind == "metric" else text, F.lit(pattern)), claim(kind, none, F.lit(name)))
     metric = {m: rf"\b{m.replace('_', ' ')}\b" for m in METRICS}
     money = {code: rf"\b{code}\b" + (f"|{sign}" if sign else "") for code, sign in CURRENCIES.items()}
 
-    def any_of(patterns: dict[str, str], kind: str) -> Column:
-        """One look for all names; only a sentence that has one is looked through for each."""
-        some = F.regexp_like(plain if kind == "metric" else text, F.lit("|".join(patterns.values())))
+    def any_of(patterns: dict[str, str], kind: str, first: str, extra: str = "") -> Column:
+        """One look for all names, which begin with ``first``; only a sentence that has one is looked through for each."""
+        names = "|".join(p.split("|")[0].replace(r"\b", "") for p in patterns.values())
+        some = F.regexp_like(plain if kind == "metric" else text, F.lit(rf"(?=[{first}])\b(?:{names})\b{extra}"))
         each = F.array_compact(F.array(*[named(p, kind, n) for n, p in patterns.items()]))
         return F.when(some, each).otherwise(F.array().cast("array<struct<kind: string, unit: string, claim: string>>"))
 
     cause = F.when(F.regexp_like(text, F.lit(CAUSES)), claim("cause", none, F.lower(F.regexp_extract(text, CAUSES, 1))))
-    every = F.array_distinct(F.concat(numbers, references, any_of(metric, "metric"), any_of(money, "currency"), F.array_compact(F.array(cause))))
-    return said.select(key, "store_id", (F.col("place") + 1).alias("sentence"), F.inline(every))
+    every = F.array_distinct(F.concat(numbers, references, any_of(metric, "metric", "".join(sorted({m[0] for m in METRICS}))), any_of(money, "currency", "A-Z", "|[" + "".join(filter(None, CURRENCIES.values())) + "]"), F.array_compact(F.array(cause))))
+    return said.select(key, "store_id", (F.col("place") + 1).alias("sentence"), F.inline_outer(every)).filter("kind is not null")
 
 
 def forms_used(numbers: DataFrame) -> list[tuple[str, int]]:

@@ -50,6 +50,14 @@ def test_numbers_are_found_as_with_backtracking():
         assert re.findall(grounding.NUMBER, text) == re.findall(plain, text), text
 
 
+def test_a_text_is_not_read_first_to_ask_whether_it_has_claims(spark):
+    said = spark.createDataFrame([(1, "a", "Up 20%. Nothing here. Due to rain.")], "id long, store string, text string")
+    found = grounding.claims(said, "id", "text", "store")
+    optimized = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (size(" not in optimized and "size(split" not in optimized and optimized.count("regexp_extract_all") == 2
+    assert sorted((r.sentence, r.claim) for r in found.collect()) == [(1, "20"), (3, "due to")]
+
+
 def test_cards_apart_by_one_character(spark):
     good, bad = "4111111111111111", "4111111111111112"
     texts = [good, f"{bad},{good}", f"{bad}, {good}", f"{good},{bad}", f"x{good}x", f"1{good}0000", None]
