@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binding import once
+
 # Cells that mean "missing", money signs, settled and unsettled payment states.
 NULL_TOKENS = ["", "-", "--", "n/a", "na", "null", "none", "nan"]
 MONEY_SIGNS = "[€$£  ]"
@@ -16,7 +18,8 @@ _PLAIN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?( ?(Z|UTC|[+-]\d{2}:?\d{2}))?)?$"
 # Dates with slashes, and the compact day that ISO 8601 also allows.
 _SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
-FORMATS = ["yyyyMMdd"]
+#: With what its cells must look like: a cell that fails to parse costs an exception, so others are not tried.
+FORMATS = {"yyyyMMdd": r"^[+-]?\d{8,}$"}
 
 
 def clean_headers(df: DataFrame) -> DataFrame:
@@ -50,12 +53,22 @@ def parse_int(c: Column) -> Column:
     return F.bround(parse_money(c), 0).cast("long")
 
 
+def _slash_parts(c: Column) -> Column:
+    """The numbers of one ``a/b/yyyy h:m:s`` cell, null for those that it leaves out; null for another cell."""
+    parts = F.split(F.regexp_replace(c, _SLASH, "$1,$2,$3,$4,$5,$6"), ",")
+    return F.when(F.regexp_like(c, F.lit(_SLASH)), F.transform(parts, lambda x: x.try_cast("int")))
+
+
+def _order(n: Column) -> Column:
+    """What the numbers of a slash date say about their order."""
+    a, b = n[0], n[1]
+    kind = F.when((a > 12) & (b > 12), "invalid").when(a > 12, "day_first").when(b > 12, "month_first").otherwise("ambiguous")
+    return F.when(n.isNotNull(), kind)
+
+
 def slash_date_order(c: Column) -> Column:
     """N-06: what one ``a/b/yyyy`` cell says about its order."""
-    c = null_if_token(c)
-    a, b = F.regexp_extract(c, _SLASH, 1).try_cast("int"), F.regexp_extract(c, _SLASH, 2).try_cast("int")
-    kind = F.when((a > 12) & (b > 12), "invalid").when(a > 12, "day_first").when(b > 12, "month_first").otherwise("ambiguous")
-    return F.when(F.regexp_like(c, F.lit(_SLASH)), kind)
+    return once(_slash_parts(null_if_token(c)), _order)
 
 
 def date_convention(kind: Column) -> Column:
@@ -66,19 +79,24 @@ def date_convention(kind: Column) -> Column:
 
 def parse_slash_date(c: Column, convention: Column) -> Column:
     """N-09: a cell's own evidence must agree with the column's convention."""
-    c = null_if_token(c)
-    part = lambda i: F.regexp_extract(c, _SLASH, i).try_cast("int")
-    kind = slash_date_order(c)
+    return once(_slash_parts(null_if_token(c)), lambda n: _slash_date(n, convention))
+
+
+def _slash_date(n: Column, convention: Column) -> Column:
+    kind = _order(n)
     use = F.when(convention == "conflict", None).when(kind == "ambiguous", convention).when(kind == convention, kind)
-    day, month = F.when(use == "day_first", part(1)).when(use == "month_first", part(2)), F.when(use == "day_first", part(2)).when(use == "month_first", part(1))
-    return F.try_make_timestamp(part(3), month, day, F.coalesce(part(4), F.lit(0)), F.coalesce(part(5), F.lit(0)), F.coalesce(part(6), F.lit(0)).cast("decimal(8,6)"))
+    day, month = F.when(use == "day_first", n[0]).when(use == "month_first", n[1]), F.when(use == "day_first", n[1]).when(use == "month_first", n[0])
+    return F.try_make_timestamp(n[2], month, day, F.coalesce(n[3], F.lit(0)), F.coalesce(n[4], F.lit(0)), F.coalesce(n[5], F.lit(0)).cast("decimal(8,6)"))
 
 
 def parse_timestamp_utc(c: Column, convention: Column | None = None) -> Column:
     """N-05: ISO 8601 with or without a zone, then slash dates; else null."""
-    c = null_if_token(c)
+    return once(null_if_token(c), lambda v: _timestamp(v, convention))
+
+
+def _timestamp(c: Column, convention: Column | None) -> Column:
     iso = F.regexp_replace(F.regexp_replace(c, r" (Z|UTC|[+-]\d{2}:?\d{2})$", "$1"), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    tries = [F.when(F.regexp_like(c, F.lit(_ISO)), iso).try_cast("timestamp"), *(F.try_to_timestamp(c, F.lit(f)) for f in FORMATS)]
+    tries = [F.when(F.regexp_like(c, F.lit(_ISO)), iso).try_cast("timestamp"), *(F.when(F.regexp_like(c, F.lit(shape)), F.try_to_timestamp(c, F.lit(f))) for f, shape in FORMATS.items())]
     if convention is not None:
         tries.append(parse_slash_date(c, convention))
     return F.coalesce(*tries)

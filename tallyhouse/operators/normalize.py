@@ -24,9 +24,12 @@ def issues_of(df: DataFrame, source: str, kinds: dict[str, tuple[Column, str]])
 
 
 def file_date_conventions(df: DataFrame, column: str) -> DataFrame:
-    """N-07, N-08: one convention and issue per store and file."""
-    order = N.slash_date_order(F.col(f"`{column}`"))
-    out = df.groupBy("store_id", "file").agg(N.date_convention(order).alias("convention"), F.count_if(order == "ambiguous").alias("open"))
+    """N-07, N-08: one convention and issue per store and file; equal cells of a file are looked at once."""
+    order = F.col("order")
+    cells = df.groupBy("store_id", "file", F.col(f"`{column}`").alias("cell")).agg(F.count(F.lit(1)).alias("k"))
+    # the count is asked for, or the optimizer takes the grouping away and looks at every row
+    cells = cells.select("store_id", "file", F.when(F.col("k") > 0, N.slash_date_order(F.col("cell"))).alias("order"))
+    out = cells.groupBy("store_id", "file").agg(N.date_convention(order).alias("convention"), F.count_if(order == "ambiguous").alias("open"))
     c = F.col("convention")
     issue = F.when(c == "conflict", "date_order_conflict").when(c == "ambiguous", "ambiguous_date_order").when(c.isin("day_first", "month_first") & (F.col("open") > 0), "date_order_inferred")
     return out.withColumn("issue", issue).drop("open")
@@ -65,8 +68,13 @@ def refuse_unreadable(cells: DataFrame, source: str, numbers: dict[str, Column])
 
 def with_timestamp(df: DataFrame, column: str, name: str) -> DataFrame:
     """N-05, N-09: two passes, the file's convention joined back to its rows."""
+    return with_convention(df, column, name).drop("convention")
+
+
+def with_convention(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``with_timestamp``, and the convention that it was read by."""
     conventions = file_date_conventions(df, column).select("store_id", "file", "convention")
-    return df.join(conventions, ["store_id", "file"]).withColumn(name, N.parse_timestamp_utc(F.col(f"`{column}`"), F.col("convention"))).drop("convention")
+    return df.join(conventions, ["store_id", "file"]).withColumn(name, N.parse_timestamp_utc(F.col(f"`{column}`"), F.col("convention")))
 
 
 def normalize_orders(raw: DataFrame) -> dict[str, DataFrame]:

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import redaction as R
-from tallyhouse.operators import grounding, quality
+from tallyhouse.operators import grounding, normalize, quality
 from tallyhouse.plans import table_queries  # noqa: F401
 from tallyhouse.plans.queries import QUERIES
 from tallyhouse.schemas import SCHEMAS, StoreTables
@@ -126,6 +126,16 @@ def test_a_snapshot_is_written_where_its_rows_are(spark, tmp_path):
     assert snapshots.load_snapshot(spark, str(tmp_path), "a").campaigns.count() == 60
 
 
+def test_equal_dates_of_a_file_are_looked_at_once(spark):
+    rows = spark.createDataFrame([("s", "f", "1/31/2024", i) for i in range(50)] + [("s", "g", "20240131", 1), ("s", "g", "2024013", 2)], "store_id string, file string, cell string, n int")
+    out = normalize.with_convention(rows, "cell", "at")
+    got = {(r.file, r.cell, r.convention, str(r.at)) for r in out.select("file", "cell", "convention", "at").collect()}
+    assert got == {("f", "1/31/2024", "month_first", "2024-01-31 00:00:00"), ("g", "20240131", "not_needed", "2024-01-31 00:00:00"), ("g", "2024013", "not_needed", "None")}
+    # cells are grouped before their order is told
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[store_id#\d+, file#\d+, cell#\d+\]", plan), plan
+
+
 def test_equality_has_no_fixed_number_of_parts(spark, sf_dir):
     plan = _plan(QUERIES["l_equality"](spark, sf_dir))
     assert "RoundRobinPartitioning" not in plan and "REPARTITION_BY_COL" in plan
