@@ -38,8 +38,9 @@ def kept(build: Callable[[Analysis], DataFrame]) -> cached_property:
 class Analysis:
     """Each result is computed when it is first asked for, and shared by what needs it."""
 
-    def __init__(self, tables: StoreTables, cfg: AnalyticsConfig = AnalyticsConfig()):
-        self.tables, self.cfg = tables, cfg
+    def __init__(self, tables: StoreTables, cfg: AnalyticsConfig = AnalyticsConfig(), measures: set[str] | None = None):
+        """With ``measures`` only those of the facts are right, and only their tables are read for them."""
+        self.tables, self.cfg, self.measures = tables, cfg, measures
 
     def prepare(self, *names: str) -> Analysis:
         """Start the named results at once: they read the tables independently, so their jobs fill the cluster together."""
@@ -51,7 +52,7 @@ class Analysis:
 
     @kept
     def facts(self) -> DataFrame:
-        return facts.period_facts(self.tables, self.cfg.grain)
+        return facts.period_facts(self.tables, self.cfg.grain, self.measures)
 
     @kept
     def periods(self) -> DataFrame:
@@ -125,6 +126,11 @@ class Analysis:
     def score(self) -> DataFrame:
         return health.health_score(self.dimensions)
 
+    @cached_property
+    def declines(self) -> DataFrame:
+        """The findings that recommendations are made from; they need no more than the series."""
+        return insights.declines(self.anomalies, self.factors, rootcause.primary_factor(self.factors))
+
     @kept
     def findings(self) -> DataFrame:
         primary = rootcause.primary_factor(self.factors)
@@ -137,7 +143,7 @@ class Analysis:
 
     @cached_property
     def recommendations(self) -> DataFrame:
-        return insights.recommendations(self.findings, self.campaigns)
+        return insights.recommendations(self.declines, self.campaigns)
 
     @cached_property
     def limitations(self) -> DataFrame:
