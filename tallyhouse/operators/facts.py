@@ -37,15 +37,16 @@ def customers(t: StoreTables) -> DataFrame:
 def customer_periods(t: StoreTables, grain: str) -> DataFrame:
     """J-03, A-10: customers active in each period, whether new, and their orders and sums.
 
-    One shuffle by customer serves both groupings and their join.
+    One shuffle by customer serves the grouping and the window over a customer's
+    periods; a customer's first period is that of the first order.
     """
     start = P.period_start(F.col("created_at"), grain)
-    rows = t.orders.select("store_id", "customer_id", start.alias("period_start"), "created_at", "subtotal", "total").repartition("store_id", "customer_id")
+    rows = t.orders.select("store_id", "customer_id", start.alias("period_start"), "subtotal", "total").repartition("store_id", "customer_id")
     active = rows.groupBy("store_id", "customer_id", "period_start").agg(
         F.count(F.lit(1)).alias("n"), F.sum("subtotal").cast(MONEY).alias("spent"), F.sum("total").cast(MONEY).alias("totals")
     )
-    first = rows.groupBy("store_id", "customer_id").agg(F.min("created_at").alias("first_order_at"))
-    return active.join(first, ["store_id", "customer_id"]).withColumn("is_new", P.period_start(F.col("first_order_at"), grain) == F.col("period_start"))
+    first = F.min("period_start").over(W.partitionBy("store_id", "customer_id"))
+    return active.withColumn("is_new", F.col("period_start") == first)
 
 
 def _order_part(t: StoreTables, grain: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import SCHEMAS, StoreTables
 
+#: Stores whose files a task has open at once.
+OPEN_STORES = 16
 _SEAL = "snapshot_id string, attempt string, fingerprint string, table string, store_id string, rows long, checksum decimal(38,0), status string, sealed_at timestamp"
 
 
@@ -25,6 +28,17 @@ def _base(root: str, table: str, snapshot_id: str, attempt: str) -> str:
     return f"{root}/{table}/snapshot_id={snapshot_id}/attempt={attempt}"
 
 
+@contextmanager
+def _open_files(spark: SparkSession, key: str = "spark.sql.maxConcurrentOutputFileWriters"):
+    """A task keeps the files of up to ``OPEN_STORES`` stores open instead of sorting its rows by store; Spark sorts what comes beyond."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(OPEN_STORES, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_snapshot(tables: StoreTables, root: str, snapshot_id: str, fingerprint: str | None = None) -> None:
     """All tables, then the manifest; without a manifest a snapshot doesn't exist.
 
@@ -50,7 +64,7 @@ def write_snapshot(tables: StoreTables, root: str, snapshot_id: str, fingerprint
         )
 
     # the tables don't depend on each other, so their jobs fill the cluster together
-    with ThreadPoolExecutor(4) as pool:
+    with _open_files(spark), ThreadPoolExecutor(4) as pool:
         seal = reduce(DataFrame.unionByName, pool.map(write, SCHEMAS))
     seal.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
 
