@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from functools import reduce
@@ -39,18 +40,21 @@ def _open_files(spark: SparkSession, key: str = "spark.sql.maxConcurrentOutputFi
         spark.conf.set(key, before)
 
 
-def write_snapshot(tables: StoreTables, root: str, snapshot_id: str, fingerprint: str | None = None) -> None:
+def write_snapshot(tables: StoreTables, root: str, snapshot_id: str, fingerprint: str | None = None, later: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {}) -> None:
     """All tables, then the manifest; without a manifest a snapshot doesn't exist.
 
     Every attempt has folders of its own and the manifest names the one it
-    sealed: what a crashed attempt left behind is never read.
+    sealed: what a crashed attempt left behind is never read. Tables named in
+    ``later`` are made from others as these are written: the function gets a
+    reader of them by name.
     """
     attempt = uuid.uuid4().hex
     spark = tables.orders.sparkSession
 
     def write(name: str) -> DataFrame:
         # each task writes what it has of each store: a table is not shuffled again only to have fewer files
-        getattr(tables, name).write.partitionBy("store_id").parquet(_base(root, name, snapshot_id, attempt))
+        table = later[name](lambda n: _read(spark, root, n, snapshot_id, attempt)) if name in later else getattr(tables, name)
+        table.write.partitionBy("store_id").parquet(_base(root, name, snapshot_id, attempt))
         return digest(_read(spark, root, name, snapshot_id, attempt), "store_id").select(
             F.lit(snapshot_id).alias("snapshot_id"),
             F.lit(attempt).alias("attempt"),
@@ -65,8 +69,8 @@ def write_snapshot(tables: StoreTables, root: str, snapshot_id: str, fingerprint
 
     # the tables don't depend on each other, so their jobs fill the cluster together
     with _open_files(spark), ThreadPoolExecutor(4) as pool:
-        seal = reduce(DataFrame.unionByName, pool.map(write, SCHEMAS))
-    seal.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+        seals = list(pool.map(write, [n for n in SCHEMAS if n not in later])) + list(pool.map(write, later))
+    reduce(DataFrame.unionByName, seals).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
 
 
 def _read(spark: SparkSession, root: str, name: str, snapshot_id: str, attempt: str) -> DataFrame:
@@ -96,15 +100,20 @@ def load_snapshot(spark: SparkSession, root: str, snapshot_id: str, check: bool
     first = sealed.agg(F.min(F.struct("sealed_at", "attempt")).alias("a")).first().a
     if first is None:
         raise ValueError(f"snapshot {snapshot_id} is not completed")
-    tables = {}
-    for name in SCHEMAS:
-        df = _read(spark, root, name, snapshot_id, first.attempt)
-        if check:
-            was = sealed.filter((F.col("table") == name) & (F.col("attempt") == first.attempt)).select("store_id", "rows", "checksum")
-            now = digest(df, "store_id")
-            if was.exceptAll(now).unionByName(now.exceptAll(was)).limit(1).count():
-                raise ValueError(f"table {name} of snapshot {snapshot_id} differs from its seal")
-        tables[name] = df
+    tables = {name: _read(spark, root, name, snapshot_id, first.attempt) for name in SCHEMAS}
+
+    def differs(name: str) -> bool:
+        """Stores that the seal and the table do not have in common; the table is read once."""
+        was = sealed.filter((F.col("table") == name) & (F.col("attempt") == first.attempt)).select("store_id", "rows", "checksum", F.lit(1).alias("side"))
+        both = was.unionByName(digest(tables[name], "store_id").withColumn("side", F.lit(-1)))
+        return not both.groupBy("store_id", "rows", "checksum").agg(F.sum("side").alias("side")).filter("side <> 0").isEmpty()
+
+    if check:
+        # the tables don't depend on each other, so their jobs fill the cluster together
+        with ThreadPoolExecutor(4) as pool:
+            for name, wrong in zip(SCHEMAS, pool.map(differs, SCHEMAS)):
+                if wrong:
+                    raise ValueError(f"table {name} of snapshot {snapshot_id} differs from its seal")
     return StoreTables(**tables)
 
 
