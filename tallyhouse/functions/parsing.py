@@ -15,6 +15,8 @@ UNSETTLED = ["pending", "authorized", "partially_paid", "voided", "expired"]
 
 MONEY = "decimal(19,4)"
 _PLAIN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
+#: As ``_PLAIN``, without a line break behind it.
+_DIGITS = _PLAIN[:-1] + r"\z"
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?( ?(Z|UTC|[+-]\d{2}:?\d{2}))?)?$"
 # Dates with slashes, and the compact day that ISO 8601 also allows.
 _SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
@@ -45,7 +47,8 @@ def parse_money(c: Column) -> Column:
     s = F.regexp_replace(s, r"^(.*\.[^.]*),([^,.]*)$", f"$1{mark}$2")
     s = F.regexp_replace(s, r"^([^.]*),([0-9]{1,2})$", f"$1{mark}$2")
     s = F.regexp_replace(F.regexp_replace(s, rf"\.(?=.*{mark})", ""), rf",(?!.*{mark})", "")
-    return F.regexp_extract(F.translate(s, mark, "."), _PLAIN, 0).try_cast(MONEY)
+    # a plain number is left as it is by every step
+    return F.when(F.regexp_like(F.trim(c), F.lit(_DIGITS)), F.trim(c).try_cast(MONEY)).otherwise(F.regexp_extract(F.translate(s, mark, "."), _PLAIN, 0).try_cast(MONEY))
 
 
 def parse_int(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 from urllib.parse import quote
@@ -28,11 +28,12 @@ SIGNATURES = {
     "google_ads": ["Day", "Campaign", "Cost"],
 }
 DELIMITERS = [",", ";", "\t", "|"]
+#: By source, what stages an export's cells, and what makes tables of them.
 NORMALIZE = {
-    "shopify_orders": normalize.normalize_orders,
-    "shopify_products": normalize.normalize_products,
-    "stripe": normalize.normalize_payments,
-    "google_ads": normalize.normalize_ads,
+    "shopify_orders": (normalize.order_cells, normalize.order_tables),
+    "shopify_products": (normalize.product_cells, normalize.product_tables),
+    "stripe": (normalize.payment_cells, normalize.payment_tables),
+    "google_ads": (normalize.ad_cells, normalize.ad_tables),
 }
 
 
@@ -230,16 +231,23 @@ def _gather(spark: SparkSession, parts: dict[str, dict[str, DataFrame]], stores:
     return StoreTables(**tables | {"issues": tables["issues"].unionByName(missing)})
 
 
+def normalized(raw: dict[str, DataFrame], read: Callable[[], None] = lambda: None) -> dict[str, dict[str, DataFrame]]:
+    """Tables by source. All rows are staged first; then ``read`` is called, as the files are not needed any more."""
+    cells = {s: NORMALIZE[s][0](rows) for s, rows in raw.items()}
+    read()
+    return {s: NORMALIZE[s][1](c) for s, c in cells.items()}
+
+
 def load_stores(spark: SparkSession, paths: dict[str, str], **options: object) -> StoreTables:
     """S-08: canonical tables from exports whose sources and encoding are known."""
     raw = {s: read_export(spark, p, **options) for s, p in paths.items()}
     found = reduce(DataFrame.unionByName, [rows.select("store_id", F.lit(s).alias("source")).distinct() for s, rows in raw.items()])
-    return _gather(spark, {s: NORMALIZE[s](rows) for s, rows in raw.items()}, found, found)
+    return _gather(spark, normalized(raw), found, found)
 
 
 @dataclass(frozen=True)
 class Exports:
-    """What lies in a folder: triaged files, raw rows by source, issues of files that can't be read."""
+    """What lies in a folder: triaged files, raw rows by source as the files have them, issues of files that can't be read."""
 
     files: DataFrame
     raw: dict[str, DataFrame]
@@ -256,11 +264,10 @@ def open_exports(spark: SparkSession, glob: str, sources: list[str] | None = Non
     """S-05 to S-08, V-11: raw rows by source of whatever files lie there; with ``sources`` the rows of those alone.
 
     Triage finds source, encoding, delimiter and header of each file, and files
-    that agree in them are read together. Each source's rows are staged once,
-    as Parquet, so that no file is parsed again; the driver sees the files'
-    paths, as it does for any read.
+    that agree in them are read together. Rows are not staged here: what
+    normalises them reads them once and stages them with their numbers read.
+    The driver sees the files' paths, as it does for any read.
     """
-    staged = lambda df, name: (df.write.parquet(path := scratch.new_path(spark, name)), spark.read.parquet(path))[1]
     files = export_files(spark, glob)
     bad = files.withColumn("reason", F.coalesce("refused", F.when(F.col("source").isNull(), "unknown_columns"))).filter("reason is not null")
     issues = bad.groupBy("store_id", "reason").agg(F.count(F.lit(1)).alias("count")).select(
@@ -277,7 +284,7 @@ def open_exports(spark: SparkSession, glob: str, sources: list[str] | None = Non
         else:
             rows = read_titled_export(spark, r.paths, r.header_text, r.header, r.encoding, r.delimiter)
         raw[r.source] = raw[r.source].unionByName(rows, allowMissingColumns=True) if r.source in raw else rows
-    return Exports(files, {s: staged(rows, f"exports-{s}") for s, rows in raw.items()}, issues)
+    return Exports(files, raw, issues)
 
 
 def read_exports(spark: SparkSession, glob: str) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -286,10 +293,10 @@ def read_exports(spark: SparkSession, glob: str) -> tuple[dict[str, DataFrame],
     return found.raw, found.issues
 
 
-def load_exports(spark: SparkSession, glob: str) -> StoreTables:
-    """Files to canonical tables in one step, with every issue that reading them raised."""
+def load_exports(spark: SparkSession, glob: str, read: Callable[[], None] = lambda: None) -> StoreTables:
+    """Files to canonical tables in one step, with every issue that reading them raised; ``read`` is called when the files are not needed any more."""
     found = open_exports(spark, glob)
-    parts = {s: NORMALIZE[s](rows) for s, rows in found.raw.items()}
+    parts = normalized(found.raw, read)
     tables = _gather(spark, parts, found.files, found.files.filter("refused is null and source is not null"))
     return replace(tables, issues=tables.issues.unionByName(found.issues.select(*_columns("issues"))))
 
@@ -327,8 +334,7 @@ def validate_exports(raw: dict[str, DataFrame]) -> DataFrame:
     """
     facts = {"shopify_orders": ("orders", "created_at"), "shopify_products": ("products", None), "stripe": ("payments", "created_at"), "google_ads": ("ad_daily", "day")}
     out = []
-    for source, rows in raw.items():
-        parts = NORMALIZE[source](rows)
+    for source, parts in normalized(raw).items():
         name, at = facts[source]
         day = F.to_date(at) if at else F.lit(None).cast("date")
         code = F.when(F.countDistinct("currency") == 1, F.max("currency")) if name == "orders" else F.lit(None).cast("string")
@@ -336,7 +342,7 @@ def validate_exports(raw: dict[str, DataFrame]) -> DataFrame:
         if name == "orders":  # an order's further lines count too
             seen = seen.drop("accepted_rows").join(parts["accepted_rows"], "store_id", "left")
         found = parts["issues"].filter("severity <> 'info'").groupBy("store_id").agg(F.sum("count").alias("issues"), F.count_if(F.col("kind") == "malformed_number").alias("malformed"))
-        read = rows.groupBy("store_id").agg(F.count(F.lit(1)).alias("rows_read"))
+        read = raw[source].groupBy("store_id").agg(F.count(F.lit(1)).alias("rows_read"))
         both = read.join(seen, "store_id", "left").join(found, "store_id", "left").fillna(0, ["accepted_rows", "issues", "malformed"])
         verdict = F.when((F.col("accepted_rows") == 0) | (F.col("malformed") > 0), "invalid").when(F.col("issues") > 0, "valid_with_issues").otherwise("valid")
         out.append(both.select("store_id", F.lit(source).alias("source"), "rows_read", "accepted_rows", (F.col("rows_read") - F.col("accepted_rows")).alias("rejected_rows"), "issues", "first_day", "last_day", "currency", verdict.alias("verdict")))
