@@ -326,15 +326,16 @@ def format_probes(found: Exports) -> DataFrame:
     return out.select("store_id", "path", "source", "title_rows", "date_column", "other_date_columns", count.alias("total_rows"))
 
 
-def validate_exports(raw: dict[str, DataFrame]) -> DataFrame:
+def validate_exports(raw: dict[str, DataFrame], read: Callable[[], None] = lambda: None) -> DataFrame:
     """Q-12: per store and source the rows read, accepted and rejected, issues, period, currency and verdict.
 
     A source is invalid if a file was refused for a number or nothing was
-    accepted, valid with issues if any warning or error was raised.
+    accepted, valid with issues if any warning or error was raised. The rows
+    are read once, and ``read`` is called when that is done.
     """
     facts = {"shopify_orders": ("orders", "created_at"), "shopify_products": ("products", None), "stripe": ("payments", "created_at"), "google_ads": ("ad_daily", "day")}
     out = []
-    for source, parts in normalized(raw).items():
+    for source, parts in normalized(raw, read).items():
         name, at = facts[source]
         day = F.to_date(at) if at else F.lit(None).cast("date")
         code = F.when(F.countDistinct("currency") == 1, F.max("currency")) if name == "orders" else F.lit(None).cast("string")
@@ -342,8 +343,7 @@ def validate_exports(raw: dict[str, DataFrame]) -> DataFrame:
         if name == "orders":  # an order's further lines count too
             seen = seen.drop("accepted_rows").join(parts["accepted_rows"], "store_id", "left")
         found = parts["issues"].filter("severity <> 'info'").groupBy("store_id").agg(F.sum("count").alias("issues"), F.count_if(F.col("kind") == "malformed_number").alias("malformed"))
-        read = raw[source].groupBy("store_id").agg(F.count(F.lit(1)).alias("rows_read"))
-        both = read.join(seen, "store_id", "left").join(found, "store_id", "left").fillna(0, ["accepted_rows", "issues", "malformed"])
+        both = parts["rows_read"].join(seen, "store_id", "left").join(found, "store_id", "left").fillna(0, ["accepted_rows", "issues", "malformed"])
         verdict = F.when((F.col("accepted_rows") == 0) | (F.col("malformed") > 0), "invalid").when(F.col("issues") > 0, "valid_with_issues").otherwise("valid")
         out.append(both.select("store_id", F.lit(source).alias("source"), "rows_read", "accepted_rows", (F.col("rows_read") - F.col("accepted_rows")).alias("rejected_rows"), "issues", "first_day", "last_day", "currency", verdict.alias("verdict")))
     return reduce(DataFrame.unionByName, out)

@@ -18,7 +18,7 @@ def _folders(path):
     return {p.name.rsplit("-", 1)[0] for p in path.iterdir() if any(p.rglob("part-*"))}
 
 
-@pytest.mark.parametrize("name", ["s_export_round_trip"])
+@pytest.mark.parametrize("name", ["s_export_round_trip", "q_file_validation"])
 def test_files_and_what_they_were_made_from_are_gone(spark, sf_dir, tmp_path, monkeypatch, name):
     monkeypatch.setattr(scratch, "root", lambda spark: str(tmp_path))
     out = QUERIES[name](spark, sf_dir)
